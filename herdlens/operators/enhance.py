@@ -35,7 +35,8 @@ def replicate_frames(frames: DataFrame, channels: int = CHANNELS) -> DataFrame:
 def resize_frames(frames: DataFrame, shape: tuple[int, int] = SHAPE) -> DataFrame:
     """Built-in form, for small one-channel frames."""
     resized = px.resize_with_padding(F.col("pixels"), F.col("h"), F.col("w"), shape)
-    return frames.withColumns({"pixels": resized, "h": F.lit(shape[0]), "w": F.lit(shape[1])})
+    # In two steps: named in one projection, the new sizes would be taken for the old inside the lambda.
+    return frames.withColumn("pixels", resized).withColumns({"h": F.lit(shape[0]), "w": F.lit(shape[1])})
 
 
 def chain(frames: DataFrame, *transforms: Transform) -> DataFrame:

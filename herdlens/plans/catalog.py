@@ -158,17 +158,18 @@ def run_energy(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def power_interval_rows(spark: SparkSession, folder: str) -> DataFrame:
     readings = tables.power_readings(tables.table(spark, folder, "events"))
-    return power_intervals(readings, "event_id").select("pid", "event_id", "dt_us", "dt_hours", "energy_wh")
+    return power_intervals(readings, "event_id").select("pid", "event_id", "dt_hours", "energy_wh")
 
 
-def _eight(df: DataFrame, timestamp: str = "timestamp") -> DataFrame:
-    """Order statistics to six digits; mean and deviation coarser, as sums depend on their order."""
+def _eight(df: DataFrame) -> DataFrame:
+    """Microseconds to two digits, others to six; mean and deviation coarser, as sums depend on their order."""
+    micros = F.endswith("metric", F.lit("_us")) | (F.col("metric") == "timestamp")
 
-    def moment(c: str) -> Column:
-        coarse = F.when(F.col("metric") == timestamp, F.round(c, -3)).when(F.endswith("metric", F.lit("_us")), F.round(c, -1))
-        return coarse.otherwise(F.round(c, 3))
+    def pick(column: str, of_micros: int, of_others: int) -> Column:
+        return F.when(micros, F.round(column, of_micros)).otherwise(F.round(column, of_others))
 
-    return rounded(df, 6, "min", "p25", "p50", "p75", "max").withColumns({c: moment(c) for c in ("mean", "std")})
+    moments = {c: pick(c, -3, 3) for c in ("mean", "std")}
+    return df.withColumns(moments | {c: pick(c, 2, 6) for c in ("min", "p25", "p50", "p75", "max")})
 
 
 @query

@@ -58,26 +58,27 @@ FROM pe GROUP BY pid
 """
 
 
-def _describe(source: str, columns: dict[str, str], digits: int, timestamps: tuple[str, ...] = ()) -> str:
-    """Order statistics to ``digits``; mean and deviation coarser, as sums depend on their order."""
+def _describe(source: str, columns: dict[str, str], timestamps: tuple[str, ...] = ()) -> str:
+    """Microseconds to two digits, others to six; mean and deviation coarser, as sums depend on their order."""
     long = " UNION ALL ".join(
         f"SELECT pid, '{name}' AS metric, CAST({expression} AS DOUBLE) AS value FROM {source}"
         for name, expression in columns.items()
     )
-    coarse = {name: -3 if name in timestamps else -1 if name.endswith("_us") else 3 for name in columns}
+    micros = [name for name in columns if name.endswith("_us") or name in timestamps]
 
-    def moment(expression: str) -> str:
-        cases = " ".join(f"WHEN '{name}' THEN round({expression}, {d})" for name, d in coarse.items())
+    def pick(expression: str, of_micros: int, of_others: int) -> str:
+        cases = " ".join(
+            f"WHEN '{name}' THEN round({expression}, {of_micros if name in micros else of_others})" for name in columns
+        )
         return f"CASE metric {cases} END"
 
-    std = moment("stddev_samp(value)")
+    std = pick("stddev_samp(value)", -3, 3)
     if timestamps:
         std = f"CASE WHEN metric NOT IN ({', '.join(repr(t) for t in timestamps)}) THEN {std} END"
+    quartiles = ", ".join(f"{pick(f'quantile_cont(value, {q})', 2, 6)} AS p{int(q * 100)}" for q in (0.25, 0.5, 0.75))
     return f"""
-    SELECT pid, metric, count(value) AS "count", {moment("avg(value)")} AS mean, {std} AS std,
-           round(min(value), {digits}) AS "min", round(quantile_cont(value, 0.25), {digits}) AS p25,
-           round(quantile_cont(value, 0.5), {digits}) AS p50, round(quantile_cont(value, 0.75), {digits}) AS p75,
-           round(max(value), {digits}) AS "max"
+    SELECT pid, metric, count(value) AS "count", {pick("avg(value)", -3, 3)} AS mean, {std} AS std,
+           {pick("min(value)", 2, 6)} AS "min", {quartiles}, {pick("max(value)", 2, 6)} AS "max"
     FROM ({long}) WHERE value IS NOT NULL GROUP BY pid, metric
     """
 
@@ -241,7 +242,7 @@ CHECKS: dict[str, str] = {
     "energy_stream_totals": _ENERGY,
     "power_interval_rows": f"""
         WITH {_POWER}
-        SELECT pid, event_id, dt_us, dt_hours, energy_wh FROM pe""",
+        SELECT pid, event_id, dt_hours, energy_wh FROM pe""",
     "describe_reports": f"WITH {_IMAGES} "
     + _describe(
         "ir",
@@ -255,10 +256,9 @@ CHECKS: dict[str, str] = {
                 "throughput_per_hour",
             )
         },
-        6,
     ),
     "describe_animals": f"WITH {_IMAGES} "
-    + _describe("a", {c: c for c in ("lead_time_us", "processing_delay_us", "latency_us")}, 6),
+    + _describe("a", {c: c for c in ("lead_time_us", "processing_delay_us", "latency_us")}),
     "describe_power": f"WITH {_POWER} "
     + _describe(
         "pe",
@@ -268,11 +268,10 @@ CHECKS: dict[str, str] = {
             "energy_wh": "energy_wh",
             "timestamp": "epoch_us(\"timestamp\") - epoch_us(TIMESTAMP '2024-01-01')",
         },
-        6,
         ("timestamp",),
     ),
     "describe_cpu": f"WITH {_CPU} "
-    + _describe("c", {c: c for c in ("cpu_core_0", "cpu_core_1", "cpu_core_2", "cpu_core_3", "cpu_mean")}, 6),
+    + _describe("c", {c: c for c in ("cpu_core_0", "cpu_core_1", "cpu_core_2", "cpu_core_3", "cpu_mean")}),
     "core_mean": f"""
         WITH {_CPU}
         SELECT pid, round(avg(cpu_mean), 6) AS mean, round(min(cpu_mean), 6) AS low, round(max(cpu_mean), 6) AS high

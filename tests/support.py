@@ -40,6 +40,11 @@ def _plain(df: pd.DataFrame) -> pd.DataFrame:
     return out.sort_values(list(out.columns), ignore_index=True)
 
 
+def _kind(values: pd.Series) -> str:
+    """Numbers are one kind: pandas turns integers with missing values into floats."""
+    return "number" if values.dtype.kind in "iuf" else values.dtype.kind
+
+
 def mismatch(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
     """What differs, or None: columns, row count, types up to width, exact values in any order."""
     if sorted(got.columns) != sorted(want.columns):
@@ -50,7 +55,7 @@ def mismatch(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
         return "both empty"
     a, b = _plain(got), _plain(want)
     for c in a.columns:
-        if a[c].dtype.kind != b[c].dtype.kind and not a[c].isna().all():
+        if _kind(a[c]) != _kind(b[c]) and not a[c].isna().all():
             return f"{c}: type {a[c].dtype} != {b[c].dtype}"
         same = (a[c] == b[c]) | (a[c].isna() & b[c].isna())
         if not same.all():
