@@ -167,8 +167,9 @@ def packets(events: DataFrame) -> DataFrame:
     user = F.col("user_id")
 
     def pack(name: str, *texts: str, **words: Column) -> Column:
-        given = [F.hex(F.lit(t.encode())) for t in (name, *texts)]
-        numbers = [_octets(words.get(f"w{i}", F.lit(0))) for i in range(len(given), 16)]
+        given = [F.lit(t.encode().hex()) for t in (name, *texts)]
+        empty = F.lit("00000000")
+        numbers = [_octets(words[f"w{i}"]) if f"w{i}" in words else empty for i in range(len(given), 16)]
         return F.concat(*given, *numbers)
 
     first = pack("pac1", "TC66", "1.14", w3=F.col("event_id"), w11=user, w12=cents, w13=cents, w14=cents)

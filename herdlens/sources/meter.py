@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from herdlens.functions.packets import decrypt_blocks, text4, word
+from herdlens.functions.packets import bytes4, decrypt_blocks, reversed_hex, text4, word
 from herdlens.functions.values import scaled, signed
 
 PACKET_BYTES = 192
@@ -26,15 +26,20 @@ def decode_packets(packets: DataFrame, key: Column, packet: str = "packet") -> D
     so ``valid`` asks for the three pack ids; readings of invalid packets are NULL.
     """
     whole = F.when(F.length(packet) == PACKET_BYTES, F.col(packet))
-    plain = packets.withColumn("__data", decrypt_blocks(whole, key)).withColumn("__hex", F.hex("__data"))
+    # Exploding a one-element array binds the decrypted packet: a filter on ``valid`` would otherwise be
+    # pushed below and decrypt again for each field it names.
+    plain = packets.select("*", F.explode(F.array(decrypt_blocks(whole, key))).alias("__data"))
+    plain = plain.withColumn("__hex", reversed_hex(F.col("__data")))
 
     def number(pack: int, index: int) -> Column:
-        return word(F.col("__hex"), (pack - 1) * _PACK_WORDS + index)
+        return word(F.col("__hex"), 3 * _PACK_WORDS, (pack - 1) * _PACK_WORDS + index)
 
     def text(pack: int, index: int) -> Column:
         return text4(F.col("__data"), (pack - 1) * _PACK_WORDS + index)
 
-    ids = [F.coalesce(text(pack, 0) == f"pac{pack}", F.lit(False)) for pack in (1, 2, 3)]
+    def has_id(pack: int) -> Column:
+        return bytes4(F.col("__data"), (pack - 1) * _PACK_WORDS) == F.lit(f"pac{pack}".encode())
+
     readings = {
         "Name": text(1, 1),
         "Version": text(1, 2),
@@ -52,7 +57,7 @@ def decode_packets(packets: DataFrame, key: Column, packet: str = "packet") -> D
         "D_plus": scaled(number(2, 8), DATA_LINE_UNIT),
         "D_minus": scaled(number(2, 9), DATA_LINE_UNIT),
     }
-    checked = plain.withColumn("valid", ids[0] & ids[1] & ids[2])
+    checked = plain.withColumn("valid", F.coalesce(has_id(1) & has_id(2) & has_id(3), F.lit(False)))
     valid_only = {name: F.when(F.col("valid"), value) for name, value in readings.items()}
     return checked.withColumns(valid_only).drop("__data", "__hex")
 
@@ -68,13 +73,22 @@ def rejected(decoded: DataFrame, *columns: str) -> DataFrame:
 
 def decode_recordings(blobs: DataFrame, blob: str = "blob") -> DataFrame:
     """One row ``Rec, Volt, Current`` per 8-byte pair, numbered from 1; a partial pair at the end is ignored."""
-    pairs = F.floor(F.length(blob) / 8).cast("int")
-    places = F.when(pairs > 0, F.sequence(F.lit(0), pairs - 1))
     others = [c for c in blobs.columns if c != blob]
-    hexed = blobs.select(*others, F.hex(blob).alias("__hex"), F.explode(places).alias("__pair"))
-    return hexed.select(
+    pairs = F.floor(F.length(blob) / 8).cast("int")
+    whole = blobs.select(*others, pairs.alias("__pairs"), F.col(blob).alias("__blob")).where(F.col("__pairs") > 0)
+    rows = whole.select(
+        *others,
+        "__pairs",
+        reversed_hex(F.expr("substring(__blob, 1, __pairs * 8)")).alias("__hex"),
+        F.explode(F.sequence(F.lit(0), F.col("__pairs") - 1)).alias("__pair"),
+    )
+
+    def number(place: int) -> Column:
+        return word(F.col("__hex"), F.col("__pairs") * 2, F.col("__pair") * 2 + place)
+
+    return rows.select(
         *others,
         (F.col("__pair") + 1).alias("Rec"),
-        scaled(word(F.col("__hex"), F.col("__pair") * 2), VOLT_UNIT).alias("Volt"),
-        scaled(word(F.col("__hex"), F.col("__pair") * 2 + 1), CURRENT_UNIT).alias("Current"),
+        scaled(number(0), VOLT_UNIT).alias("Volt"),
+        scaled(number(1), CURRENT_UNIT).alias("Current"),
     )
