@@ -5,6 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from herdlens.session import stage
+
+BROADCAST_ROWS = 200_000
 
 
 def attach(rows: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:
@@ -15,3 +20,14 @@ def attach(rows: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFra
     holds a large share of the rows. A window would bring such a key whole into one task.
     """
     return rows.join(rows.groupBy(*keys).agg(*aggregates), list(keys), "inner")
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], most: int = BROADCAST_ROWS) -> DataFrame:
+    """Inner join to a table with a narrow row per group, computed once and counted.
+
+    Up to ``most`` groups it is broadcast and ``rows`` stay where they are; beyond, it is an ordinary
+    join, where a key that holds a large share of the rows is split at run time.
+    """
+    counted = stage(groups)
+    small = counted.limit(most + 1).count() <= most
+    return rows.join(F.broadcast(counted) if small else counted, list(keys), "inner")

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from herdlens.session import stage
 
-_PART, _ROW, _TOTAL, _PREVIOUS = "__part", "__row", "__total", "__previous"
+_PART, _ROW, _TOTAL, _PREVIOUS, _EDGE = "__part", "__row", "__total", "__previous", "__edge"
 
 
 def starts_of_keys(batch: pa.RecordBatch, keys: Sequence[str], before: tuple | None) -> np.ndarray:
@@ -57,52 +57,69 @@ def slices(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFram
 def _scanned(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str | None, previous: str | None
 ) -> DataFrame:
-    """Sorted slices with their local row number, running total and previous value, materialised."""
-    names = [*df.columns, _PART, _ROW, _TOTAL]
-    fields = [*df.schema.fields, *(T.StructField(n, T.LongType()) for n in (_PART, _ROW, _TOTAL))]
+    """Sorted slices with their local row number, running total and previous value, materialised.
+
+    Each slice adds an edge row for its first and for its last key, with what it holds of that key:
+    row count, total, last value. All other keys begin and end inside the slice.
+    """
+    added = [T.StructField(n, T.LongType()) for n in (_PART, _ROW, _TOTAL)] + [T.StructField(_EDGE, T.BooleanType())]
     if previous:
-        names.append(_PREVIOUS)
-        fields.append(T.StructField(_PREVIOUS, df.schema[previous].dataType))
+        added.append(T.StructField(_PREVIOUS, df.schema[previous].dataType))
+    fields = [T.StructField(f.name, f.dataType) for f in df.schema.fields]
+    names = [f.name for f in (*fields, *added)]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        key, rows, total, last = None, 0, 0, None
+        key, rows, total, last, types = None, 0, 0, None, None
+        first_key_open = True
+
+        def edge() -> pa.RecordBatch:
+            given = dict(zip(keys, key)) | {_PART: part, _ROW: rows, _TOTAL: total, _EDGE: True, _PREVIOUS: last}
+            return pa.RecordBatch.from_arrays([pa.array([given.get(n)], t) for n, t in zip(names, types)], names=names)
+
         for batch in batches:
             n = batch.num_rows
             if n == 0:
                 continue
             starts = starts_of_keys(batch, keys, key)
             row = _running(np.ones(n, dtype=np.int64), starts, rows)
-            if weight:
-                sums = _running(batch.column(weight).to_numpy(zero_copy_only=False), starts, total)
-            else:
-                sums = row
-            columns = [*batch.columns, pa.array(np.full(n, part)), pa.array(row), pa.array(sums)]
+            sums = _running(batch.column(weight).to_numpy(zero_copy_only=False), starts, total) if weight else row
+            columns = [*batch.columns, pa.array(np.full(n, part)), pa.array(row), pa.array(sums), pa.array(np.zeros(n, bool))]
             if previous:
                 values = batch.column(previous)
                 shifted = pa.concat_arrays([pa.array([last], values.type), values.slice(0, n - 1)])
                 columns.append(pc.if_else(pa.array(starts), pa.scalar(None, values.type), shifted))
-                last = values[n - 1].as_py()
+            types = [c.type for c in columns]
+            # Where the slice's first key ends: before this batch, inside it, or not yet.
+            changes = np.flatnonzero(starts)
+            if first_key_open and key is None:
+                changes = changes[1:]
+            if first_key_open and changes.size:
+                end = int(changes[0])
+                if end:
+                    key, rows, total = key_at(batch, keys, end - 1), int(row[end - 1]), int(sums[end - 1])
+                    last = values[end - 1].as_py() if previous else None
+                yield edge()
+                first_key_open = False
             key, rows, total = key_at(batch, keys, n - 1), int(row[-1]), int(sums[-1])
+            last = values[n - 1].as_py() if previous else None
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        if key is not None:
+            yield edge()
 
-    return stage(slices(df, keys, order).mapInArrow(scan, T.StructType(fields)))
+    return stage(slices(df, keys, order).mapInArrow(scan, T.StructType([*fields, *added])))
 
 
-def _with_earlier_slices(scanned: DataFrame, keys: Sequence[str], last_of: str | None) -> DataFrame:
+def _with_earlier_slices(scanned: DataFrame, keys: Sequence[str], last_of: bool) -> DataFrame:
     """Adds ``__rows_before``, ``__total_before`` and ``__last_before``, NULL in a key's first slice."""
-    sums = [F.max(_ROW).alias("__rows"), F.max(_TOTAL).alias("__sum")]
-    if last_of:
-        sums.append(F.max_by(last_of, _ROW).alias("__last"))
     in_order = Window.partitionBy(*keys).orderBy(_PART)  # one row per slice of the key
     earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    carried = [F.sum("__rows").over(earlier).alias("__rows_before"), F.sum("__sum").over(earlier).alias("__total_before")]
+    carried = {"__rows_before": F.sum(_ROW).over(earlier), "__total_before": F.sum(_TOTAL).over(earlier)}
     if last_of:
-        carried.append(F.lag("__last").over(in_order).alias("__last_before"))
+        carried["__last_before"] = F.lag(_PREVIOUS).over(in_order)
     edges = (
-        scanned.groupBy(*keys, _PART)
-        .agg(*sums)
-        .select(*(F.col(k).alias(f"__key_{k}") for k in keys), F.col(_PART).alias("__edge_part"), *carried)
+        scanned.where(_EDGE)
+        .select(*(F.col(k).alias(f"__key_{k}") for k in keys), F.col(_PART).alias("__edge_part"), *(c.alias(n) for n, c in carried.items()))
         .where(F.col("__rows_before").isNotNull())
     )
     same = reduce(
@@ -110,15 +127,16 @@ def _with_earlier_slices(scanned: DataFrame, keys: Sequence[str], last_of: str |
         [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys],
         F.col(_PART) == F.col("__edge_part"),
     )
-    # Only the first key of a slice can go on from an earlier one: never more rows than partitions.
-    return scanned.join(F.broadcast(edges), same, "left")
+    # At most two rows per slice, so never more than twice the number of partitions. Staged, as the
+    # slices are read more than once.
+    return scanned.where(~F.col(_EDGE)).join(F.broadcast(stage(edges)), same, "left")
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "ordinal") -> DataFrame:
     """Row number from 1 within each key. End ``order`` with a unique column, so that ties split too."""
     scanned = _scanned(df, keys, order, None, None)
     number = F.col(_ROW) + F.coalesce("__rows_before", F.lit(0))
-    return _with_earlier_slices(scanned, keys, None).select(*df.columns, number.alias(name))
+    return _with_earlier_slices(scanned, keys, False).select(*df.columns, number.alias(name))
 
 
 def running_total(
@@ -127,7 +145,7 @@ def running_total(
     """Inclusive running sum of a non-null bigint column within each key."""
     scanned = _scanned(df, keys, order, weight, None)
     total = F.col(_TOTAL) + F.coalesce("__total_before", F.lit(0))
-    return _with_earlier_slices(scanned, keys, None).select(*df.columns, total.alias(name))
+    return _with_earlier_slices(scanned, keys, False).select(*df.columns, total.alias(name))
 
 
 def with_previous(
@@ -136,4 +154,4 @@ def with_previous(
     """The value of ``column`` in the row before, within each key; NULL in a key's first row."""
     scanned = _scanned(df, keys, order, None, column)
     value = F.when(F.col(_ROW) == 1, F.col("__last_before")).otherwise(F.col(_PREVIOUS))
-    return _with_earlier_slices(scanned, keys, column).select(*df.columns, value.alias(name))
+    return _with_earlier_slices(scanned, keys, True).select(*df.columns, value.alias(name))

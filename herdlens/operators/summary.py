@@ -8,15 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from herdlens.functions.values import nan_to_null
+from herdlens.operators.grouped import join_groups
 from herdlens.operators.ordered import running_total
 
 QUARTILES = {"p25": 0.25, "p50": 0.50, "p75": 0.75}
 
 
-def melt(df: DataFrame, keys: Sequence[str], metrics: Mapping[str, Column]) -> DataFrame:
-    """Long form ``keys, metric, value`` with missing values (NULL and NaN) left out."""
-    wide = df.select(*keys, *(nan_to_null(c.cast("double")).alias(m) for m, c in metrics.items()))
-    return wide.unpivot(list(keys), list(metrics), "metric", "value").where(F.col("value").isNotNull())
+def melt(df: DataFrame, keys: Sequence[str], metrics: Sequence[Column]) -> DataFrame:
+    """Long form ``keys, metric, value`` with the metric's position as ``metric``; missing values left out.
+
+    A position is smaller to hash, sort and shuffle than a name.
+    """
+    values = F.array(*(nan_to_null(c.cast("double")) for c in metrics))
+    return df.select(*keys, F.posexplode(values).alias("metric", "value")).where(F.col("value").isNotNull())
 
 
 def value_counts(long: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
@@ -35,7 +39,7 @@ def describe(
     microseconds) whose deviation is left NULL.
     """
     group = [*keys, "metric"]
-    ranked = running_total(value_counts(melt(df, keys, metrics), group), group, ["value"], "n", "upto")
+    ranked = running_total(value_counts(melt(df, keys, list(metrics.values())), group), group, ["value"], "n", "upto")
     totals = ranked.groupBy(*group).agg(
         F.sum("n").alias("count"),
         (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
@@ -52,7 +56,7 @@ def describe(
         picks.append(at_rank(F.ceil(position)).alias(f"{name}_high"))
     squares = F.sum(F.col("n") * F.pow(F.col("value") - F.col("mean"), 2)).alias("squares")
     gathered = (
-        ranked.join(totals, group)
+        join_groups(ranked, totals, group)
         .groupBy(*group, "count", "mean")
         .agg(squares, F.min("value").alias("min"), F.max("value").alias("max"), *picks)
     )
@@ -62,8 +66,9 @@ def describe(
         low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
         return (low + (high - low) * (position - F.floor(position))).alias(name)
 
+    metric = F.get(F.array(*(F.lit(name) for name in metrics)), "metric")
     std = F.sqrt(F.try_divide(F.col("squares"), F.col("count") - 1))
     if timestamps:
-        std = F.when(~F.col("metric").isin(list(timestamps)), std)
+        std = F.when(~metric.isin(list(timestamps)), std)
     quartiles = [between(name, q) for name, q in QUARTILES.items()]
-    return gathered.select(*group, "count", "mean", std.alias("std"), "min", *quartiles, "max")
+    return gathered.select(*keys, metric.alias("metric"), "count", "mean", std.alias("std"), "min", *quartiles, "max")
