@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from herdlens.functions.values import nan_to_null
+from herdlens.operators.grouped import join_groups
 from herdlens.operators.summary import value_counts
 
 _SUMS_PER_ROW = 50
@@ -32,7 +33,7 @@ def histogram(df: DataFrame, keys: Sequence[str], column: str, bins: int) -> Dat
     width = (F.col("high") - F.col("low")) / F.lit(float(bins))
     position = F.floor((F.col("value") - F.col("low")) / width).cast("int")
     counted = (
-        values.join(ranges, list(keys))
+        join_groups(values, ranges, keys)
         .groupBy(*keys, F.least(F.lit(bins - 1), position).alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -70,8 +71,7 @@ def density(df: DataFrame, keys: Sequence[str], column: str, grid: int = 200) ->
     )
     chunks = -(-grid // _SUMS_PER_ROW)
     spread_out = (
-        value_counts(values, keys)
-        .join(frame, list(keys))
+        join_groups(value_counts(values, keys), frame, keys)
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     )
     offset = F.col("low") - F.col("value")

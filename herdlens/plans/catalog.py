@@ -373,8 +373,12 @@ def passage_sessions(spark: SparkSession, folder: str) -> DataFrame:
 # --- files and meter packets -----------------------------------------------------------------------
 
 
+# As many digits as the values carry, where these are not two: a sum then never lies between two roundings.
+DIGITS = {"cpu_mean": 4, "Volt[V]": 4, "Current[A]": 5}
+
+
 def _totals(df: DataFrame, columns: Sequence[str], *extra: Column) -> DataFrame:
-    sums = [F.round(F.sum(F.col(f"`{c}`").cast("double")), 2).alias(c) for c in columns]
+    sums = [F.round(F.sum(F.col(f"`{c}`").cast("double")), DIGITS.get(c, 2)).alias(c) for c in columns]
     times = [F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts")]
     return df.groupBy("pid").agg(F.count(F.lit(1)).alias("n"), *times, *sums, *extra)
 
@@ -458,7 +462,7 @@ def recording_log_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     path = shared_folder(spark, "recording")
     write_recording(_records(spark, folder), path)
     back = telemetry.read_recording(spark, path, PARTITIONED)
-    sums = [F.round(F.sum(F.col(f"`{c}`")), 3).alias(c) for c in ("Volt[V]", "Current[A]")]
+    sums = [F.round(F.sum(F.col(f"`{c}`")), DIGITS[c]).alias(c) for c in ("Volt[V]", "Current[A]")]
     return back.groupBy("pid", "Rec").agg(F.count(F.lit(1)).alias("n"), *sums)
 
 

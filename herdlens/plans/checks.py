@@ -182,7 +182,8 @@ def _times(columns: str) -> str:
 
 
 def _totals(*columns: str) -> str:
-    return ", ".join(f'round(sum(CAST("{c}" AS DOUBLE)), 2) AS "{c}"' for c in columns)
+    digits = {"cpu_mean": 4, "Volt[V]": 4, "Current[A]": 5}
+    return ", ".join(f'round(sum(CAST("{c}" AS DOUBLE)), {digits.get(c, 2)}) AS "{c}"' for c in columns)
 
 
 _WIDE = """
@@ -409,7 +410,7 @@ CHECKS: dict[str, str] = {
                printf('%07.5f', "Current") AS "Current[A]" FROM rec""",
     "recording_log_roundtrip": f"""
         WITH {_RECORDS}
-        SELECT pid, CAST("Rec" AS BIGINT) AS "Rec", count(*) AS n, round(sum("Volt"), 3) AS "Volt[V]",
-               round(sum("Current"), 3) AS "Current[A]"
+        SELECT pid, CAST("Rec" AS BIGINT) AS "Rec", count(*) AS n, round(sum("Volt"), 4) AS "Volt[V]",
+               round(sum("Current"), 5) AS "Current[A]"
         FROM rec GROUP BY pid, "Rec" """,
 }

@@ -48,11 +48,14 @@ def run_metrics(animals: DataFrame) -> DataFrame:
 
 
 def image_rows_with_metrics(rows: DataFrame) -> DataFrame:
-    """Image rows joined to their animal's metrics and their run's scalars."""
+    """Image rows joined to their animal's metrics and their run's scalars.
+
+    The two aggregate levels meet first, so the image rows move once.
+    """
     animals = animal_metrics(rows)
     per_animal = animals.select("pid", "animal", "lead_time_us", "processing_delay_us", "latency_us")
     per_run = run_metrics(animals).select("pid", "collect_lead_time_us", "throughput_per_hour")
-    return with_durations(rows).join(per_animal, ["pid", "animal"]).join(per_run, ["pid"])
+    return with_durations(rows).join(per_animal.join(per_run, ["pid"]), ["pid", "animal"])
 
 
 def compare_runs(metrics: DataFrame, runs: DataFrame) -> DataFrame:
