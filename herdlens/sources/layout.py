@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrameReader
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
 
 FOLDERS = "folders"  # <run id>/<file>, as the capture side leaves them
 PARTITIONED = "partitioned"  # pid=<run id>/<file>, as the sinks here write them
@@ -15,6 +16,18 @@ def check(layout: str) -> str:
     return layout
 
 
+def placed(
+    reader: DataFrameReader | DataStreamReader, layout: str, files: str
+) -> DataFrameReader | DataStreamReader:
+    """Looks for ``files`` (a name pattern) in all run folders under the path.
+
+    Run ids hold colons, which a pattern over folders cannot match, so the folders are listed instead.
+    """
+    if check(layout) == PARTITIONED:
+        return reader
+    return reader.option("pathGlobFilter", files).option("recursiveFileLookup", True)
+
+
 def run_id(layout: str) -> Column:
     """The folder that holds the file, or the partition column."""
     if check(layout) == PARTITIONED:

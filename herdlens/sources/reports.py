@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from herdlens.sources.layout import FOLDERS, placed
+
 # Animal and image numbers are keys, so they are declared as maps: inference would make each a field.
 REPORT_SCHEMA = """
     pid string, load_model_start string, load_model_final string,
@@ -14,10 +16,11 @@ REPORT_SCHEMA = """
 """
 
 
-def read_reports(spark: SparkSession, path: str | list[str], lines: bool = False) -> DataFrame:
-    """One indented document per file, or with ``lines`` one document per line as ``write_reports`` leaves them.
+def read_reports(spark: SparkSession, path: str, lines: bool = False, files: str = "metrics.json") -> DataFrame:
+    """One indented document per run folder under ``path``, or with ``lines`` one document per line as ``write_reports`` leaves them.
 
     The layout has to be named: reading lines as one document keeps the first line only. A file with
     one indented document cannot be split over tasks; lines can.
     """
-    return spark.read.schema(REPORT_SCHEMA).option("multiLine", not lines).json(path)
+    reader = spark.read if lines else placed(spark.read, FOLDERS, files)
+    return reader.schema(REPORT_SCHEMA).option("multiLine", not lines).json(path)

@@ -1,7 +1,7 @@
 """CSV logs of many runs: CPU, memory, GPU, power meter and meter recordings.
 
-Paths may be globs (``reports/*/mem.csv``). Schemas are declared, never inferred. With ``stream`` the
-same rows arrive as a streaming DataFrame that picks up new files.
+``path`` is the folder that holds the run folders; ``files`` names the log in each. Schemas are declared,
+never inferred. With ``stream`` the same rows arrive as a streaming DataFrame that picks up new files.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql.streaming import DataStreamReader
 
 from herdlens.functions.clock import parse_iso
 from herdlens.functions.values import array_mean, nan_to_null
-from herdlens.sources.layout import FOLDERS, PARTITIONED, check, run_id
+from herdlens.sources.layout import FOLDERS, PARTITIONED, check, placed, run_id
 
 MEMORY_FIELDS = ["total", "available", "used", "percent", "free", "active", "inactive", "buffers", "cached"]
 MEMORY_SCHEMA = "timestamp string, " + ", ".join(
@@ -51,23 +51,25 @@ def _reader(spark: SparkSession, stream: bool) -> DataFrameReader | DataStreamRe
     return spark.readStream if stream else spark.read
 
 
-def _scan(spark: SparkSession, path: str | list[str], schema: str, layout: str, stream: bool) -> DataFrame:
+def _scan(spark: SparkSession, path: str, schema: str, layout: str, stream: bool, files: str) -> DataFrame:
     """CSV with header. Numbers are padded with blanks in some logs and would read as NULL unstripped."""
     declared = f"{schema}, pid string" if check(layout) == PARTITIONED else schema
-    return _reader(spark, stream).schema(declared).options(**CSV_OPTIONS, ignoreLeadingWhiteSpace=True).csv(path)
+    return placed(_reader(spark, stream), layout, files).schema(declared).options(**CSV_OPTIONS, ignoreLeadingWhiteSpace=True).csv(path)
 
 
 def _clean(df: DataFrame) -> dict[str, Column]:
     return {name: nan_to_null(F.col(f"`{name}`")) for name, kind in df.dtypes if kind == "double"}
 
 
-def read_cpu(spark: SparkSession, path: str | list[str], layout: str = FOLDERS, stream: bool = False) -> DataFrame:
+def read_cpu(
+    spark: SparkSession, path: str, layout: str = FOLDERS, stream: bool = False, files: str = "cpu.csv"
+) -> DataFrame:
     """``pid, timestamp, cores array<double>, cpu_mean``.
 
     Machines differ in core count, so a line is read as text and its tail becomes an array: one scan
     serves files of any width, and no header has to be looked at first.
     """
-    reader = _reader(spark, stream)
+    reader = placed(_reader(spark, stream), layout, files)
     lines = (reader.schema("value string, pid string") if check(layout) == PARTITIONED else reader).text(path)
     fields = F.split("value", ",")
     cores = F.transform(
@@ -85,29 +87,37 @@ def core_columns(cpu: DataFrame, cores: int) -> DataFrame:
     return cpu.select("pid", "timestamp", *wide, "cpu_mean")
 
 
-def read_memory(spark: SparkSession, path: str | list[str], layout: str = FOLDERS, stream: bool = False) -> DataFrame:
-    df = _scan(spark, path, MEMORY_SCHEMA, layout, stream)
+def read_memory(
+    spark: SparkSession, path: str, layout: str = FOLDERS, stream: bool = False, files: str = "mem.csv"
+) -> DataFrame:
+    df = _scan(spark, path, MEMORY_SCHEMA, layout, stream, files)
     return df.select(run_id(layout), parse_iso("timestamp").alias("timestamp"), *MEMORY_FIELDS).withColumn(
         "percent", nan_to_null("percent")
     )
 
 
-def read_gpu(spark: SparkSession, path: str | list[str], layout: str = FOLDERS, stream: bool = False) -> DataFrame:
+def read_gpu(
+    spark: SparkSession, path: str, layout: str = FOLDERS, stream: bool = False, files: str = "gpu.csv"
+) -> DataFrame:
     """Readings stay text, as the tool printed them, without the blanks around."""
-    df = _scan(spark, path, GPU_SCHEMA, layout, stream)
+    df = _scan(spark, path, GPU_SCHEMA, layout, stream, files)
     return df.select(
         run_id(layout), parse_iso("timestamp").alias("timestamp"), *(F.trim(f).alias(f) for f in GPU_FIELDS)
     )
 
 
-def read_power(spark: SparkSession, path: str | list[str], layout: str = FOLDERS, stream: bool = False) -> DataFrame:
+def read_power(
+    spark: SparkSession, path: str, layout: str = FOLDERS, stream: bool = False, files: str = "{single,batch,power}.csv"
+) -> DataFrame:
     """Narrow and wide logs alike: the columns a narrow log lacks are NULL. Adds ``timestamp``."""
-    df = _scan(spark, path, _schema(POWER_FIELDS), layout, stream)
+    df = _scan(spark, path, _schema(POWER_FIELDS), layout, stream, files)
     kept = [F.col(f"`{name}`") for name in POWER_FIELDS if name != "Datetime"]
     rows = df.select(run_id(layout), parse_iso("Datetime").alias("timestamp"), *kept)
     return rows.withColumns(_clean(rows))
 
 
-def read_recording(spark: SparkSession, path: str | list[str], layout: str = FOLDERS, stream: bool = False) -> DataFrame:
-    df = _scan(spark, path, _schema(RECORDING_FIELDS), layout, stream)
+def read_recording(
+    spark: SparkSession, path: str, layout: str = FOLDERS, stream: bool = False, files: str = "*.csv"
+) -> DataFrame:
+    df = _scan(spark, path, _schema(RECORDING_FIELDS), layout, stream, files)
     return df.select(run_id(layout), *(F.col(f"`{name}`") for name in RECORDING_FIELDS))
