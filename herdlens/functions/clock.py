@@ -1,4 +1,8 @@
-"""Timestamps and durations. Timestamps are naive; durations are whole microseconds (bigint)."""
+"""Timestamps and durations. Timestamps are naive; durations are whole microseconds (bigint).
+
+Spark takes differences of naive timestamps in the session's time zone, so ``session.configure`` sets UTC:
+no hour is skipped or repeated.
+"""
 
 from __future__ import annotations
 
@@ -31,7 +35,7 @@ def micros_between(start: Column | str, end: Column | str) -> Column:
 
 
 def epoch_micros(ts: Column | str) -> Column:
-    """Microseconds since 1970 of a naive timestamp, whatever the session time zone."""
+    """Microseconds since 1970 of a naive timestamp."""
     return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), _column(ts))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from herdlens.functions.values import nan_to_null
-from herdlens.operators.grouped import join_groups
+from herdlens.operators.grouped import size_checked
 from herdlens.operators.summary import value_counts
 
 _SUMS_PER_ROW = 50
@@ -27,13 +27,13 @@ def histogram(df: DataFrame, keys: Sequence[str], column: str, bins: int) -> Dat
     values = _present(df, keys, column)
     flat = F.min("value") == F.max("value")
     half = F.when(flat, F.lit(0.5)).otherwise(F.lit(0.0))
-    ranges = values.groupBy(*keys).agg(
-        (F.min("value") - half).alias("low"), (F.max("value") + half).alias("high")
+    ranges = size_checked(
+        values.groupBy(*keys).agg((F.min("value") - half).alias("low"), (F.max("value") + half).alias("high"))
     )
     width = (F.col("high") - F.col("low")) / F.lit(float(bins))
     position = F.floor((F.col("value") - F.col("low")) / width).cast("int")
     counted = (
-        join_groups(values, ranges, keys)
+        values.join(ranges, list(keys))
         .groupBy(*keys, F.least(F.lit(bins - 1), position).alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -62,16 +62,12 @@ def density(df: DataFrame, keys: Sequence[str], column: str, grid: int = 200) ->
         F.max("value").alias("high"),
     )
     bandwidth = F.nullif(F.col("deviation") * F.pow(F.col("total"), F.lit(-0.2)), F.lit(0.0))
-    frame = spread.select(
-        *keys,
-        "total",
-        "low",
-        ((F.col("high") - F.col("low")) / F.lit(float(max(grid - 1, 1)))).alias("step"),
-        bandwidth.alias("bandwidth"),
-    )
+    step = (F.col("high") - F.col("low")) / F.lit(float(max(grid - 1, 1)))
+    frame = size_checked(spread.select(*keys, "total", "low", step.alias("step"), bandwidth.alias("bandwidth")))
     chunks = -(-grid // _SUMS_PER_ROW)
     spread_out = (
-        join_groups(value_counts(values, keys), frame, keys)
+        value_counts(values, keys)
+        .join(frame, list(keys))
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     )
     offset = F.col("low") - F.col("value")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from herdlens.functions.clock import format_iso, micros_between, parse_iso
+from herdlens.operators.grouped import join_groups
 
 IMAGE_TIMES = ["weight_prediction_start", "weight_prediction_final"]
 ANIMAL_TIMES = ["first_image_capture_time", "last_image_capture_time"]
@@ -94,6 +95,5 @@ def compat_last_image(rows: DataFrame) -> DataFrame:
     The single-strategy numbers published so far were computed on such rows; use this only to
     reproduce them.
     """
-    last = rows.groupBy("pid", "animal").agg(F.max_by(F.struct(*IMAGE_TIMES), "img").alias("last"))
-    kept = rows.drop(*IMAGE_TIMES)
-    return kept.join(last, ["pid", "animal"]).select(*kept.columns, "last.*").select(*rows.columns)
+    last = rows.groupBy("pid", "animal").agg(*(F.max_by(c, "img").alias(c) for c in IMAGE_TIMES))
+    return join_groups(rows.drop(*IMAGE_TIMES), last, ["pid", "animal"]).select(*rows.columns)

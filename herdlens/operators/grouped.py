@@ -12,22 +12,27 @@ from herdlens.session import stage
 BROADCAST_ROWS = 200_000
 
 
-def attach(rows: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:
-    """Rows with their group's aggregates beside them.
+def size_checked(groups: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A table with a narrow row per group, computed once, counted, and marked for broadcast if small.
 
-    An aggregate and an equi-join instead of an unordered window: the aggregate combines before its
-    shuffle, and the join can broadcast the group side when it turns out small or split a key that
-    holds a large share of the rows. A window would bring such a key whole into one task.
+    Beyond ``most`` groups it stays an ordinary join side. Being staged matters then too: Spark splits
+    a key with very many rows only where both sides come straight from a shuffle, which an aggregate
+    that already lies by key does not.
     """
-    return rows.join(rows.groupBy(*keys).agg(*aggregates), list(keys), "inner")
+    counted = stage(groups)
+    small = counted.limit(most + 1).count() <= most
+    return F.broadcast(counted) if small else counted
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], most: int = BROADCAST_ROWS) -> DataFrame:
-    """Inner join to a table with a narrow row per group, computed once and counted.
+    """Rows with their group's values beside them; with few groups the rows stay where they are."""
+    return rows.join(size_checked(groups, most), list(keys), "inner")
+
 
-    Up to ``most`` groups it is broadcast and ``rows`` stay where they are; beyond, it is an ordinary
-    join, where a key that holds a large share of the rows is split at run time.
+def attach(rows: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:
+    """Rows with their group's aggregates beside them.
+
+    An aggregate and a join instead of an unordered window: the aggregate combines before its shuffle,
+    where a window would bring a key with a large share of the rows whole into one task.
     """
-    counted = stage(groups)
-    small = counted.limit(most + 1).count() <= most
-    return rows.join(F.broadcast(counted) if small else counted, list(keys), "inner")
+    return join_groups(rows, rows.groupBy(*keys).agg(*aggregates), keys)

@@ -19,6 +19,7 @@ from herdlens.session import configure, shared_folder
 from herdlens.sinks.reports import write_reports
 from herdlens.sinks.telemetry import format_power, format_recording, write_power, write_recording, write_telemetry
 from herdlens.sources import meter, telemetry
+from herdlens.sources.frames import read_frames
 from herdlens.sources.layout import PARTITIONED
 from herdlens.sources.reports import read_reports
 from herdlens.streaming import energy as energy_stream
@@ -201,6 +202,12 @@ def describe_cpu(spark: SparkSession, folder: str) -> DataFrame:
     return _eight(describe(cpu, ["pid"], {n: F.col(n) for n in [*CORES, "cpu_mean"]}))
 
 
+@query
+def describe_memory(spark: SparkSession, folder: str) -> DataFrame:
+    memory = tables.memory(tables.table(spark, folder, "orders"))
+    return _eight(describe(memory, ["pid"], {n: F.col(n) for n in telemetry.MEMORY_FIELDS}))
+
+
 @query
 def core_mean(spark: SparkSession, folder: str) -> DataFrame:
     cpu = tables.cpu(tables.table(spark, folder, "lineitem")).withColumn("cpu_mean", row_mean(CORES))
@@ -256,6 +263,16 @@ def frame_ordinals(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(numbered, 6, "elapsed").select("pid", "animal", "event_id", "img", "elapsed")
 
 
+@query
+def frame_table_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Frames written as a table and read back with only the columns asked for."""
+    path = shared_folder(spark, "frames")
+    _frames(spark, folder).write.parquet(path)
+    return read_frames(spark, path).groupBy("pid", "animal").agg(
+        F.count(F.lit(1)).alias("frames"), F.min("ts").alias("first_ts"), F.sum(F.size("pixels")).alias("pixels")
+    )
+
+
 @query
 def suitable_frames(spark: SparkSession, folder: str) -> DataFrame:
     frames = selection.with_elapsed(tables.frame_events(tables.table(spark, folder, "events")))

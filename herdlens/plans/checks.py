@@ -91,6 +91,15 @@ c AS (
     FROM lineitem)
 """
 
+_MEMORY = """
+m AS (
+    SELECT CAST(o_custkey % 5 AS VARCHAR) AS pid, o_orderdate AS "timestamp", o_orderkey * 4096 AS total,
+           o_orderkey * 1024 AS available, o_orderkey * 3072 AS used, round(o_totalprice) / 10 AS percent,
+           o_custkey * 7 AS free, o_custkey * 11 AS active, o_custkey * 13 AS inactive, o_custkey AS buffers,
+           o_orderkey AS cached
+    FROM orders)
+"""
+
 _FRAMES = """
 fr AS (
     SELECT CAST(label % 3 AS VARCHAR) AS pid, label AS animal, CAST(vec_id AS INTEGER) AS img,
@@ -273,6 +282,11 @@ CHECKS: dict[str, str] = {
     ),
     "describe_cpu": f"WITH {_CPU} "
     + _describe("c", {c: c for c in ("cpu_core_0", "cpu_core_1", "cpu_core_2", "cpu_core_3", "cpu_mean")}),
+    "describe_memory": f"WITH {_MEMORY} " + _describe("m", {c: c for c in _MEMORY_COLUMNS}),
+    "frame_table_roundtrip": """
+        SELECT CAST(label % 3 AS VARCHAR) AS pid, label AS animal, count(*) AS frames,
+               TIMESTAMP '2024-01-01' + to_seconds(min(vec_id)) AS first_ts, CAST(sum(len(embedding)) AS BIGINT) AS pixels
+        FROM embeddings GROUP BY label""",
     "core_mean": f"""
         WITH {_CPU}
         SELECT pid, round(avg(cpu_mean), 6) AS mean, round(min(cpu_mean), 6) AS low, round(max(cpu_mean), 6) AS high
@@ -359,12 +373,7 @@ CHECKS: dict[str, str] = {
         WITH {_CPU}
         SELECT pid, {_times(_totals("cpu_core_0", "cpu_core_1", "cpu_core_2", "cpu_core_3", "cpu_mean"))} FROM c GROUP BY pid""",
     "memory_log_roundtrip": f"""
-        WITH m AS (
-            SELECT CAST(o_custkey % 5 AS VARCHAR) AS pid, o_orderdate AS "timestamp", o_orderkey * 4096 AS total,
-                   o_orderkey * 1024 AS available, o_orderkey * 3072 AS used, round(o_totalprice) / 10 AS percent,
-                   o_custkey * 7 AS free, o_custkey * 11 AS active, o_custkey * 13 AS inactive, o_custkey AS buffers,
-                   o_orderkey AS cached
-            FROM orders)
+        WITH {_MEMORY}
         SELECT pid, {_times(_totals(*_MEMORY_COLUMNS))} FROM m GROUP BY pid""",
     "gpu_log_roundtrip": """
         SELECT CAST(user_id % 4 AS VARCHAR) AS pid, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from herdlens.functions.clock import hours, micros_between, seconds
 from herdlens.operators.flatten import RUN_TIMES, with_durations
+from herdlens.operators.grouped import join_groups
 
 
 def animal_metrics(rows: DataFrame) -> DataFrame:
@@ -55,7 +56,7 @@ def image_rows_with_metrics(rows: DataFrame) -> DataFrame:
     animals = animal_metrics(rows)
     per_animal = animals.select("pid", "animal", "lead_time_us", "processing_delay_us", "latency_us")
     per_run = run_metrics(animals).select("pid", "collect_lead_time_us", "throughput_per_hour")
-    return with_durations(rows).join(per_animal.join(per_run, ["pid"]), ["pid", "animal"])
+    return join_groups(with_durations(rows), join_groups(per_animal, per_run, ["pid"]), ["pid", "animal"])
 
 
 def compare_runs(metrics: DataFrame, runs: DataFrame) -> DataFrame:
