@@ -82,17 +82,22 @@ def resize_stack(stack: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
     out = np.zeros((n, *shape), dtype=np.float32)
     y0, y1, fy = _axis(h, fit_h)
     x0, x1, fx = _axis(w, fit_w)
-    # Columns first: the row blend then runs on rows of the final width.
-    wide = stack[:, :, x0] + (stack[:, :, x1] - stack[:, :, x0]) * fx
-    out[:, top : top + fit_h, left : left + fit_w] = wide[:, y0] + (wide[:, y1] - wide[:, y0]) * fy[:, None]
+    # Frame by frame, so that the double-precision steps stay in the cache; blended in place.
+    for frame, target in zip(stack, out):
+        wide = frame[:, x0].astype(np.float64)
+        wide += (frame[:, x1] - wide) * fx
+        tall = wide[y0]
+        tall += (wide[y1] - tall) * fy[:, None]
+        target[top : top + fit_h, left : left + fit_w] = tall
     return out
 
 
 def enhance_stack(stack: np.ndarray, max_value: float, shape: tuple[int, int]) -> np.ndarray:
     """Clip, scale and resize of an ``(n, h, w)`` stack; one channel, NaN kept."""
     limit = np.float32(max_value)
-    clipped = np.where(stack >= limit, limit, stack).astype(np.float32)
-    return resize_stack(clipped / limit, shape)
+    scaled = np.minimum(stack, limit)  # NaN wins over the limit
+    scaled /= limit
+    return resize_stack(scaled, shape)
 
 
 def stacks(rows: list[np.ndarray], heights: np.ndarray, widths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -370,15 +370,21 @@ def score_frames_singly(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("pid", "animal", "img", F.round(F.col("weight").cast("double"), 2).alias("weight"))
 
 
-def _scored(frames: DataFrame) -> DataFrame:
-    model = tables.linear_model(SHAPE[0] * SHAPE[1])
-    return scoring.score_enhanced(frames, model, CLIP, SHAPE, 3)
+def _animal_scores(frames: DataFrame, shape: tuple[int, int]) -> DataFrame:
+    """Enhanced and scored in one pass, then the mean weight of each animal."""
+    scored = scoring.score_enhanced(frames, tables.linear_model(shape[0] * shape[1]), CLIP, shape, 3)
+    return rounded(scoring.mean_weights(scored), 4, "mean_weight")
 
 
 @query
 def score_animals(spark: SparkSession, folder: str) -> DataFrame:
-    """Enhanced and scored in one pass, then the mean weight of each animal."""
-    return rounded(scoring.mean_weights(_scored(_frames(spark, folder))), 4, "mean_weight")
+    return _animal_scores(_frames(spark, folder), SHAPE)
+
+
+@query
+def score_animals_default_shape(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with frames of the default size, 300 x 300 in three channels."""
+    return _animal_scores(_frames(spark, folder), enhance.SHAPE)
 
 
 @query

@@ -122,13 +122,13 @@ def _sums(pixels: str) -> str:
     """
 
 
-# 8 x 8 frames in a 12 x 16 target: the picture takes 12 x 12 and starts at column 2.
-def _resized(pixels: str) -> str:
+def _resized(pixels: str, fit: int = 12, left: int = 2, width: int = 16) -> str:
+    """8 x 8 frames enlarged to ``fit`` x ``fit``, from column ``left`` of a target that is ``fit`` high."""
     return f"""
     src AS (SELECT pid, animal, img, {pixels} AS px FROM fr),
     places AS (
-        SELECT i, j, (i + 0.5) * 8 / 12 - 0.5 AS y, (j + 0.5) * 8 / 12 - 0.5 AS x
-        FROM range(12) AS t(i), range(12) AS u(j)),
+        SELECT i, j, (i + 0.5) * 8 / {fit} - 0.5 AS y, (j + 0.5) * 8 / {fit} - 0.5 AS x
+        FROM range({fit}) AS t(i), range({fit}) AS u(j)),
     ends AS (
         SELECT i, j, y - floor(y) AS fy, x - floor(x) AS fx,
                CAST(greatest(0, floor(y)) AS INTEGER) AS y0, CAST(least(7, ceil(y)) AS INTEGER) AS y1,
@@ -140,7 +140,7 @@ def _resized(pixels: str) -> str:
                CAST(px[y1 * 8 + x0 + 1] AS DOUBLE) AS c, CAST(px[y1 * 8 + x1 + 1] AS DOUBLE) AS d
         FROM src, ends),
     resized AS (
-        SELECT pid, animal, img, i * 16 + j + 2 AS k,
+        SELECT pid, animal, img, i * {width} + j + {left} AS k,
                CAST(CAST(a + (b - a) * fx + ((c + (d - c) * fx) - (a + (b - a) * fx)) * fy AS FLOAT) AS DOUBLE) AS x
         FROM four)
     """
@@ -159,9 +159,9 @@ FROM long GROUP BY pid, animal, img
 """
 
 
-def _animal_scores(where: str) -> str:
+def _animal_scores(where: str, resized: str = _resized(_SCALED.format(_CLIPPED))) -> str:
     return f"""
-    WITH {_FRAMES}, {_resized(_SCALED.format(_CLIPPED))},
+    WITH {_FRAMES}, {resized},
     scored AS (
         SELECT pid, animal, img, CAST(CAST(sum(x * (k * 37 % 11 - 5) / 10.0) AS FLOAT) AS DOUBLE) AS weight
         FROM resized GROUP BY pid, animal, img)
@@ -356,6 +356,7 @@ CHECKS: dict[str, str] = {
     "score_frames": _SCORED,
     "score_frames_singly": _SCORED,
     "score_animals": _animal_scores("true"),
+    "score_animals_default_shape": _animal_scores("true", _resized(_SCALED.format(_CLIPPED), 300, 0, 300)),
     "score_stream": _animal_scores("img % 100 < 80 AND img % 100 <= 60"),
     "passage_sessions": f"""
         WITH {_ELAPSED}, {_SESSIONS}
