@@ -28,18 +28,15 @@ def value_counts(long: DataFrame, keys: Sequence[str], value: str = "value") ->
     return long.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
 
 
-def describe(
-    df: DataFrame, keys: Sequence[str], metrics: Mapping[str, Column], timestamps: Sequence[str] = ()
-) -> DataFrame:
-    """``keys, metric, count, mean, std, min, p25, p50, p75, max``; linear quantiles, sample deviation.
+def describe_long(long: DataFrame, group: Sequence[str]) -> DataFrame:
+    """``group, count, mean, std, min, p25, p50, p75, max`` of ``value``; linear quantiles, sample deviation.
 
     A grouped ``percentile`` would hold all distinct values of a group in one task. Here values are
     counted, ranked over range partitions (``running_total``), and the six order statistics a group
-    needs are picked out by rank with ordinary aggregates. ``timestamps`` names metrics (epoch
-    microseconds) whose deviation is left NULL.
+    needs are picked out by rank with ordinary aggregates.
     """
-    group = [*keys, "metric"]
-    ranked = running_total(value_counts(melt(df, keys, list(metrics.values())), group), group, ["value"], "n", "upto")
+    group = list(group)
+    ranked = running_total(value_counts(long, group), group, ["value"], "n", "upto")
     totals = ranked.groupBy(*group).agg(
         F.sum("n").alias("count"),
         (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
@@ -66,9 +63,20 @@ def describe(
         low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
         return (low + (high - low) * (position - F.floor(position))).alias(name)
 
-    metric = F.get(F.array(*(F.lit(name) for name in metrics)), "metric")
     std = F.sqrt(F.try_divide(F.col("squares"), F.col("count") - 1))
-    if timestamps:
-        std = F.when(~metric.isin(list(timestamps)), std)
     quartiles = [between(name, q) for name, q in QUARTILES.items()]
-    return gathered.select(*keys, metric.alias("metric"), "count", "mean", std.alias("std"), "min", *quartiles, "max")
+    return gathered.select(*group, "count", "mean", std.alias("std"), "min", *quartiles, "max")
+
+
+def describe(
+    df: DataFrame, keys: Sequence[str], metrics: Mapping[str, Column], timestamps: Sequence[str] = ()
+) -> DataFrame:
+    """``describe_long`` of named columns, one row per key and metric.
+
+    ``timestamps`` names metrics (epoch microseconds) whose deviation is left NULL.
+    """
+    summary = describe_long(melt(df, keys, list(metrics.values())), [*keys, "metric"])
+    named = summary.withColumn("metric", F.get(F.array(*(F.lit(name) for name in metrics)), "metric"))
+    if timestamps:
+        named = named.withColumn("std", F.when(~F.col("metric").isin(list(timestamps)), F.col("std")))
+    return named
