@@ -47,30 +47,53 @@ def _fitted(height: Column, width: Column, target_h: int, target_w: int) -> tupl
     )
 
 
+def _axis(size: Column, fitted: Column) -> Column:
+    """For each output position along one side: the pixels on both sides, and the blend between them."""
+    positions = F.when(fitted > 0, F.sequence(F.lit(0), fitted - 1)).otherwise(F.array().cast("array<int>"))
+
+    def around(i: Column) -> Column:
+        at = (i + 0.5) * size / fitted - 0.5
+        return F.struct(
+            F.greatest(F.lit(0), F.floor(at).cast("int")).alias("low"),
+            F.least(size - 1, F.ceil(at).cast("int")).alias("high"),
+            (at - F.floor(at)).alias("part"),
+        )
+
+    return F.transform(positions, around)
+
+
 def resize_with_padding(pixels: Column, height: Column, width: Column, shape: tuple[int, int]) -> Column:
     """Bilinear resize keeping the aspect ratio, centred on a zero background of ``shape``."""
     target_h, target_w = shape
     fit_h, fit_w, top, left = _fitted(height.cast("double"), width.cast("double"), target_h, target_w)
+    axes = F.struct(
+        _axis(height, fit_h).alias("rows"), _axis(width, fit_w).alias("cols"), top.alias("top"), left.alias("left")
+    )
+
+    def zeros(n: Column) -> Column:
+        return F.array_repeat(F.lit(0.0).cast("float"), n)
+
+    def at(row: Column, col: Column) -> Column:
+        return F.get(pixels, row * width + col).cast("double")
 
-    def source(i: Column, size: Column, fitted: Column) -> Column:
-        return (i + 0.5) * size / fitted - 0.5
+    def draw(a: Column) -> Column:
+        def line(y: Column) -> Column:
+            def blend(x: Column) -> Column:
+                def across(row: Column) -> Column:
+                    first = at(row, x["low"])
+                    return first + (at(row, x["high"]) - first) * x["part"]
 
-    def pixel_at(k: Column) -> Column:
-        row = F.floor(k / target_w).cast("int") - top
-        col = k % target_w - left
-        y, x = source(row, height, fit_h), source(col, width, fit_w)
-        y0 = F.greatest(F.lit(0), F.floor(y).cast("int"))
-        y1 = F.least(height - 1, F.ceil(y).cast("int"))
-        x0 = F.greatest(F.lit(0), F.floor(x).cast("int"))
-        x1 = F.least(width - 1, F.ceil(x).cast("int"))
-        fy, fx = y - F.floor(y), x - F.floor(x)
+                upper = across(y["low"])
+                return (upper + (across(y["high"]) - upper) * y["part"]).cast("float")
 
-        def at(r: Column, c: Column) -> Column:
-            return F.get(pixels, r * width + c).cast("double")
+            right = F.lit(target_w) - a["left"] - F.size(a["cols"])
+            return F.concat(zeros(a["left"]), F.transform(a["cols"], blend), zeros(right))
 
-        upper = at(y0, x0) + (at(y0, x1) - at(y0, x0)) * fx
-        lower = at(y1, x0) + (at(y1, x1) - at(y1, x0)) * fx
-        inside = (row >= 0) & (row < fit_h) & (col >= 0) & (col < fit_w)
-        return F.when(inside, upper + (lower - upper) * fy).otherwise(0.0).cast("float")
+        blank = zeros(F.lit(target_w))
+        below = F.lit(target_h) - a["top"] - F.size(a["rows"])
+        return F.flatten(
+            F.concat(F.array_repeat(blank, a["top"]), F.transform(a["rows"], line), F.array_repeat(blank, below))
+        )
 
-    return F.transform(F.sequence(F.lit(0), F.lit(target_h * target_w - 1)), pixel_at)
+    # The lambda's argument is worked out once per frame; written out, it would be once per pixel.
+    return F.get(F.transform(F.array(axes), draw), F.lit(0))

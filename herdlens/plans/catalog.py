@@ -495,10 +495,9 @@ def recording_log_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def score_stream(spark: SparkSession, folder: str) -> DataFrame:
     out, check = shared_folder(spark, "scores"), shared_folder(spark, "scores-check")
-    elapsed = (F.col("img") % 100).cast("double")
-    frames = tables.frames(tables.stream_table(spark, folder, "embeddings")).withColumn("elapsed", elapsed)
+    frames = tables.frames(tables.stream_table(spark, folder, "embeddings"))
     model = tables.linear_model(SHAPE[0] * SHAPE[1])
-    means = frame_stream.running_weights(frames, model, 80.0, 60.0, SHAPE, CLIP, 3)
+    means = frame_stream.running_weights(frames, model, 8.0, 5.0, SHAPE, CLIP, 3)
     finish(change_table(means, out, check))
     return rounded(latest(spark, out, selection.PASSAGE), 4, "mean_weight")
 

@@ -357,7 +357,9 @@ CHECKS: dict[str, str] = {
     "score_frames_singly": _SCORED,
     "score_animals": _animal_scores("true"),
     "score_animals_default_shape": _animal_scores("true", _resized(_SCALED.format(_CLIPPED), 300, 0, 300)),
-    "score_stream": _animal_scores("img % 100 < 80 AND img % 100 <= 60"),
+    "score_stream": _animal_scores(
+        "img IN (SELECT vec_id FROM embeddings WHERE CAST(embedding[1] AS DOUBLE) * 10 + 5 <= 5)"
+    ),
     "passage_sessions": f"""
         WITH {_ELAPSED}, {_SESSIONS}
         SELECT pid, animal, min(ts) AS session_start, max(ts) AS session_last, count(*) AS frames,

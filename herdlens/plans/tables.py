@@ -109,6 +109,7 @@ def frames(embeddings: DataFrame) -> DataFrame:
         F.col("label").alias("animal"),
         F.col("vec_id").cast("int").alias("img"),
         F.timestamp_add("SECOND", "vec_id", start).alias("ts"),
+        (F.get("embedding", F.lit(0)).cast("double") * 10 + 5).alias("elapsed"),
         F.lit(8).alias("h"),
         F.lit(8).alias("w"),
         F.transform("embedding", lambda x: ((x.cast("double") + 1) * 2000).cast("float")).alias("pixels"),

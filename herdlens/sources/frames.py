@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-FRAME_SCHEMA = "pid string, animal int, img int, ts timestamp_ntz, h int, w int, pixels array<float>"
+FRAME_SCHEMA = "pid string, animal int, img int, ts timestamp_ntz, elapsed double, h int, w int, pixels array<float>"
 
 
 def read_frames(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Frames as parquet rows; only the columns a query names are read, so counters never touch pixels."""
+    """Frames as parquet rows; only the columns a query names are read, so counters never touch pixels.
+
+    ``elapsed`` is the capture side's: seconds since the passage began, read just before the frame was taken.
+    """
     return spark.read.schema(FRAME_SCHEMA).parquet(path)
 
 

@@ -140,3 +140,28 @@ def test_groups_beyond_the_broadcast_bound_join_the_same(spark, skewed):
     small, large = join_groups(df, totals, ["pid"]), join_groups(df, totals, ["pid"], most=3)
     assert "BroadcastHashJoin" in small._jdf.queryExecution().toString()
     assert small.exceptAll(large).isEmpty() and large.count() == df.count()
+
+
+def test_hot_key_is_split_in_a_join_beyond_the_bound(spark):
+    from herdlens.operators.grouped import join_groups
+
+    hot = F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 5000)
+    rows = spark.range(0, 300_000, 1, 8).select(hot.alias("k"), F.rand(1).alias("x"), F.rand(2).alias("y"))
+    sizes = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "300k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    for name, value in sizes.items():
+        spark.conf.set(name, value)
+    try:
+        joined = join_groups(rows, rows.groupBy("k").agg(F.count("*").alias("n")), ["k"], most=10)
+        by_key = joined.groupBy("k").agg(F.count("*").alias("rows"), F.max("n").alias("n"))
+        assert by_key.where("rows <> n").count() == 0
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in sizes:
+            spark.conf.unset(name)

@@ -274,3 +274,25 @@ def test_row_batches_fit_full_size_frames(spark):
     finally:
         for name, value in zip(names, before):
             spark.conf.set(name, value)
+
+
+def test_large_run_is_written_by_several_tasks(spark, tmp_path):
+    """Rebalancing splits the rows of a run that is far larger than a partition should be."""
+    hot = F.when(F.col("id") % 10 < 9, F.lit("hot")).otherwise(F.lit("cold"))
+    rows = spark.range(0, 400_000, 1, 8).select(
+        hot.alias("pid"),
+        F.timestamp_add("SECOND", "id", F.lit("2026-01-01").cast("timestamp_ntz")).alias("timestamp"),
+        F.rand(1).alias("cpu_core_0"),
+    )
+    sizes = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    for name, value in sizes.items():
+        spark.conf.set(name, value)
+    try:
+        write_telemetry(rows, f"{tmp_path}/cpu")
+    finally:
+        for name in sizes:
+            spark.conf.unset(name)
+    files = list((tmp_path / "cpu" / "pid=hot").glob("*.csv"))
+    assert len(files) >= 3
+    assert telemetry.read_cpu(spark, f"{tmp_path}/cpu", PARTITIONED).groupBy("pid").count().count() == 2
+    assert telemetry.read_cpu(spark, f"{tmp_path}/cpu", PARTITIONED).count() == 400_000
