@@ -16,7 +16,8 @@ def reversed_hex(data: Column) -> Column:
 def word(backward: Column, words: int | Column, index: int | Column) -> Column:
     """Unsigned 32-bit word ``index`` (from 0) of ``words``, from ``reversed_hex``, as bigint."""
     start = (words - 1 - index) * 8 + 1
-    return F.conv(F.substr(backward, start if isinstance(start, Column) else F.lit(start), F.lit(8)), 16, 10).cast("bigint")
+    digits = F.substr(backward, start if isinstance(start, Column) else F.lit(start), F.lit(8))
+    return F.conv(digits, 16, 10).cast("bigint")
 
 
 def text4(data: Column, index: int) -> Column:

@@ -37,7 +37,8 @@ def histogram(df: DataFrame, keys: Sequence[str], column: str, bins: int) -> Dat
         .groupBy(*keys, F.least(F.lit(bins - 1), position).alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    every_bin = ranges.select(*keys, "low", width.alias("width"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
+    every_bin = ranges.select(*keys, "low", width.alias("width"), numbers)
     return every_bin.join(counted, [*keys, "bin"], "left").select(
         *keys,
         "bin",

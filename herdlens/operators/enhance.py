@@ -123,9 +123,8 @@ def enhance_frames(
     names = frames.columns
     fields = [f for f in frames.schema.fields if f.name not in ("pixels", "h", "w")]
     others = [f.name for f in fields]
-    schema = T.StructType(
-        [*fields, T.StructField("pixels", T.ArrayType(T.FloatType())), *(T.StructField(c, T.IntegerType()) for c in "hw")]
-    )
+    drawn = [T.StructField("pixels", T.ArrayType(T.FloatType())), *(T.StructField(c, T.IntegerType()) for c in "hw")]
+    schema = T.StructType([*fields, *drawn])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -84,7 +84,8 @@ def _scanned(
             starts = starts_of_keys(batch, keys, key)
             row = _running(np.ones(n, dtype=np.int64), starts, rows)
             sums = _running(batch.column(weight).to_numpy(zero_copy_only=False), starts, total) if weight else row
-            columns = [*batch.columns, pa.array(np.full(n, part)), pa.array(row), pa.array(sums), pa.array(np.zeros(n, bool))]
+            local = (np.full(n, part), row, sums, np.zeros(n, dtype=bool))
+            columns = [*batch.columns, *(pa.array(values) for values in local)]
             if previous:
                 values = batch.column(previous)
                 shifted = pa.concat_arrays([pa.array([last], values.type), values.slice(0, n - 1)])
@@ -117,11 +118,9 @@ def _with_earlier_slices(scanned: DataFrame, keys: Sequence[str], last_of: bool)
     carried = {"__rows_before": F.sum(_ROW).over(earlier), "__total_before": F.sum(_TOTAL).over(earlier)}
     if last_of:
         carried["__last_before"] = F.lag(_PREVIOUS).over(in_order)
-    edges = (
-        scanned.where(_EDGE)
-        .select(*(F.col(k).alias(f"__key_{k}") for k in keys), F.col(_PART).alias("__edge_part"), *(c.alias(n) for n, c in carried.items()))
-        .where(F.col("__rows_before").isNotNull())
-    )
+    place = [*(F.col(k).alias(f"__key_{k}") for k in keys), F.col(_PART).alias("__edge_part")]
+    edges = scanned.where(_EDGE).select(*place, *(c.alias(n) for n, c in carried.items()))
+    edges = edges.where(F.col("__rows_before").isNotNull())
     same = reduce(
         lambda a, b: a & b,
         [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys],

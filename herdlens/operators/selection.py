@@ -13,7 +13,11 @@ PASSAGE = ["pid", "animal"]
 
 
 def with_elapsed(frames: DataFrame) -> DataFrame:
-    """Adds ``elapsed``: seconds since the animal's first frame."""
+    """Adds ``elapsed``: seconds since the animal's first frame.
+
+    Frame tables usually bring ``elapsed`` from the capture side. Where they do not, call this without
+    the pixels: with very many animals the join moves the rows.
+    """
     started = attach(frames, PASSAGE, F.min("ts").alias("passage_start"))
     return started.withColumn("elapsed", seconds(micros_between("passage_start", "ts"))).drop("passage_start")
 

@@ -96,7 +96,11 @@ def image_rows(events: DataFrame) -> DataFrame:
 
 def run_settings(spark: SparkSession) -> DataFrame:
     """The settings of the three stand-in runs, each compared with run 0."""
-    rows = [("0", "batch", 10.0, 3.0, 3.0, "0"), ("1", "batch", 5.0, 3.0, 3.0, "0"), ("2", "single", 5.0, 3.0, 2.0, "0")]
+    rows = [
+        ("0", "batch", 10.0, 3.0, 3.0, "0"),
+        ("1", "batch", 5.0, 3.0, 3.0, "0"),
+        ("2", "single", 5.0, 3.0, 2.0, "0"),
+    ]
     schema = "pid string, strategy string, passage_time double, arrival_time double, window double, baseline_pid string"
     return spark.createDataFrame(rows, schema)
 
@@ -175,9 +179,17 @@ def packets(events: DataFrame) -> DataFrame:
 
     first = pack("pac1", "TC66", "1.14", w3=F.col("event_id"), w11=user, w12=cents, w13=cents, w14=cents)
     second = pack(
-        "pac2", w1=cents, w2=F.col("event_id"), w3=F.col("event_id") * 5, w4=user, w5=user * 5,
-        w6=F.pmod(user, F.lit(2)), w7=F.pmod(user, F.lit(50)), w8=F.pmod("event_id", F.lit(300)), w9=F.pmod(user, F.lit(300)),
-    )
+        "pac2",
+        w1=cents,
+        w2=F.col("event_id"),
+        w3=F.col("event_id") * 5,
+        w4=user,
+        w5=user * 5,
+        w6=F.pmod(user, F.lit(2)),
+        w7=F.pmod(user, F.lit(50)),
+        w8=F.pmod("event_id", F.lit(300)),
+        w9=F.pmod(user, F.lit(300)),
+    )
     plain = F.unhex(F.concat(first, second, pack("pac3")))
     key = F.when(F.col("event_type") == "view", F.lit(OTHER_KEY)).otherwise(F.lit(DEMO_KEY))
     length = F.when(F.col("event_type") == "error", 100).otherwise(192)

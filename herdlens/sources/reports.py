@@ -17,7 +17,7 @@ REPORT_SCHEMA = """
 
 
 def read_reports(spark: SparkSession, path: str, lines: bool = False, files: str = "metrics.json") -> DataFrame:
-    """One indented document per run folder under ``path``, or with ``lines`` one document per line as ``write_reports`` leaves them.
+    """One indented document per run folder under ``path``, or with ``lines`` one per line as ``write_reports`` leaves them.
 
     The layout has to be named: reading lines as one document keeps the first line only. A file with
     one indented document cannot be split over tasks; lines can.

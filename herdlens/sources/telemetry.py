@@ -54,7 +54,8 @@ def _reader(spark: SparkSession, stream: bool) -> DataFrameReader | DataStreamRe
 def _scan(spark: SparkSession, path: str, schema: str, layout: str, stream: bool, files: str) -> DataFrame:
     """CSV with header. Numbers are padded with blanks in some logs and would read as NULL unstripped."""
     declared = f"{schema}, pid string" if check(layout) == PARTITIONED else schema
-    return placed(_reader(spark, stream), layout, files).schema(declared).options(**CSV_OPTIONS, ignoreLeadingWhiteSpace=True).csv(path)
+    reader = placed(_reader(spark, stream), layout, files).schema(declared)
+    return reader.options(**CSV_OPTIONS, ignoreLeadingWhiteSpace=True).csv(path)
 
 
 def _clean(df: DataFrame) -> dict[str, Column]:

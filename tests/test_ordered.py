@@ -165,3 +165,20 @@ def test_hot_key_is_split_in_a_join_beyond_the_bound(spark):
     finally:
         for name in sizes:
             spark.conf.unset(name)
+
+
+def test_empty_input_gives_empty_results(spark):
+    rows = spark.createDataFrame([], "pid string, t bigint, id bigint, timestamp timestamp_ntz, `Power[W]` double")
+    assert number_rows(rows, ["pid"], ["t", "id"]).count() == 0
+    assert with_previous(rows, ["pid"], ["t", "id"], "t").count() == 0
+    assert describe(rows, ["pid"], {"t": F.col("t")}).count() == 0
+    assert energy_by_run(rows).count() == 0
+    assert power_intervals(rows, "id").count() == 0
+
+
+def test_slices_that_hold_one_key_each(many_slices):
+    """More slices than values: keys without a change inside a slice, and slices without rows."""
+    rows = [("a", i) for i in range(6)] + [("b", 0)]
+    df = many_slices.createDataFrame(rows, "pid string, t bigint").repartition(3)
+    got = {(r.pid, r.t): (r.ordinal, r.before) for r in with_previous(number_rows(df, ["pid"], ["t"]), ["pid"], ["t"], "t", "before").collect()}
+    assert got == {("a", i): (i + 1, i - 1 if i else None) for i in range(6)} | {("b", 0): (1, None)}
