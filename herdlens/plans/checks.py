@@ -403,7 +403,7 @@ CHECKS: dict[str, str] = {
                printf('%+3d', "Temp[C]") AS "Temp[C]", printf('%4.2f', "D+[V]") AS "D+[V]", printf('%4.2f', "D-[V]") AS "D-[V]"
         FROM w""",
     "meter_packets": """
-        SELECT event_id, 'TC66' AS "Name", '1.14' AS "Version", event_id AS "SN", user_id AS "Runs",
+        SELECT event_id, 'MTR1' AS "Name", '1.14' AS "Version", event_id AS "SN", user_id AS "Runs",
                round(round(value * 100) * 1e-4, 5) AS "Volt", round(round(value * 100) * 1e-5, 5) AS "Current",
                round(round(value * 100) * 1e-4, 5) AS "Power", round(round(value * 100) * 1e-1, 5) AS "Resistance",
                event_id AS "G0_mAh", event_id * 5 AS "G0_mWh", user_id AS "G1_mAh", user_id * 5 AS "G1_mWh",

@@ -177,7 +177,7 @@ def packets(events: DataFrame) -> DataFrame:
         numbers = [_octets(words[f"w{i}"]) if f"w{i}" in words else empty for i in range(len(given), 16)]
         return F.concat(*given, *numbers)
 
-    first = pack("pac1", "TC66", "1.14", w3=F.col("event_id"), w11=user, w12=cents, w13=cents, w14=cents)
+    first = pack("pac1", "MTR1", "1.14", w3=F.col("event_id"), w11=user, w12=cents, w13=cents, w14=cents)
     second = pack(
         "pac2",
         w1=cents,

@@ -213,7 +213,7 @@ KEY = bytes(range(100, 132))
 
 
 def _packet(temperature_sign: int = 0, first: bytes = b"pac1") -> bytes:
-    one = struct.pack("<4s4s4s13I", first, b"TC66", b"1.14", 4_000_000_000, *[0] * 7, 12, 51234, 12345, 6325, 99)
+    one = struct.pack("<4s4s4s13I", first, b"MTR1", b"1.14", 4_000_000_000, *[0] * 7, 12, 51234, 12345, 6325, 99)
     two = struct.pack("<4s15I", b"pac2", 415, 10, 20, 30, 40, temperature_sign, 25, 60, 61, *[0] * 5, 99)
     return one + two + struct.pack("<4s15I", b"pac3", *[0] * 15)
 
@@ -231,7 +231,7 @@ def test_packets(spark):
     kept = {r.id: r for r in meter.accepted(decoded).collect()}
     assert set(kept) == {1, 2}
     r = kept[1]
-    assert (r.Name, r.Version, r.SN, r.Runs) == ("TC66", "1.14", 4_000_000_000, 12)
+    assert (r.Name, r.Version, r.SN, r.Runs) == ("MTR1", "1.14", 4_000_000_000, 12)
     assert (r.Volt, r.Current, r.Power) == (51234 * 1e-4, 12345 * 1e-5, 6325 * 1e-4)
     assert (r.Resistance, r.G0_mAh, r.G0_mWh, r.G1_mAh, r.G1_mWh) == (41.5, 10, 20, 30, 40)
     assert (r.Temp, r.D_plus, r.D_minus) == (25, 60 * 1e-2, 61 * 1e-2)
