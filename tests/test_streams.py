@@ -67,7 +67,8 @@ def test_energy_goes_on_after_a_restart_and_leaves_late_readings_out(spark, tmp_
 
 
 def test_repeated_micro_batch_counts_once(spark, tmp_path):
-    _readings(spark, pd.DataFrame([("a", 0, 1.0), ("a", 3600, 2.0)], columns=["pid", "t", "p"])).write.parquet(f"{tmp_path}/in")
+    rows = pd.DataFrame([("a", 0, 1.0), ("a", 3600, 2.0)], columns=["pid", "t", "p"])
+    _readings(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/in")  # one file, so one micro-batch
     for check in ("first", "again"):  # a lost checkpoint replays batch 0 over the same state table
         stream = _stream(spark, f"{tmp_path}/in", READINGS)
         energy.integrate_stream(stream, f"{tmp_path}/state", f"{tmp_path}/{check}").awaitTermination()
