@@ -129,6 +129,17 @@ def rows(texts: list[str], sizes: tuple[int, ...], bits: int, fold: np.ndarray,
     return Rows(np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(counts))]), np.concatenate(owners))
 
 
+def segment_means(data: Rows, column: np.ndarray, most: int = 1_000_000) -> np.ndarray:
+    """Mean of one column of a table over each segment, a bounded part of the features at a time."""
+    out = np.zeros(len(data.text))
+    for begin, end in chunks(np.diff(data.indptr), most):
+        low, high = data.indptr[begin], data.indptr[end]
+        running = np.concatenate([[0.0], np.cumsum(column[data.bucket[low:high]], dtype=np.float64)])
+        at = data.indptr[begin : end + 1] - low
+        out[begin:end] = np.diff(running[at]) / np.maximum(1, np.diff(at))
+    return out
+
+
 class SubwordSoftmax:
     """Bag of hashed subword embeddings, averaged, into a linear softmax; both trained together by Adagrad SGD."""
 

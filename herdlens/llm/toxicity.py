@@ -24,7 +24,7 @@ from herdlens.llm import common, subwords
 
 SIZES, BITS, DIM, WORDS = (3, 4, 5, 6), 17, 8, 4
 #: Training rows of each class; the rest of the labelled rows is not used.
-PER_CLASS = 1500
+PER_CLASS = 1000
 
 
 @dataclass
@@ -55,9 +55,7 @@ def train(texts: list[str], label: list[int], rounds: int = 25, seed: int = 11)
     for r in range(rounds):
         table = net.table()
         spread = table[:, 1] - table[:, 0]
-        total = np.concatenate([[0.0], np.cumsum(spread[data.bucket], dtype=np.float64)])
-        size = np.diff(data.indptr)
-        mean = (total[data.indptr[1:]] - total[data.indptr[:-1]]) / np.maximum(1, size)
+        mean = subwords.segment_means(data, spread)
         worst = np.array([a + int(np.argmax(mean[a:b])) for a, b in zip(cut, until, strict=True)])
         if r < 3:  # before the table says anything: any run of the text
             worst = draw.integers(cut, until)
