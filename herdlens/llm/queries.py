@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from herdlens.llm import common, language, quality, toxicity
+from herdlens.llm import common, language, quality, toxicity, urls, winnowing
+
+
+def op1_urls(spark: SparkSession, folder: str) -> DataFrame:
+    pages = common.table(spark, folder, "pages").select("page_id", "url")
+    model = urls.fit(urls.labelled(spark))
+    return urls.judge(pages, model).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
 def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,6 +23,10 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return winnowing.edit_likeness(common.table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = common.table(spark, folder, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, common.table(spark, folder, "labels"))
@@ -33,5 +43,5 @@ def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op8_toxicity, op9_language)}
+QUERIES = {f.__name__: f for f in (op1_urls, op2_quality, op3_fingerprints, op8_toxicity, op9_language)}
 SQL: dict[str, str] = {}
