@@ -19,7 +19,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SIZES, BUCKETS = (3, 4), 1024
+SIZES, BUCKETS = (3, 4), 2048
 #: Rules become a constant array; more than this belongs into a join.
 MOST_RULES = 1000
 
@@ -27,7 +27,7 @@ MOST_RULES = 1000
 # both classes, so that only the names tell them apart.
 BLOCKED = """
 casino-games casino-royal win-casino casino-win lucky-casino free-bets bets-today sports-bets free-spins poker-win cheap-pills pills-online
-buy-pills cheap-meds diet-pills adult-x adult-chat x-adult adult-cams xxx-cams spam-farm link-farm spam-mail link-spam ads-track track-ads
+buy-pills cheap-meds diet-pills adult-x adult-chat x-adult adult-cams adult-videos adult-zone xxx-cams spam-farm link-farm spam-mail link-spam ads-track track-ads
 ad-track click-track click-ads quick-loans payday-loans lottery-win free-prize prize-win cheap-watches cheap-viagra hot-singles fast-cash
 """.split()
 ALLOWED = """
@@ -57,7 +57,7 @@ def with_parts(urls: DataFrame, url: str = "url") -> DataFrame:
 
 def _grams(part: Column, mark: str) -> Column:
     """Hash buckets of the n-grams of one marked part."""
-    text = F.concat(F.lit("^"), part, F.lit("$"))
+    text = F.concat(F.lit("^"), F.translate(part, "123456789", "000000000"), F.lit("$"))  # digits say nothing
     made = []
     for n in SIZES:
         last = F.length(text) - F.lit(n - 1)
@@ -89,9 +89,9 @@ def labelled(spark: SparkSession) -> DataFrame:
     rows = []
     for names, bad in ((BLOCKED, 1.0), (ALLOWED, 0.0)):
         for n, name in enumerate(names):
-            for k, prefix in enumerate(PREFIXES):
-                path = PATHS[(n + k) % len(PATHS)].format(37 * n + 211 * k + 5)
-                rows.append({"url": f"https://{prefix}{name}.{ENDS[(n // 2 + k) % len(ENDS)]}{path}", "label": bad})
+            for k, (prefix, path) in enumerate((p, q) for p in PREFIXES for q in PATHS):
+                where = path.format(37 * n + 211 * k + 5)
+                rows.append({"url": f"https://{prefix}{name}.{ENDS[(n + k) % len(ENDS)]}{where}", "label": bad})
     made = F.from_json(F.lit(json.dumps(rows)), "array<struct<url: string, label: double>>")
     return spark.range(1).select(F.inline(made))
 
@@ -104,7 +104,7 @@ def fit(table: DataFrame, url: str = "url", label: str = "label") -> Model:
     data = buckets.select("__label__", array_to_vector(one).alias("features")).coalesce(1).cache()
     if data.select("__label__").distinct().count() < 2:
         return Model([0.0] * BUCKETS, -40.0)
-    model = LogisticRegression(labelCol="__label__", featuresCol="features", regParam=1e-3, maxIter=60, standardization=False).fit(data)
+    model = LogisticRegression(labelCol="__label__", featuresCol="features", regParam=1e-4, maxIter=100, standardization=False).fit(data)
     data.unpersist()
     return Model([round(float(w), 6) for w in model.coefficients], float(model.intercept))
 
