@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from herdlens.llm import common, language, quality, toxicity, urls, winnowing
+from herdlens.llm import common, language, partenum, quality, toxicity, urls, winnowing
 
 
 def op1_urls(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return winnowing.edit_likeness(common.table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op4_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return partenum.join(common.table(spark, folder, "documents").select("doc_id", "text"), width=3, percent=90)
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = common.table(spark, folder, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, common.table(spark, folder, "labels"))
@@ -43,5 +47,5 @@ def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_urls, op2_quality, op3_fingerprints, op8_toxicity, op9_language)}
+QUERIES = {f.__name__: f for f in (op1_urls, op2_quality, op3_fingerprints, op4_jaccard, op8_toxicity, op9_language)}
 SQL: dict[str, str] = {}
