@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from herdlens.llm import common, language, partenum, quality, toxicity, urls, winnowing
+from herdlens.llm import common, language, partenum, quality, suffixes, toxicity, urls, winnowing
 
 
 def op1_urls(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,5 +47,9 @@ def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_urls, op2_quality, op3_fingerprints, op4_jaccard, op8_toxicity, op9_language)}
+def op10_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.digests(common.table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_urls, op2_quality, op3_fingerprints, op4_jaccard, op8_toxicity, op9_language, op10_suffixes)}
 SQL: dict[str, str] = {}
