@@ -20,6 +20,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     configure(spark)
     # Whole texts travel in these batches: few rows each, so that a batch of long ones stays in bounds.
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from herdlens.llm import common, language, partenum, quality, suffixes, toxicity, urls, winnowing
+from herdlens.llm import common, decontaminate, language, partenum, quality, suffixes, tokens, toxicity, urls, winnowing
+from herdlens.session import shared_folder
 
 
 def op1_urls(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,6 +32,24 @@ def op4_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return partenum.join(common.table(spark, folder, "documents").select("doc_id", "text"), width=3, percent=90)
 
 
+def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.overlaps(common.table(spark, folder, "documents"), common.table(spark, folder, "benchmark"))
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the public tokenizers' files lie; the operators take any other path as well."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    docs = common.table(spark, folder, "documents").select("doc_id", "text")
+    path = shared_folder(spark, "tokens")
+    tokens.write(docs, tokenizer_path("byte_bpe_50k.json"), path)
+    return tokens.checksums(tokens.read(spark, path))
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = common.table(spark, folder, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, common.table(spark, folder, "labels"))
@@ -51,5 +70,5 @@ def op10_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.digests(common.table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_urls, op2_quality, op3_fingerprints, op4_jaccard, op8_toxicity, op9_language, op10_suffixes)}
+QUERIES = {f.__name__: f for f in (op1_urls, op2_quality, op3_fingerprints, op4_jaccard, op6_decontaminate, op7_tokens, op8_toxicity, op9_language, op10_suffixes)}
 SQL: dict[str, str] = {}
