@@ -44,21 +44,22 @@ def tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def append(df: DataFrame, fields: list[T.StructField], text: str, compute: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+def append(df: DataFrame, fields: list[T.StructField], text: str, compute: Callable[..., list[pa.Array]], key: Column | None = None) -> DataFrame:
     """``df`` with columns computed from one text column, batch by batch.
 
-    ``compute`` gets strings without nulls (a null text counts as empty). A column of ``df`` that is named
-    like a new one is replaced.
+    ``compute`` gets strings without nulls (a null text counts as empty), and the values of ``key`` if given. A column
+    of ``df`` that is named like a new one is replaced.
     """
     new = {f.name for f in fields}
     kept = [c for c in df.columns if c not in new]
     schema = T.StructType([df.schema[c] for c in kept] + fields)
-    source = df.select(*kept, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text__"))
+    source = df.select(*kept, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text__"), *([] if key is None else [key.alias("__key__")]))
+    given = ["__text__"] if key is None else ["__text__", "__key__"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                made = compute(batch.column("__text__"))
+                made = compute(*(batch.column(c) for c in given))
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + made, names=[*kept, *(f.name for f in fields)])
 
     return source.mapInArrow(run, schema)

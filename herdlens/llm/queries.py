@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from herdlens.llm import common, decontaminate, language, partenum, quality, suffixes, tokens, toxicity, urls, winnowing
+from herdlens.llm import common, decontaminate, language, partenum, pieces, quality, suffixes, tokens, toxicity, urls, winnowing
 from herdlens.session import shared_folder
 
 
@@ -32,6 +32,15 @@ def op4_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return partenum.join(common.table(spark, folder, "documents").select("doc_id", "text"), width=3, percent=90)
 
 
+def op5_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    docs = common.table(spark, folder, "documents").select("doc_id", "text")
+    made = pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"))
+    return made.select(
+        "doc_id", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "exact", F.transform("samples", lambda s: F.size(s["ids"])).alias("sample_pieces"),
+        F.transform("samples", lambda s: F.xxhash64(s["ids"])).alias("sample_hashes"), "samples.log_prob", "samples.perturbed", "samples.inclusion",
+    )
+
+
 def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.overlaps(common.table(spark, folder, "documents"), common.table(spark, folder, "benchmark"))
 
@@ -70,5 +79,5 @@ def op10_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.digests(common.table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_urls, op2_quality, op3_fingerprints, op4_jaccard, op6_decontaminate, op7_tokens, op8_toxicity, op9_language, op10_suffixes)}
+QUERIES = {f.__name__: f for f in (op1_urls, op2_quality, op3_fingerprints, op4_jaccard, op5_pieces, op6_decontaminate, op7_tokens, op8_toxicity, op9_language, op10_suffixes)}
 SQL: dict[str, str] = {}
