@@ -7,10 +7,11 @@ ones, and each set signs for its own band and the one below. Within a band, link
 holds at most one difference, and each part into two halves, one of which then holds none: the hash of a half is a
 signature, and enumerating both halves of all parts loses no linked pair.
 
-Texts with equal sets are one vertex. Of the vertices that share a signature, all are first compared with the one that
-shares most signatures; vertices still apart are compared with each other, each pair once, where their smallest
-common signature is. Pairs inside a component already found need no comparison. A signature that is very frequent is found in a
-sample first and spread over all tasks. Links stay in tables; components are contracted there.
+Texts with equal sets are one vertex. Vertices that share signatures form clusters; each is compared with its cluster's
+pivot, the vertex that shares most. Of the others, two can only link if their differences from the pivot have enough
+in common, so a prefix of either difference finds the pairs to verify; pairs that both link with the pivot need no
+comparison. A signature that is very frequent is found in a sample first and spread over all tasks. Links stay in
+tables; components are contracted there.
 
 Cases: null and empty texts, and texts without words, have an empty set, size 0 and are their own component; shorter
 texts than the shingle width have one shingle, their whole sequence; rows that repeat a doc_id are one document of the
@@ -121,22 +122,71 @@ def _members(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return common.written(shared.union(spread), "members")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The (a, b) pairs of vertices whose sets are similar enough, counted exactly."""
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.select(F.col("vertex").alias("a"), F.col("text").alias("x"))
     right = texts.select(F.col("vertex").alias("b"), F.col("text").alias("y"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    return pairs.select("a", "b").join(left, "a").join(right, "b")
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The (a, b) pairs of vertices whose sets are similar enough, counted exactly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            one, two = _sets(batch.column("x"), width), _sets(batch.column("y"), width)
-            for i, (x, y) in enumerate(zip(one, two, strict=True)):
-                common_size = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = 100 * common_size >= percent * (len(x) + len(y) - common_size)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
+            sets = zip(_sets(batch.column("x"), width), _sets(batch.column("y"), width), strict=True)
+            keep = pa.array([_linked(x, y, percent) for x, y in sets], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
+
+    return _with_texts(pairs, texts).mapInArrow(run, "a bigint, b bigint")
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+
+def _against_pivot(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Each vertex a against its pivot b: linked, distance, slack, and the first shingles of their difference.
+
+    ``slack`` bounds the distance of the vertex from anything it links with. Differences are ordered by whether the
+    pivot has the shingle (what it lacks comes first, being rarer), then by hash: one order for all its vertices.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked, distance, slack, first = [], [], [], []
+            for x, y in zip(_sets(batch.column("x"), width), _sets(batch.column("y"), width), strict=True):
+                added, lacking = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+                linked.append(_linked(x, y, percent))
+                distance.append(len(added) + len(lacking))
+                slack.append(len(x) * (100 - percent) // percent)
+                first.append(np.concatenate([np.sort(added), np.sort(lacking)])[: slack[-1] + 1].view(np.int64))
+            kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            made = [pa.array(v, k) for v, k in zip((linked, distance, slack, first), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *made], names=["a", "b", "linked", "distance", "slack", "first"])
+
+    return _with_texts(pairs, texts).mapInArrow(run, "a bigint, b bigint, linked boolean, distance bigint, slack bigint, first array<bigint>")
+
+
+def _candidates(compared: DataFrame) -> DataFrame:
+    """(a, b) pairs of vertices of one pivot that may be linked and do not both link with the pivot.
+
+    Linked a and b with distances p <= q from the pivot have differences with at least (p + q - slack) / 2 shingles in
+    common. So they share one of the first slack / 2 + 1 of a's and the first slack + 1 of b's, or need none in common.
+    """
+    own = compared.select("a", "b", "linked", "distance", "slack", F.posexplode_outer("first").alias("place", "element"))
+    none = compared.where("distance <= slack").select("a", "b", "linked", "distance", "slack", F.lit(None).cast("int").alias("place"), F.lit(None).cast("bigint").alias("element"))
+    rows = own.where("element IS NOT NULL").union(none).withColumn("kind", F.col("element").isNull()).withColumn("element", F.coalesce("element", F.lit(0)))
+    near = rows.where("place IS NULL OR place <= slack DIV 2").select(
+        "b", "kind", "element", F.col("a").alias("u"), F.col("linked").alias("lu"), F.col("distance").alias("du"), F.col("slack").alias("su")
+    )
+    far = rows.select("b", "kind", "element", F.col("a").alias("v"), F.col("linked").alias("lv"), F.col("distance").alias("dv"), F.col("slack").alias("sv"))
+    fits = (
+        "u <> v AND (du < dv OR du = dv AND u < v) AND dv - du <= least(su, sv) AND (NOT kind OR du + dv <= least(su, sv))"
+    )
+    keys = ["b", "kind", "element"]
+    pairs = near.where("NOT lu").join(far, keys).where(fits).union(near.where("lu").join(far.where("NOT lv"), keys).where(fits))
+    return pairs.select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
 
 
 def _sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -146,13 +196,6 @@ def _sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
-def _apart(members: DataFrame, places: DataFrame) -> DataFrame:
-    """Member rows of signatures whose vertices lie in more than one component, with ``root``."""
-    rooted = members.join(places, "vertex", "left").select("sign", "vertex", F.coalesce("root", "vertex").alias("root"))
-    mixed = rooted.groupBy("sign").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("sign")
-    return common.written(rooted.join(mixed, "sign"), "apart")
-
-
 def join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, the smallest doc_id reachable by links."""
     keys = common.written(_keys(docs, width), "keys")
@@ -166,24 +209,15 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     texts = common.written(
         docs.select("doc_id", "text").where("text IS NOT NULL").join(chosen, "doc_id").select("vertex", "text").dropDuplicates(["vertex"]), "texts"
     )
-    # First each vertex against the one that shares most signatures.
-    hubs = members.join(shares, "vertex").groupBy("sign").agg(F.max(F.struct("shares", "vertex")).alias("hub")).select("sign", F.col("hub.vertex").alias("b"))
-    first = common.written(members.join(hubs, "sign").where("vertex <> b").select(F.col("vertex").alias("a"), "b").distinct(), "pairs")
-    links = common.written(_verified(first, texts, width, percent), "links")
-    places = components(links)
-    # Then each pair still apart, at its smallest common signature.
-    apart = _apart(members, places)
-    if not apart.isEmpty():
-        signs = apart.groupBy("vertex").agg(F.sort_array(F.collect_set("sign")).alias("signs"))
-        full = apart.join(signs, "vertex")
-        one = full.select("sign", F.col("vertex").alias("a"), F.col("root").alias("ra"), F.col("signs").alias("sa"))
-        two = full.select("sign", F.col("vertex").alias("b"), F.col("root").alias("rb"), F.col("signs").alias("sb"))
-        fresh = one.join(two, "sign").where(
-            "a < b AND ra <> rb AND sign = array_min(array_intersect(sa, sb))"
-        ).select("a", "b")
-        tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = common.written(_verified(fresh.join(tested, ["a", "b"], "left_anti"), texts, width, percent), "links")
-        places = components(links.union(more))
+    # Vertices that share signatures, directly or in a chain, form a cluster around the one that shares most.
+    lowest = members.groupBy("sign").agg(F.min("vertex").alias("b"))
+    clusters = components(members.join(lowest, "sign").where("vertex <> b").select(F.col("vertex").alias("a"), "b"))
+    pivots = clusters.join(shares, "vertex").groupBy("root").agg(F.max(F.struct("shares", "vertex")).alias("pivot")).select("root", F.col("pivot.vertex").alias("b"))
+    pairs = clusters.join(pivots, "root").where("vertex <> b").select(F.col("vertex").alias("a"), "b")
+    compared = common.written(_against_pivot(pairs, texts, width, percent), "compared")
+    links = compared.where("linked").select("a", "b")
+    more = common.written(_verified(_candidates(compared), texts, width, percent), "links")
+    places = components(links.union(more))
     named = places.join(classes, "vertex").groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_vertex = classes.join(places, "vertex", "left").join(named, "root", "left").select("vertex", F.coalesce("component_id", "first_id").alias("component_id"))
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
