@@ -40,7 +40,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out + self.bias, -40, 40)))
 
 
-def train(texts: list[str], label: list[int], rounds: int = 25, seed: int = 11) -> Model:
+def train(texts: list[str], label: list[int], seed: int = 11) -> Model:
     seen = pd.DataFrame({"text": texts, "label": label}).dropna().drop_duplicates()
     texts, y = seen["text"].tolist(), seen["label"].to_numpy(np.int64)
     if len(set(y.tolist())) < 2:
@@ -52,7 +52,7 @@ def train(texts: list[str], label: list[int], rounds: int = 25, seed: int = 11)
     until = np.concatenate([cut[1:], [len(data.text)]])
     owner_label = y[data.text[cut]]
     weight = np.where(owner_label == 1, 0.5 / max(1, (owner_label == 1).sum()), 0.5 / max(1, (owner_label == 0).sum()))
-    for r in range(rounds):
+    for r in range(min(100, max(25, 50_000 // len(texts)))):  # few texts take more rounds
         table = net.table()
         spread = table[:, 1] - table[:, 0]
         mean = subwords.segment_means(data, spread)
