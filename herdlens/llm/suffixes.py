@@ -217,27 +217,38 @@ def _counted(texts: DataFrame, places: DataFrame, length: int) -> DataFrame:
     per_text = asked.groupBy("t").agg(F.collect_list(F.struct("pos", "near", "far", "head", "low", "high")).alias("s"))
     source = texts.join(per_text, "t")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, offsets = common.text_bytes(batch.column("text"))
-            for i, (t, s) in enumerate(zip(batch.column("t").to_pylist(), batch.column("s").to_pylist(), strict=True)):
-                hashes = _Hashes(raw[offsets[i] : offsets[i + 1]])
-                count = np.array([x["far"] - x["near"] + 1 for x in s])
-                which = np.repeat(np.arange(len(s)), count)
-                far = np.array([x["far"] for x in s])[which] - (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
-                start = np.array([x["pos"] for x in s])[which] - far
-                low = np.array([x["low"] if x["low"] is not None else 1 for x in s])[which]
-                high = np.array([x["high"] if x["high"] is not None else 0 for x in s])[which]
-                head = np.array([x["head"] for x in s])[which]
-                code = hashes.at(start, length).view(np.int64)
-                for a in range(0, len(code), 200_000):
-                    p = slice(a, a + 200_000)
-                    arrays = [pa.array(code[p]), pa.array(head[p]), pa.array(np.full(len(code[p]), t)), pa.array(start[p]), pa.array((low <= far)[p] & (far <= high)[p])]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["code", "head", "t", "start", "open"])
-
-    strings = common.written(source.mapInArrow(run, "code bigint, head bigint, t bigint, start bigint, open boolean"), "strings")
-    twice = strings.groupBy("code", "head").agg(F.count("*").alias("n"), F.max("open").alias("asked")).where("n > 1 AND asked").select("code", "head")
-    return strings.where("open").join(twice, ["code", "head"]).groupBy("t").agg(F.collect_list("start").alias("found"))
+    def strings(only_open: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                raw, offsets = common.text_bytes(batch.column("text"))
+                for i, (t, s) in enumerate(zip(batch.column("t").to_pylist(), batch.column("s").to_pylist(), strict=True)):
+                    if only_open:
+                        s = [x for x in s if x["low"] is not None]
+                        if not s:
+                            continue
+                    hashes = _Hashes(raw[offsets[i] : offsets[i + 1]])
+                    count = np.array([x["far"] - x["near"] + 1 for x in s])
+                    which = np.repeat(np.arange(len(s)), count)
+                    far = np.array([x["far"] for x in s])[which] - (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+                    start = np.array([x["pos"] for x in s])[which] - far
+                    low = np.array([x["low"] if x["low"] is not None else 1 for x in s])[which]
+                    high = np.array([x["high"] if x["high"] is not None else 0 for x in s])[which]
+                    head = np.array([x["head"] for x in s])[which]
+                    is_open = (low <= far) & (far <= high)
+                    if only_open:
+                        start, head, is_open = start[is_open], head[is_open], is_open[is_open]
+                    code = hashes.at(start, length).view(np.int64)
+                    for a in range(0, len(code), 200_000):
+                        p = slice(a, a + 200_000)
+                        columns = {"code": code[p], "head": head[p]}
+                        columns |= {"t": np.full(len(code[p]), t), "start": start[p]} if only_open else {"open": is_open[p]}
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
+
+        return source.mapInArrow(run, "code bigint, head bigint, " + ("t bigint, start bigint" if only_open else "open boolean"))
+
+    # Hashing the few texts again costs less than keeping every string.
+    twice = strings(False).groupBy("code", "head").agg(F.count("*").alias("n"), F.max("open").alias("asked")).where("n > 1 AND asked").select("code", "head")
+    return strings(True).join(twice, ["code", "head"]).groupBy("t").agg(F.collect_list("start").alias("found"))
 
 
 def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
