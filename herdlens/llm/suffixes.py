@@ -134,6 +134,8 @@ def _neighbours(contexts: DataFrame) -> DataFrame:
     """(head, whole, m): the longest common prefix of each distinct context with another one."""
     rows = contexts.count()
     buckets = max(common.tasks(contexts), -(-rows // BUCKET_ROWS))
+    # Splitters are whole contexts: few for each bucket, so that their sample stays small at the driver.
+    contexts.sparkSession.conf.set("spark.sql.execution.rangeExchange.sampleSizePerPartition", "20")
     dealt = contexts.repartitionByRange(buckets, "context")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
