@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from herdlens.functions.values import nan_to_null
-from herdlens.operators.grouped import size_checked
+from herdlens.operators.grouped import join_groups
 from herdlens.operators.summary import value_counts
 
 _SUMS_PER_ROW = 50
@@ -27,19 +27,17 @@ def histogram(df: DataFrame, keys: Sequence[str], column: str, bins: int) -> Dat
     values = _present(df, keys, column)
     flat = F.min("value") == F.max("value")
     half = F.when(flat, F.lit(0.5)).otherwise(F.lit(0.0))
-    ranges = size_checked(
-        values.groupBy(*keys).agg((F.min("value") - half).alias("low"), (F.max("value") + half).alias("high"))
-    )
+    ranges = values.groupBy(*keys).agg((F.min("value") - half).alias("low"), (F.max("value") + half).alias("high"))
     width = (F.col("high") - F.col("low")) / F.lit(float(bins))
     position = F.floor((F.col("value") - F.col("low")) / width).cast("int")
     counted = (
-        values.join(ranges, list(keys))
+        join_groups(values, ranges, keys)
         .groupBy(*keys, F.least(F.lit(bins - 1), position).alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     numbers = F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
     every_bin = ranges.select(*keys, "low", width.alias("width"), numbers)
-    return every_bin.join(counted, [*keys, "bin"], "left").select(
+    return join_groups(every_bin, counted, [*keys, "bin"], "left").select(
         *keys,
         "bin",
         (F.col("low") + F.col("bin") * F.col("width")).alias("bin_low"),
@@ -64,11 +62,10 @@ def density(df: DataFrame, keys: Sequence[str], column: str, grid: int = 200) ->
     )
     bandwidth = F.nullif(F.col("deviation") * F.pow(F.col("total"), F.lit(-0.2)), F.lit(0.0))
     step = (F.col("high") - F.col("low")) / F.lit(float(max(grid - 1, 1)))
-    frame = size_checked(spread.select(*keys, "total", "low", step.alias("step"), bandwidth.alias("bandwidth")))
+    frame = spread.select(*keys, "total", "low", step.alias("step"), bandwidth.alias("bandwidth"))
     chunks = -(-grid // _SUMS_PER_ROW)
     spread_out = (
-        value_counts(values, keys)
-        .join(frame, list(keys))
+        join_groups(value_counts(values, keys), frame, keys)
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     )
     offset = F.col("low") - F.col("value")
@@ -84,8 +81,7 @@ def density(df: DataFrame, keys: Sequence[str], column: str, grid: int = 200) ->
     ).select(*keys, (F.col("chunk") * _SUMS_PER_ROW + F.col("j")).alias("point"), "total_kernel")
     scale = F.col("total") * F.col("bandwidth") * F.sqrt(F.lit(2.0) * F.pi())
     return (
-        points.where(F.col("point") < grid)
-        .join(frame, list(keys))
+        join_groups(points.where(F.col("point") < grid), frame, keys)
         .select(
             *keys,
             "point",

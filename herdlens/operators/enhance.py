@@ -108,6 +108,14 @@ def stacks(rows: list[np.ndarray], heights: np.ndarray, widths: np.ndarray) -> I
         yield at, np.stack([np.asarray(rows[i], dtype=np.float32) for i in at]).reshape(-1, h, w)
 
 
+def whole_frames(rows: np.ndarray, heights: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """Positions of the frames that have as many pixels as their sizes say; NULL or ragged ones are left out."""
+    return np.array(
+        [i for i, (r, h, w) in enumerate(zip(rows, heights, widths)) if r is not None and h == h and w == w and h * w == len(r) > 0],
+        dtype=np.int64,
+    )
+
+
 def enhance_frames(
     frames: DataFrame,
     max_value: float = MAX_VALUE,
@@ -117,7 +125,8 @@ def enhance_frames(
 ) -> DataFrame:
     """The same chain over Arrow batches with numpy, for full-size frames.
 
-    Output batches are small, since one enhanced frame is about a megabyte. To score frames, use
+    A NULL or ragged frame gets NULL pixels. Output batches are small, since one enhanced frame is about a megabyte. To
+    score frames, use
     ``scoring.score_enhanced``, which never sends enhanced pixels back to Spark.
     """
     names = frames.columns
@@ -132,12 +141,17 @@ def enhance_frames(
                 batch = whole.slice(begin, frames_per_batch)
                 n = batch.num_rows
                 heights, widths = (batch.column(c).to_numpy(zero_copy_only=False) for c in "hw")
-                done = np.empty((n, *shape), dtype=np.float32)
-                for at, stack in stacks(list(batch.column("pixels").to_numpy(zero_copy_only=False)), heights, widths):
+                rows = batch.column("pixels").to_numpy(zero_copy_only=False)
+                good = whole_frames(rows, heights, widths)
+                done = np.empty((len(good), *shape), dtype=np.float32)
+                h, w = heights[good].astype(np.int64), widths[good].astype(np.int64)
+                for at, stack in stacks(list(rows[good]), h, w) if len(good) else ():
                     done[at] = enhance_stack(stack, max_value, shape)
                 flat = np.repeat(done.reshape(-1), channels)
-                offsets = np.arange(n + 1, dtype=np.int32) * (flat.size // n)
-                pixels = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+                here = np.zeros(n, dtype=bool)
+                here[good] = True
+                ends = np.concatenate([[0], np.cumsum(here)]).astype(np.int32) * np.int32(shape[0] * shape[1] * channels)
+                pixels = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array(~here))
                 sizes = [pa.array(np.full(n, s, dtype=np.int32)) for s in shape]
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c) for c in others), pixels, *sizes], names=[*others, "pixels", "h", "w"]

@@ -45,27 +45,45 @@ def flatten_reports(reports: DataFrame) -> DataFrame:
     return explode_images(explode_animals(reports)).select(*FLAT_COLUMNS)
 
 
-def nest_reports(rows: DataFrame, animals_per_document: int = 100, images_per_document: int = 1000) -> DataFrame:
-    """Flat image rows to report documents.
-
-    A document holds at most ``animals_per_document`` animal numbers and, of each, at most
-    ``images_per_document`` image numbers, so its size is bounded however long the run: a longer run
-    becomes several documents with the same ``pid``. Repeated rows of one image fold into one first.
+def nest_reports(
+    rows: DataFrame,
+    animals: DataFrame | None = None,
+    animals_per_document: int | None = None,
+    images_per_document: int | None = None,
+) -> DataFrame:
+    """Flat image rows to report documents, one for each run.
+
+    ``animals`` (as ``explode_animals`` gives them) adds animals that have no image. Of repeated rows of one image the
+    one that was predicted last stays, whole. A run too long for one document is split on request: by so many animal
+    numbers, and of each so many image numbers; its documents have the same ``pid`` and read back as one run.
     """
+    columns = [*RUN_TIMES, *ANIMAL_TIMES, "display_time", *COUNTERS]
+    every = rows.select("pid", "animal", "img", *columns, *IMAGE_TIMES)
+    if animals is not None:
+        bare = animals.select("pid", "animal", *columns)
+        missing = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("img", *IMAGE_TIMES)]
+        every = every.unionByName(bare.select("*", *missing))
     part = ["animal_part", "img_part"]
+    placed = {
+        "animal_part": F.floor(F.col("animal") / animals_per_document) if animals_per_document else F.lit(0),
+        "img_part": F.coalesce(F.floor(F.col("img") / images_per_document), F.lit(0)) if images_per_document else F.lit(0),
+    }
+    latest = F.max(F.struct("weight_prediction_final", "weight_prediction_start")).alias("times")
     images = (
-        rows.groupBy("pid", "animal", "img")
+        every.groupBy("pid", "animal", "img")
         .agg(
-            *(F.max(c).alias(c) for c in ["display_time", *IMAGE_TIMES, "last_image_capture_time", *COUNTERS]),
+            latest,
+            *(F.max(c).alias(c) for c in ["display_time", "last_image_capture_time", *COUNTERS]),
             *(F.min(c).alias(c) for c in ["first_image_capture_time", *RUN_TIMES]),
         )
-        .withColumn("animal_part", F.floor(F.col("animal") / animals_per_document))
-        .withColumn("img_part", F.floor(F.col("img") / images_per_document))
+        .withColumns(placed)
         .repartition("pid", *part)  # both groupings below reuse this placement
     )
-    image = F.struct(F.col("img").cast("string"), F.struct(*(format_iso(c).alias(c) for c in IMAGE_TIMES)))
-    animals = images.groupBy("pid", *part, "animal").agg(
-        F.map_from_entries(F.collect_list(image)).alias("imgs"),
+    image = F.struct(
+        F.col("img").cast("string"), F.struct(*(format_iso(F.col("times")[c]).alias(c) for c in IMAGE_TIMES))
+    )
+    per_animal = images.groupBy("pid", *part, "animal").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("img").isNotNull(), image))).alias("imgs"),
         *(F.max(c).alias(c) for c in ["display_time", "last_image_capture_time", *COUNTERS]),
         *(F.min(c).alias(c) for c in ["first_image_capture_time", *RUN_TIMES]),
     )
@@ -75,7 +93,7 @@ def nest_reports(rows: DataFrame, animals_per_document: int = 100, images_per_do
         *COUNTERS,
         "imgs",
     )
-    documents = animals.groupBy("pid", *part).agg(
+    documents = per_animal.groupBy("pid", *part).agg(
         *(F.min(c).alias(c) for c in RUN_TIMES),
         F.map_from_entries(F.collect_list(F.struct(F.col("animal").cast("string"), body))).alias("animals"),
     )

@@ -3,30 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from herdlens.session import stage
 
-BROADCAST_ROWS = 200_000
+def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Rows with their group's values beside them; a NULL key is a key like any other.
 
-
-def size_checked(groups: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A table with a narrow row per group, computed once, counted, and marked for broadcast if small.
-
-    Beyond ``most`` groups it stays an ordinary join side. Being staged matters then too: Spark splits
-    a key with very many rows only where both sides come straight from a shuffle, which an aggregate
-    that already lies by key does not.
+    ``groups`` has one narrow row per group. Nothing runs when this is called: adaptive execution sends the groups to
+    every task if they turn out small in bytes, and else joins by key.
     """
-    counted = stage(groups)
-    small = counted.limit(most + 1).count() <= most
-    return F.broadcast(counted) if small else counted
-
-
-def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], most: int = BROADCAST_ROWS) -> DataFrame:
-    """Rows with their group's values beside them; with few groups the rows stay where they are."""
-    return rows.join(size_checked(groups, most), list(keys), "inner")
+    renamed = groups.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys))
+    return rows.join(renamed, same, how).drop(*(f"__{k}" for k in keys))
 
 
 def attach(rows: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:

@@ -1,10 +1,12 @@
 """Scoring frames with a user's model, and the mean weight per animal.
 
-``make_predict`` is called once per Python worker and returns ``predict(batch) -> (n,) or (n, 1)``.
+``make_predict`` is called once per Python worker and returns ``predict(batch) -> (n,) or (n, 1)``. A frame whose
+pixels are NULL, or are not as many as its sizes say, gets a NULL weight.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,11 +16,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from herdlens.operators.enhance import CHANNELS, MAX_VALUE, SHAPE, enhance_stack, stacks
+from herdlens.operators.enhance import CHANNELS, MAX_VALUE, SHAPE, enhance_stack, stacks, whole_frames
 
 MakePredict = Callable[[], Callable[[np.ndarray], np.ndarray]]
 
 
+def _worker_model(name: str, make_predict: MakePredict):
+    """The model of this Python worker: made by its first task, used by all.
+
+    Functions of this package travel by value, so the model hangs on a module that stays.
+    """
+    kept = vars(np).setdefault("_models_by_name", {})
+    if name not in kept:
+        kept.clear()  # a worker serves one query after another
+        kept[name] = make_predict()
+    return kept[name]
+
+
 def score_frames(
     frames: DataFrame, make_predict: MakePredict, tensor_shape: list[int], batch_size: int = 64
 ) -> DataFrame:
@@ -43,21 +57,28 @@ def score_enhanced(
 ) -> DataFrame:
     """Enhance and score in one Arrow pass: raw pixels go in, only ``weight`` comes back."""
 
+    name = uuid.uuid4().hex
+
     @F.pandas_udf("float")
     def weigh(columns: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        predict = make_predict()
+        predict = _worker_model(name, make_predict)
         for raw, heights, widths in columns:
-            weights = np.empty(len(raw), dtype=np.float32)
+            weights = np.full(len(raw), np.nan, dtype=np.float32)
             for begin in range(0, len(raw), batch_size):
-                part = slice(begin, begin + batch_size)
-                h, w = heights.to_numpy()[part], widths.to_numpy()[part]
+                pixels = raw.to_numpy()[begin : begin + batch_size]
+                sizes = heights.to_numpy()[begin : begin + batch_size], widths.to_numpy()[begin : begin + batch_size]
+                good = whole_frames(pixels, *sizes)
+                if not len(good):
+                    continue
+                h, w = (s[good].astype(np.int64) for s in sizes)
                 inputs = np.empty((len(h), *shape), dtype=np.float32)
-                for at, stack in stacks(list(raw.to_numpy()[part]), h, w):
+                for at, stack in stacks(list(pixels[good]), h, w):
                     inputs[at] = enhance_stack(stack, max_value, shape)
                 # Equal channels: a view, not a copy.
                 view = np.broadcast_to(inputs[..., None], (*inputs.shape, channels))
-                weights[part] = np.asarray(predict(view)).reshape(-1)
-            yield pd.Series(weights)
+                weights[begin + good] = np.asarray(predict(view)).reshape(-1)
+            bad = np.isnan(weights)
+            yield pd.Series(np.where(bad, None, weights), dtype=object) if bad.any() else pd.Series(weights)
 
     return frames.withColumn("weight", weigh("pixels", "h", "w"))
 

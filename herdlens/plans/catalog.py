@@ -100,6 +100,20 @@ def report_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return _animal_columns(metrics.animal_metrics(flatten.flatten_reports(read_reports(spark, path, lines=True))))
 
 
+@query
+def report_roundtrip_animals(spark: SparkSession, folder: str) -> DataFrame:
+    """Repeated image rows, and an animal without images beside every other one: one document per run keeps all."""
+    rows = _image_rows(spark, folder)
+    bare = rows.withColumn("animal", F.col("animal") + 100_000).dropDuplicates(["pid", "animal"])
+    path = shared_folder(spark, "reports")
+    write_reports(rows.unionByName(rows), path, animals=bare)
+    documents = read_reports(spark, path, lines=True)
+    animals = flatten.explode_animals(documents).groupBy("pid").agg(
+        F.count(F.lit(1)).alias("animals"), F.count_if(F.size("imgs") == 0).alias("without_images"), F.sum(F.size("imgs")).alias("images")
+    )
+    return documents.groupBy("pid").agg(F.count(F.lit(1)).alias("documents")).join(animals, "pid")
+
+
 @query
 def compat_last_image(spark: SparkSession, folder: str) -> DataFrame:
     rows = flatten.compat_last_image(_image_rows(spark, folder))
@@ -112,6 +126,15 @@ def model_load_time(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("pid").agg(F.max("load_model_dur_us").alias("load_model_dur_us"))
 
 
+@query
+def compare_runs_unsettled(spark: SparkSession, folder: str) -> DataFrame:
+    """Settings that lack a run: the run stays, without them."""
+    measured = metrics.run_metrics(metrics.animal_metrics(_image_rows(spark, folder)))
+    settings = tables.run_settings(spark).where("pid <> '1'")
+    compared = metrics.compare_runs(measured, settings)
+    return compared.select("pid", "strategy", "animals", "collect_lead_time_us", "collect_lead_time_us_delta")
+
+
 @query
 def compare_runs(spark: SparkSession, folder: str) -> DataFrame:
     measured = metrics.run_metrics(metrics.animal_metrics(_image_rows(spark, folder)))

@@ -209,7 +209,7 @@ _RECORDS = """
 rec AS (
     SELECT CAST(user_id % 3 AS VARCHAR) AS pid, event_id, CAST(i AS INTEGER) AS "Rec",
            round(value * 100) * i * 1e-4 AS "Volt", (round(value * 100) + i) * 1e-5 AS "Current"
-    FROM events, range(1, 4) AS t(i) WHERE i <= user_id % 4)
+    FROM events, range(1, 1441) AS t(i) WHERE i <= CASE WHEN event_id % 250 = 7 THEN 1440 ELSE user_id % 4 END)
 """
 
 _MEMORY_COLUMNS = ("total", "available", "used", "percent", "free", "active", "inactive", "buffers", "cached")
@@ -218,6 +218,16 @@ _MEASURES = ("throughput_per_hour", "fps", "mean_latency_us")
 CHECKS: dict[str, str] = {
     "animal_metrics": _ANIMALS,
     "report_roundtrip": _ANIMALS,
+    "report_roundtrip_animals": f"""
+        WITH {_IMAGES}
+        SELECT pid, CAST(1 AS BIGINT) AS documents, 2 * count(DISTINCT animal) AS animals,
+               count(DISTINCT animal) AS without_images, count(DISTINCT (animal, img)) AS images
+        FROM f GROUP BY pid""",
+    "compare_runs_unsettled": f"""
+        WITH {_IMAGES}, settings AS (SELECT * FROM (VALUES ('0', 'batch'), ('2', 'single')) AS s(pid, strategy))
+        SELECT m.pid, strategy, m.animals, m.collect_lead_time_us,
+               CASE WHEN strategy IS NOT NULL THEN m.collect_lead_time_us - b.collect_lead_time_us END AS collect_lead_time_us_delta
+        FROM rr m LEFT JOIN settings s USING (pid) LEFT JOIN rr b ON b.pid = '0'""",
     "run_metrics": f"""
         WITH {_IMAGES}
         SELECT * REPLACE (round(mean_latency_us, 6) AS mean_latency_us,

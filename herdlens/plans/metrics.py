@@ -60,13 +60,17 @@ def image_rows_with_metrics(rows: DataFrame) -> DataFrame:
 
 
 def compare_runs(metrics: DataFrame, runs: DataFrame) -> DataFrame:
-    """Run metrics beside the run's settings, with the difference to the run its ``baseline_pid`` names."""
+    """Run metrics beside the run's settings, with the difference to the run its ``baseline_pid`` names.
+
+    Every measured run stays: without a settings row its settings and differences are NULL.
+    """
     measures = ["collect_lead_time_us", "total_processing_delay_us", "mean_latency_us", "throughput_per_hour", "fps"]
     baseline = metrics.select(
         F.col("pid").alias("baseline_pid"), *(F.col(m).alias(f"{m}_baseline") for m in measures)
     )
     deltas = {f"{m}_delta": F.col(m) - F.col(f"{m}_baseline") for m in measures}
-    return runs.join(metrics, ["pid"]).join(baseline, ["baseline_pid"], "left").withColumns(deltas)
+    settled = join_groups(metrics, runs, ["pid"], "left")
+    return settled.join(baseline, ["baseline_pid"], "left").withColumns(deltas)
 
 
 def first_rows(df: DataFrame, order: list[str], n: int = 5) -> DataFrame:

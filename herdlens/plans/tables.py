@@ -198,8 +198,9 @@ def packets(events: DataFrame) -> DataFrame:
 
 
 def recordings(events: DataFrame) -> DataFrame:
-    """A recording per event: as many pairs as the user's number says, and a partial pair at the end."""
-    pairs = F.pmod("user_id", F.lit(4)).cast("int")
+    """A recording per event: up to three pairs, a full buffer of 1,440 for every 250th event, and a partial pair."""
+    full = F.pmod("event_id", F.lit(250)) == 7
+    pairs = F.when(full, F.lit(1440)).otherwise(F.pmod("user_id", F.lit(4))).cast("int")
     cents = F.round(F.col("value") * 100)
     body = F.when(
         pairs > 0, F.transform(F.sequence(F.lit(1), pairs), lambda i: F.concat(_octets(cents * i), _octets(cents + i)))

@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame
 from herdlens.operators.flatten import nest_reports
 
 
-def write_reports(rows: DataFrame, path: str, animals_per_document: int = 100, images_per_document: int = 1000) -> None:
-    """Flat image rows to report documents, one per line. See ``nest_reports`` for their bounded size."""
-    nest_reports(rows, animals_per_document, images_per_document).write.json(path)
+def write_reports(
+    rows: DataFrame,
+    path: str,
+    animals: DataFrame | None = None,
+    animals_per_document: int | None = None,
+    images_per_document: int | None = None,
+) -> None:
+    """Flat image rows, and animals without any, to report documents, one per run and line. See ``nest_reports``."""
+    nest_reports(rows, animals, animals_per_document, images_per_document).write.json(path)

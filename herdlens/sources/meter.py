@@ -76,19 +76,20 @@ def decode_recordings(blobs: DataFrame, blob: str = "blob") -> DataFrame:
     others = [c for c in blobs.columns if c != blob]
     pairs = F.floor(F.length(blob) / 8).cast("int")
     whole = blobs.select(*others, pairs.alias("__pairs"), F.col(blob).alias("__blob")).where(F.col("__pairs") > 0)
-    rows = whole.select(
-        *others,
-        "__pairs",
-        reversed_hex(F.expr("substring(__blob, 1, __pairs * 8)")).alias("__hex"),
-        F.explode(F.sequence(F.lit(0), F.col("__pairs") - 1)).alias("__pair"),
-    )
 
-    def number(place: int) -> Column:
-        return word(F.col("__hex"), F.col("__pairs") * 2, F.col("__pair") * 2 + place)
+    def word_at(place: Column) -> Column:
+        """A word of the blob: a slice of a binary value is taken in constant time."""
+        four = F.substr(F.col("__blob"), place * 4 + 1, F.lit(4))
+        return word(reversed_hex(four), 1, 0)
 
+    words = F.transform(
+        F.sequence(F.lit(0), F.col("__pairs") - 1),
+        lambda i: F.struct(word_at(i * 2).alias("volt"), word_at(i * 2 + 1).alias("current")),
+    )
+    rows = whole.select(*others, F.posexplode(words).alias("__pair", "__words"))  # the blob stays behind
     return rows.select(
         *others,
         (F.col("__pair") + 1).alias("Rec"),
-        scaled(number(0), VOLT_UNIT).alias("Volt"),
-        scaled(number(1), CURRENT_UNIT).alias("Current"),
+        scaled(F.col("__words.volt"), VOLT_UNIT).alias("Volt"),
+        scaled(F.col("__words.current"), CURRENT_UNIT).alias("Current"),
     )

@@ -182,3 +182,27 @@ def test_line_series_and_down_sampling(spark):
                       FROM VALUES (3, 1D), (3, 3D), (1, 5D), (12, 7D) AS x(s, v)""")
     assert [r.mean for r in line_series(df, ["pid"], "t", "v").collect()] == [5.0, 2.0, 7.0]
     assert [r.mean for r in line_series(df, ["pid"], "t", "v", every="10 seconds").collect()] == [3.0, 7.0]
+
+
+def test_model_is_made_once_per_worker_and_bad_frames_get_no_weight(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def make_predict():
+        import os
+        import uuid
+
+        open(f"{folder}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+        return lambda batch: batch.reshape(len(batch), -1).sum(1)
+
+    good = "transform(sequence(1, 4), x -> cast(x AS float))"
+    rows = spark.range(0, 64, 1, 16).selectExpr(
+        "id", f"CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN array(1f) ELSE {good} END AS pixels", "2 AS h", "2 AS w"
+    )
+    for _ in range(2):
+        scored = scoring.score_enhanced(rows, make_predict, max_value=4, shape=(2, 2), channels=1).collect()
+        assert {r.id % 4 for r in scored if r.weight is None} == {0, 1}
+        assert len({r.weight for r in scored if r.weight is not None}) == 1
+    made = [f.name.split("-")[0] for f in tmp_path.iterdir()]
+    assert len(made) <= 2 * len(set(made))  # one for each query and worker, not for each task
+    enhanced = enhance.enhance_frames(rows, 4, (2, 2), 1).collect()
+    assert all((r.pixels is None) == (r.id % 4 < 2) for r in enhanced)

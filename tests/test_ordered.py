@@ -132,14 +132,19 @@ def test_describe_leaves_deviation_of_timestamps_out(spark):
     assert (row["std"], row["mean"], row["p50"]) == (None, 2.0, 2.0)
 
 
-def test_groups_beyond_the_broadcast_bound_join_the_same(spark, skewed):
-    from herdlens.operators.grouped import join_groups
+def test_group_joins_keep_null_keys_and_start_no_job(spark):
+    from herdlens.operators.distribution import density, histogram
+    from herdlens.operators.grouped import attach
 
-    df = spark.createDataFrame(skewed.dropna())
-    totals = df.groupBy("pid").agg(F.sum("n").alias("sum"))
-    small, large = join_groups(df, totals, ["pid"]), join_groups(df, totals, ["pid"], most=3)
-    assert "BroadcastHashJoin" in small._jdf.queryExecution().toString()
-    assert small.exceptAll(large).isEmpty() and large.count() == df.count()
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0), (None, 6.0)], "pid string, x double")
+    spark.sparkContext.setJobGroup("attach", "attach")
+    joined = attach(df, ["pid"], F.sum("x").alias("total"))
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("attach")) == []
+    assert sorted((r.pid or "", r.x, r.total) for r in joined.collect()) == [("", 5.0, 11.0), ("", 6.0, 11.0), ("a", 1.0, 4.0), ("a", 3.0, 4.0)]
+    assert joined.columns == ["pid", "x", "total"]
+    assert {r.pid for r in histogram(df, ["pid"], "x", 2).collect()} == {"a", None}
+    assert {r.pid for r in density(df, ["pid"], "x", 3).collect()} == {"a", None}
+    assert {r.pid for r in describe(df, ["pid"], {"x": F.col("x")}).collect()} == {"a", None}
 
 
 def test_hot_key_is_split_in_a_join_beyond_the_bound(spark):
@@ -157,7 +162,7 @@ def test_hot_key_is_split_in_a_join_beyond_the_bound(spark):
     for name, value in sizes.items():
         spark.conf.set(name, value)
     try:
-        joined = join_groups(rows, rows.groupBy("k").agg(F.count("*").alias("n")), ["k"], most=10)
+        joined = join_groups(rows, rows.groupBy("k").agg(F.count("*").alias("n")), ["k"])
         by_key = joined.groupBy("k").agg(F.count("*").alias("rows"), F.max("n").alias("n"))
         assert by_key.where("rows <> n").count() == 0
         joined.collect()

@@ -17,7 +17,7 @@ from herdlens.sinks.telemetry import write_power, write_telemetry
 from herdlens.sources import meter, telemetry
 from herdlens.sources.frames import list_images, read_frames, tune_for_frames
 from herdlens.sources.layout import PARTITIONED
-from herdlens.sources.reports import read_reports
+from herdlens.sources.reports import REPORT_SCHEMA, read_reports
 
 WIDE = """Datetime,Time[S],Volt[V],Current[A],Power[W],Res[Ohm],G0[mAh],G0[mWh],G1[mAh],G1[mWh],Temp[C],D+[V],D-[V]
 2026-04-16T20:58:10.123456,  0.0,05.1234,0.12345,00.6325,41.50,    10,    20,    30,    40,+25,0.60,0.61
@@ -191,11 +191,30 @@ def test_documents_are_bounded_and_read_back_whole(spark, reports, tmp_path):
     small = nest_reports(rows, animals_per_document=5, images_per_document=4)
     assert small.count() == 4  # single: images 1-3 and 10; batch: animals 1 and 10
     twice = rows.unionByName(rows)
-    write_reports(twice, f"{tmp_path}/out", 5, 4)
+    write_reports(twice, f"{tmp_path}/out", animals_per_document=5, images_per_document=4)
     back = flatten_reports(read_reports(spark, f"{tmp_path}/out", lines=True))
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
 
 
+def test_a_run_is_one_document_with_every_animal(spark, tmp_path):
+    base = flatten_reports(
+        spark.createDataFrame(
+            [("r", "2026-01-01T00:00:00", "2026-01-01T00:00:01", {str(a): ("2026-01-01T00:00:00", None, None, 1, 1, {"1": ("2026-01-01T00:00:02", "2026-01-01T00:00:03")}) for a in range(1, 101)})],
+            REPORT_SCHEMA,
+        )
+    )
+    assert nest_reports(base).count() == 1
+    one = base.where("animal = 1")
+    later = one.withColumn("weight_prediction_start", F.lit("2026-01-01 00:00:01").cast("timestamp_ntz")).withColumn(
+        "weight_prediction_final", F.lit("2026-01-01 00:00:09").cast("timestamp_ntz")
+    )
+    bare = base.where("animal = 2").withColumn("animal", F.lit(777))
+    write_reports(one.unionByName(later), f"{tmp_path}/out", animals=bare)
+    back = read_reports(spark, f"{tmp_path}/out", lines=True).first()
+    assert set(back.animals) == {"1", "777"} and back.animals["777"].imgs == {}
+    assert tuple(back.animals["1"].imgs["1"]) == ("2026-01-01T00:00:01.000000", "2026-01-01T00:00:09.000000")
+
+
 def test_run_without_elapsed_time_has_no_throughput(spark):
     same = "timestamp_ntz'2026-01-01 00:00:00'"
     times = ["first_image_capture_time", "last_image_capture_time", "display_time", "load_model_start", "load_model_final"]
