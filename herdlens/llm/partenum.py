@@ -3,9 +3,10 @@
 A text's set is its distinct word shingles. Two texts link when their sets' Jaccard similarity reaches ``percent``.
 Sets fall into bands of sizes ``(upper * percent / 100, upper]``; a linked pair lies in one band or in two adjacent
 ones, and each set signs for its own band and the one below. Within a band, linked sets differ in at most
-``k = upper * (100 - percent) / percent`` shingles. The shingle domain is cut into ``(k + 1) / 2`` parts, one of which
-holds at most one difference, and each part into two halves, one of which then holds none: the hash of a half is a
-signature, and enumerating both halves of all parts loses no linked pair.
+``k = upper * (100 - percent) / percent`` shingles. The shingle domain is cut into more than k parts, so at least one
+part holds no difference and its hash is a shared signature; ``r`` further parts make it r + 1. A set leaves out its
+parts of fewer than two shingles, which too many sets share, if there are at most r of them: of r + 1 equal parts one
+remains. Where k is 1 or 2, all subsets that lack so many shingles are enumerated instead.
 
 Texts with equal sets are one vertex. Vertices that share signatures form clusters; each is compared with its cluster's
 pivot, the vertex that shares most. Of the others, two can only link if their differences from the pivot have enough
@@ -62,33 +63,67 @@ def bands(percent: int, most: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def cells(upper: np.ndarray, slack: np.ndarray, percent: int) -> np.ndarray:
+    """Cells of the domain in a band: one more than differences, and as many again as will hold hardly a shingle."""
+    lower, need = np.maximum(1, upper * percent // 100), slack + 1
+    count = need.copy()
+    for _ in range(8):
+        mean = lower / count
+        count = np.minimum(need + (1.5 * count * np.exp(-mean) * (1 + mean)).astype(np.int64) + 1, 2 * need)
+    return 2 * -(-count // 2)
+
+
 def signatures(size: np.ndarray, own: np.ndarray, value: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, signature) rows of the sets of one chunk."""
     limits = bands(percent, int(size.max(initial=1)))
+    slacks = limits * (100 - percent) // percent
+    counts = cells(limits, slacks, percent)
+    # Where few differences are possible all subsets without so many shingles are listed instead.
+    listed = (slacks == 1) | ((slacks == 2) & (limits <= 20))
     band = np.searchsorted(limits, size)
+    mixed = shingles.mix(value + np.uint64(0x632BE59BD9B4E019))
+    spread = shingles.mix(value ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(20)
+    first = np.cumsum(size) - size
     texts, signs = [], []
     for below in (0, 1):
         label = band - below
-        k = np.where((label >= 0) & (size > 0), limits[np.maximum(label, 0)] * (100 - percent) // percent, 0)
-        parts = np.where(k > 0, (k + 2) // 2, 0)  # without room for a difference only equal sets link
-        base = np.cumsum(2 * parts) - 2 * parts
-        use = parts[own] > 0
-        o, v = own[use], value[use]
-        spread = shingles.mix(v ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-        cell = base[o] + 2 * ((spread >> np.uint64(33)).astype(np.int64) % np.maximum(1, parts[o])) + (spread & np.uint64(1)).astype(np.int64)
-        mixed = shingles.mix(v + np.uint64(0x632BE59BD9B4E019))
-        cells = int(2 * parts.sum())
-        low = np.bincount(cell, (mixed & np.uint64(0xFFFFFFFF)).astype(np.float64), cells).astype(np.uint64)
-        high = np.bincount(cell, (mixed >> np.uint64(32)).astype(np.float64), cells).astype(np.uint64)
-        owner = np.repeat(np.arange(len(size)), 2 * parts)
-        within = np.arange(cells) - base[owner]
+        known = (label >= 0) & (size > 0)
+        at = np.maximum(label, 0)
+        for i in np.flatnonzero(known & listed[at]).tolist():
+            found = _subsets(mixed[first[i] : first[i] + size[i]], int(slacks[at[i]]))
+            texts.append(np.full(len(found), i))
+            signs.append(shingles.mix(found ^ np.uint64(label[i] + 1)).view(np.int64))
+        n = np.where(known & ~listed[at] & (slacks[at] > 0), counts[at], 0)  # without slack only equal sets link
+        base = np.cumsum(n) - n
+        use = n[own] > 0
+        o = own[use]
+        cell = base[o] + (spread[use] % np.maximum(1, n[o]).astype(np.uint64)).astype(np.int64)
+        total, m = int(n.sum()), mixed[use]
+        low = np.bincount(cell, (m & np.uint64(0xFFFFFFFF)).astype(np.float64), total).astype(np.uint64)
+        high = np.bincount(cell, (m >> np.uint64(32)).astype(np.float64), total).astype(np.uint64)
+        owner = np.repeat(np.arange(len(size)), n)
+        within = np.arange(total) - base[owner]
+        # A linked pair has more equal cells than a set has nearly empty ones, unless it has very many.
+        empty = np.bincount(cell, minlength=total) <= 1
+        spare = (n - slacks[at] - 1)[owner]
+        keep = ~empty | (np.bincount(owner, empty, len(size))[owner] > spare)
         sign = shingles.mix(low + (high << np.uint64(32)) + high)
         sign = shingles.mix(sign ^ shingles.mix((within * 131071 + label[owner]).astype(np.uint64)))
-        texts.append(owner)
-        signs.append(sign.view(np.int64))
+        texts.append(owner[keep])
+        signs.append(sign[keep].view(np.int64))
     return np.concatenate(texts), np.concatenate(signs)
 
 
+def _subsets(mixed: np.ndarray, slack: int) -> np.ndarray:
+    """Sums of all subsets that lack at most ``slack`` (1 or 2) shingles."""
+    whole = mixed.sum(dtype=np.uint64)
+    out = [whole[None], whole - mixed]
+    if slack == 2:
+        i, j = np.triu_indices(len(mixed), 1)
+        out.append(whole - mixed[i] - mixed[j])
+    return np.unique(np.concatenate(out))
+
+
 def _signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(sign, vertex) rows of all texts."""
     source = docs.select(F.coalesce("text", F.lit("")).alias("text"))

@@ -47,7 +47,8 @@ class Bags:
         n, h, have = len(b), b.copy(), 1
         for size in self.sizes:
             while have < size:
-                h[: n - have] = h[: n - have] * np.uint32(0x01000193) + b[have:]
+                if have < n:
+                    h[: n - have] = h[: n - have] * np.uint32(0x01000193) + b[have:]
                 have += 1
             valid = np.zeros(n, bool)
             if n >= size:
