@@ -315,3 +315,27 @@ def test_large_run_is_written_by_several_tasks(spark, tmp_path):
     assert len(files) >= 3
     assert telemetry.read_cpu(spark, f"{tmp_path}/cpu", PARTITIONED).groupBy("pid").count().count() == 2
     assert telemetry.read_cpu(spark, f"{tmp_path}/cpu", PARTITIONED).count() == 400_000
+
+
+# --- rejects ---------------------------------------------------------------------------------------
+
+
+def test_broken_documents_numbers_and_times_are_returned(spark, tmp_path):
+    from herdlens.sources.rejects import rejected_cpu_rows, rejected_reports, rejected_rows, require_clean
+
+    _write(tmp_path / "r:1" / "metrics.json", '{"pid": "r:1", "animals": {}}')
+    _write(tmp_path / "r:2" / "metrics.json", '{"pid": "r:2", "animals": {')
+    broken = rejected_reports(spark, str(tmp_path))
+    assert [r.pid for r in broken.collect()] == ["r:2"]
+    with pytest.raises(ValueError, match="broken input"):
+        require_clean(broken)
+    _write(tmp_path / "r:1" / "power.csv", WIDE)
+    _write(tmp_path / "r:2" / "power.csv", NARROW + "2026-04-16T20:58:11,  1.0,05.x,0.1,00.5\nnoon,  2.0,05.0,0.1,00.5\n")
+    rows = rejected_rows(spark, str(tmp_path), "power").collect()
+    assert sorted((r.pid, r.content[:4]) for r in rows) == [("r:2", "2026"), ("r:2", "noon")]
+    _write(tmp_path / "r:1" / "cpu.csv", "timestamp,cpu_core_0\n2026-04-16T20:58:10,1.5\n2026-04-16T20:58:11,oops\n,3\n")
+    assert len(rejected_cpu_rows(spark, str(tmp_path)).collect()) == 2
+    header = "timestamp,total,available,used,percent,free,active,inactive,buffers,cached\n"
+    _write(tmp_path / "r:1" / "mem.csv", header + "2026-04-16T20:58:10,1,2,3,4.5,5,6,7,8,9\n2026-04-16T20:58:10,1,2,three,4.5,5,6,7,8,9\n")
+    assert len(rejected_rows(spark, str(tmp_path), "memory").collect()) == 1
+    require_clean(rejected_rows(spark, str(tmp_path), "gpu", files="none.csv"))
