@@ -25,7 +25,7 @@ from herdlens.sources.reports import read_reports
 from herdlens.streaming import energy as energy_stream
 from herdlens.streaming import frames as frame_stream
 from herdlens.streaming import telemetry as telemetry_stream
-from herdlens.streaming.tables import append_table, change_table, latest
+from herdlens.streaming.tables import append_table, change_table, closable, latest, write_end
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -529,7 +529,10 @@ def score_stream(spark: SparkSession, folder: str) -> DataFrame:
 def passage_stream(spark: SparkSession, folder: str) -> DataFrame:
     out, check = shared_folder(spark, "passages"), shared_folder(spark, "passages-check")
     frames = tables.frame_events(tables.stream_table(spark, folder, "events")).withColumn("elapsed", F.col("weight"))
-    over = frame_stream.passage_weights(frames, selection.PASSAGE, tables.GAP, "1 hour", 100.0)
+    ends = shared_folder(spark, "passages-end")
+    over = frame_stream.passage_weights(closable(frames, ends), selection.PASSAGE, tables.GAP, "1 hour", 100.0)
+    finish(append_table(over, out, check))
+    write_end(frames, ends, "ts")
     finish(append_table(over, out, check))
     return rounded(spark.read.parquet(out), 6, "mean_weight")
 
@@ -546,6 +549,9 @@ def energy_stream_totals(spark: SparkSession, folder: str) -> DataFrame:
 def telemetry_stream_windows(spark: SparkSession, folder: str) -> DataFrame:
     out, check = shared_folder(spark, "windows"), shared_folder(spark, "windows-check")
     readings = tables.power_readings(tables.stream_table(spark, folder, "events"))
-    windows = telemetry_stream.utilisation_stream(readings, "Power[W]", "6 hours", "1 hour")
+    ends = shared_folder(spark, "windows-end")
+    windows = telemetry_stream.utilisation_stream(closable(readings, ends), "Power[W]", "6 hours", "1 hour")
+    finish(append_table(windows, out, check))
+    write_end(readings, ends, "timestamp")
     finish(append_table(windows, out, check))
     return rounded(spark.read.parquet(out), 6, "mean")

@@ -14,11 +14,27 @@ STATE_SCHEMA = "pid string, energy_wh double, last_us bigint, batch bigint"
 _SALTS = 32
 
 
-def _state(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """The newest complete state, one row per run; with ``before``, the newest older than that batch."""
+#: Versions of the state kept for a repeated micro-batch and for readers that have just begun.
+_KEPT = 3
+
+
+def _version(spark: SparkSession, path: str, batch: int) -> DataFrame:
+    """The state after one micro-batch, one row per run: that folder alone is read."""
+    none = spark.createDataFrame([], STATE_SCHEMA).drop("batch")
+    if batch < 0:
+        return none
+    return spark.read.schema(none.schema).parquet(f"{path}/batch={batch}")
+
+
+def _forget(spark: SparkSession, path: str, batch: int) -> None:
+    """Delete the version of a micro-batch that cannot be asked for any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={batch}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _newest(spark: SparkSession, path: str) -> DataFrame:
+    """The state of the newest micro-batch, among the few versions there are."""
     states = spark.read.schema(STATE_SCHEMA).parquet(path)
-    if before is not None:
-        states = states.where(F.col("batch") < before)
     newest = states.agg(F.max("batch").alias("batch"))  # one row
     return states.join(F.broadcast(newest), "batch", "left_semi").drop("batch")
 
@@ -30,13 +46,13 @@ def integrate_stream(readings: DataFrame, path: str, checkpoint: str, trigger: s
     tasks like any other large run. The state of a run enters as one more piece that ends at its last
     instant; readings not newer than that are late and left out, so no interval is ever negative.
     States are versioned by micro-batch, and a repeated micro-batch rewrites its own version from the
-    one before, so each reading counts once.
+    one before, so each reading counts once. A micro-batch reads that one version and deletes an old one.
     """
     spark = readings.sparkSession
     spark.createDataFrame([], STATE_SCHEMA).write.mode("append").partitionBy("batch").parquet(path)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        known = _state(batch.sparkSession, path, before=batch_id)
+        known = _version(batch.sparkSession, path, batch_id - 1)
         # Micro-batches run without adaptive skew splitting, so the lookup is salted by hand.
         salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
         state = known.select("pid", F.col("last_us").alias("known_us"), salts)
@@ -53,6 +69,8 @@ def integrate_stream(readings: DataFrame, path: str, checkpoint: str, trigger: s
         )
         joined = join_parts(before.unionByName(energy_parts(fresh)))
         joined.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if batch_id >= _KEPT:
+            _forget(batch.sparkSession, path, batch_id - _KEPT)
 
     writer = readings.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=trigger) if trigger else writer.trigger(availableNow=True)).start()
@@ -60,5 +78,5 @@ def integrate_stream(readings: DataFrame, path: str, checkpoint: str, trigger: s
 
 def stream_energy(spark: SparkSession, path: str) -> DataFrame:
     """``pid, energy_wh, energy_kwh`` as of the newest micro-batch."""
-    state = _state(spark, path)
+    state = _newest(spark, path)
     return state.select("pid", "energy_wh", kilo(F.col("energy_wh")).alias("energy_kwh"))

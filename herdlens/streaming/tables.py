@@ -36,3 +36,19 @@ def latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     values = [c for c in changes.columns if c not in (*keys, "batch")]
     newest = changes.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
     return newest.select(*keys, "v.*")
+
+
+def closable(rows: DataFrame, ends: str) -> DataFrame:
+    """A stream that can be brought to its end: ``rows`` and whatever ``write_end`` puts into the folder ``ends``."""
+    spark = rows.sparkSession
+    spark.createDataFrame([], rows.schema).write.mode("append").parquet(ends)
+    return rows.unionByName(spark.readStream.schema(rows.schema).parquet(ends))
+
+
+def write_end(rows: DataFrame, ends: str, timestamp: str, at: str = "2200-01-01 00:00:00") -> None:
+    """One row far in the future and otherwise NULL: the next run moves the watermark past all windows still open.
+
+    To be called when no rows are to come; its own window stays open and is never emitted.
+    """
+    values = [F.lit(at if f.name == timestamp else None).cast(f.dataType).alias(f.name) for f in rows.schema.fields]
+    rows.sparkSession.range(1).select(*values).write.mode("append").parquet(ends)

@@ -140,3 +140,17 @@ def test_passages_are_emitted_once_they_are_over(spark, frame_rows, tmp_path):
     suitable = frame_rows.where("elapsed <= 6").groupBy("animal").agg(F.count("*").alias("n"), F.avg("weight").alias("m"))
     means = {r.animal: (r.n, round(r.m, 9)) for r in suitable.collect()}
     assert all((r.suitable_images, r.mean_weight and round(r.mean_weight, 9)) == means.get(r.animal, (0, None)) for r in got)
+
+
+def test_energy_state_keeps_few_versions(spark, tmp_path):
+    """However many micro-batches there were, only the last versions of the state are kept and read."""
+    schema = "pid string, timestamp timestamp_ntz, `Power[W]` double"
+    source, out = str(tmp_path / "in"), str(tmp_path / "state")
+    for i in range(7):
+        rows = spark.sql(f"SELECT 'r' AS pid, timestamp_ntz'2026-01-01 00:00:00' + make_dt_interval(0, {i}, 0, 0) AS timestamp, 10.0D AS `Power[W]`")
+        rows.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        energy.integrate_stream(stream, out, str(tmp_path / "check")).awaitTermination()
+    versions = [p.name for p in (tmp_path / "state").iterdir() if p.name.startswith("batch=")]
+    assert sorted(versions) == ["batch=4", "batch=5", "batch=6"]
+    assert energy.stream_energy(spark, out).first().energy_wh == pytest.approx(60.0)
