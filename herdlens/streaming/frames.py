@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from herdlens.functions.clock import event_time
 from herdlens.operators.scoring import MakePredict, mean_weights, score_enhanced
-from herdlens.operators.selection import is_suitable, suitable_frames
+from herdlens.operators.selection import in_passage, is_suitable, suitable_frames
 
 
 def running_weights(
@@ -20,14 +20,47 @@ def running_weights(
     shape: tuple[int, int],
     max_value: float,
     channels: int,
+    period: str | None = None,
+    delay: str = "1 hour",
 ) -> DataFrame:
     """Score each suitable frame when it arrives and keep the running mean per animal (update mode).
 
-    Frames carry ``elapsed``, which the capture side knows. The state is one row per animal; for a
-    stream without end, put a date column into ``pid`` so that old keys stop changing.
+    Frames carry ``elapsed``, which the capture side knows. With ``period`` (as ``"1 day"``) the mean is per animal and
+    ``period_start`` of the frames' ``ts``: once the watermark, the newest time less ``delay``, has passed a period its
+    state goes, so the state of a stream without end stays in bounds. Without it the state is a row per animal for ever.
     """
     chosen = suitable_frames(frames, passage_time, window)
-    return mean_weights(score_enhanced(chosen, make_predict, max_value, shape, channels))
+    if period is None:
+        return mean_weights(score_enhanced(chosen, make_predict, max_value, shape, channels))
+    timed = chosen.withColumn("at", event_time("ts")).withWatermark("at", delay)
+    scored = score_enhanced(timed, make_predict, max_value, shape, channels)
+    means = scored.groupBy("pid", "animal", F.window("at", period).alias("period")).agg(
+        F.avg("weight").alias("mean_weight"), F.count("weight").alias("scored_images")
+    )
+    start = F.col("period.start").cast("timestamp_ntz").alias("period_start")
+    return means.select("pid", "animal", start, "mean_weight", "scored_images")
+
+
+def passage_scores(
+    frames: DataFrame,
+    keys: Sequence[str],
+    gap_seconds: float,
+    delay: str,
+    make_predict: MakePredict,
+    passage_time: float,
+    window: float,
+    shape: tuple[int, int],
+    max_value: float,
+    channels: int,
+) -> DataFrame:
+    """Raw frames to one row per passage: horizon, selection, enhancement, scoring, and ``passage_weights``.
+
+    Only suitable frames are enhanced and scored; the others count without their pixels being touched.
+    """
+    counted = frames.where(in_passage(passage_time))
+    chosen = counted.withColumn("pixels", F.when(is_suitable(window), F.col("pixels")))
+    scored = score_enhanced(chosen, make_predict, max_value, shape, channels).drop("pixels")
+    return passage_weights(scored, keys, gap_seconds, delay, window)
 
 
 def passage_weights(

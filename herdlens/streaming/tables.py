@@ -45,10 +45,12 @@ def closable(rows: DataFrame, ends: str) -> DataFrame:
     return rows.unionByName(spark.readStream.schema(rows.schema).parquet(ends))
 
 
-def write_end(rows: DataFrame, ends: str, timestamp: str, at: str = "2200-01-01 00:00:00") -> None:
+def write_end(rows: DataFrame, ends: str, timestamp: str, at: str = "2200-01-01 00:00:00", **given: object) -> None:
     """One row far in the future and otherwise NULL: the next run moves the watermark past all windows still open.
 
-    To be called when no rows are to come; its own window stays open and is never emitted.
+    To be called when no rows are to come; its own window stays open and is never emitted. ``given`` sets further
+    columns, such as ``elapsed=0.0`` where a filter would drop the row.
     """
-    values = [F.lit(at if f.name == timestamp else None).cast(f.dataType).alias(f.name) for f in rows.schema.fields]
+    known = {timestamp: at, **given}
+    values = [F.lit(known.get(f.name)).cast(f.dataType).alias(f.name) for f in rows.schema.fields]
     rows.sparkSession.range(1).select(*values).write.mode("append").parquet(ends)

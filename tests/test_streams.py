@@ -154,3 +154,34 @@ def test_energy_state_keeps_few_versions(spark, tmp_path):
     versions = [p.name for p in (tmp_path / "state").iterdir() if p.name.startswith("batch=")]
     assert sorted(versions) == ["batch=4", "batch=5", "batch=6"]
     assert energy.stream_energy(spark, out).first().energy_wh == pytest.approx(60.0)
+
+
+def test_running_weights_of_past_periods_leave_the_state(spark, frame_rows, tmp_path):
+    _write_in_order(frame_rows, f"{tmp_path}/in", "ts", _cuts(0, 65, 130, 200, 260, 400))
+    stream = _stream(spark, f"{tmp_path}/in", FRAMES)
+    means = frames.running_weights(stream, _model, 10, 6, (4, 4), 1950, 3, period="1 minute", delay="1 second")
+    query = tables.change_table(means, f"{tmp_path}/out", f"{tmp_path}/check")
+    query.awaitTermination()
+    got = tables.latest(spark, f"{tmp_path}/out", ["pid", "animal", "period_start"])
+    chosen = frame_rows.where("elapsed < 10 AND elapsed <= 6")
+    want = mean_weights(score_enhanced(chosen, _model, 1950, (4, 4), 3))
+    columns = ["animal", "scored_images", F.round("mean_weight", 6)]
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= 2 < want.count()
+
+
+def test_passages_from_raw_frames_to_the_end(spark, frame_rows, tmp_path):
+    raw = frame_rows.drop("weight")
+    schema = FRAMES.replace("weight double, ", "")
+    _write_in_order(raw, f"{tmp_path}/in", "ts", _cuts(0, 65, 130, 400))
+    stream, ends = _stream(spark, f"{tmp_path}/in", schema), f"{tmp_path}/ends"
+    over = frames.passage_scores(tables.closable(stream, ends), ["pid", "animal"], 12, "5 seconds", _model, 10, 6, (4, 4), 1950, 3)
+    tables.append_table(over, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    tables.write_end(stream, ends, "ts", elapsed=0.0)
+    tables.append_table(over, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    within = raw.where("elapsed < 10")
+    chosen = within.where("elapsed <= 6")
+    means = {r.animal: (r.scored_images, round(r.mean_weight, 6)) for r in mean_weights(score_enhanced(chosen, _model, 1950, (4, 4), 3)).collect()}
+    counts = {r.animal: r["count"] for r in within.groupBy("animal").count().collect()}
+    got = {r.animal: (r.total_of_images, r.suitable_images, r.mean_weight and round(r.mean_weight, 6)) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {a: (n, *means.get(a, (0, None))) for a, n in counts.items()}
