@@ -20,6 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         turned = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         move = turned.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("v"), F.least("a", "b").alias("to"))
+        move = written(move, "moves")  # a root has many places: its join can be split only if both sides come from a shuffle
         for _ in range(2):
             nxt = move.select(F.col("v").alias("to"), F.col("to").alias("further"))
             move = written(move.join(nxt, "to", "left").select("v", F.coalesce("further", "to").alias("to")), "moves")

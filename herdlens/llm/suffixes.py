@@ -213,7 +213,7 @@ def _open(places: DataFrame, length: int) -> DataFrame:
 def _counted(texts: DataFrame, places: DataFrame, length: int) -> DataFrame:
     """(t, found): starts of repeated strings that only their hash shows; ``texts`` has (t, text)."""
     own = common.written(_open(places, length), "open")
-    groups = own.groupBy("head").agg(F.min("low").alias("least"), F.max("high").alias("most"))
+    groups = common.written(own.groupBy("head").agg(F.min("low").alias("least"), F.max("high").alias("most")), "groups")
     asked = places.join(groups, "head").join(own.select("t", "pos", "low", "high"), ["t", "pos"], "left")
     asked = asked.withColumn("near", F.greatest("near", "least", F.lit(length) - F.col("m"))).withColumn("far", F.least("far", "most")).where("near <= far")
     per_text = asked.groupBy("t").agg(F.collect_list(F.struct("pos", "near", "far", "head", "low", "high")).alias("s"))
@@ -265,6 +265,8 @@ def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     suffixes = common.written(_suffixes(rows.where(F.octet_length("text") >= length).select("t", "text"), length), "suffixes")
     place = F.xxhash64("t", "pos")
     repeated = suffixes.groupBy("head").agg(F.min(place).alias("one"), F.max(place).alias("other")).where("one < other").select("head")
+    # Small tables are written before a join by a key that may be hot: only then can adaptive execution split it.
+    repeated = common.written(repeated, "repeated")
     live = common.written(suffixes.join(repeated, "head").dropDuplicates(["t", "pos"]), "live")
     firsts = live.groupBy("head", "whole").agg(F.min(F.struct("t", "pos")).alias("first"), F.count("*").alias("places"))
     wanted = live.groupBy("t").agg(F.count("*").alias("suffixes")).join(counts, "t").select("t", "id")
@@ -283,7 +285,8 @@ def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     longest = _neighbours(contexts)
     size = texts.select("t", F.octet_length("text").cast("long").alias("n_bytes"))
     full = F.least(F.col("n_bytes") - F.col("pos"), F.lit(length + window))
-    places = live.join(firsts.select("head", "whole", "places").join(longest, ["head", "whole"]), ["head", "whole"]).join(size, "t").join(counts.select("t", "count"), "t")
+    shared = common.written(firsts.select("head", "whole", "places").join(longest, ["head", "whole"]), "shared")
+    places = live.join(shared, ["head", "whole"]).join(size, "t").join(counts.select("t", "count"), "t")
     places = common.written(
         places.withColumn("m", F.when((F.col("places") > 1) | (F.col("count") > 1), full).otherwise(F.col("m"))).select("t", "pos", "near", "far", "head", "m", "count"), "places"
     )
@@ -321,7 +324,8 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     cut = cuts.select("t", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
     all_gone = (F.col("count") > 1) & (F.col("n_bytes") >= length)
     empty = F.lit(hashlib.sha256(b"").hexdigest())
-    return rows.join(counts.join(cut, "t", "left"), "t").select(
+    per_text = common.written(counts.join(cut, "t", "left"), "per-text")
+    return rows.join(per_text, "t").select(
         "doc_id", "n_bytes", F.when(all_gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(all_gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(all_gone, empty).otherwise(F.coalesce("kept_sha256", "whole")).alias("kept_sha256"),
@@ -341,6 +345,6 @@ def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array(text, pa.string())], names=["__t__", "__kept__"])
 
     kept = cuts.select("t", "kept").mapInArrow(decode, "__t__ bigint, __kept__ string")
-    joined = docs.withColumn("__t__", key).join(kept.join(twice, "__t__", "full"), "__t__", "left")
+    joined = docs.withColumn("__t__", key).join(common.written(kept.join(twice, "__t__", "full"), "per-text"), "__t__", "left")
     text = F.when(F.col("__twice__") & (F.octet_length("text") >= length), F.lit("")).otherwise(F.coalesce("__kept__", "text"))
     return joined.withColumn("text", text).select(*columns)
