@@ -82,7 +82,7 @@ def _same_statistics(got: pd.DataFrame, want: pd.DataFrame):
 def test_summaries_of_logs(spark, folder):
     study = Study(spark, str(folder))
     cpu, memory, power = (s.toPandas() for s in (study.cpu_summary(), study.memory_summary(), study.power_summary()))
-    assert sorted(cpu[cpu.pid == "batch_baseline"].metric) == ["cpu_core_0", "cpu_core_1", "cpu_mean"]
+    assert sorted(cpu[cpu.pid == "batch_baseline"].metric) == ["cpu_core_0", "cpu_core_1", "cpu_mean", "timestamp"]
     for pid, name in LOGS.items():
         log = pd.read_csv(folder / pid / "cpu.csv").drop(columns="timestamp")
         _same_statistics(cpu[cpu.pid == pid], log.assign(cpu_mean=log.mean(axis=1)).describe())
@@ -146,6 +146,26 @@ def test_image_weighted_measures_reproduce_the_old_weights(spark, folder):
     assert set(got.metric) >= {"collect_lead_time_us", "throughput_per_hour"}
 
 
+def test_report_summary_and_one_parse(spark, folder, monkeypatch):
+    from herdlens.plans import study as module
+
+    parses = []
+    read = module.read_reports
+    monkeypatch.setattr(module, "read_reports", lambda *a, **k: parses.append(1) or read(*a, **k))
+    study = Study(spark, str(folder))
+    got = study.report_summary().toPandas()
+    study.runs().count()
+    assert parses == [1]
+    pid = "batch_baseline"
+    mine = got[got.pid == pid].set_index("metric")
+    rows = _pandas_images(folder, pid, False)
+    us = pd.Timedelta(microseconds=1)
+    want = (rows.dur / us).describe()
+    assert mine.loc["weight_prediction_dur_us", "count"] == want["count"] and mine.loc["weight_prediction_dur_us", "p50"] == pytest.approx(want["50%"])
+    assert mine.loc["display_time", "max"] == (rows.display.max() - pd.Timestamp(0)) / us and pd.isna(mine.loc["display_time", "std"])
+    assert set(mine.index) >= {"load_model_dur_us", "total_of_images", "suitable_images", "first_image_capture_time", "load_model_start"}
+
+
 def test_chart_series_and_comparison(spark, folder):
     study = Study(spark, str(folder))
     assert study.cpu_series().count() == 600 and study.power_series("10 seconds").count() < 70
