@@ -206,3 +206,16 @@ def test_model_is_made_once_per_worker_and_bad_frames_get_no_weight(spark, tmp_p
     assert len(made) <= 2 * len(set(made))  # one for each query and worker, not for each task
     enhanced = enhance.enhance_frames(rows, 4, (2, 2), 1).collect()
     assert all((r.pixels is None) == (r.id % 4 < 2) for r in enhanced)
+
+
+def test_passages_of_one_key_are_cut_over_parts(spark):
+    """One key with a small gap: the same passages whatever the size of a part, NULL keys included."""
+    rng = np.random.default_rng(12)
+    seconds = np.sort(rng.choice(4000, 1500, replace=False))
+    rows = [(None if s % 3000 == 7 else "hot", pd.Timestamp("2026-01-01") + pd.Timedelta(seconds=int(s)), float(s % 7)) for s in seconds]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["pid", "ts", "weight"])).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    whole = passages.passage_sessions(df, ["pid"], 2, slots_per_part=1_000_000)
+    cut = passages.passage_sessions(df, ["pid"], 2, slots_per_part=5)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, cut.collect()))
+    hot = [s for s in seconds if s % 3000 != 7]
+    assert cut.where("pid = 'hot'").count() == 1 + sum(b - a > 2 for a, b in zip(hot, hot[1:]))
