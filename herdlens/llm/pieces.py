@@ -50,7 +50,7 @@ def _gather(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Lattices:
     """Lattices of the units seen, as flat tables of nodes and edges, and the library's encoding of each."""
 
-    MOST_UNITS = 400_000
+    MOST_UNITS = 600_000
 
     def __init__(self, path: str):
         import sentencepiece
@@ -92,11 +92,11 @@ class Lattices:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        zero = np.zeros(0, np.int64)
-        self.tab = {
-            "root": zero, "own_begin": zero, "own_size": zero, "own": zero.astype(np.int32), "edge_begin": zero,
-            "cum": np.zeros(0), "log": np.zeros(0), "next": zero, "ids_begin": zero, "ids_size": zero, "ids": zero.astype(np.int32),
+        kinds = {
+            "root": np.int32, "own_begin": np.int32, "own_size": np.int32, "own": np.int32, "edge_begin": np.int32,
+            "cum": np.float32, "log": np.float64, "next": np.int32, "ids_begin": np.int32, "ids_size": np.int32, "ids": np.int32,
         }
+        self.tab = {k: np.zeros(0, kind) for k, kind in kinds.items()}
         self.used = dict.fromkeys(self.tab, 0)
         self.nodes = self.edges = self.id_count = self.own_count = 0
 
