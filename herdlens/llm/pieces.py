@@ -50,7 +50,7 @@ def _gather(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Lattices:
     """Lattices of the units seen, as flat tables of nodes and edges, and the library's encoding of each."""
 
-    MOST_UNITS = 600_000
+    MOST_UNITS = 250_000
 
     def __init__(self, path: str):
         import sentencepiece
@@ -174,10 +174,10 @@ class Lattices:
             "own": np.fromiter(chain.from_iterable(encoded), np.int32, int(own_size.sum())), "edge_begin": np.where(count > 0, self.edges + begin, -1),
             "cum": cum, "log": log, "next": self.nodes + source + span, "ids_begin": self.id_count + id_begin, "ids_size": id_size, "ids": flat,
         }
-        for k, v in new.items():  # tables grow by doubling
+        for k, v in new.items():  # tables grow by a quarter at least
             have, need = self.used[k], self.used[k] + len(v)
             if need > len(self.tab[k]):
-                self.tab[k] = np.concatenate([self.tab[k][:have], np.zeros(need, self.tab[k].dtype)])
+                self.tab[k] = np.concatenate([self.tab[k][:have], np.zeros(need + need // 4 - have, self.tab[k].dtype)])
             self.tab[k][have:need] = v
             self.used[k] = need
         self.number.update(zip(units, range(len(self.number), len(self.number) + n), strict=True))
