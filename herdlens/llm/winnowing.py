@@ -13,6 +13,7 @@ empty result. Columns of the input named like a result column are replaced.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce
 
@@ -79,7 +80,17 @@ def _buckets(ids: DataFrame, count: int) -> Column:
     """Ranges of ids with about as many rows each, by mergeable quantiles; null ids are range -1."""
     cuts = ids.agg(F.percentile_approx("doc_id", [i / count for i in range(1, count)], 20 * count)).first()[0] or []
     cuts = sorted(set(cuts))
-    at = F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
+    table = F.from_json(F.lit(json.dumps(cuts)), "array<bigint>")
+
+    def halve(state: Column, _: Column) -> Column:
+        low, high = state["low"], state["high"]
+        middle = F.shiftright(low + high, 1)
+        left, right = F.struct(low.alias("low"), middle.alias("high")), F.struct((middle + 1).alias("low"), high.alias("high"))
+        return F.when(low >= high, state).when(F.get(table, middle) <= F.col("doc_id"), right).otherwise(left)
+
+    # The number of cuts not above the id, by bisection: there are as many cuts as tasks.
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high"))
+    at = F.aggregate(F.sequence(F.lit(0), F.lit(len(cuts).bit_length())), start, halve, lambda state: state["low"])
     return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(at)
 
 
