@@ -15,9 +15,9 @@ comparison. A signature that is very frequent is found in a sample first and spr
 tables; components are contracted there.
 
 Cases: null and empty texts, and texts without words, have an empty set, size 0 and are their own component; shorter
-texts than the shingle width have one shingle, their whole sequence; rows that repeat a doc_id are one document of the
-graph; a null doc_id has a null component unless its text links it to others; an empty table gives an empty result.
-Keys of sets and shingles are 64-bit hashes.
+texts than the shingle width have one shingle, their whole sequence; rows that repeat a doc_id link each by its own
+text; a null doc_id has a null component unless its text links it to others, whom it may link to each other; an empty
+table gives an empty result. Keys of sets, shingles and rows are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,25 +26,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from herdlens.llm import common, shingles
 from herdlens.llm.components import components
 
 
+def row_key() -> Column:
+    """What tells rows of (doc_id, text) apart; a null text is an empty one."""
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+
+
 def _keys(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, vertex): the vertex is the hash of the whole set."""
-    source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """(doc_id, n_shingles, vertex, row): the vertex is the hash of the whole set, the row that of doc_id and text."""
+    source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), row_key().alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, key = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for begin, n, own, value in shingles.sets(batch.column("text"), width):
                 size[begin : begin + n], key[begin : begin + n] = _sizes_and_keys(n, own, value)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(key)], names=["doc_id", "n_shingles", "vertex"])
+            made = [batch.column("doc_id"), pa.array(size), pa.array(key), batch.column("row")]
+            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "n_shingles", "vertex", "row"])
 
-    return source.mapInArrow(run, "doc_id bigint, n_shingles bigint, vertex bigint")
+    return source.mapInArrow(run, "doc_id bigint, n_shingles bigint, vertex bigint, row bigint")
 
 
 def _sizes_and_keys(n: int, own: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -234,16 +240,13 @@ def _sets(texts: pa.Array, width: int) -> list[np.ndarray]:
 def join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, the smallest doc_id reachable by links."""
     keys = common.written(_keys(docs, width), "keys")
-    classes = keys.where("n_shingles > 0").groupBy("vertex").agg(F.min("doc_id").alias("first_id"))
+    classes = keys.where("n_shingles > 0").groupBy("vertex").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("row"))
     members = _members(docs, width, percent)
     shares = members.groupBy("vertex").agg(F.count("*").alias("shares"))
-    # One text of each vertex that shares a signature; every text of a vertex has the same set.
-    chosen = shares.select("vertex").join(classes, "vertex").where("first_id IS NOT NULL").join(
-        keys.where("n_shingles > 0").select("vertex", F.col("doc_id").alias("first_id")), ["vertex", "first_id"]
-    ).select("vertex", F.col("first_id").alias("doc_id")).distinct()
-    texts = common.written(
-        docs.select("doc_id", "text").where("text IS NOT NULL").join(chosen, "doc_id").select("vertex", "text").dropDuplicates(["vertex"]), "texts"
-    )
+    # One text of each vertex that shares a signature, found by its row: an id may be null or have other texts too.
+    chosen = shares.select("vertex").join(classes, "vertex").select("vertex", "row")
+    rows = docs.where("text IS NOT NULL").select(row_key().alias("row"), "text")
+    texts = common.written(rows.join(chosen, "row").select("vertex", "text").dropDuplicates(["vertex"]), "texts")
     # Vertices that share signatures, directly or in a chain, form a cluster around the one that shares most.
     lowest = members.groupBy("sign").agg(F.min("vertex").alias("b"))
     clusters = components(members.join(lowest, "sign").where("vertex <> b").select(F.col("vertex").alias("a"), "b"))

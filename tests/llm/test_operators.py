@@ -175,6 +175,27 @@ def test_join_of_empty_tables_and_null_ids(spark, empty):
     assert got == [-1, 3, 3]
 
 
+def test_join_takes_each_text_by_its_row_not_by_its_id(spark):
+    """Vertices without any id, pivots among them, and different texts under one id, against brute force."""
+    rows = []
+    for g in range(8):
+        base = prose(300 + g, 60).split()
+        near = [list(base) for _ in range(3)]
+        for k, w in enumerate(near):
+            w[15 * k + 5] = f"edit{k}"
+        rows += [(None, " ".join(base)), *((10 * g + k + 1, " ".join(w)) for k, w in enumerate(near))]
+        rows += [(1000 + g % 2, " ".join(near[0][:-1])), (1000 + g % 2, prose(400 + g, 50))]
+    texts = [t for _, t in rows]
+    _, place = linked_by_hand(texts, 3, 80)
+    smallest: dict = {}
+    for (i, _), at in zip(rows, place, strict=True):
+        smallest[at] = min((x for x in (smallest.get(at), i) if x is not None), default=None)
+    want = Counter((i, smallest[at]) for (i, _), at in zip(rows, place, strict=True))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = Counter((r.doc_id, r.component_id) for r in partenum.join(df, 3, 80).collect())
+    assert got == want and want[(None, 1)] == 1
+
+
 def test_signatures_are_shared_by_all_similar_sets():
     draw = np.random.default_rng(2)
     for size in (1, 3, 9, 12, 40, 200):
