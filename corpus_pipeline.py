@@ -27,11 +27,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of five-word shingle sets with a similarity of 0.8 or more, the smallest doc_id stays."""
+    """Of each component of five-word shingle sets with a similarity of 0.8 or more, one row stays, of the smallest doc_id."""
     common.table(spark, sf_dir, "documents")
-    found = partenum.join(docs.select("doc_id", "text"), width=5, percent=80)
-    copies = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    return partenum.drop_copies(docs, width=5, percent=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +42,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with a benchmark item go."""
+    """Rows that overlap with a benchmark item go."""
     return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 

@@ -115,31 +115,36 @@ def _blocks(items: DataFrame) -> Iterator[Block]:
         yield Block(part["item_id"].tolist(), part["text"].tolist())
 
 
-def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, matches, item_tokens, start, span) of each document and item that overlap, the best place of each."""
-    source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    names = ["doc_id", "item_id", "matches", "item_tokens", "start", "span"]
+def _found(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, row, item_id, matches, item_tokens, start, span) of every overlap; the row is the hash of the text."""
+    text = F.coalesce("text", F.lit(""))
+    source = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("row"))
+    names = ["doc_id", "row", "item_id", "matches", "item_tokens", "start", "span"]
     schema = ", ".join(f"{n} bigint" for n in names)
 
     def scan(block: Block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids, out = batch.column("doc_id").to_pylist(), []
+                ids, rows, out = batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), []
                 for a, _, word, owner in tokens(batch.column("text")):
                     for text, i, matches, start, span in block.overlaps(word, owner):
-                        out.append((ids[a + text], block.ids[i], matches, len(block.words[i]), start, span))
+                        out.append((ids[a + text], rows[a + text], block.ids[i], matches, len(block.words[i]), start, span))
                 columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
         return source.mapInArrow(run, schema)
 
-    found = reduce(DataFrame.union, [scan(b) for b in _blocks(items)])
+    return reduce(DataFrame.union, [scan(b) for b in _blocks(items)])
+
+
+def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, matches, item_tokens, start, span) of each document and item that overlap, the best place of each."""
+    found = _found(docs, items)
     best = F.max(F.struct("matches", (-F.col("start")).alias("back"), "item_tokens", "start", "span")).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.matches", "best.item_tokens", "best.start", "best.span")
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the documents that overlap with an item; a null doc_id goes if any such row overlaps."""
-    bad = overlaps(docs, items).select("doc_id").distinct()
-    renamed = bad.withColumnRenamed("doc_id", "__bad__")
-    return docs.join(renamed, docs["doc_id"].eqNullSafe(renamed["__bad__"]), "left_anti")
+    """``docs`` without the rows whose text overlaps with an item; other rows of the same or no doc_id stay."""
+    bad = common.written(_found(docs, items).select(F.col("row").alias("__bad__")).distinct(), "leaks")
+    return docs.join(bad, F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["__bad__"], "left_anti")

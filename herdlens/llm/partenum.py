@@ -237,8 +237,8 @@ def _sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
-def join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, the smallest doc_id reachable by links."""
+def _placed(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n_shingles, vertex, row) of each row, (vertex, first_id, row) of each vertex, (vertex, root) of linked ones."""
     keys = common.written(_keys(docs, width), "keys")
     classes = keys.where("n_shingles > 0").groupBy("vertex").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("row"))
     members = _members(docs, width, percent)
@@ -255,8 +255,34 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     compared = common.written(_against_pivot(pairs, texts, width, percent), "compared")
     links = compared.where("linked").select("a", "b")
     more = common.written(_verified(_candidates(compared), texts, width, percent), "links")
-    places = components(links.union(more))
+    return keys, classes, components(links.union(more))
+
+
+def join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, the smallest doc_id reachable by links."""
+    keys, classes, places = _placed(docs, width, percent)
     named = places.join(classes, "vertex").groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_vertex = classes.join(places, "vertex", "left").join(named, "root", "left").select("vertex", F.coalesce("component_id", "first_id").alias("component_id"))
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     return keys.join(of_vertex, "vertex", "left").select("doc_id", "n_shingles", own)
+
+
+def drop_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id (null is the largest), then of the least hash.
+
+    Ids do not matter otherwise: each row goes or stays by its own text. Rows without words all stay. Of rows that
+    agree in doc_id and text any one stays.
+    """
+    keys, _, places = _placed(docs.select("doc_id", "text"), width, percent)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    first = keys.where("n_shingles > 0").groupBy("vertex").agg(F.min(order).alias("first"))
+    rooted = common.written(first.join(places, "vertex", "left").select("vertex", "first", F.coalesce("root", "vertex").alias("root")), "rooted")
+    best = common.written(rooted.groupBy("root").agg(F.min("first").alias("best")).select("root", F.col("best.row").alias("row")), "best")
+    rows = keys.where("n_shingles > 0").groupBy(F.col("row").alias("__row__")).count()
+    counted = rows.join(best.select(F.col("row").alias("__row__"), F.lit(True).alias("stays")), "__row__", "left")
+    # Few rows as a rule: those that go, and those that stay once though they occur more often.
+    moved = common.written(counted.where("stays IS NULL OR count > 1").select("__row__", "stays"), "copies")
+    twice = common.written(moved.where("stays").select("__row__"), "twice")
+    own = docs.withColumn("__row__", row_key())
+    one = own.join(twice, "__row__").groupBy("__row__").agg(F.first(F.struct(*docs.columns)).alias("one")).select("one.*")
+    return own.join(moved.select("__row__"), "__row__", "left_anti").select(*docs.columns).union(one)

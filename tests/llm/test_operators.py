@@ -290,6 +290,24 @@ def test_overlaps_survive_substitutions(spark):
     assert decontaminate.overlaps(docs.limit(0), items).count() == 0 and decontaminate.clean(docs, items.limit(0)).count() == len(rows)
 
 
+def test_leaks_and_copies_go_by_row_not_by_id(spark, tmp_path):
+    import corpus_pipeline
+
+    item, a, b, c, d = prose(70, 40), prose(71, 60), prose(72, 60), prose(73, 60), prose(74, 60)
+    near = " ".join([*a.split()[:-1], "edited"])
+    rows = [(None, f"{item} x"), (None, a), (7, item), (7, b), (8, near), (9, c), (9, c), (9, b), (None, d), (None, d), (None, None), (None, None), (3, ""), (3, "")]
+    docs = spark.createDataFrame([(i, t, "en", None, 0) for i, t in rows], SCHEMA).repartition(3)
+    folder = str(tmp_path)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    kept = Counter((r.doc_id, r.text) for r in decontaminate.clean(docs, items).collect())
+    assert kept == Counter(r for r in rows if item not in (r[1] or ""))
+    left = corpus_pipeline.drop_near_copies(spark, docs, folder)
+    assert left.columns == docs.columns
+    want = Counter([(7, item), (7, b), (8, near), (9, c), (None, d), (None, None), (None, None), (3, ""), (3, "")])
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == want
+
+
 # --- tokens and pieces ------------------------------------------------------------------------------
 
 
