@@ -1,14 +1,15 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Tokens are lower-cased runs of letters and digits. A seed hashes the tokens at the marked positions of a fixed mask and
+Tokens are lower-cased runs of letters and digits; in scripts without blanks each character is one. A seed hashes the tokens at the marked positions of a fixed mask and
 ignores the others, so a substituted token spoils few seeds. Documents are scanned for the seeds of a block of
 benchmark items; around each hit the item is laid beside the document, and the best stretch is kept (a match counts 1,
 a mismatch -2). An overlap counts if it has ``LEAST`` matches, or ``SHARE`` of the item's tokens if that is less.
 
 Items go in blocks of at most ``BLOCK_TOKENS`` tokens, each scanned in one narrow pass; no text is shuffled.
 
-Cases: null and empty texts and items have no tokens and overlap with nothing; items of fewer than ``FEWEST`` tokens
-are left out; items shorter than a mask are sought whole; repeated items give a row each and rows with equal doc_id
+Cases: null and empty texts and items have no tokens and overlap with nothing; items shorter than a mask have masks of
+their own, which no substitution that ``SHARE`` allows can spoil all at once, and count all their matches; items of up
+to four tokens are thus sought whole; repeated items give a row each and rows with equal doc_id
 and item_id one row, the best; ties go to the earliest place; empty tables give an empty result.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +30,41 @@ from herdlens.llm.shingles import mix, word_hashes
 
 # Span 11, weight 7.
 MASKS = ("11101100101", "11010011011", "10110101101")
-LEAST, SHARE, FEWEST = 13, 0.8, 4
+LEAST, SHARE = 13, 0.8
 BLOCK_TOKENS = 200_000
 CHUNK_BYTES = 1_000_000
 
 
+#: Characters of scripts that do without blanks, and the full-width punctuation between them.
+UNSPACED = r"([\p{Han}\x{3041}-\x{309F}\x{30A1}-\x{30FA}\x{30FC}-\x{30FF}\x{31F0}-\x{31FF}\x{FF66}-\x{FF9F}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}])"
+WIDE_MARKS = r"[\x{3000}-\x{3004}\x{3008}-\x{3020}\x{3030}\x{30FB}\x{FF01}-\x{FF0F}\x{FF1A}-\x{FF20}\x{FF3B}-\x{FF40}\x{FF5B}-\x{FF65}]"
+
+
+def spaced(texts: pa.Array) -> pa.Array:
+    """Blanks around every character of a script that has none."""
+    if pc.all(pc.string_is_ascii(texts)).as_py() is not False:
+        return texts
+    return pc.replace_substring_regex(pc.replace_substring_regex(texts, WIDE_MARKS, " "), UNSPACED, r" \1 ")
+
+
+def needed(n: int) -> int:
+    """Matches that an overlap with an item of n tokens has at least."""
+    return min(LEAST, int(np.ceil(SHARE * n)))
+
+
+def short_masks(n: int) -> set[str]:
+    """Masks for an item of n tokens: of two blocks more than substitutions, all choices that leave so many blocks out."""
+    spoiled = n - needed(n)
+    if not spoiled:
+        return {"1" * n}
+    block = np.arange(n) * (spoiled + 2) // n
+    out = combinations(range(spoiled + 2), spoiled)
+    return {"".join("0" if b in left else "1" for b in block.tolist()).strip("0") for left in out}
+
+
 def tokens(texts: pa.Array):
     """Chunks of (first text, number of texts, hash of each token, its text)."""
-    raw, offsets = common.text_bytes(pc.binary_join_element_wise(pc.utf8_lower(texts), pa.scalar(""), pa.scalar(" ")))
+    raw, offsets = common.text_bytes(pc.binary_join_element_wise(spaced(pc.utf8_lower(texts)), pa.scalar(""), pa.scalar(" ")))
     for a, b in common.chunks(np.diff(offsets), CHUNK_BYTES):
         word, owner = word_hashes(subwords.LETTERS_DIGITS[raw[offsets[a] : offsets[b]]], offsets[a:b] - offsets[a])
         yield a, b - a, word, owner
@@ -64,15 +93,20 @@ class Block:
         for a, n, word, owner in tokens(pa.array(texts, pa.string())):
             for i in range(n):
                 own = word[owner == i]
-                if len(own) >= FEWEST:
+                if len(own):
                     self.ids.append(ids[a + i])
                     self.words.append(own)
-        self.masks = [*MASKS, *("1" * n for n in sorted({len(w) for w in self.words if len(w) < most_short}))]
+        self.most_short = most_short
+        lengths = {m: set() for m in MASKS}
+        for n in sorted({len(w) for w in self.words if len(w) < most_short}):
+            for m in sorted(short_masks(n)):
+                lengths.setdefault(m, set()).add(n)
+        self.masks = list(lengths)
         self.tables = []
         for mask in self.masks:
             parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
             for i, w in enumerate(self.words):
-                if len(mask) < most_short and len(w) != len(mask):
+                if mask not in MASKS and len(w) not in lengths[mask]:
                     continue
                 at, code = seeds(w, np.zeros(len(w), np.int64), mask)
                 parts.append((code, np.full(len(at), i), at))
@@ -97,12 +131,17 @@ class Block:
             w = self.words[i]
             first, last = max(start, int(bound[text])), min(start + len(w), int(bound[text + 1]))
             same = word[first:last] == w[first - start : last - start]
+            if len(w) < self.most_short:
+                at = np.flatnonzero(same)
+                if len(at) >= needed(len(w)):
+                    yield text, i, len(at), first + int(at[0]) - int(bound[text]), int(at[-1] - at[0]) + 1
+                continue
             running = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
             gain = running - np.minimum.accumulate(running)
             end = int(gain.argmax())
             begin = int(running[: end + 1].argmin())
             matches = int(same[begin:end].sum())
-            if matches >= min(LEAST, int(np.ceil(SHARE * len(w)))):
+            if matches >= needed(len(w)):
                 yield text, i, matches, first + begin - int(bound[text]), end - begin
 
 

@@ -290,6 +290,27 @@ def test_overlaps_survive_substitutions(spark):
     assert decontaminate.overlaps(docs.limit(0), items).count() == 0 and decontaminate.clean(docs, items.limit(0)).count() == len(rows)
 
 
+def test_short_items_and_scripts_without_blanks_are_sought(spark):
+    chinese, thai = "春天的花园里有许多五颜六色的花朵在阳光下开放", "ดอกไม้หลากสีบานสะพรั่งในสวน"
+    edited = chinese[:9] + "无" + chinese[10:]
+    items, rows, want = [(1, chinese), (2, thai), (3, "quaint zebra"), (4, "solitary")], [], set()
+    rows = [(1, f"前言。{edited}。后记"), (2, f"คำนำ{thai}จบ"), (3, "a Quaint, zebra ran"), (4, "quaint old zebra"), (5, "so solitary!"), (6, "全く関係のない文章です")]
+    want = {(1, 1), (2, 2), (3, 3), (5, 4)}
+    for n in range(4, 11):
+        w = [f"t{n}x{k}" for k in range(n)]
+        items.append((100 + n, " ".join(w)))
+        spoiled = n - int(np.ceil(0.8 * n))
+        for a in range(n):
+            for b in range(a, n):
+                own = [f"new{k}" if k in (a, b) else x for k, x in enumerate(w)]
+                rows.append((len(rows) + 1, " ".join(["before", *own, "after"])))
+                if len({a, b}) <= spoiled:
+                    want.add((len(rows), 100 + n))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = decontaminate.overlaps(docs, spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want
+
+
 def test_leaks_and_copies_go_by_row_not_by_id(spark, tmp_path):
     import corpus_pipeline
 
