@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from herdlens.llm import common, decontaminate, partenum, pieces, suffixes, toxicity
 from herdlens.llm.queries import tokenizer_path
 
-#: A repeated passage has so many bytes: below 50 words of the shortest usual length.
-PASSAGE_BYTES = 250
+#: A repeated passage has so many words at least, of any length.
+PASSAGE_WORDS = 51
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that start anywhere else as well go from every text; ``n_chars`` follows."""
     common.table(spark, sf_dir, "documents")
-    kept = suffixes.deduplicate(docs, PASSAGE_BYTES)
+    kept = suffixes.deduplicate(docs, words=PASSAGE_WORDS)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
     return kept.select(*docs.columns)

@@ -19,6 +19,7 @@ table gives an empty result. Texts and strings are compared by 64-bit hashes whe
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,23 @@ _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BYTE = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+#: Scripts without blanks, each character of which counts as a word: Thai to Myanmar, Khmer, kana, Han.
+_UNSPACED = "".join(f"{chr(a)}-{chr(b)}" for a, b in [
+    (0x0E01, 0x109F), (0x1780, 0x17FF), (0x3041, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF)
+])
+WORD = f"[{_UNSPACED}]|[^ \t-\r{_UNSPACED}]+"
+
+
+def word_windows(text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of every run of so many words."""
+    at = np.array([m.span() for m in re.finditer(WORD, text)], np.int64).reshape(-1, 2)
+    code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    place = np.concatenate([[0], np.cumsum(1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))])
+    if len(at) < words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return place[at[: len(at) - words + 1, 0]], place[at[words - 1 :, 1]]
+
+
 def window_of(length: int) -> int:
     return max(1, length * 5 // 8 - GRAM)
 
@@ -253,10 +271,42 @@ def _counted(texts: DataFrame, places: DataFrame, length: int) -> DataFrame:
     return strings(True).join(twice, ["code", "head"]).groupBy("t").agg(F.collect_list("start").alias("found"))
 
 
-def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def _passages(runs: DataFrame, words: int, length: int) -> DataFrame:
+    """(t, shown, found) of (t, text, shown, found, count): only the bytes of runs of ``words`` words that stand elsewhere too.
+
+    Such a run of words lies inside the repeated strings, as all strings of ``length`` bytes in it are repeated; those
+    strings may be repeated at several places, so each run of words is counted by its own hash.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t, text, s, f, n in zip(*(batch.column(c).to_pylist() for c in ("t", "text", "shown", "found", "count")), strict=True):
+                first, last = word_windows(text, words)
+                raw = np.frombuffer(text.encode(), np.uint8)
+                begin, end = np.zeros(1, np.int64), np.array([len(raw)])  # a text of several rows is repeated as a whole
+                if n == 1:
+                    starts = np.array([x["pos"] for x in s or []] + (f or []), np.int64)
+                    begin, end = _cover(starts, np.array([x["pos"] + x["m"] for x in s or []] + [x + length for x in f or []], np.int64))
+                at = np.searchsorted(begin, first, side="right") - 1
+                inside = (at >= 0) & (last <= end[at])
+                first, size = first[inside], (last - first)[inside]
+                code = mix(_Hashes(raw).at(first, size) ^ size.astype(np.uint64)).view(np.int64)
+                for a in range(0, len(code), 200_000):
+                    p = slice(a, a + 200_000)
+                    columns = [np.full(len(code[p]), t), first[p], size[p], code[p]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["t", "pos", "m", "code"])
+
+    windows = common.written(runs.mapInArrow(run, "t bigint, pos bigint, m bigint, code bigint"), "windows")
+    twice = common.written(windows.groupBy("code").count().where("count > 1").select("code"), "passages")
+    shown = windows.join(twice, "code").groupBy("t").agg(F.collect_list(F.struct("pos", "m")).alias("shown"))
+    return shown.withColumn("found", F.lit(None).cast("array<bigint>"))
+
+
+def removals(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
     """What is cut from each text of (doc_id, text) rows that has repeats: t, n_removed, n_spans, kept (bytes).
 
     t is the hash of the text. A text of several rows that is long enough is cut whole, whether it is listed or not.
+    With ``words`` only what lies in repeated runs of so many words goes; ``length`` is the least they can have.
     """
     window = window_of(length)
     text = F.coalesce("text", F.lit(""))
@@ -293,6 +343,9 @@ def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found = _counted(texts.select("t", "text"), places, length)
     shown = places.where(F.col("m") >= length).groupBy("t").agg(F.collect_list(F.struct("pos", "m")).alias("shown"))
     marks = shown.join(found, "t", "full")
+    if words:
+        runs = texts.join(marks, "t", "left").join(counts.select("t", "count"), "t").where("count > 1 OR shown IS NOT NULL OR found IS NOT NULL")
+        marks = _passages(runs.select("t", "text", "shown", "found", "count"), words, length)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,11 +385,16 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     )
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` with the remaining text in ``text``, all rows and columns kept; a null text stays null."""
+def deduplicate(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
+    """``docs`` with the remaining text in ``text``, all rows and columns kept; a null text stays null.
+
+    With ``words`` runs of so many words that stand elsewhere too go, however few bytes they have, and nothing else.
+    """
     columns = docs.columns
+    length = 2 * words - 1 if words else length  # words of one byte with a blank between; a character that is a word has three
     key = F.xxhash64(F.coalesce("text", F.lit("")))
-    cuts = removals(docs.select("doc_id", "text"), length)
+    whole = F.regexp_count("text", F.lit(WORD)) >= words if words else F.octet_length("text") >= length
+    cuts = removals(docs.select("doc_id", "text"), length, words)
     twice = docs.select(key.alias("__t__")).groupBy("__t__").count().where("count > 1").select("__t__", F.lit(True).alias("__twice__"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,5 +404,5 @@ def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     kept = cuts.select("t", "kept").mapInArrow(decode, "__t__ bigint, __kept__ string")
     joined = docs.withColumn("__t__", key).join(common.written(kept.join(twice, "__t__", "full"), "per-text"), "__t__", "left")
-    text = F.when(F.col("__twice__") & (F.octet_length("text") >= length), F.lit("")).otherwise(F.coalesce("__kept__", "text"))
+    text = F.when(F.col("__twice__") & whole, F.lit("")).otherwise(F.coalesce("__kept__", "text"))
     return joined.withColumn("text", text).select(*columns)

@@ -266,6 +266,22 @@ def test_repeats_of_empty_tables_and_repeated_rows(spark, empty):
     assert sorted(r.text or "" for r in got) == ["", "", ""] and sum(r.text is None for r in got) == 1
 
 
+def test_passages_of_short_words_are_cut_and_those_of_few_words_stay(spark, tmp_path):
+    import corpus_pipeline
+
+    draw = np.random.default_rng(8)
+    short = " ".join("abcdefghij"[i] for i in draw.integers(0, 10, 51))
+    few, han = " ".join(f"{w}{'x' * 12}" for w in prose(81, 50).split()), "".join(chr(0x4E00 + i) for i in draw.integers(0, 3000, 60))
+    twice, own = prose(82, 70), [prose(90 + i, 25) for i in range(9)]
+    texts = [f"{own[0]} {short} {own[1]}", f"{own[2]} {short}", f"{own[3]} {few} q", f"{own[4]} {few} r", f"{own[5]} {han}", f"{han} {own[6]}", twice, twice, f"{own[7]} {twice}", few, few, None]
+    want = [f"{own[0]}  {own[1]}", f"{own[2]} ", texts[2], texts[3], f"{own[5]} ", f" {own[6]}", "", "", f"{own[7]} ", few, few, None]
+    docs = spark.createDataFrame([(i, t, None, None, len(t or "")) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert len(short) == 101 and len(few) > 250
+    got = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, docs, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_multikey_order_is_the_order_of_bytes():
     draw = np.random.default_rng(3)
     rows = [bytes(draw.integers(97, 99, draw.integers(0, 40)).astype(np.uint8)) for _ in range(500)]
