@@ -40,6 +40,15 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` once their last reader has written its own result."""
+    for table_ in tables:
+        spark = table_.sparkSession
+        for name in {f.rsplit("/", 1)[0] for f in table_.inputFiles()}:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(name)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

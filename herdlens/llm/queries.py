@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from herdlens.llm import common, decontaminate, language, partenum, pieces, quality, suffixes, tokens, toxicity, urls, winnowing
+from herdlens.llm import common, decontaminate, language, middle, partenum, pieces, quality, suffixes, tokens, toxicity, urls, whitening, windows, winnowing
 from herdlens.session import shared_folder
 
 
@@ -79,5 +79,22 @@ def op10_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.digests(common.table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_urls, op2_quality, op3_fingerprints, op4_jaccard, op5_pieces, op6_decontaminate, op7_tokens, op8_toxicity, op9_language, op10_suffixes)}
+def op11_middle(spark: SparkSession, folder: str) -> DataFrame:
+    docs = common.table(spark, folder, "documents").select("doc_id", "text")
+    made = middle.rearrange(docs)
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(middle.original("output", "form"), 256).alias("restored_sha256"),
+    )
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(common.table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return windows.digests(common.table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_urls, op2_quality, op3_fingerprints, op4_jaccard, op5_pieces, op6_decontaminate, op7_tokens, op8_toxicity, op9_language, op10_suffixes, op11_middle, op12_whitening, op13_windows)}
 SQL: dict[str, str] = {}
