@@ -51,7 +51,7 @@ def test_fim_cuts_and_reads_back_as_by_hand(spark):
     ids = [None if i % 17 == 5 else i // 2 for i in range(len(texts))]
     df = spark.createDataFrame(rows_of(texts, ids), SCHEMA).repartition(3)
     got = middle.rearrange(df).withColumn("back", middle.original("output", "form")).collect()
-    assert len(got) == len(texts) and {r.__t__ for r in got} == {1} and {r.lang for r in got} == {"en"}
+    assert len(got) == len(texts) and {r["__t__"] for r in got} == {1} and {r.lang for r in got} == {"en"}
     seen = set()
     for r in got:
         assert (r.n, r.form, r.prefix_chars, r.middle_chars, r.output) == fim_by_hand(r.doc_id, r.text)
