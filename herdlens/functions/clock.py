@@ -6,6 +6,7 @@ no hour is skipped or repeated.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,3 +51,8 @@ def seconds(micros: Column | str) -> Column:
 def event_time(ts: Column | str) -> Column:
     """Naive timestamp as the zoned type that watermarks accept."""
     return _column(ts).cast("timestamp")
+
+
+def micros(duration: str) -> int:
+    """A duration as ``"6 hours"`` in microseconds."""
+    return int(pd.Timedelta(duration).value // 1000)

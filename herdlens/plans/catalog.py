@@ -24,8 +24,9 @@ from herdlens.sources.layout import PARTITIONED
 from herdlens.sources.reports import read_reports
 from herdlens.streaming import energy as energy_stream
 from herdlens.streaming import frames as frame_stream
+from herdlens.streaming import late_energy, runs
 from herdlens.streaming import telemetry as telemetry_stream
-from herdlens.streaming.tables import append_table, change_table, closable, latest, write_end
+from herdlens.streaming.tables import append_table, change_table, closable, latest, write_end, write_ends
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -521,7 +522,7 @@ def score_stream(spark: SparkSession, folder: str) -> DataFrame:
     frames = tables.frames(tables.stream_table(spark, folder, "embeddings"))
     model = tables.linear_model(SHAPE[0] * SHAPE[1])
     means = frame_stream.running_weights(frames, model, 8.0, 5.0, SHAPE, CLIP, 3)
-    finish(change_table(means, out, check))
+    finish(change_table(means, out, check, keys=selection.PASSAGE))
     return rounded(latest(spark, out, selection.PASSAGE), 4, "mean_weight")
 
 
@@ -555,3 +556,51 @@ def telemetry_stream_windows(spark: SparkSession, folder: str) -> DataFrame:
     write_end(readings, ends, "timestamp")
     finish(append_table(windows, out, check))
     return rounded(spark.read.parquet(out), 6, "mean")
+
+
+# --- streams by the time of each run ----------------------------------------------------------------
+
+
+def _run_stream(results: DataFrame, out: str, check: str, ends: str, keys: Sequence[str], timestamp: str, rows: DataFrame) -> None:
+    """Run a stream over what is there, then once more over the ends of its keys."""
+    finish(runs.run_table(results, out, check))
+    write_ends(rows, ends, keys, timestamp)
+    finish(runs.run_table(results, out, check))
+
+
+@query
+def telemetry_stream_by_run(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows of every run by its own clock: no run is late because another one is newer."""
+    out, check, ends = (shared_folder(spark, name) for name in ("run-windows", "run-windows-check", "run-windows-end"))
+    readings = tables.power_readings(tables.stream_table(spark, folder, "events"))
+    windows = runs.utilisation_by_run(closable(readings, ends), "Power[W]", "6 hours", "30 days")
+    _run_stream(windows, out, check, ends, ["pid"], "timestamp", tables.power_readings(tables.table(spark, folder, "events")))
+    return rounded(spark.read.parquet(out).where("NOT late").drop("late"), 6, "mean")
+
+
+@query
+def passage_stream_by_run(spark: SparkSession, folder: str) -> DataFrame:
+    out, check, ends = (shared_folder(spark, name) for name in ("run-passages", "run-passages-check", "run-passages-end"))
+    shape = lambda events: tables.frame_events(events).withColumn("elapsed", F.col("weight"))
+    over = runs.passages_by_run(closable(shape(tables.stream_table(spark, folder, "events")), ends), tables.GAP, "30 days", 100.0)
+    _run_stream(over, out, check, ends, selection.PASSAGE, "ts", shape(tables.table(spark, folder, "events")))
+    return rounded(spark.read.parquet(out).where("NOT late").drop("late"), 6, "mean_weight")
+
+
+@query
+def raw_frame_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw frames, whose start no one tells: horizon, selection, enhancement, scoring and counters on the stream."""
+    out, check, ends = (shared_folder(spark, name) for name in ("run-frames", "run-frames-check", "run-frames-end"))
+    raw = tables.frames(tables.stream_table(spark, folder, "embeddings")).drop("elapsed")
+    model = tables.linear_model(SHAPE[0] * SHAPE[1])
+    scored = runs.scored_passages(closable(raw, ends), model, tables.RAW_PASSAGE, tables.RAW_WINDOW, "1 day", CLIP, SHAPE, 3)
+    _run_stream(scored, out, check, ends, selection.PASSAGE, "ts", tables.frames(tables.table(spark, folder, "embeddings")).drop("elapsed"))
+    return rounded(runs.passage_results(spark.read.parquet(out)), 4, "mean_weight")
+
+
+@query
+def energy_stream_any_order(spark: SparkSession, folder: str) -> DataFrame:
+    out, check = shared_folder(spark, "run-energy"), shared_folder(spark, "run-energy-check")
+    readings = tables.power_readings(tables.stream_table(spark, folder, "events"))
+    finish(late_energy.integrate_any_order(readings, out, check, "2 days", "6 hours"))
+    return rounded(late_energy.energy_so_far(spark, out), 6, "energy_wh", "energy_kwh")

@@ -215,6 +215,13 @@ rec AS (
 _MEMORY_COLUMNS = ("total", "available", "used", "percent", "free", "active", "inactive", "buffers", "cached")
 _MEASURES = ("throughput_per_hour", "fps", "mean_latency_us")
 
+_PASSAGES = f"""
+        WITH {_ELAPSED}, {_SESSIONS}
+        SELECT pid, animal, min(ts) AS session_start, max(ts) + to_microseconds({_GAP_US}) AS session_end,
+               count(*) AS total_of_images, count(*) FILTER (WHERE value <= 100) AS suitable_images,
+               round(avg(value) FILTER (WHERE value <= 100), 6) AS mean_weight
+        FROM numbered GROUP BY pid, animal, session"""
+
 CHECKS: dict[str, str] = {
     "animal_metrics": _ANIMALS,
     "report_roundtrip": _ANIMALS,
@@ -373,12 +380,24 @@ CHECKS: dict[str, str] = {
         SELECT pid, animal, min(ts) AS session_start, max(ts) AS session_last, count(*) AS frames,
                round(avg(value), 6) AS mean_weight
         FROM numbered GROUP BY pid, animal, session""",
-    "passage_stream": f"""
-        WITH {_ELAPSED}, {_SESSIONS}
-        SELECT pid, animal, min(ts) AS session_start, max(ts) + to_microseconds({_GAP_US}) AS session_end,
-               count(*) AS total_of_images, count(*) FILTER (WHERE value <= 100) AS suitable_images,
-               round(avg(value) FILTER (WHERE value <= 100), 6) AS mean_weight
-        FROM numbered GROUP BY pid, animal, session""",
+    "passage_stream": _PASSAGES,
+    "telemetry_stream_by_run": """
+        SELECT CAST(user_id AS VARCHAR) AS pid, time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS window_start,
+               count(*) AS readings, round(avg(value), 6) AS mean
+        FROM events GROUP BY 1, 2""",
+    "passage_stream_by_run": _PASSAGES,
+    "raw_frame_stream": f"""
+        WITH raw AS (
+            SELECT label, vec_id, vec_id - min(vec_id) OVER (PARTITION BY label) AS elapsed FROM embeddings),
+        counted AS (
+            SELECT CAST(label % 3 AS VARCHAR) AS pid, label AS animal, count(*) AS total_of_images,
+                   count(*) FILTER (WHERE elapsed <= 200) AS suitable_images,
+                   TIMESTAMP '2024-01-01' + to_seconds(min(vec_id)) AS first_image_capture_time,
+                   TIMESTAMP '2024-01-01' + to_seconds(max(vec_id)) AS last_image_capture_time
+            FROM raw WHERE elapsed < 400 GROUP BY label),
+        weighed AS ({_animal_scores("img IN (SELECT vec_id FROM raw WHERE elapsed <= 200)")})
+        SELECT counted.*, mean_weight, scored_images FROM counted JOIN weighed USING (pid, animal)""",
+    "energy_stream_any_order": _ENERGY,
     "cpu_log_roundtrip": f"""
         WITH {_CPU}
         SELECT pid, {_times(_totals("cpu_core_0", "cpu_core_1", "cpu_core_2", "cpu_core_3", "cpu_mean"))} FROM c GROUP BY pid""",

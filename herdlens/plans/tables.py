@@ -17,6 +17,9 @@ from herdlens.operators.selection import PASSAGE
 PASSAGE_TIME = 1_728_000.0
 WINDOW = 864_000.0
 GAP = 1_800.0
+# For frames that come a second apart.
+RAW_PASSAGE = 400.0
+RAW_WINDOW = 200.0
 
 # An invented key; a real device's key is the caller's to give.
 DEMO_KEY = bytes(range(32))
