@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from herdlens.llm.common import written
+from herdlens.llm.common import dropped, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,20 +17,28 @@ def components(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").where("a <> b").distinct()
     live = written(both, "edges")
     placed = live.select(F.col("a").alias("vertex")).union(live.select("b")).distinct().select("vertex", F.col("vertex").alias("root"))
+    made: list[DataFrame] = []  # what the round before has read last
     while True:
         turned = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         move = turned.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("v"), F.least("a", "b").alias("to"))
         move = written(move, "moves")  # a root has many places: its join can be split only if both sides come from a shuffle
         for _ in range(2):
             nxt = move.select(F.col("v").alias("to"), F.col("to").alias("further"))
-            move = written(move.join(nxt, "to", "left").select("v", F.coalesce("further", "to").alias("to")), "moves")
+            further = written(move.join(nxt, "to", "left").select("v", F.coalesce("further", "to").alias("to")), "moves")
+            dropped(move)
+            move = further
+        before = made
+        made = [live, move]
         placed = written(
             placed.join(move.withColumnRenamed("v", "root"), "root", "left").select("vertex", F.coalesce("to", "root").alias("root")), "places"
         )
+        made.append(placed)
         a = move.select(F.col("v").alias("a"), F.col("to").alias("x"))
         b = move.select(F.col("v").alias("b"), F.col("to").alias("y"))
         live = written(
             live.join(a, "a").join(b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct(), "edges"
         )
+        dropped(*before)
         if live.isEmpty():
+            dropped(live, *made[:2])
             return placed

@@ -3,10 +3,12 @@
 A text's set is its distinct word shingles. Two texts link when their sets' Jaccard similarity reaches ``percent``.
 Sets fall into bands of sizes ``(upper * percent / 100, upper]``; a linked pair lies in one band or in two adjacent
 ones, and each set signs for its own band and the one below. Within a band, linked sets differ in at most
-``k = upper * (100 - percent) / percent`` shingles. The shingle domain is cut into more than k parts, so at least one
-part holds no difference and its hash is a shared signature; ``r`` further parts make it r + 1. A set leaves out its
-parts of fewer than two shingles, which too many sets share, if there are at most r of them: of r + 1 equal parts one
-remains. Where k is 1 or 2, all subsets that lack so many shingles are enumerated instead.
+``k = upper * (100 - percent) / percent`` shingles. The shingle domain is cut into more than k / 2 parts, so at least one
+part holds at most one difference, and each part into three sub-parts, of which one at most is spoiled then: of the
+enumerated subsets of two sub-parts one at least is the same in both sets, and its hash is a shared signature. With
+``r`` further parts there are r + 1 such parts. A set leaves out its subsets of fewer than two shingles, which too many
+sets share, if at most r of its parts have any: of r + 1 parts one remains. Where k is 1 or 2, all subsets of the whole
+set that lack so many shingles are enumerated instead.
 
 Texts with equal sets are one vertex. Vertices that share signatures form clusters; each is compared with its cluster's
 pivot, the vertex that shares most. Of the others, two can only link if their differences from the pivot have enough
@@ -32,6 +34,11 @@ from pyspark.sql import functions as F
 from herdlens.llm import common, shingles
 from herdlens.llm.components import components
 
+#: Sub-parts of a part; a signature has all but one of them.
+SUBPARTS = 3
+#: Counters in which all shingles of compared texts are counted, as a measure of how common one is.
+COUNTERS = 1 << 19
+
 
 def row_key() -> Column:
     """What tells rows of (doc_id, text) apart; a null text is an empty one."""
@@ -69,21 +76,21 @@ def bands(percent: int, most: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def cells(upper: np.ndarray, slack: np.ndarray, percent: int) -> np.ndarray:
-    """Cells of the domain in a band: one more than differences, and as many again as will hold hardly a shingle."""
-    lower, need = np.maximum(1, upper * percent // 100), slack + 1
+def parts_of(upper: np.ndarray, slack: np.ndarray, percent: int) -> np.ndarray:
+    """Parts of the domain in a band: so many that one has at most one difference, and as many again as will be nearly empty."""
+    lower, need = np.maximum(1, upper * percent // 100), slack // 2 + 1
     count = need.copy()
     for _ in range(8):
-        mean = lower / count
-        count = np.minimum(need + (1.5 * count * np.exp(-mean) * (1 + mean)).astype(np.int64) + 1, 2 * need)
-    return 2 * -(-count // 2)
+        mean = lower * (SUBPARTS - 1) / (count * SUBPARTS)
+        count = np.minimum(need + (1.5 * SUBPARTS * count * np.exp(-mean) * (1 + mean)).astype(np.int64) + 1, 2 * need)
+    return count
 
 
 def signatures(size: np.ndarray, own: np.ndarray, value: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, signature) rows of the sets of one chunk."""
     limits = bands(percent, int(size.max(initial=1)))
     slacks = limits * (100 - percent) // percent
-    counts = cells(limits, slacks, percent)
+    counts = parts_of(limits, slacks, percent)
     # Where few differences are possible all subsets without so many shingles are listed instead.
     listed = (slacks == 1) | ((slacks == 2) & (limits <= 20))
     band = np.searchsorted(limits, size)
@@ -103,19 +110,25 @@ def signatures(size: np.ndarray, own: np.ndarray, value: np.ndarray, percent: in
         base = np.cumsum(n) - n
         use = n[own] > 0
         o = own[use]
-        cell = base[o] + (spread[use] % np.maximum(1, n[o]).astype(np.uint64)).astype(np.int64)
-        total, m = int(n.sum()), mixed[use]
+        cell = SUBPARTS * base[o] + (spread[use] % np.maximum(1, SUBPARTS * n[o]).astype(np.uint64)).astype(np.int64)
+        total, m = SUBPARTS * int(n.sum()), mixed[use]
         low = np.bincount(cell, (m & np.uint64(0xFFFFFFFF)).astype(np.float64), total).astype(np.uint64)
         high = np.bincount(cell, (m >> np.uint64(32)).astype(np.float64), total).astype(np.uint64)
+        summed = shingles.mix(low + (high << np.uint64(32)) + high).reshape(-1, SUBPARTS)
+        held = np.bincount(cell, minlength=total).reshape(-1, SUBPARTS)
+        # All subsets of a part's sub-parts that lack one.
+        held = held.sum(axis=1, keepdims=True) - held
+        sign = summed.sum(axis=1, keepdims=True, dtype=np.uint64) - summed
         owner = np.repeat(np.arange(len(size)), n)
-        within = np.arange(total) - base[owner]
-        # A linked pair has more equal cells than a set has nearly empty ones, unless it has very many.
-        empty = np.bincount(cell, minlength=total) <= 1
-        spare = (n - slacks[at] - 1)[owner]
-        keep = ~empty | (np.bincount(owner, empty, len(size))[owner] > spare)
-        sign = shingles.mix(low + (high << np.uint64(32)) + high)
-        sign = shingles.mix(sign ^ shingles.mix((within * 131071 + label[owner]).astype(np.uint64)))
-        texts.append(owner[keep])
+        within = np.arange(len(owner)) - base[owner]
+        place = (within[:, None] * SUBPARTS + np.arange(SUBPARTS)) * 131071 + label[owner][:, None]
+        sign = shingles.mix(shingles.mix(sign) ^ shingles.mix(place.astype(np.uint64)))
+        # A linked pair has more parts with at most one difference than a set has parts with nearly empty subsets,
+        # unless it has very many.
+        bare = held <= 1
+        poor = np.bincount(owner, bare.any(axis=1), len(size))
+        keep = ~bare | (poor[owner] > (n - slacks[at] // 2 - 1)[owner])[:, None]
+        texts.append(np.repeat(owner, keep.sum(axis=1)))
         signs.append(sign[keep].view(np.int64))
     return np.concatenate(texts), np.concatenate(signs)
 
@@ -151,7 +164,7 @@ def _members(docs: DataFrame, width: int, percent: int) -> DataFrame:
     spark, one_in = docs.sparkSession, 64
     signed = _signed(docs, width, percent)
     # A signature with more than a twentieth of a task's share of rows: at most 20 * tasks of them, known from a sample.
-    sample = _signed(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0), width, percent)
+    sample = _signed(docs.where(F.pmod(row_key(), F.lit(one_in)) == 0), width, percent)
     counts = common.written(sample.groupBy("sign").count(), "frequent")
     total = counts.agg(F.sum("count")).first()[0] or 0
     least = max(16, total // (20 * common.tasks(docs)))
@@ -160,7 +173,41 @@ def _members(docs: DataFrame, width: int, percent: int) -> DataFrame:
     rest = signed.join(F.broadcast(frequent), "sign", "left_anti")
     low, high = F.expr("min(vertex) OVER (PARTITION BY sign)"), F.expr("max(vertex) OVER (PARTITION BY sign)")
     shared = rest.select("sign", "vertex", low.alias("low"), high.alias("high")).where("low < high").select("sign", "vertex").distinct()
-    return common.written(shared.union(spread), "members")
+    members = common.written(shared.union(spread), "members")
+    common.dropped(counts)
+    return members
+
+
+def _commonness(texts: DataFrame, width: int) -> np.ndarray:
+    """How many shingles of all texts fall on each counter, from 0 to 255 on a logarithmic scale.
+
+    It orders shingles, rare ones first, and nothing depends on it but the number of pairs to verify. A task counts
+    into one array, and arrays are added in slices, so that neither tasks nor the driver hold more than COUNTERS numbers.
+    """
+    slices = 64
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for _, _, _, value in shingles.sets(batch.column("text"), width):
+                total += np.bincount((value >> np.uint64(45)).astype(np.int64), minlength=COUNTERS)
+        cut = np.minimum(total, 65_535).astype("<u2").reshape(slices, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(slices)), pa.array([c.tobytes() for c in cut], pa.binary())], names=["slice", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, total = 0, np.zeros(COUNTERS // slices, np.int64)
+        for batch in batches:
+            for number, counts in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                total += np.frombuffer(counts, "<u2")
+        scaled = np.minimum(255, 8 * np.log2(1 + total)).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([scaled.tobytes()], pa.binary())], names=["slice", "scaled"])
+
+    parts = texts.select("text").mapInArrow(count, "slice bigint, counts binary")
+    rows = parts.groupBy("slice").applyInArrow(add, "slice bigint, scaled binary").collect()  # COUNTERS bytes
+    out = np.zeros((slices, COUNTERS // slices), np.uint8)
+    for row in rows:
+        out[row["slice"]] = np.frombuffer(row["scaled"], np.uint8)
+    return out.ravel()
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -186,13 +233,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return _with_texts(pairs, texts).mapInArrow(run, "a bigint, b bigint")
 
 
-def _against_pivot(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _against_pivot(pairs: DataFrame, texts: DataFrame, width: int, percent: int, commonness: np.ndarray) -> DataFrame:
     """Each vertex a against its pivot b: linked, distance, slack, and the first shingles of their difference.
 
     ``slack`` bounds the distance of the vertex from anything it links with. Differences are ordered by whether the
-    pivot has the shingle (what it lacks comes first, being rarer), then by hash: one order for all its vertices.
+    pivot has the shingle (what it lacks comes first, being rarer), then by how common it is in all texts, then by hash:
+    one order for all its vertices, in which a passage that many of them share comes last.
     """
 
+    def rare_first(values: np.ndarray) -> np.ndarray:
+        return values[np.lexsort((values, commonness[(values >> np.uint64(45)).astype(np.int64)]))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked, distance, slack, first = [], [], [], []
@@ -201,7 +252,7 @@ def _against_pivot(pairs: DataFrame, texts: DataFrame, width: int, percent: int)
                 linked.append(_linked(x, y, percent))
                 distance.append(len(added) + len(lacking))
                 slack.append(len(x) * (100 - percent) // percent)
-                first.append(np.concatenate([np.sort(added), np.sort(lacking)])[: slack[-1] + 1].view(np.int64))
+                first.append(np.concatenate([rare_first(added), np.sort(lacking)])[: slack[-1] + 1].view(np.int64))
             kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
             made = [pa.array(v, k) for v, k in zip((linked, distance, slack, first), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *made], names=["a", "b", "linked", "distance", "slack", "first"])
@@ -252,10 +303,14 @@ def _placed(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
     clusters = components(members.join(lowest, "sign").where("vertex <> b").select(F.col("vertex").alias("a"), "b"))
     pivots = clusters.join(shares, "vertex").groupBy("root").agg(F.max(F.struct("shares", "vertex")).alias("pivot")).select("root", F.col("pivot.vertex").alias("b"))
     pairs = clusters.join(pivots, "root").where("vertex <> b").select(F.col("vertex").alias("a"), "b")
-    compared = common.written(_against_pivot(pairs, texts, width, percent), "compared")
+    compared = common.written(_against_pivot(pairs, texts, width, percent, _commonness(texts, width)), "compared")
+    common.dropped(members, clusters)
     links = compared.where("linked").select("a", "b")
     more = common.written(_verified(_candidates(compared), texts, width, percent), "links")
-    return keys, classes, components(links.union(more))
+    common.dropped(texts)
+    places = components(links.union(more))
+    common.dropped(compared, more)
+    return keys, classes, places
 
 
 def join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
