@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,29 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A setting for the jobs inside; the caller's session has its own again afterwards."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` has not got in any case."""
+    taken = {c.lower() for c in df.columns}
+    made = f"__{name}__"
+    while made in taken:
+        made += "_"
+    return made
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables made by ``written`` once their last reader has written its own result."""
     for table_ in tables:

@@ -1,5 +1,7 @@
 """Suffix-array dedup: every byte of a string of ``length`` bytes that also starts somewhere else goes.
 
+Units are bytes or, for passages of so many words, words (``WORDS``); what follows holds for either.
+
 Equal texts are one text with a count. In each text some suffixes are sampled by content: of the first ``window``
 positions of every string of ``length`` bytes, the one with the smallest k-gram hash, so that equal strings sample the
 same place in themselves. A sampled suffix whose first ``length - window`` bytes are unique cannot be in a repeated
@@ -10,7 +12,8 @@ p .. p + m - length are repeated. What is left are the strings just before a sam
 repeat; they are the same string only at the same distance before suffixes with equal beginnings, and are counted
 there by hash.
 
-Cases: null and empty texts have no bytes; texts shorter than ``length`` lose nothing; a text that occurs in several
+Cases: extra columns may have any name; texts of any length keep their places, as these are 64-bit numbers and their
+order among hashes has 32 bits; null and empty texts have no bytes; texts shorter than ``length`` lose nothing; a text that occurs in several
 rows loses everything if it is that long; rows that repeat a doc_id, and null ids, are rows as any other; an empty
 table gives an empty result. Texts and strings are compared by 64-bit hashes where they are not compared in full.
 ``kept_text`` is the remaining bytes as UTF-8, a cut character becoming U+FFFD.
@@ -19,18 +22,19 @@ table gives an empty result. Texts and strings are compared by 64-bit hashes whe
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from herdlens.llm import common
+from herdlens.llm import common, windows
 from herdlens.llm.shingles import mix, powers
 
 LENGTH, GRAM = 400, 16
+#: Words of a repeated passage.
+PASSAGE = 51
 CHUNK_BYTES = 1_000_000
 BUCKET_ROWS = 20_000
 _BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -39,51 +43,112 @@ _BYTE = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) * n
 
 
 #: Scripts without blanks, each character of which counts as a word: Thai to Myanmar, Khmer, kana, Han.
-_UNSPACED = "".join(f"{chr(a)}-{chr(b)}" for a, b in [
-    (0x0E01, 0x109F), (0x1780, 0x17FF), (0x3041, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF)
-])
-WORD = f"[{_UNSPACED}]|[^ \t-\r{_UNSPACED}]+"
+UNSPACED = [(0x0E01, 0x109F), (0x1780, 0x17FF), (0x3041, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF)]
+_CLASS = "".join(f"{chr(a)}-{chr(b)}" for a, b in UNSPACED)
+WORD = f"[{_CLASS}]|[^ \t-\r{_CLASS}]+"
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def _unspaced(raw: np.ndarray) -> np.ndarray:
+    """Which bytes belong to a character of a script without blanks."""
+    out = np.zeros(len(raw), bool)
+    padded = np.concatenate([raw, np.zeros(3, np.uint8)]).astype(np.int64)
+    for lead, size in ((0xE0, 3), (0xF0, 4)):
+        at = np.flatnonzero(raw & (0xF0 if size == 3 else 0xF8) == lead)
+        code = padded[at] & (0x0F if size == 3 else 0x07)
+        for k in range(1, size):
+            code = code << 6 | padded[at + k] & 0x3F
+        at = at[np.any([(code >= a) & (code <= b) for a, b in UNSPACED], axis=0)]
+        for k in range(size):
+            out[at + k] = True
+    return out
+
+
+class Words:
+    """The words of a chunk of texts as units: hashes, the unit each text begins with, units of each text, byte spans."""
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+        blank, alone = _BLANK[raw], _unspaced(raw)
+        lead = (raw & 0xC0) != 0x80
+        begins = ~blank & lead
+        begins[1:] &= alone[1:] | blank[:-1] | alone[:-1]
+        first = offsets[:-1][np.diff(offsets) > 0]
+        begins[first] = ~blank[first]
+        ends = ~blank
+        ends[:-1] &= blank[1:] | begins[1:]
+        ends[first[1:] - 1] = ~blank[first[1:] - 1]
+        self.begin, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        self.values = mix(_Hashes(_BYTE[raw]).at(self.begin, self.end - self.begin) ^ (self.end - self.begin).astype(np.uint64))
+        place = np.searchsorted(self.begin, offsets)
+        self.first, self.size = place[:-1], np.diff(place)
+
+    def cut(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes from the first unit of a run to the end of its last."""
+        return self.begin[first], self.end[last - 1]
+
+    def context(self, first: int, last: int) -> bytes:
+        return self.values[first:last].astype(">u8").tobytes()
+
+
+class Bytes:
+    """The bytes of a chunk of texts as units."""
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+        self.raw, self.values = raw, _BYTE[raw]
+        self.first, self.size = offsets[:-1], np.diff(offsets)
+
+    def cut(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return first, last
+
+    def context(self, first: int, last: int) -> bytes:
+        return self.raw[first:last].tobytes()
+
 
+class Kind:
+    """What texts are cut into: the units, their bytes in a context, and how many make the k-gram that samples."""
 
-def word_windows(text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """First byte and end of every run of so many words."""
-    at = np.array([m.span() for m in re.finditer(WORD, text)], np.int64).reshape(-1, 2)
-    code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    place = np.concatenate([[0], np.cumsum(1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))])
-    if len(at) < words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return place[at[: len(at) - words + 1, 0]], place[at[words - 1 :, 1]]
+    def __init__(self, units: type, width: int, gram: int):
+        self.units, self.width, self.gram = units, width, gram
 
+    def window(self, length: int) -> int:
+        return max(1, length * 5 // 8 - self.gram)
 
-def window_of(length: int) -> int:
-    return max(1, length * 5 // 8 - GRAM)
+
+BYTES, WORDS = Kind(Bytes, 1, GRAM), Kind(Words, 8, 8)
+
+
+def _alone(kind: Kind, text: str) -> Bytes | Words:
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return kind.units(raw, np.array([0, len(raw)]))
 
 
 class _Hashes:
-    """Hashes of any substring of one chunk of bytes, from running sums."""
+    """Hashes of any run of units of one chunk, from running sums."""
 
-    def __init__(self, buffer: np.ndarray):
-        n = len(buffer)
-        self.running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[buffer] * powers(_BASE, n), dtype=np.uint64)])
+    def __init__(self, values: np.ndarray):
+        n = len(values)
+        self.running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers(_BASE, n), dtype=np.uint64)])
         self.back = powers(_BASE_INVERSE, n + 1)
 
     def at(self, begin: np.ndarray, size) -> np.ndarray:
         return mix((self.running[begin + size] - self.running[begin]) * self.back[begin] + np.uint64(1))
 
 
-def sampled(buffer: np.ndarray, first: np.ndarray, size: np.ndarray, length: int):
+def sampled(units: Bytes | Words, kind: Kind, length: int):
     """Sampled suffixes of a chunk: text, position in it, least and most distance of the strings they stand for, hashes.
 
-    The strings are those of ``length`` bytes inside one text; each belongs to one suffix.
+    The strings are those of ``length`` units inside one text; each belongs to one suffix.
     """
-    window, none = window_of(length), np.zeros(0, np.int64)
-    n = len(buffer)
+    window, none = kind.window(length), np.zeros(0, np.int64)
+    first, size, n = units.first, units.size, len(units.values)
     if n < length or not (size >= length).any():
-        return none, none, none, none, none, none
-    hashes = _Hashes(buffer)
-    spots = n - GRAM + 1
-    value = hashes.at(np.arange(spots), GRAM)
-    value = (value & ~np.uint64((1 << 28) - 1)) | np.arange(spots, dtype=np.uint64)  # ties: the leftmost
+        return none, none, none, none, none, none, none
+    gram = min(kind.gram, length)
+    hashes = _Hashes(units.values)
+    spots = n - gram + 1
+    value = hashes.at(np.arange(spots), gram)
+    value = (value >> np.uint64(32) << np.uint64(32)) | np.arange(spots, dtype=np.uint64)  # ties: the leftmost
     # Least of every ``window`` spots: from the two blocks it touches.
     blocks = -(-spots // window) + 1
     padded = np.full(blocks * window, np.iinfo(np.uint64).max, np.uint64)
@@ -92,7 +157,7 @@ def sampled(buffer: np.ndarray, first: np.ndarray, size: np.ndarray, length: int
     ahead = np.minimum.accumulate(grid, axis=1).ravel()
     behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
     starts = np.concatenate([np.arange(f, f + s - length + 1) for f, s in zip(first.tolist(), size.tolist(), strict=True) if s >= length])
-    place = (np.minimum(behind[starts], ahead[starts + window - 1]) & np.uint64((1 << 28) - 1)).astype(np.int64)
+    place = (np.minimum(behind[starts], ahead[starts + window - 1]) & np.uint64((1 << 32) - 1)).astype(np.int64)
     owner = np.searchsorted(first, starts, side="right") - 1
     cut = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])]))
     last = np.concatenate([cut[1:], [len(starts)]]) - 1
@@ -101,23 +166,23 @@ def sampled(buffer: np.ndarray, first: np.ndarray, size: np.ndarray, length: int
     head = hashes.at(at, length - window)
     reach = np.minimum(end - at, length + window)
     whole = mix(hashes.at(at, reach) + reach.astype(np.uint64))
-    return text, at - first[text], at - starts[last], at - starts[cut], head.view(np.int64), whole.view(np.int64)
+    return text, at - first[text], at - starts[last], at - starts[cut], reach, head.view(np.int64), whole.view(np.int64)
 
 
-def _suffixes(texts: DataFrame, length: int) -> DataFrame:
-    """Rows (t, pos, near, far, head, whole) of the sampled suffixes of (t, text) rows."""
+def _suffixes(texts: DataFrame, kind: Kind, length: int) -> DataFrame:
+    """Rows (t, pos, near, far, reach, head, whole) of the sampled suffixes of (t, text) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = common.text_bytes(batch.column("text"))
             key, size = batch.column("t").to_numpy(zero_copy_only=False), np.diff(offsets)
             for a, b in common.chunks(size, CHUNK_BYTES):
-                text, *rest = sampled(raw[offsets[a] : offsets[b]], offsets[a:b] - offsets[a], size[a:b], length)
+                text, *rest = sampled(kind.units(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), kind, length)
                 if len(text):
-                    names = ["t", "pos", "near", "far", "head", "whole"]
+                    names = ["t", "pos", "near", "far", "reach", "head", "whole"]
                     yield pa.RecordBatch.from_arrays([pa.array(key[a + text]), *map(pa.array, rest)], names=names)
 
-    return texts.mapInArrow(run, "t bigint, pos bigint, near bigint, far bigint, head bigint, whole bigint")
+    return texts.mapInArrow(run, "t bigint, pos bigint, near bigint, far bigint, reach bigint, head bigint, whole bigint")
 
 
 def multikey_order(rows: list[bytes]) -> np.ndarray:
@@ -148,12 +213,11 @@ def common_prefix(a: bytes, b: bytes) -> int:
     return int(differ.argmax()) if differ.any() else n
 
 
-def _neighbours(contexts: DataFrame) -> DataFrame:
-    """(head, whole, m): the longest common prefix of each distinct context with another one."""
+def _neighbours(contexts: DataFrame, width: int) -> DataFrame:
+    """(head, whole, m): the longest common prefix, in units of ``width`` bytes, of each distinct context with another one."""
     rows = contexts.count()
     buckets = max(common.tasks(contexts), -(-rows // BUCKET_ROWS))
     # Splitters are whole contexts: few for each bucket, so that their sample stays small at the driver.
-    contexts.sparkSession.conf.set("spark.sql.execution.rangeExchange.sampleSizePerPartition", "20")
     dealt = contexts.repartitionByRange(buckets, "context")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +238,8 @@ def _neighbours(contexts: DataFrame) -> DataFrame:
             columns = [part.column(c).take(pa.array(order[at])).combine_chunks() for c in ("head", "whole")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(most[at]), pa.array(edge[at], pa.binary())], names=["head", "whole", "m", "edge"])
 
-    sorted_rows = common.written(dealt.mapInArrow(run, "head bigint, whole bigint, m bigint, edge binary"), "sorted")
+    with common.setting(contexts.sparkSession, "spark.sql.execution.rangeExchange.sampleSizePerPartition", "20"):
+        sorted_rows = common.written(dealt.mapInArrow(run, "head bigint, whole bigint, m bigint, edge binary"), "sorted")
     # The last suffix of a bucket and the first of the next one: two rows of each bucket.
     edges = sorted_rows.where("edge IS NOT NULL").select("head", "whole", "edge")
     beside = edges.selectExpr("head", "whole", "edge", "lag(edge) OVER (ORDER BY edge) AS before", "lead(edge) OVER (ORDER BY edge) AS after")
@@ -188,7 +253,8 @@ def _neighbours(contexts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("head"), batch.column("whole"), pa.array(most, pa.int64())], names=["head", "whole", "m"])
 
     across = beside.mapInArrow(compare, "head bigint, whole bigint, m bigint")
-    return sorted_rows.select("head", "whole", "m").union(across).groupBy("head", "whole").agg(F.max("m").alias("m"))
+    longest = sorted_rows.select("head", "whole", "m").union(across).groupBy("head", "whole").agg(F.max("m").alias("m"))
+    return longest.withColumn("m", (F.col("m") / width).cast("bigint"))
 
 
 def _cover(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,7 +294,7 @@ def _open(places: DataFrame, length: int) -> DataFrame:
     return per_text.mapInArrow(run, "head bigint, t bigint, pos bigint, low bigint, high bigint")
 
 
-def _counted(texts: DataFrame, places: DataFrame, length: int) -> DataFrame:
+def _counted(texts: DataFrame, places: DataFrame, kind: Kind, length: int) -> DataFrame:
     """(t, found): starts of repeated strings that only their hash shows; ``texts`` has (t, text)."""
     own = common.written(_open(places, length), "open")
     groups = common.written(own.groupBy("head").agg(F.min("low").alias("least"), F.max("high").alias("most")), "groups")
@@ -246,7 +312,7 @@ def _counted(texts: DataFrame, places: DataFrame, length: int) -> DataFrame:
                         s = [x for x in s if x["low"] is not None]
                         if not s:
                             continue
-                    hashes = _Hashes(raw[offsets[i] : offsets[i + 1]])
+                    hashes = _Hashes(kind.units(raw[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]])).values)
                     count = np.array([x["far"] - x["near"] + 1 for x in s])
                     which = np.repeat(np.arange(len(s)), count)
                     far = np.array([x["far"] for x in s])[which] - (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
@@ -271,53 +337,22 @@ def _counted(texts: DataFrame, places: DataFrame, length: int) -> DataFrame:
     return strings(True).join(twice, ["code", "head"]).groupBy("t").agg(F.collect_list("start").alias("found"))
 
 
-def _passages(runs: DataFrame, words: int, length: int) -> DataFrame:
-    """(t, shown, found) of (t, text, shown, found, count): only the bytes of runs of ``words`` words that stand elsewhere too.
-
-    Such a run of words lies inside the repeated strings, as all strings of ``length`` bytes in it are repeated; those
-    strings may be repeated at several places, so each run of words is counted by its own hash.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t, text, s, f, n in zip(*(batch.column(c).to_pylist() for c in ("t", "text", "shown", "found", "count")), strict=True):
-                first, last = word_windows(text, words)
-                raw = np.frombuffer(text.encode(), np.uint8)
-                begin, end = np.zeros(1, np.int64), np.array([len(raw)])  # a text of several rows is repeated as a whole
-                if n == 1:
-                    starts = np.array([x["pos"] for x in s or []] + (f or []), np.int64)
-                    begin, end = _cover(starts, np.array([x["pos"] + x["m"] for x in s or []] + [x + length for x in f or []], np.int64))
-                at = np.searchsorted(begin, first, side="right") - 1
-                inside = (at >= 0) & (last <= end[at])
-                first, size = first[inside], (last - first)[inside]
-                code = mix(_Hashes(raw).at(first, size) ^ size.astype(np.uint64)).view(np.int64)
-                for a in range(0, len(code), 200_000):
-                    p = slice(a, a + 200_000)
-                    columns = [np.full(len(code[p]), t), first[p], size[p], code[p]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["t", "pos", "m", "code"])
-
-    windows = common.written(runs.mapInArrow(run, "t bigint, pos bigint, m bigint, code bigint"), "windows")
-    twice = common.written(windows.groupBy("code").count().where("count > 1").select("code"), "passages")
-    shown = windows.join(twice, "code").groupBy("t").agg(F.collect_list(F.struct("pos", "m")).alias("shown"))
-    return shown.withColumn("found", F.lit(None).cast("array<bigint>"))
-
-
-def removals(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
-    """What is cut from each text of (doc_id, text) rows that has repeats: t, n_removed, n_spans, kept (bytes).
+def removals(docs: DataFrame, length: int = LENGTH, kind: Kind = BYTES) -> DataFrame:
+    """What is cut from each text of (doc_id, text) rows that has repeats: t, n_removed, n_spans (of bytes), kept (bytes).
 
     t is the hash of the text. A text of several rows that is long enough is cut whole, whether it is listed or not.
-    With ``words`` only what lies in repeated runs of so many words goes; ``length`` is the least they can have.
     """
-    window = window_of(length)
+    window = kind.window(length)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), text.alias("text"), F.xxhash64(text).alias("t"))
     counts = rows.groupBy("t").agg(F.count("*").alias("count"), F.min("id").alias("id"))  # one row stands for each text
-    suffixes = common.written(_suffixes(rows.where(F.octet_length("text") >= length).select("t", "text"), length), "suffixes")
+    suffixes = common.written(_suffixes(rows.where(F.octet_length("text") >= length).select("t", "text"), kind, length), "suffixes")
     place = F.xxhash64("t", "pos")
     repeated = suffixes.groupBy("head").agg(F.min(place).alias("one"), F.max(place).alias("other")).where("one < other").select("head")
     # Small tables are written before a join by a key that may be hot: only then can adaptive execution split it.
     repeated = common.written(repeated, "repeated")
     live = common.written(suffixes.join(repeated, "head").dropDuplicates(["t", "pos"]), "live")
+    common.dropped(suffixes, repeated)
     firsts = live.groupBy("head", "whole").agg(F.min(F.struct("t", "pos")).alias("first"), F.count("*").alias("places"))
     wanted = live.groupBy("t").agg(F.count("*").alias("suffixes")).join(counts, "t").select("t", "id")
     texts = common.written(rows.join(wanted, ["t", "id"]).select("t", "text").dropDuplicates(["t"]), "texts")
@@ -326,35 +361,30 @@ def removals(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, s in zip(batch.column("text").to_pylist(), batch.column("s").to_pylist(), strict=True):
-                raw = text.encode()
+                units = _alone(kind, text)
                 arrays = [pa.array([x[c] for x in s], pa.int64()) for c in ("head", "whole")]
-                made = pa.array([raw[x["pos"] : x["pos"] + length + window] for x in s], pa.binary())
+                made = pa.array([units.context(x["pos"], x["pos"] + length + window) for x in s], pa.binary())
                 yield pa.RecordBatch.from_arrays([*arrays, made], names=["head", "whole", "context"])
 
     contexts = common.written(texts.join(chosen, "t").mapInArrow(cut, "head bigint, whole bigint, context binary"), "contexts")
-    longest = _neighbours(contexts)
-    size = texts.select("t", F.octet_length("text").cast("long").alias("n_bytes"))
-    full = F.least(F.col("n_bytes") - F.col("pos"), F.lit(length + window))
+    longest = _neighbours(contexts, kind.width)
     shared = common.written(firsts.select("head", "whole", "places").join(longest, ["head", "whole"]), "shared")
-    places = live.join(shared, ["head", "whole"]).join(size, "t").join(counts.select("t", "count"), "t")
+    places = live.join(shared, ["head", "whole"]).join(counts.select("t", "count"), "t")
     places = common.written(
-        places.withColumn("m", F.when((F.col("places") > 1) | (F.col("count") > 1), full).otherwise(F.col("m"))).select("t", "pos", "near", "far", "head", "m", "count"), "places"
+        places.withColumn("m", F.when((F.col("places") > 1) | (F.col("count") > 1), F.col("reach")).otherwise(F.col("m"))).select("t", "pos", "near", "far", "head", "m", "count"), "places"
     )
-    found = _counted(texts.select("t", "text"), places, length)
+    common.dropped(live, contexts, shared)
+    found = _counted(texts.select("t", "text"), places, kind, length)
     shown = places.where(F.col("m") >= length).groupBy("t").agg(F.collect_list(F.struct("pos", "m")).alias("shown"))
     marks = shown.join(found, "t", "full")
-    if words:
-        runs = texts.join(marks, "t", "left").join(counts.select("t", "count"), "t").where("count > 1 OR shown IS NOT NULL OR found IS NOT NULL")
-        marks = _passages(runs.select("t", "text", "shown", "found", "count"), words, length)
-
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gone, spans, kept = [], [], []
             for text, s, f in zip(*(batch.column(c).to_pylist() for c in ("text", "shown", "found")), strict=True):
-                raw = np.frombuffer(text.encode(), np.uint8)
+                raw, units = np.frombuffer(text.encode(), np.uint8), _alone(kind, text)
                 starts = np.array([x["pos"] for x in s or []] + (f or []), np.int64)
                 ends = np.array([x["pos"] + x["m"] for x in s or []] + [x + length for x in f or []], np.int64)
-                begin, end = _cover(starts, ends)
+                begin, end = units.cut(*_cover(starts, ends))
                 keep = np.ones(len(raw), bool)
                 for a, b in zip(begin.tolist(), end.tolist(), strict=True):
                     keep[a:b] = False
@@ -367,42 +397,56 @@ def removals(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame
     return common.written(texts.join(marks, "t").mapInArrow(remove, "t bigint, n_removed bigint, n_spans bigint, kept binary"), "cuts")
 
 
-def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row; texts themselves are not shuffled for it."""
+def digests(docs: DataFrame, length: int = LENGTH, words: int = PASSAGE) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage) of each row; texts themselves are not shuffled for it.
+
+    ``n_passage`` has nothing to do with what is removed: it counts the bytes in runs of ``words`` words (between blanks)
+    that stand at another place too, however few bytes they have.
+    """
     narrow = docs.select("doc_id", "text")
     cuts = removals(narrow, length)
+    repeated, _ = windows.repeated_windows(narrow, words, smaller=False)
     text = F.coalesce("text", F.lit(""))
-    rows = narrow.select("doc_id", F.xxhash64(text).alias("t"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
+    rows = narrow.select("doc_id", F.xxhash64(text).alias("t"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"), _spoken(text, words).alias("spoken"))
     counts = rows.groupBy("t").agg(F.count("*").alias("count"))
     cut = cuts.select("t", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
     all_gone = (F.col("count") > 1) & (F.col("n_bytes") >= length)
     empty = F.lit(hashlib.sha256(b"").hexdigest())
-    per_text = common.written(counts.join(cut, "t", "left"), "per-text")
-    return rows.join(per_text, "t").select(
+    per_text = counts.join(cut, "t", "left").join(windows.covered_bytes(repeated, words), "t", "left")
+    return rows.join(common.written(per_text, "per-text"), "t").select(
         "doc_id", "n_bytes", F.when(all_gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(all_gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(all_gone, empty).otherwise(F.coalesce("kept_sha256", "whole")).alias("kept_sha256"),
+        F.when((F.col("count") > 1) & (F.col("spoken") > 0), F.col("spoken")).otherwise(F.coalesce("n_passage", F.lit(0))).cast("long").alias("n_passage"),
     )
 
 
+def _spoken(text: Column, words: int) -> Column:
+    """Bytes from the first to the last word of a text of so many words; 0 if it has fewer."""
+    enough = F.octet_length(text) >= 2 * words - 1
+    count = F.regexp_count(text, F.lit("[^ \\t-\\r]+"))
+    return F.when(enough & (count >= words), F.octet_length(F.btrim(text, F.lit(" \t\n\x0b\x0c\r")))).otherwise(0)
+
+
 def deduplicate(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
     """``docs`` with the remaining text in ``text``, all rows and columns kept; a null text stays null.
 
-    With ``words`` runs of so many words that stand elsewhere too go, however few bytes they have, and nothing else.
+    With ``words`` units are words, and runs of so many that stand elsewhere too go, however few bytes they have; a
+    character of a script without blanks is a word.
     """
     columns = docs.columns
-    length = 2 * words - 1 if words else length  # words of one byte with a blank between; a character that is a word has three
+    t, kept_text, twice_t = (common.unused(docs, n) for n in ("t", "kept", "twice"))
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     whole = F.regexp_count("text", F.lit(WORD)) >= words if words else F.octet_length("text") >= length
-    cuts = removals(docs.select("doc_id", "text"), length, words)
-    twice = docs.select(key.alias("__t__")).groupBy("__t__").count().where("count > 1").select("__t__", F.lit(True).alias("__twice__"))
+    cuts = removals(docs.select("doc_id", "text"), words, WORDS) if words else removals(docs.select("doc_id", "text"), length)
+    twice = docs.select(key.alias(t)).groupBy(t).count().where("count > 1").select(t, F.lit(True).alias(twice_t))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = [k.decode(errors="replace") for k in batch.column("kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array(text, pa.string())], names=["__t__", "__kept__"])
+            yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array(text, pa.string())], names=[t, kept_text])
 
-    kept = cuts.select("t", "kept").mapInArrow(decode, "__t__ bigint, __kept__ string")
-    joined = docs.withColumn("__t__", key).join(common.written(kept.join(twice, "__t__", "full"), "per-text"), "__t__", "left")
-    text = F.when(F.col("__twice__") & whole, F.lit("")).otherwise(F.coalesce("__kept__", "text"))
-    return joined.withColumn("text", text).select(*columns)
+    kept = cuts.select("t", "kept").mapInArrow(decode, f"`{t}` bigint, `{kept_text}` string")
+    joined = docs.withColumn(t, key).join(common.written(kept.join(twice, t, "full"), "per-text"), t, "left")
+    text = F.when(F.col(twice_t) & whole, F.lit("")).otherwise(F.coalesce(kept_text, "text"))
+    return joined.withColumn("text", text).select(*(F.col(f"`{c}`") for c in columns))

@@ -147,18 +147,20 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), text.alias("text"), F.xxhash64(text).alias("t"))
 
 
-def repeated_windows(docs: DataFrame, words: int = WORDS, halvings: int = HALVINGS) -> tuple[DataFrame, DataFrame]:
+def repeated_windows(docs: DataFrame, words: int = WORDS, halvings: int = HALVINGS, smaller: bool = True) -> tuple[DataFrame, DataFrame]:
     """Texts that lose words, as (t, id, text, s): ``s`` lists the windows that go; and (t, id, count) of every text.
 
-    ``docs`` has (doc_id, text); t is the hash of a text and id its least doc_id.
+    ``docs`` has (doc_id, text); t is the hash of a text and id its least doc_id. Without ``smaller`` a window goes if it
+    stands at any other place of a text, the same one included; copies of a text are one text here too.
     """
+    place = "t" if smaller else "xxhash64(t, first)"
     rows = _keyed(docs)
     counts = written(rows.groupBy("t").agg(F.min("id").alias("id"), F.count("*").alias("count")), "counts")
     # A text of w words has 2 w - 1 bytes at least.
     texts, known, made = rows.where(F.octet_length("text") >= 2 * words - 1), False, []
     for size in levels(words, halvings)[:-1]:
         own = written(_shown_rows(texts, words, size, known).drop("id"), "shown")
-        alive = written(own.groupBy("code").agg(F.min("t").alias("one"), F.max("t").alias("other")).where("one < other").select("code"), "alive")
+        alive = written(own.groupBy("code").agg(F.expr(f"min({place})").alias("one"), F.expr(f"max({place})").alias("other")).where("one < other").select("code"), "alive")
         live = own.join(alive, "code").select("t", "first", "last").distinct()
         per_text = written(live.groupBy("t").agg(F.collect_list(F.struct("first", "last")).alias("s")).join(counts.select("t", "id"), "t"), "candidates")
         dropped(own, alive)
@@ -169,13 +171,34 @@ def repeated_windows(docs: DataFrame, words: int = WORDS, halvings: int = HALVIN
     if not known:
         texts = written(rows.join(counts.drop("count"), ["t", "id"]).dropDuplicates(["t"]), "texts")
     own = written(_shown_rows(texts, words, words, known).drop("last"), "shown")
-    least = written(own.groupBy("code").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("code", "least"), "least")
-    gone = own.join(least, "code").where("least < id").groupBy("t").agg(F.collect_list("first").alias("s"))
+    order = "id" if smaller else place
+    least = own.groupBy("code").agg(F.expr(f"min({order})").alias("least"), F.expr(f"max({order})").alias("most"))
+    least = written(least.where("least < most").select("code", "least"), "least")
+    gone = own.join(least, "code").where("least < id" if smaller else "true").groupBy("t").agg(F.collect_list("first").alias("s"))
     cut = written(texts.drop("s").join(written(gone, "gone"), "t"), "cut")
     dropped(own, least, texts)
     return cut, counts
 
 
+def covered_bytes(cut: DataFrame, words: int = WORDS) -> DataFrame:
+    """(t, n_passage): bytes of each text of ``repeated_windows`` in its windows, blanks between their words included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = text_bytes(batch.column("text"))
+            total = []
+            for i, s in enumerate(batch.column("s")):
+                own = raw[offsets[i] : offsets[i + 1]]
+                begin, end, *_ = words_of(own, np.array([0, len(own)]))
+                at = np.sort(s.values.to_numpy(zero_copy_only=False))
+                low, high = begin[at], end[at + words - 1]
+                # What a window adds to those before it, whose ends rise as well.
+                total.append(int((high - np.maximum(low, np.concatenate([low[:1], high[:-1]]))).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array(total, pa.int64())], names=["t", "n_passage"])
+
+    return cut.mapInArrow(run, "t bigint, n_passage bigint")
+
+
 def kept_words(cut: DataFrame, words: int = WORDS) -> DataFrame:
     """(t, n_removed, kept): words removed from each text of ``repeated_windows``, and the others joined by one space."""
 

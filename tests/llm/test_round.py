@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from herdlens.llm import middle, whitening, windows
+from herdlens.llm import middle, suffixes, whitening, windows
 from tests.llm.test_operators import prose
 
 SCHEMA = "doc_id bigint, text string, lang string, n string, form string, __t__ int, x int, code int"
@@ -180,6 +180,26 @@ def test_substring_dedup_keeps_texts_and_empty_tables(spark):
     assert windows.digests(df.limit(0)).count() == 0 and windows.deduplicate(df.where(F.col("doc_id") > 9)).count() == 0
 
 
+@pytest.mark.parametrize("words", [51, 9])
+def test_passages_of_few_bytes_show_in_their_own_column(spark, words):
+    short, passage = "a b c d e f g h i j " * 6, prose(3, 60)
+    texts = [f"{prose(1, 40)} {short}{prose(2, 9)}", f"{short} z", f"{prose(4, 30)} {passage}", f" {passage}  {prose(5, 20)}\n", prose(6, 70), prose(6, 70), None, "", prose(8, 49) + " x y", "few", "few"]
+    texts += [f"{prose(9, 51)} q {prose(9, 51)}", "x" * 500, f"  {prose(12, 55)} ", f"  {prose(12, 55)} "]
+    df = spark.createDataFrame(rows_of(texts), SCHEMA).repartition(3)
+    got = {r.doc_id: r for r in suffixes.digests(df, 400, words).collect()}
+    spans = [[m.span() for m in re.finditer("[^\x20\x09-\x0d]+", t or "")] for t in texts]
+    seen = defaultdict(int)
+    for t, s in zip(texts, spans, strict=True):
+        for p in range(len(s) - words + 1):
+            seen[tuple(t[a:b] for a, b in s[p : p + words])] += 1
+    for i, (t, s) in enumerate(zip(texts, spans, strict=True)):
+        gone = set()
+        for p in range(len(s) - words + 1):
+            if seen[tuple(t[a:b] for a, b in s[p : p + words])] > 1:
+                gone |= set(range(s[p][0], s[p + words - 1][1]))
+        assert got[i].n_passage == len(gone), i
+
+
 def test_levels_double_at_most():
     for words in range(1, 300):
         for halvings in range(6):
