@@ -46,12 +46,32 @@ def histogram(df: DataFrame, keys: Sequence[str], column: str, bins: int) -> Dat
     )
 
 
-def density(df: DataFrame, keys: Sequence[str], column: str, grid: int = 200) -> DataFrame:
+def _weighed_bins(values: DataFrame, ranges: DataFrame, keys: Sequence[str], bins: int) -> DataFrame:
+    """``keys, value, n``: values shared out to the two nearest of ``bins`` even points, the nearer one getting more."""
+    place = F.try_divide(F.col("value") - F.col("low"), F.col("high") - F.col("low")) * F.lit(bins - 1)
+    below = F.least(F.floor(place), F.lit(bins - 2))
+    share = F.coalesce(place - below, F.lit(0.0))
+    ends = F.array(
+        F.struct(F.coalesce(below, F.lit(0)).alias("bin"), (1 - share).alias("w")),
+        F.struct((F.coalesce(below, F.lit(0)) + 1).alias("bin"), share.alias("w")),
+    )
+    placed = join_groups(values, ranges.select(*keys, "low", "high"), keys).withColumn("end", F.explode(ends))
+    counted = placed.groupBy(*keys, "low", "high", "end.bin").agg(F.sum("end.w").alias("n"))
+    at = F.col("low") + F.col("bin") * (F.col("high") - F.col("low")) / F.lit(float(bins - 1))
+    return counted.select(*keys, at.alias("value"), "n")
+
+
+def density(df: DataFrame, keys: Sequence[str], column: str, grid: int = 200, bins: int | None = None) -> DataFrame:
     """``keys, point, x, density``: Gaussian kernel density on an even grid over each group's range.
 
     Bandwidth is the sample deviation times ``n ** (-1/5)``; a group without spread has NULL density.
     Values meet grid points as aggregate expressions over weighted distinct values, so no row is paired
     with another and the sums combine before the shuffle.
+
+    With ``bins`` values are first shared out to so many even points of the group's range (linear binning), and those
+    meet the grid: the kernel is then worked out ``bins`` x ``grid`` times a group, however many values it has. Each
+    density differs from the exact one by at most ``d * d / (8 * sqrt(2 * pi) * h ** 3)``, where d is the distance of two
+    points and h the bandwidth.
     """
     values = _present(df, keys, column)
     spread = values.groupBy(*keys).agg(
@@ -65,7 +85,7 @@ def density(df: DataFrame, keys: Sequence[str], column: str, grid: int = 200) ->
     frame = spread.select(*keys, "total", "low", step.alias("step"), bandwidth.alias("bandwidth"))
     chunks = -(-grid // _SUMS_PER_ROW)
     spread_out = (
-        join_groups(value_counts(values, keys), frame, keys)
+        join_groups(_weighed_bins(values, spread, keys, bins) if bins else value_counts(values, keys), frame, keys)
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     )
     offset = F.col("low") - F.col("value")

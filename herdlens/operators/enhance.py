@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,6 +109,37 @@ def stacks(rows: list[np.ndarray], heights: np.ndarray, widths: np.ndarray) -> I
         yield at, np.stack([np.asarray(rows[i], dtype=np.float32) for i in at]).reshape(-1, h, w)
 
 
+#: Pixels of a packed frame: unsigned 16-bit numbers, the lowest byte first.
+PACKED = "<u2"
+
+
+def unpacked(rows: np.ndarray, dtype: str = PACKED) -> np.ndarray:
+    """Rows of pixels, where packed ones (bytes) become arrays of their numbers; a ragged buffer becomes NULL."""
+    out, width = np.empty(len(rows), dtype=object), np.dtype(dtype).itemsize
+    for i, r in enumerate(rows):
+        packed = isinstance(r, (bytes, bytearray, memoryview))
+        out[i] = r if not packed else np.frombuffer(r, dtype) if len(r) % width == 0 else None
+    return out
+
+
+def pack_frames(frames: DataFrame, dtype: str = PACKED) -> DataFrame:
+    """Whole-number pixels as one buffer a frame (``binary``), half the bytes of floats; others cannot be packed and fail."""
+    kind = np.dtype(dtype)
+
+    @F.pandas_udf("binary")
+    def pack(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for column in columns:
+            made = []
+            for r in column:
+                values = None if r is None else np.asarray(r)
+                made.append(None if values is None else values.astype(kind).tobytes())
+                if values is not None and not np.array_equal(values, values.astype(kind)):
+                    raise ValueError(f"pixels that {kind.name} cannot hold")
+            yield pd.Series(made, dtype=object)
+
+    return frames.withColumn("pixels", pack("pixels"))
+
+
 def whole_frames(rows: np.ndarray, heights: np.ndarray, widths: np.ndarray) -> np.ndarray:
     """Positions of the frames that have as many pixels as their sizes say; NULL or ragged ones are left out."""
     return np.array(
@@ -122,13 +154,29 @@ def enhance_frames(
     shape: tuple[int, int] = SHAPE,
     channels: int = CHANNELS,
     frames_per_batch: int = 32,
+    dtype: str = PACKED,
 ) -> DataFrame:
-    """The same chain over Arrow batches with numpy, for full-size frames.
+    """The same chain over Arrow batches with numpy, for full-size frames, packed ones (of ``dtype``) included.
 
     A NULL or ragged frame gets NULL pixels. Output batches are small, since one enhanced frame is about a megabyte. To
     score frames, use
     ``scoring.score_enhanced``, which never sends enhanced pixels back to Spark.
     """
+    return _stacked(frames, lambda stack: enhance_stack(stack, max_value, shape), shape, channels, frames_per_batch, dtype)
+
+
+def resize_packed_frames(
+    frames: DataFrame, shape: tuple[int, int] = SHAPE, frames_per_batch: int = 32, dtype: str = PACKED
+) -> DataFrame:
+    """Resize with padding of integer frames as they are: numbers become the part they are of their type's maximum."""
+    scale = np.float32(1.0 / np.iinfo(np.dtype(dtype)).max)
+    return _stacked(frames, lambda stack: resize_stack(stack * scale, shape), shape, 1, frames_per_batch, dtype)
+
+
+def _stacked(
+    frames: DataFrame, step: Callable[[np.ndarray], np.ndarray], shape: tuple[int, int], channels: int, frames_per_batch: int, dtype: str
+) -> DataFrame:
+    """``step`` over stacks of equally large frames."""
     names = frames.columns
     fields = [f for f in frames.schema.fields if f.name not in ("pixels", "h", "w")]
     others = [f.name for f in fields]
@@ -141,12 +189,12 @@ def enhance_frames(
                 batch = whole.slice(begin, frames_per_batch)
                 n = batch.num_rows
                 heights, widths = (batch.column(c).to_numpy(zero_copy_only=False) for c in "hw")
-                rows = batch.column("pixels").to_numpy(zero_copy_only=False)
+                rows = unpacked(batch.column("pixels").to_numpy(zero_copy_only=False), dtype)
                 good = whole_frames(rows, heights, widths)
                 done = np.empty((len(good), *shape), dtype=np.float32)
                 h, w = heights[good].astype(np.int64), widths[good].astype(np.int64)
                 for at, stack in stacks(list(rows[good]), h, w) if len(good) else ():
-                    done[at] = enhance_stack(stack, max_value, shape)
+                    done[at] = step(stack)
                 flat = np.repeat(done.reshape(-1), channels)
                 here = np.zeros(n, dtype=bool)
                 here[good] = True

@@ -1,27 +1,32 @@
 """Ordered operators per key (row number, running total, previous value) that split large keys.
 
-``Window.partitionBy(key).orderBy(...)`` sends all rows of a key to one task. Here the rows are range
-partitioned by key *and* order, so a key with a third of all rows is spread over a third of the tasks.
-Each task scans its sorted slice once; what a slice needs from the slices before it (a row count, a
-running total, the last value) is at most one row per task, and is joined back by broadcast.
+``Window.partitionBy(key).orderBy(...)`` sends all rows of a key to one task. Here a large key is cut into buckets that
+follow its order (``_cut``), windows work within buckets, and what a bucket needs from those before it (a row count, a
+running total, the last value) is one edge row per bucket of a large key. All of it is one lazy plan of built-in
+functions: nothing runs when an operator is called, and no row is staged. Buckets are a function of values and counts,
+so a lost task gives the same ones again.
+
+``slices`` range partitions rows by key and order instead, for scans in Arrow batches that read their slice once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from functools import reduce
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from herdlens.session import stage
+from herdlens.functions.clock import epoch_micros
+from herdlens.operators.grouped import join_groups
 
-_PART, _ROW, _TOTAL, _PREVIOUS, _EDGE = "__part", "__row", "__total", "__previous", "__edge"
+#: Rows that one window sorts: beyond so many a key is cut.
+BUCKET_ROWS = 1_000_000
+_COARSE, _FINE, _CUT = "__coarse", "__fine", "__cut"
+_INSIDE, _ROW, _EDGE, _BEFORE = "__inside", "__row", "__edge", "__before_bucket"
 
 
 def starts_of_keys(batch: pa.RecordBatch, keys: Sequence[str], before: tuple | None) -> np.ndarray:
@@ -41,116 +46,106 @@ def key_at(batch: pa.RecordBatch, keys: Sequence[str], row: int) -> tuple:
     return tuple(batch.column(k)[row].as_py() for k in keys)
 
 
-def _running(values: np.ndarray, starts: np.ndarray, carried: int) -> np.ndarray:
-    """Cumulative sum that restarts at each start; the first open run continues from ``carried``."""
-    cumulative = np.cumsum(values)
-    first_rows = np.flatnonzero(starts)
-    bases = np.concatenate([[-carried], cumulative[first_rows] - values[first_rows]])
-    return cumulative - bases[np.cumsum(starts)]
-
-
 def slices(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Range partitioned by key and order, sorted inside each partition."""
     return df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
 
 
-def _scanned(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str | None, previous: str | None
-) -> DataFrame:
-    """Sorted slices with their local row number, running total and previous value, materialised.
+def _position(df: DataFrame, column: str) -> Column | None:
+    """A double that rises with the column (NaN and infinities at the ends), or None where there is no such number."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.TimestampNTZType):
+        return epoch_micros(column).cast("double")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(column).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(column).cast("double")
+    if isinstance(kind, T.NumericType):
+        return F.greatest(F.least(F.col(column).cast("double"), F.lit(1e300)), F.lit(-1e300))
+    return None
+
+
+def _cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket_rows: int) -> DataFrame:
+    """Adds ``__coarse`` and ``__fine``: buckets that follow the order within a key, and ``__cut`` where a key has several.
 
-    Each slice adds an edge row for its first and for its last key, with what it holds of that key:
-    row count, total, last value. All other keys begin and end inside the slice.
+    Keys of more than ``bucket_rows`` rows are cut evenly over the range of the first column of the order; buckets that
+    are still twice too large, in bursts, over their own range, or, at one instant, over the second column. The numbers
+    of rows are counted for it; only large keys and buckets have a row in the tables joined here. A column of the order
+    that is no number and no time cannot cut.
     """
-    added = [T.StructField(n, T.LongType()) for n in (_PART, _ROW, _TOTAL)] + [T.StructField(_EDGE, T.BooleanType())]
-    if previous:
-        added.append(T.StructField(_PREVIOUS, df.schema[previous].dataType))
-    fields = [T.StructField(f.name, f.dataType) for f in df.schema.fields]
-    names = [f.name for f in (*fields, *added)]
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        key, rows, total, last, types = None, 0, 0, None, None
-        first_key_open = True
-
-        def edge() -> pa.RecordBatch:
-            given = dict(zip(keys, key)) | {_PART: part, _ROW: rows, _TOTAL: total, _EDGE: True, _PREVIOUS: last}
-            return pa.RecordBatch.from_arrays([pa.array([given.get(n)], t) for n, t in zip(names, types)], names=names)
-
-        for batch in batches:
-            n = batch.num_rows
-            if n == 0:
-                continue
-            starts = starts_of_keys(batch, keys, key)
-            row = _running(np.ones(n, dtype=np.int64), starts, rows)
-            sums = _running(batch.column(weight).to_numpy(zero_copy_only=False), starts, total) if weight else row
-            local = (np.full(n, part), row, sums, np.zeros(n, dtype=bool))
-            columns = [*batch.columns, *(pa.array(values) for values in local)]
-            if previous:
-                values = batch.column(previous)
-                shifted = pa.concat_arrays([pa.array([last], values.type), values.slice(0, n - 1)])
-                columns.append(pc.if_else(pa.array(starts), pa.scalar(None, values.type), shifted))
-            types = [c.type for c in columns]
-            # Where the slice's first key ends: before this batch, inside it, or not yet.
-            changes = np.flatnonzero(starts)
-            if first_key_open and key is None:
-                changes = changes[1:]
-            if first_key_open and changes.size:
-                end = int(changes[0])
-                if end:
-                    key, rows, total = key_at(batch, keys, end - 1), int(row[end - 1]), int(sums[end - 1])
-                    last = values[end - 1].as_py() if previous else None
-                yield edge()
-                first_key_open = False
-            key, rows, total = key_at(batch, keys, n - 1), int(row[-1]), int(sums[-1])
-            last = values[n - 1].as_py() if previous else None
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-        if key is not None:
-            yield edge()
-
-    return stage(slices(df, keys, order).mapInArrow(scan, T.StructType([*fields, *added])))
-
-
-def _with_earlier_slices(scanned: DataFrame, keys: Sequence[str], last_of: bool) -> DataFrame:
-    """Adds ``__rows_before``, ``__total_before`` and ``__last_before``, NULL in a key's first slice."""
-    in_order = Window.partitionBy(*keys).orderBy(_PART)  # one row per slice of the key
-    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    carried = {"__rows_before": F.sum(_ROW).over(earlier), "__total_before": F.sum(_TOTAL).over(earlier)}
-    if last_of:
-        carried["__last_before"] = F.lag(_PREVIOUS).over(in_order)
-    place = [*(F.col(k).alias(f"__key_{k}") for k in keys), F.col(_PART).alias("__edge_part")]
-    edges = scanned.where(_EDGE).select(*place, *(c.alias(n) for n, c in carried.items()))
-    edges = edges.where(F.col("__rows_before").isNotNull())
-    same = reduce(
-        lambda a, b: a & b,
-        [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys],
-        F.col(_PART) == F.col("__edge_part"),
-    )
-    # At most two rows per slice, so never more than twice the number of partitions. Staged, as the
-    # slices are read more than once.
-    return scanned.where(~F.col(_EDGE)).join(F.broadcast(stage(edges)), same, "left")
-
-
-def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "ordinal") -> DataFrame:
+    places = [_position(df, c) for c in order[:2]]
+    if places[0] is None:
+        return df.withColumns({_COARSE: F.lit(0).cast("bigint"), _FINE: F.lit(0).cast("bigint"), _CUT: F.lit(False)})
+    first = places[0]
+    second = places[1] if len(places) > 1 and places[1] is not None else first
+
+    def share(place: Column, low: str, high: str) -> Column:
+        """Which of ``__parts`` equal parts of a range; rows without a place come before all."""
+        at = F.try_divide(place - F.col(low), F.col(high) - F.col(low))
+        return F.when(place.isNull(), F.lit(-1)).otherwise(F.coalesce(F.floor(at * F.col("__parts")), F.lit(0))).cast("bigint")
+
+    def sizes(rows: DataFrame, by: Sequence[str], most: int) -> DataFrame:
+        ends = {"__low": F.min(first), "__high": F.max(first), "__low2": F.min(second), "__high2": F.max(second)}
+        counted = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), *(c.alias(n) for n, c in ends.items()))
+        parts = F.ceil(F.col("__n") / F.lit(float(bucket_rows))).alias("__parts")
+        return counted.where(F.col("__n") > most).select(*by, *ends, parts)
+
+    extra = ["__low", "__high", "__low2", "__high2", "__parts"]
+    large = join_groups(df, sizes(df, keys, bucket_rows), keys, "left").withColumn(_CUT, F.col("__parts").isNotNull())
+    rows = large.withColumn(_COARSE, F.when(F.col(_CUT), share(first, "__low", "__high")).otherwise(0)).drop(*extra)
+    by = [*keys, _COARSE]
+    bursts = sizes(rows.where(_CUT), by, 2 * bucket_rows)
+    within = F.when(F.col("__low") < F.col("__high"), share(first, "__low", "__high")).otherwise(share(second, "__low2", "__high2"))
+    fine = F.when(F.col("__parts").isNull(), 0).otherwise(within).cast("bigint")
+    return join_groups(rows, bursts, by, "left").withColumn(_FINE, fine).drop(*extra)
+
+
+def _scanned(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket_rows: int, inside: Column, edge: Column, over_edges: Column) -> DataFrame:
+    """``__inside``: a window function within each bucket; ``__before``: one over the edge rows of the buckets before."""
+    rows = _cut(df, keys, order, bucket_rows)
+    bucket = [*keys, _COARSE, _FINE]
+    edges = rows.where(_CUT).groupBy(*bucket).agg(edge.alias(_EDGE))
+    earlier = edges.select(*bucket, over_edges.alias(_BEFORE)).where(F.col(_BEFORE).isNotNull())
+    number = F.row_number().over(Window.partitionBy(*bucket).orderBy(*order))
+    return join_groups(rows.withColumns({_INSIDE: inside, _ROW: number}), earlier, bucket, "left")
+
+
+def number_rows(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "ordinal", bucket_rows: int = BUCKET_ROWS
+) -> DataFrame:
     """Row number from 1 within each key. End ``order`` with a unique column, so that ties split too."""
-    scanned = _scanned(df, keys, order, None, None)
-    number = F.col(_ROW) + F.coalesce("__rows_before", F.lit(0))
-    return _with_earlier_slices(scanned, keys, False).select(*df.columns, number.alias(name))
+    bucket, over_edges = _windows(keys, order)
+    total = F.sum(_EDGE).over(over_edges.rowsBetween(Window.unboundedPreceding, -1))
+    scanned = _scanned(df, keys, order, bucket_rows, F.row_number().over(bucket).cast("bigint"), F.count(F.lit(1)), total)
+    return scanned.select(*_names(df), (F.col(_INSIDE) + F.coalesce(_BEFORE, F.lit(0))).alias(name))
 
 
 def running_total(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str, name: str = "running_total"
-) -> DataFrame:
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str, name: str = "running_total", bucket_rows: int = BUCKET_ROWS
+) -> DataFrame:
     """Inclusive running sum of a non-null bigint column within each key."""
-    scanned = _scanned(df, keys, order, weight, None)
-    total = F.col(_TOTAL) + F.coalesce("__total_before", F.lit(0))
-    return _with_earlier_slices(scanned, keys, False).select(*df.columns, total.alias(name))
+    bucket, over_edges = _windows(keys, order)
+    inside = F.sum(weight).over(bucket.rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum(_EDGE).over(over_edges.rowsBetween(Window.unboundedPreceding, -1))
+    scanned = _scanned(df, keys, order, bucket_rows, inside, F.sum(weight), total)
+    return scanned.select(*_names(df), (F.col(_INSIDE) + F.coalesce(_BEFORE, F.lit(0))).alias(name))
 
 
 def with_previous(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, name: str = "previous"
-) -> DataFrame:
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, name: str = "previous", bucket_rows: int = BUCKET_ROWS
+) -> DataFrame:
     """The value of ``column`` in the row before, within each key; NULL in a key's first row."""
-    scanned = _scanned(df, keys, order, None, column)
-    value = F.when(F.col(_ROW) == 1, F.col("__last_before")).otherwise(F.col(_PREVIOUS))
-    return _with_earlier_slices(scanned, keys, True).select(*df.columns, value.alias(name))
+    bucket, over_edges = _windows(keys, order)
+    last = F.max_by(F.struct(F.col(f"`{column}`").alias("v")), F.struct(*(F.col(f"`{c}`") for c in order)))
+    scanned = _scanned(df, keys, order, bucket_rows, F.lag(f"`{column}`").over(bucket), last, F.lag(_EDGE).over(over_edges))
+    value = F.when(F.col(_ROW) == 1, F.col(f"{_BEFORE}.v")).otherwise(F.col(_INSIDE))
+    return scanned.select(*_names(df), value.alias(name))
+
+
+def _names(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
+def _windows(keys: Sequence[str], order: Sequence[str]) -> tuple[WindowSpec, WindowSpec]:
+    """Rows of a bucket in order, and the buckets of a key in order."""
+    return Window.partitionBy(*keys, _COARSE, _FINE).orderBy(*order), Window.partitionBy(*keys).orderBy(_COARSE, _FINE)

@@ -16,20 +16,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from herdlens.operators.enhance import CHANNELS, MAX_VALUE, SHAPE, enhance_stack, stacks, whole_frames
+from herdlens.operators.enhance import CHANNELS, MAX_VALUE, PACKED, SHAPE, enhance_stack, stacks, unpacked, whole_frames
 
+#: Models that a Python worker keeps.
+MODELS = 4
 MakePredict = Callable[[], Callable[[np.ndarray], np.ndarray]]
 
 
 def _worker_model(name: str, make_predict: MakePredict):
     """The model of this Python worker: made by its first task, used by all.
 
-    Functions of this package travel by value, so the model hangs on a module that stays.
+    Functions of this package travel by value, so the models hang on a module that stays. A worker serves tasks of
+    several queries in turn; of MODELS models the one that was used last longest ago goes.
     """
     kept = vars(np).setdefault("_models_by_name", {})
     if name not in kept:
-        kept.clear()  # a worker serves one query after another
+        while len(kept) >= MODELS:
+            kept.pop(next(iter(kept)))
         kept[name] = make_predict()
+    kept[name] = kept.pop(name)  # the newest is the last one
     return kept[name]
 
 
@@ -54,8 +59,9 @@ def score_enhanced(
     shape: tuple[int, int] = SHAPE,
     channels: int = CHANNELS,
     batch_size: int = 32,
+    dtype: str = PACKED,
 ) -> DataFrame:
-    """Enhance and score in one Arrow pass: raw pixels go in, only ``weight`` comes back."""
+    """Enhance and score in one Arrow pass: raw pixels (or packed ones of ``dtype``) go in, only ``weight`` comes back."""
 
     name = uuid.uuid4().hex
 
@@ -65,7 +71,7 @@ def score_enhanced(
         for raw, heights, widths in columns:
             weights = np.full(len(raw), np.nan, dtype=np.float32)
             for begin in range(0, len(raw), batch_size):
-                pixels = raw.to_numpy()[begin : begin + batch_size]
+                pixels = unpacked(raw.to_numpy()[begin : begin + batch_size], dtype)
                 sizes = heights.to_numpy()[begin : begin + batch_size], widths.to_numpy()[begin : begin + batch_size]
                 good = whole_frames(pixels, *sizes)
                 if not len(good):

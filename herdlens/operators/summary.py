@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from herdlens.functions.values import nan_to_null
 from herdlens.operators.grouped import join_groups
-from herdlens.operators.ordered import running_total
 
 QUARTILES = {"p25": 0.25, "p50": 0.50, "p75": 0.75}
 
@@ -28,35 +28,63 @@ def value_counts(long: DataFrame, keys: Sequence[str], value: str = "value") ->
     return long.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Bins of a range in which values are counted at a time.
+BINS = 1024
+#: Refined so often, a group's range is told apart to its 2^20th part before values are sorted.
+ROUNDS = 2
+
+
+def _bin(low: str, high: str) -> Column:
+    """Which of BINS equal parts of a range a value lies in; an infinite range has three (its ends, and the rest)."""
+    value, width = F.col("value"), F.col(high) - F.col(low)
+    place = F.floor(F.try_divide(value - F.col(low), width) * BINS)
+    ends = F.when(value == F.col(low), 0).when(value == F.col(high), BINS).otherwise(1)
+    return F.when(F.abs(width) < F.lit(float("inf")), F.coalesce(place, F.lit(0))).otherwise(ends).cast("int")
+
+
 def describe_long(long: DataFrame, group: Sequence[str]) -> DataFrame:
     """``group, count, mean, std, min, p25, p50, p75, max`` of ``value``; linear quantiles, sample deviation.
 
-    A grouped ``percentile`` would hold all distinct values of a group in one task. Here values are
-    counted, ranked over range partitions (``running_total``), and the six order statistics a group
-    needs are picked out by rank with ordinary aggregates.
+    A grouped ``percentile`` would hold all distinct values of a group in one task, and sorting them is not needed
+    either: distinct values are counted in bins of the group's range, only bins that hold a wanted position go on, in
+    finer bins over their own range, and what is left after ROUNDS is sorted bin by bin. Exact at any distribution.
     """
     group = list(group)
-    ranked = running_total(value_counts(long, group), group, ["value"], "n", "upto")
-    totals = ranked.groupBy(*group).agg(
+    counts = value_counts(long, group)
+    totals = counts.groupBy(*group).agg(
         F.sum("n").alias("count"),
         (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
     )
-
-    def at_rank(rank: Column) -> Column:
-        holds = (F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto"))
-        return F.max(F.when(holds, F.col("value")))
-
-    picks = []
-    for name, q in QUARTILES.items():
-        position = F.lit(q) * (F.col("count") - 1)
-        picks.append(at_rank(F.floor(position)).alias(f"{name}_low"))
-        picks.append(at_rank(F.ceil(position)).alias(f"{name}_high"))
-    squares = F.sum(F.col("n") * F.pow(F.col("value") - F.col("mean"), 2)).alias("squares")
-    gathered = (
-        join_groups(ranked, totals, group)
-        .groupBy(*group, "count", "mean")
-        .agg(squares, F.min("value").alias("min"), F.max("value").alias("max"), *picks)
-    )
+    positions = [
+        (f"{name}_{end}", rounded(F.lit(q) * (F.col("count") - 1)).cast("bigint"))
+        for name, q in QUARTILES.items()
+        for end, rounded in (("low", F.floor), ("high", F.ceil))
+    ]
+    rows = join_groups(counts, totals, group).withColumns({"low": F.col("min"), "high": F.col("max"), "before": F.lit(0).cast("bigint")})
+    by, squares = list(group), None
+    for level in range(ROUNDS):
+        name = f"bin{level}"
+        rows = rows.withColumn(name, _bin("low", "high"))
+        sums = [F.sum("n").alias("held"), F.min("value").alias("least"), F.max("value").alias("most")]
+        if squares is None:
+            sums.append(F.sum(F.col("n") * F.pow(F.col("value") - F.col("mean"), 2)).alias("squares"))
+        bins = rows.groupBy(*by, "count", "before", name).agg(*sums)
+        if squares is None:
+            squares = bins.groupBy(*group).agg(F.sum("squares").alias("squares"))
+        # At most BINS + 1 rows a window.
+        upto = F.col("before") + F.sum("held").over(Window.partitionBy(*by).orderBy(name))
+        ranked = bins.withColumn("upto", upto).withColumn("start", F.col("upto") - F.col("held"))
+        wanted = reduce(lambda a, b: a | b, ((F.col("start") <= p) & (p < F.col("upto")) for _, p in positions))
+        by = [*by, name]
+        chosen = ranked.where(wanted).select(*by, "least", "most", "start")
+        rows = join_groups(rows.drop("low", "high", "before"), chosen, by).withColumnsRenamed({"least": "low", "most": "high", "start": "before"})
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy(*by).orderBy("value"))
+    ranked = rows.withColumn("upto", upto).withColumn("start", F.col("upto") - F.col("n"))
+    picks = [F.max(F.when((F.col("start") <= p) & (p < F.col("upto")), F.col("value"))).alias(name) for name, p in positions]
+    picked = ranked.groupBy(*group).agg(F.max("count").alias("count"), *picks)
+    gathered = join_groups(join_groups(picked, totals.drop("count"), group), squares, group)
 
     def between(name: str, q: float) -> Column:
         position = F.lit(q) * (F.col("count") - 1)

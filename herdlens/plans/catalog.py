@@ -16,11 +16,13 @@ from herdlens.operators.energy import energy_by_run, power_intervals
 from herdlens.operators.summary import describe
 from herdlens.plans import metrics, tables
 from herdlens.session import configure, shared_folder
+from herdlens.sinks.report_files import write_report_files
 from herdlens.sinks.reports import write_reports
 from herdlens.sinks.telemetry import format_power, format_recording, write_power, write_recording, write_telemetry
 from herdlens.sources import meter, telemetry
 from herdlens.sources.frames import read_frames
 from herdlens.sources.layout import PARTITIONED
+from herdlens.sources.report_lines import read_report_images
 from herdlens.sources.reports import read_reports
 from herdlens.streaming import energy as energy_stream
 from herdlens.streaming import frames as frame_stream
@@ -115,6 +117,25 @@ def report_roundtrip_animals(spark: SparkSession, folder: str) -> DataFrame:
     return documents.groupBy("pid").agg(F.count(F.lit(1)).alias("documents")).join(animals, "pid")
 
 
+@query
+def report_files(spark: SparkSession, folder: str) -> DataFrame:
+    """One indented document in each run's folder, read back as whole documents, and measured."""
+    path = shared_folder(spark, "report-files")
+    write_report_files(_image_rows(spark, folder), path)
+    return _animal_columns(metrics.animal_metrics(flatten.flatten_reports(read_reports(spark, path))))
+
+
+@query
+def report_file_images(spark: SparkSession, folder: str) -> DataFrame:
+    """The same documents read by the line: no document is ever whole in memory."""
+    path = shared_folder(spark, "report-lines")
+    write_report_files(_image_rows(spark, folder), path)
+    return read_report_images(spark, path).groupBy("pid", "animal").agg(
+        F.count(F.lit(1)).alias("images"), F.min("img").alias("first_img"), F.min("weight_prediction_start").alias("first_start"),
+        F.max("weight_prediction_final").alias("last_final"), F.max("total_of_images").alias("total_of_images"), F.max("suitable_images").alias("suitable_images"),
+    )
+
+
 @query
 def compat_last_image(spark: SparkSession, folder: str) -> DataFrame:
     rows = flatten.compat_last_image(_image_rows(spark, folder))
@@ -253,6 +274,13 @@ def kde_power(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(density(frames, ["pid"], "weight", 200), 8, "x", "density")
 
 
+@query
+def kde_power_binned(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by way of 512 bins a run: its cost does not grow with the number of values."""
+    frames = tables.frame_events(tables.table(spark, folder, "events"))
+    return rounded(density(frames, ["pid"], "weight", 200, bins=512), 8, "x", "density")
+
+
 @query
 def line_series_cpu(spark: SparkSession, folder: str) -> DataFrame:
     cpu = tables.cpu(tables.table(spark, folder, "lineitem"))
@@ -411,6 +439,20 @@ def score_animals_default_shape(spark: SparkSession, folder: str) -> DataFrame:
     return _animal_scores(_frames(spark, folder), enhance.SHAPE)
 
 
+@query
+def score_packed_frames(spark: SparkSession, folder: str) -> DataFrame:
+    """16-bit frames, half the bytes of floats, enhanced and scored like their float form."""
+    packed = enhance.pack_frames(tables.whole_frames(tables.table(spark, folder, "embeddings")))
+    return _animal_scores(packed, SHAPE)
+
+
+@query
+def resize_packed_frames(spark: SparkSession, folder: str) -> DataFrame:
+    """16-bit frames resized as integers: as parts of the largest number that their type holds."""
+    packed = enhance.pack_frames(tables.whole_frames(tables.table(spark, folder, "embeddings")))
+    return _frame_sums(enhance.resize_packed_frames(packed, SHAPE))
+
+
 @query
 def passage_sessions(spark: SparkSession, folder: str) -> DataFrame:
     frames = tables.frame_events(tables.table(spark, folder, "events"))

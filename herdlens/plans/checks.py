@@ -170,6 +170,11 @@ def _animal_scores(where: str, resized: str = _resized(_SCALED.format(_CLIPPED))
     """
 
 
+def _whole(sql: str) -> str:
+    """The same over frames of whole numbers."""
+    return sql.replace("CAST((CAST(x AS DOUBLE) + 1) * 2000 AS FLOAT)", "round(CAST((CAST(x AS DOUBLE) + 1) * 2000 AS FLOAT))")
+
+
 _ELAPSED = """
 e AS (
     SELECT CAST(user_id % 3 AS VARCHAR) AS pid, CAST(user_id AS INTEGER) AS animal, ts, event_id, value,
@@ -327,6 +332,23 @@ CHECKS: dict[str, str] = {
                round(sum(exp(-0.5 * pow((low + g.k * step - value) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 8)
                    AS density
         FROM s JOIN v USING (pid), range(200) AS g(k) GROUP BY s.pid, g.k, low, step""",
+    "kde_power_binned": """
+        WITH v AS (SELECT CAST(user_id % 3 AS VARCHAR) AS pid, value FROM events),
+        s AS (
+            SELECT pid, count(*) AS n, min(value) AS low, max(value) AS high, (max(value) - min(value)) / 199 AS step,
+                   stddev_samp(value) * pow(count(*), -0.2) AS h
+            FROM v GROUP BY pid),
+        p AS (SELECT s.pid, low, high, (value - low) / (high - low) * 511 AS place FROM v JOIN s USING (pid)),
+        q AS (SELECT *, least(floor(place), 510) AS below FROM p),
+        b AS (
+            SELECT pid, low + bin * (high - low) / 511 AS value, sum(w) AS w FROM (
+                SELECT pid, low, high, below AS bin, 1 - (place - below) AS w FROM q
+                UNION ALL SELECT pid, low, high, below + 1, place - below FROM q)
+            GROUP BY pid, low, high, bin)
+        SELECT s.pid, CAST(g.k AS INTEGER) AS point, round(low + g.k * step, 8) AS x,
+               round(sum(w * exp(-0.5 * pow((low + g.k * step - value) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 8)
+                   AS density
+        FROM s JOIN b USING (pid), range(200) AS g(k) GROUP BY s.pid, g.k, low, step""",
     "line_series_cpu": f"""
         WITH {_CPU}
         SELECT pid, "timestamp", round(avg(cpu_core_1), 6) AS mean FROM c GROUP BY pid, "timestamp" """,
@@ -398,6 +420,16 @@ CHECKS: dict[str, str] = {
         weighed AS ({_animal_scores("img IN (SELECT vec_id FROM raw WHERE elapsed <= 200)")})
         SELECT counted.*, mean_weight, scored_images FROM counted JOIN weighed USING (pid, animal)""",
     "energy_stream_any_order": _ENERGY,
+    "report_files": _ANIMALS,
+    "report_file_images": f"""
+        WITH {_IMAGES}
+        SELECT pid, animal, count(*) AS images, min(img) AS first_img, min(started) AS first_start, max(final) AS last_final,
+               any_value(total_of_images) AS total_of_images, any_value(suitable_images) AS suitable_images
+        FROM f JOIN g USING (pid, animal) GROUP BY pid, animal""",
+    "score_packed_frames": _whole(_animal_scores("true")),
+    "resize_packed_frames": _whole(f"""
+        WITH {_FRAMES}, {_resized("list_transform(pixels, lambda x: CAST(x * CAST(1.0 / 65535 AS FLOAT) AS FLOAT))")}
+        SELECT img, 192 AS size, round(sum(x), 4) AS total, round(sum(x * (k + 1)), 2) AS placed FROM resized GROUP BY img"""),
     "cpu_log_roundtrip": f"""
         WITH {_CPU}
         SELECT pid, {_times(_totals("cpu_core_0", "cpu_core_1", "cpu_core_2", "cpu_core_3", "cpu_mean"))} FROM c GROUP BY pid""",

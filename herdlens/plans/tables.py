@@ -123,6 +123,11 @@ def frames(embeddings: DataFrame) -> DataFrame:
     )
 
 
+def whole_frames(embeddings: DataFrame) -> DataFrame:
+    """The same frames with whole numbers as a camera gives them."""
+    return frames(embeddings).withColumn("pixels", F.transform("pixels", lambda x: F.round(x)))
+
+
 def cpu(lineitem: DataFrame) -> DataFrame:
     return lineitem.select(
         F.col("l_linenumber").cast("string").alias("pid"),

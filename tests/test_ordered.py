@@ -187,3 +187,47 @@ def test_slices_that_hold_one_key_each(many_slices):
     df = many_slices.createDataFrame(rows, "pid string, t bigint").repartition(3)
     got = {(r.pid, r.t): (r.ordinal, r.before) for r in with_previous(number_rows(df, ["pid"], ["t"]), ["pid"], ["t"], "t", "before").collect()}
     assert got == {("a", i): (i + 1, i - 1 if i else None) for i in range(6)} | {("b", 0): (1, None)}
+
+
+def test_ordered_operators_start_no_job_and_cut_hot_keys(spark, skewed):
+    """In a plan of built-in functions; a key with half of the rows, and one with all rows at one instant, are cut."""
+    from herdlens.operators.ordered import _COARSE, _FINE, _cut
+
+    instant = pd.DataFrame({"pid": ["flat"] * 900, "id": np.arange(90_000, 90_900), "t": 3, "n": 1})
+    frame = pd.concat([skewed, instant])
+    df = spark.createDataFrame(frame)
+    spark.sparkContext.setJobGroup("ordered", "ordered")
+    made = [number_rows(df, ["pid"], ["t", "id"], bucket_rows=100), running_total(df, ["pid"], ["t", "id"], "n", bucket_rows=100)]
+    made.append(with_previous(df, ["pid"], ["t", "id"], "t", bucket_rows=100))
+    described = describe(df, ["pid"], {"t": F.col("t")})
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("ordered")) == []
+    want = _expected(frame)
+    for got, (mine, theirs) in zip(made, (("ordinal", "ordinal"), ("running_total", "total"), ("previous", "before")), strict=True):
+        pdf = got.toPandas().set_index("id").sort_index()
+        pd.testing.assert_series_equal(pdf[mine], want[theirs], check_dtype=False, check_names=False)
+        assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    assert described.count() == frame["pid"].nunique(dropna=False)
+    buckets = _cut(df, ["pid"], ["t", "id"], 100).groupBy("pid", _COARSE, _FINE).count().toPandas()
+    assert buckets["count"].max() <= 400
+    assert (buckets["pid"] == "hot").sum() >= 10 and (buckets["pid"] == "flat").sum() >= 9
+
+
+def test_quartiles_of_odd_distributions_are_exact(spark):
+    """Values crowded into one bin of one bin, infinities, one value, two values, and a group of NULL."""
+    draw = np.random.default_rng(3)
+    values = {
+        "crowded": np.concatenate([draw.normal(size=500) * 1e-9, [1e9, -1e9]]),
+        "wide": np.concatenate([10.0 ** draw.uniform(-300, 300, 400), -(10.0 ** draw.uniform(-300, 300, 400))]),
+        "infinite": np.array([-np.inf, 1.0, 2.0, 3.0, 4.0, 5.0, np.inf]),
+        "one": np.array([7.0]),
+        "same": np.full(9, 2.5),
+        "two": np.array([1.0, 2.0]),
+        "few": draw.integers(0, 3, 1000).astype(float),
+    }
+    rows = [(k, float(v)) for k, vs in values.items() for v in vs] + [(None, 4.0), (None, 8.0), ("nan", float("nan"))]
+    got = {r.pid: r for r in describe(spark.createDataFrame(rows, "pid string, x double"), ["pid"], {"x": F.col("x")}).collect()}
+    assert set(got) == {*values, None}
+    for k, vs in [*values.items(), (None, np.array([4.0, 8.0]))]:
+        for name, q in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75)):
+            assert got[k][name] == pytest.approx(np.quantile(vs, q), rel=1e-12), (k, name)
+        assert got[k]["count"] == len(vs) and got[k]["min"] == vs.min() and got[k]["max"] == vs.max()
