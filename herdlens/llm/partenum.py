@@ -6,8 +6,8 @@ ones, and each set signs for its own band and the one below. Within a band, link
 ``k = upper * (100 - percent) / percent`` shingles. The shingle domain is cut into more than k / 2 parts, so at least one
 part holds at most one difference, and each part into three sub-parts, of which one at most is spoiled then: of the
 enumerated subsets of two sub-parts one at least is the same in both sets, and its hash is a shared signature. With
-``r`` further parts there are r + 1 such parts. A set leaves out its subsets of fewer than two shingles, which too many
-sets share, if at most r of its parts have any: of r + 1 parts one remains. Where k is 1 or 2, all subsets of the whole
+``r`` further parts there are r + 1 such parts. A set leaves out its empty subsets, which too many sets share, if at most
+r of its parts have any: of r + 1 parts one remains. Where k is 1 or 2, all subsets of the whole
 set that lack so many shingles are enumerated instead.
 
 Texts with equal sets are one vertex. Vertices that share signatures form clusters; each is compared with its cluster's
@@ -77,12 +77,12 @@ def bands(percent: int, most: int) -> np.ndarray:
 
 
 def parts_of(upper: np.ndarray, slack: np.ndarray, percent: int) -> np.ndarray:
-    """Parts of the domain in a band: so many that one has at most one difference, and as many again as will be nearly empty."""
+    """Parts of the domain in a band: so many that one has at most one difference, and as many again as will have an empty subset."""
     lower, need = np.maximum(1, upper * percent // 100), slack // 2 + 1
     count = need.copy()
     for _ in range(8):
         mean = lower * (SUBPARTS - 1) / (count * SUBPARTS)
-        count = np.minimum(need + (1.5 * SUBPARTS * count * np.exp(-mean) * (1 + mean)).astype(np.int64) + 1, 2 * need)
+        count = np.minimum(need + (1.25 * SUBPARTS * count * np.exp(-mean)).astype(np.int64) + 1, 2 * need)
     return count
 
 
@@ -123,9 +123,9 @@ def signatures(size: np.ndarray, own: np.ndarray, value: np.ndarray, percent: in
         within = np.arange(len(owner)) - base[owner]
         place = (within[:, None] * SUBPARTS + np.arange(SUBPARTS)) * 131071 + label[owner][:, None]
         sign = shingles.mix(shingles.mix(sign) ^ shingles.mix(place.astype(np.uint64)))
-        # A linked pair has more parts with at most one difference than a set has parts with nearly empty subsets,
-        # unless it has very many.
-        bare = held <= 1
+        # A linked pair has more parts with at most one difference than a set has parts with empty subsets, unless it
+        # has very many.
+        bare = held == 0
         poor = np.bincount(owner, bare.any(axis=1), len(size))
         keep = ~bare | (poor[owner] > (n - slacks[at] // 2 - 1)[owner])[:, None]
         texts.append(np.repeat(owner, keep.sum(axis=1)))
