@@ -28,68 +28,77 @@ def value_counts(long: DataFrame, keys: Sequence[str], value: str = "value") ->
     return long.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
 
 
-#: Bins of a range in which values are counted at a time.
-BINS = 1024
-#: Refined so often, a group's range is told apart to its 2^20th part before values are sorted.
-ROUNDS = 2
+#: Bins of an octave, and of the range of one such bin.
+PER_OCTAVE, BINS = 16, 1024
 
 
-def _bin(low: str, high: str) -> Column:
-    """Which of BINS equal parts of a range a value lies in; an infinite range has three (its ends, and the rest)."""
-    value, width = F.col("value"), F.col(high) - F.col(low)
-    place = F.floor(F.try_divide(value - F.col(low), width) * BINS)
-    ends = F.when(value == F.col(low), 0).when(value == F.col(high), BINS).otherwise(1)
-    return F.when(F.abs(width) < F.lit(float("inf")), F.coalesce(place, F.lit(0))).otherwise(ends).cast("int")
+def _octave_bin(value: Column) -> Column:
+    """A whole number that rises with the value and depends on nothing else."""
+    size = F.least(F.abs(value), F.lit(1.7e308))
+    place = F.floor(F.log2(size) * PER_OCTAVE) + F.lit(1100 * PER_OCTAVE)
+    return F.when(value == 0, 0).otherwise(F.signum(value) * place).cast("int")
+
+
+def _range_bin(value: Column, low: Column, high: Column) -> Column:
+    """Which of BINS equal parts of a finite range a value lies in; an infinite one has its ends and the rest."""
+    place = F.floor(F.try_divide(value - low, high - low) * BINS)
+    ends = F.when(value == low, 0).when(value == high, BINS).otherwise(1)
+    return F.when(F.abs(high - low) < F.lit(float("inf")), F.coalesce(place, F.lit(0))).otherwise(ends).cast("int")
 
 
 def describe_long(long: DataFrame, group: Sequence[str]) -> DataFrame:
     """``group, count, mean, std, min, p25, p50, p75, max`` of ``value``; linear quantiles, sample deviation.
 
     A grouped ``percentile`` would hold all distinct values of a group in one task, and sorting them is not needed
-    either: distinct values are counted in bins of the group's range, only bins that hold a wanted position go on, in
-    finer bins over their own range, and what is left after ROUNDS is sorted bin by bin. Exact at any distribution.
+    either: values are counted in bins, which give count, mean and deviation as well; only bins that hold a wanted
+    position go on, in finer bins over their own range; and what is left is sorted bin by bin. Exact at any distribution.
     """
     group = list(group)
-    counts = value_counts(long, group)
-    totals = counts.groupBy(*group).agg(
-        F.sum("n").alias("count"),
-        (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+    octaves = long.withColumn("octave", _octave_bin(F.col("value")))
+    bins = octaves.groupBy(*group, "octave").agg(
+        F.count(F.lit(1)).alias("held"), F.avg("value").alias("middle"), F.var_pop("value").alias("spread"), F.min("value").alias("low"), F.max("value").alias("high")
+    )
+    every = Window.partitionBy(*group)
+    totals = bins.withColumns(
+        {
+            "count": F.sum("held").over(every),
+            "mean": F.sum(F.col("held") * F.col("middle")).over(every) / F.sum("held").over(every),
+            "min": F.min("low").over(every),
+            "max": F.max("high").over(every),
+            "start": F.sum("held").over(every.orderBy("octave")) - F.col("held"),
+        }
     )
+    inner = F.col("held") * (F.col("spread") + F.pow(F.col("middle") - F.col("mean"), 2))
+    totals = totals.withColumn("squares", F.sum(inner).over(every))
     positions = [
         (f"{name}_{end}", rounded(F.lit(q) * (F.col("count") - 1)).cast("bigint"))
         for name, q in QUARTILES.items()
         for end, rounded in (("low", F.floor), ("high", F.ceil))
     ]
-    rows = join_groups(counts, totals, group).withColumns({"low": F.col("min"), "high": F.col("max"), "before": F.lit(0).cast("bigint")})
-    by, squares = list(group), None
-    for level in range(ROUNDS):
-        name = f"bin{level}"
-        rows = rows.withColumn(name, _bin("low", "high"))
-        sums = [F.sum("n").alias("held"), F.min("value").alias("least"), F.max("value").alias("most")]
-        if squares is None:
-            sums.append(F.sum(F.col("n") * F.pow(F.col("value") - F.col("mean"), 2)).alias("squares"))
-        bins = rows.groupBy(*by, "count", "before", name).agg(*sums)
-        if squares is None:
-            squares = bins.groupBy(*group).agg(F.sum("squares").alias("squares"))
-        # At most BINS + 1 rows a window.
-        upto = F.col("before") + F.sum("held").over(Window.partitionBy(*by).orderBy(name))
-        ranked = bins.withColumn("upto", upto).withColumn("start", F.col("upto") - F.col("held"))
-        wanted = reduce(lambda a, b: a | b, ((F.col("start") <= p) & (p < F.col("upto")) for _, p in positions))
-        by = [*by, name]
-        chosen = ranked.where(wanted).select(*by, "least", "most", "start")
-        rows = join_groups(rows.drop("low", "high", "before"), chosen, by).withColumnsRenamed({"least": "low", "most": "high", "start": "before"})
-    upto = F.col("before") + F.sum("n").over(Window.partitionBy(*by).orderBy("value"))
-    ranked = rows.withColumn("upto", upto).withColumn("start", F.col("upto") - F.col("n"))
-    picks = [F.max(F.when((F.col("start") <= p) & (p < F.col("upto")), F.col("value"))).alias(name) for name, p in positions]
-    picked = ranked.groupBy(*group).agg(F.max("count").alias("count"), *picks)
-    gathered = join_groups(join_groups(picked, totals.drop("count"), group), squares, group)
+
+    def here(position: Column) -> Column:
+        return (F.col("start") <= position) & (position < F.col("start") + F.col("held"))
+
+    wanted = reduce(lambda a, b: a | b, (here(p) for _, p in positions))
+    stats = ["count", "mean", "squares", "min", "max"]
+    chosen = totals.where(wanted).select(*group, "octave", "low", "high", F.col("start").alias("before"), *stats)
+    rows = join_groups(octaves, chosen, [*group, "octave"]).withColumn("part", _range_bin(F.col("value"), F.col("low"), F.col("high")))
+    by = [*group, "octave"]
+    parts = rows.groupBy(*by, "part", "before", *stats).agg(F.count(F.lit(1)).alias("held"))
+    # At most BINS + 1 rows a window.
+    upto = F.sum("held").over(Window.partitionBy(*by).orderBy("part"))
+    chosen = parts.withColumn("start", F.col("before") + upto - F.col("held")).where(wanted).select(*by, "part", F.col("start").alias("before"))
+    by = [*by, "part"]
+    values = join_groups(rows.drop("before"), chosen, by).groupBy(*by, "before", *stats, "value").agg(F.count(F.lit(1)).alias("held"))
+    upto = F.sum("held").over(Window.partitionBy(*by).orderBy("value"))
+    ranked = values.withColumn("start", F.col("before") + upto - F.col("held"))
+    gathered = ranked.groupBy(*group, *stats).agg(*(F.max(F.when(here(p), F.col("value"))).alias(name) for name, p in positions))
 
     def between(name: str, q: float) -> Column:
         position = F.lit(q) * (F.col("count") - 1)
         low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
-        return (low + (high - low) * (position - F.floor(position))).alias(name)
+        part = position - F.floor(position)
+        return F.when(part > 0, low + (high - low) * part).otherwise(low).alias(name)
 
     std = F.sqrt(F.try_divide(F.col("squares"), F.col("count") - 1))
     quartiles = [between(name, q) for name, q in QUARTILES.items()]
