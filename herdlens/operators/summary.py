@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from herdlens.functions.values import nan_to_null
 from herdlens.operators.grouped import join_groups
+from herdlens.session import stage
 
 QUARTILES = {"p25": 0.25, "p50": 0.50, "p75": 0.75}
 
@@ -106,13 +107,15 @@ def describe_long(long: DataFrame, group: Sequence[str]) -> DataFrame:
 
 
 def describe(
-    df: DataFrame, keys: Sequence[str], metrics: Mapping[str, Column], timestamps: Sequence[str] = ()
+    df: DataFrame, keys: Sequence[str], metrics: Mapping[str, Column], timestamps: Sequence[str] = (), keep: bool = False
 ) -> DataFrame:
     """``describe_long`` of named columns, one row per key and metric.
 
-    ``timestamps`` names metrics (epoch microseconds) whose deviation is left NULL.
+    ``timestamps`` names metrics (epoch microseconds) whose deviation is left NULL. The values are read three times: with
+    ``keep`` they are written once, when this is called, which pays if they come from joins or windows.
     """
-    summary = describe_long(melt(df, keys, list(metrics.values())), [*keys, "metric"])
+    long = melt(df, keys, list(metrics.values()))
+    summary = describe_long(stage(long) if keep else long, [*keys, "metric"])
     named = summary.withColumn("metric", F.get(F.array(*(F.lit(name) for name in metrics)), "metric"))
     if timestamps:
         named = named.withColumn("std", F.when(~F.col("metric").isin(list(timestamps)), F.col("std")))

@@ -222,14 +222,14 @@ def _eight(df: DataFrame) -> DataFrame:
 def describe_reports(spark: SparkSession, folder: str) -> DataFrame:
     rows = metrics.image_rows_with_metrics(_image_rows(spark, folder))
     names = ["weight_prediction_dur_us", "lead_time_us", "processing_delay_us", "latency_us", "throughput_per_hour"]
-    return _eight(describe(rows, ["pid"], {n: F.col(n) for n in names}))
+    return _eight(describe(rows, ["pid"], {n: F.col(n) for n in names}, keep=True))
 
 
 @query
 def describe_animals(spark: SparkSession, folder: str) -> DataFrame:
     animals = metrics.animal_metrics(_image_rows(spark, folder))
     names = ["lead_time_us", "processing_delay_us", "latency_us"]
-    return _eight(describe(animals, ["pid"], {n: F.col(n) for n in names}))
+    return _eight(describe(animals, ["pid"], {n: F.col(n) for n in names}, keep=True))
 
 
 @query
@@ -238,7 +238,7 @@ def describe_power(spark: SparkSession, folder: str) -> DataFrame:
     columns = {"power_w": F.col("`Power[W]`"), "dt_hours": F.col("dt_hours"), "energy_wh": F.col("energy_wh")}
     start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     columns["timestamp"] = epoch_micros("timestamp") - epoch_micros(start)
-    return _eight(describe(rows, ["pid"], columns, timestamps=["timestamp"]))
+    return _eight(describe(rows, ["pid"], columns, timestamps=["timestamp"], keep=True))
 
 
 @query
@@ -343,8 +343,8 @@ def frame_counters_fps(spark: SparkSession, folder: str) -> DataFrame:
         F.sum("suitable_images").alias("suitable_images"),
         micros_between(F.min("first_image_capture_time"), F.max("last_image_capture_time")).alias("span_us"),
     )
-    fps = F.try_divide(F.col("total_of_images"), F.col("span_us") / 1e6)
-    return rounded(runs.withColumn("fps", fps), 8, "fps")
+    rate = F.try_divide(F.col("total_of_images"), F.col("span_us") / 1e6)
+    return rounded(runs.withColumn("captured_per_second", rate), 8, "captured_per_second")
 
 
 def _frames(spark: SparkSession, folder: str) -> DataFrame:

@@ -377,7 +377,7 @@ CHECKS: dict[str, str] = {
         WITH {_ELAPSED}
         SELECT pid, count(*) AS total_of_images, count(*) FILTER (WHERE elapsed_us <= {_WINDOW_US}) AS suitable_images,
                epoch_us(max(ts)) - epoch_us(min(ts)) AS span_us,
-               round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 8) AS fps
+               round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 8) AS captured_per_second
         FROM e WHERE elapsed_us < {_PASSAGE_US} GROUP BY pid""",
     "clip_frames": _sums(_CLIPPED),
     "scale_frames": _sums(_SCALED.format("pixels")),
