@@ -213,8 +213,11 @@ def common_prefix(a: bytes, b: bytes) -> int:
     return int(differ.argmax()) if differ.any() else n
 
 
-def _neighbours(contexts: DataFrame, width: int) -> DataFrame:
-    """(head, whole, m): the longest common prefix, in units of ``width`` bytes, of each distinct context with another one."""
+def _neighbours(contexts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """(head, whole, m): the longest common prefix, in units of ``width`` bytes, of each distinct context with another one.
+
+    Also the table of sorted contexts that it reads.
+    """
     rows = contexts.count()
     buckets = max(common.tasks(contexts), -(-rows // BUCKET_ROWS))
     # Splitters are whole contexts: few for each bucket, so that their sample stays small at the driver.
@@ -254,7 +257,7 @@ def _neighbours(contexts: DataFrame, width: int) -> DataFrame:
 
     across = beside.mapInArrow(compare, "head bigint, whole bigint, m bigint")
     longest = sorted_rows.select("head", "whole", "m").union(across).groupBy("head", "whole").agg(F.max("m").alias("m"))
-    return longest.withColumn("m", (F.col("m") / width).cast("bigint"))
+    return longest.withColumn("m", (F.col("m") / width).cast("bigint")), sorted_rows
 
 
 def _cover(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -319,22 +322,23 @@ def _counted(texts: DataFrame, places: DataFrame, kind: Kind, length: int) -> Da
                     start = np.array([x["pos"] for x in s])[which] - far
                     low = np.array([x["low"] if x["low"] is not None else 1 for x in s])[which]
                     high = np.array([x["high"] if x["high"] is not None else 0 for x in s])[which]
-                    head = np.array([x["head"] for x in s])[which]
                     is_open = (low <= far) & (far <= high)
                     if only_open:
-                        start, head, is_open = start[is_open], head[is_open], is_open[is_open]
+                        start = start[is_open]
                     code = hashes.at(start, length).view(np.int64)
                     for a in range(0, len(code), 200_000):
                         p = slice(a, a + 200_000)
-                        columns = {"code": code[p], "head": head[p]}
+                        columns = {"code": code[p]}
                         columns |= {"t": np.full(len(code[p]), t), "start": start[p]} if only_open else {"open": is_open[p]}
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
-        return source.mapInArrow(run, "code bigint, head bigint, " + ("t bigint, start bigint" if only_open else "open boolean"))
+        return source.mapInArrow(run, "code bigint, " + ("t bigint, start bigint" if only_open else "open boolean"))
 
     # Hashing the few texts again costs less than keeping every string.
-    twice = strings(False).groupBy("code", "head").agg(F.count("*").alias("n"), F.max("open").alias("asked")).where("n > 1 AND asked").select("code", "head")
-    return strings(True).join(twice, ["code", "head"]).groupBy("t").agg(F.collect_list("start").alias("found"))
+    twice = common.written(strings(False).groupBy("code").agg(F.count("*").alias("n"), F.max("open").alias("asked")).where("n > 1 AND asked").select("code"), "twice")
+    found = common.written(strings(True).join(twice, "code").groupBy("t").agg(F.collect_list("start").alias("found")), "found")
+    common.dropped(own, groups, twice)
+    return found
 
 
 def removals(docs: DataFrame, length: int = LENGTH, kind: Kind = BYTES) -> DataFrame:
@@ -367,16 +371,17 @@ def removals(docs: DataFrame, length: int = LENGTH, kind: Kind = BYTES) -> DataF
                 yield pa.RecordBatch.from_arrays([*arrays, made], names=["head", "whole", "context"])
 
     contexts = common.written(texts.join(chosen, "t").mapInArrow(cut, "head bigint, whole bigint, context binary"), "contexts")
-    longest = _neighbours(contexts, kind.width)
+    longest, in_order = _neighbours(contexts, kind.width)
     shared = common.written(firsts.select("head", "whole", "places").join(longest, ["head", "whole"]), "shared")
     places = live.join(shared, ["head", "whole"]).join(counts.select("t", "count"), "t")
     places = common.written(
         places.withColumn("m", F.when((F.col("places") > 1) | (F.col("count") > 1), F.col("reach")).otherwise(F.col("m"))).select("t", "pos", "near", "far", "head", "m", "count"), "places"
     )
-    common.dropped(live, contexts, shared)
+    common.dropped(live, contexts, in_order, shared)
     found = _counted(texts.select("t", "text"), places, kind, length)
     shown = places.where(F.col("m") >= length).groupBy("t").agg(F.collect_list(F.struct("pos", "m")).alias("shown"))
     marks = shown.join(found, "t", "full")
+
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gone, spans, kept = [], [], []
@@ -394,7 +399,9 @@ def removals(docs: DataFrame, length: int = LENGTH, kind: Kind = BYTES) -> DataF
             arrays = [batch.column("t"), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["t", "n_removed", "n_spans", "kept"])
 
-    return common.written(texts.join(marks, "t").mapInArrow(remove, "t bigint, n_removed bigint, n_spans bigint, kept binary"), "cuts")
+    cuts = common.written(texts.join(marks, "t").mapInArrow(remove, "t bigint, n_removed bigint, n_spans bigint, kept binary"), "cuts")
+    common.dropped(texts, places, found)
+    return cuts
 
 
 def digests(docs: DataFrame, length: int = LENGTH, words: int = PASSAGE) -> DataFrame:
@@ -405,29 +412,23 @@ def digests(docs: DataFrame, length: int = LENGTH, words: int = PASSAGE) -> Data
     """
     narrow = docs.select("doc_id", "text")
     cuts = removals(narrow, length)
-    repeated, _ = windows.repeated_windows(narrow, words, smaller=False)
+    repeated, copied = windows.windows_elsewhere(narrow, words)
     text = F.coalesce("text", F.lit(""))
-    rows = narrow.select("doc_id", F.xxhash64(text).alias("t"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"), _spoken(text, words).alias("spoken"))
+    spoken = F.octet_length(F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))).cast("long").alias("spoken")
+    rows = narrow.select("doc_id", F.xxhash64(text).alias("t"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"), spoken)
     counts = rows.groupBy("t").agg(F.count("*").alias("count"))
     cut = cuts.select("t", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
     all_gone = (F.col("count") > 1) & (F.col("n_bytes") >= length)
     empty = F.lit(hashlib.sha256(b"").hexdigest())
-    per_text = counts.join(cut, "t", "left").join(windows.covered_bytes(repeated, words), "t", "left")
+    per_text = counts.join(cut, "t", "left").join(windows.covered_bytes(repeated, words), "t", "left").join(copied.withColumn("copied", F.lit(True)), "t", "left")
     return rows.join(common.written(per_text, "per-text"), "t").select(
         "doc_id", "n_bytes", F.when(all_gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(all_gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(all_gone, empty).otherwise(F.coalesce("kept_sha256", "whole")).alias("kept_sha256"),
-        F.when((F.col("count") > 1) & (F.col("spoken") > 0), F.col("spoken")).otherwise(F.coalesce("n_passage", F.lit(0))).cast("long").alias("n_passage"),
+        F.when(F.col("copied"), F.col("spoken")).otherwise(F.coalesce("n_passage", F.lit(0))).alias("n_passage"),
     )
 
 
-def _spoken(text: Column, words: int) -> Column:
-    """Bytes from the first to the last word of a text of so many words; 0 if it has fewer."""
-    enough = F.octet_length(text) >= 2 * words - 1
-    count = F.regexp_count(text, F.lit("[^ \\t-\\r]+"))
-    return F.when(enough & (count >= words), F.octet_length(F.btrim(text, F.lit(" \t\n\x0b\x0c\r")))).otherwise(0)
-
-
 def deduplicate(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
     """``docs`` with the remaining text in ``text``, all rows and columns kept; a null text stays null.
 

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from herdlens.llm.common import chunks, dropped, text_bytes, written
+from herdlens.llm import common
+from herdlens.llm.common import chunks, text_bytes
 from herdlens.llm.shingles import mix, powers
 
 WORDS = 50
@@ -147,37 +148,62 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), text.alias("text"), F.xxhash64(text).alias("t"))
 
 
-def repeated_windows(docs: DataFrame, words: int = WORDS, halvings: int = HALVINGS, smaller: bool = True) -> tuple[DataFrame, DataFrame]:
+def repeated_windows(docs: DataFrame, words: int = WORDS, halvings: int = HALVINGS) -> tuple[DataFrame, DataFrame]:
     """Texts that lose words, as (t, id, text, s): ``s`` lists the windows that go; and (t, id, count) of every text.
 
-    ``docs`` has (doc_id, text); t is the hash of a text and id its least doc_id. Without ``smaller`` a window goes if it
-    stands at any other place of a text, the same one included; copies of a text are one text here too.
+    ``docs`` has (doc_id, text); t is the hash of a text and id its least doc_id.
+    """
+    rows, counts, texts, _ = _candidates(docs, words, halvings, "t")
+    if texts is None:
+        texts = common.written(rows.join(counts.drop("count"), ["t", "id"]).dropDuplicates(["t"]), "texts")
+    return _found(texts, words, "id", "least < id"), counts
+
+
+def windows_elsewhere(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
+    """(t, id, text, s): windows of a text that stand at any other place of any text, the same one included.
+
+    Copies of a text are one text here too; those of so many words are listed beside, as (t).
+    """
+    place = "xxhash64(t, first)"
+    _, counts, texts, copied = _candidates(docs, words, 1, place)
+    common.dropped(counts)
+    return _found(texts, words, place, "true"), copied
+
+
+def _candidates(docs: DataFrame, words: int, halvings: int, place: str) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame | None]:
+    """Rows, (t, id, count) of texts, the texts with candidates after all levels but the last, and copied texts of so many words.
+
+    ``place`` tells places apart at which a window counts as repeated.
     """
-    place = "t" if smaller else "xxhash64(t, first)"
     rows = _keyed(docs)
-    counts = written(rows.groupBy("t").agg(F.min("id").alias("id"), F.count("*").alias("count")), "counts")
+    counts = common.written(rows.groupBy("t").agg(F.min("id").alias("id"), F.count("*").alias("count")), "counts")
     # A text of w words has 2 w - 1 bytes at least.
-    texts, known, made = rows.where(F.octet_length("text") >= 2 * words - 1), False, []
+    texts, known, made, copied = rows.where(F.octet_length("text") >= 2 * words - 1), False, [], None
     for size in levels(words, halvings)[:-1]:
-        own = written(_shown_rows(texts, words, size, known).drop("id"), "shown")
-        alive = written(own.groupBy("code").agg(F.expr(f"min({place})").alias("one"), F.expr(f"max({place})").alias("other")).where("one < other").select("code"), "alive")
+        own = common.written(_shown_rows(texts, words, size, known).drop("id"), "shown")
+        both = own.groupBy("code").agg(F.expr(f"min({place})").alias("one"), F.expr(f"max({place})").alias("other"))
+        alive = common.written(both.where("one < other").select("code"), "alive")
         live = own.join(alive, "code").select("t", "first", "last").distinct()
-        per_text = written(live.groupBy("t").agg(F.collect_list(F.struct("first", "last")).alias("s")).join(counts.select("t", "id"), "t"), "candidates")
-        dropped(own, alive)
+        per_text = common.written(live.groupBy("t").agg(F.collect_list(F.struct("first", "last")).alias("s")).join(counts.select("t", "id"), "t"), "candidates")
+        if copied is None:
+            copied = common.written(counts.where("count > 1").select("t").join(own.select("t").distinct(), "t"), "copied")
+        common.dropped(own, alive)
         source = rows.join(per_text, ["t", "id"]).dropDuplicates(["t"]) if not known else texts.drop("s").join(per_text.drop("id"), "t")
-        texts, known = written(source.select("t", "id", "text", "s"), "texts"), True
-        dropped(per_text, *made)
+        texts, known = common.written(source.select("t", "id", "text", "s"), "texts"), True
+        common.dropped(per_text, *made)
         made = [texts]
-    if not known:
-        texts = written(rows.join(counts.drop("count"), ["t", "id"]).dropDuplicates(["t"]), "texts")
-    own = written(_shown_rows(texts, words, words, known).drop("last"), "shown")
-    order = "id" if smaller else place
+    return rows, counts, texts if known else None, copied
+
+
+def _found(texts: DataFrame, words: int, order: str, goes: str) -> DataFrame:
+    """The last level: windows of the wanted length, of which those go whose hash has several values of ``order``."""
+    own = common.written(_shown_rows(texts, words, words, "s" in texts.columns).drop("last"), "shown")
     least = own.groupBy("code").agg(F.expr(f"min({order})").alias("least"), F.expr(f"max({order})").alias("most"))
-    least = written(least.where("least < most").select("code", "least"), "least")
-    gone = own.join(least, "code").where("least < id" if smaller else "true").groupBy("t").agg(F.collect_list("first").alias("s"))
-    cut = written(texts.drop("s").join(written(gone, "gone"), "t"), "cut")
-    dropped(own, least, texts)
-    return cut, counts
+    least = common.written(least.where("least < most").select("code", "least"), "least")
+    gone = common.written(own.join(least, "code").where(goes).groupBy("t").agg(F.collect_list("first").alias("s")), "gone")
+    cut = common.written(texts.drop("s").join(gone, "t"), "cut")
+    common.dropped(own, least, gone, texts)
+    return cut
 
 
 def covered_bytes(cut: DataFrame, words: int = WORDS) -> DataFrame:
@@ -229,7 +255,7 @@ def spaced(text: Column) -> Column:
 def _joined(docs: DataFrame, words: int, halvings: int, rows: DataFrame, cut_columns: list[Column]) -> DataFrame:
     """``rows`` (with __t__, __id__, __n__) beside what their text loses; __gone__ marks rows that lose every word."""
     cut, counts = repeated_windows(docs, words, halvings)
-    per_text = written(counts.join(kept_words(cut, words).select("t", *cut_columns), "t", "left").withColumnsRenamed({"t": "__t__", "id": "__least__"}).drop("count"), "per-text")
+    per_text = common.written(counts.join(kept_words(cut, words).select("t", *cut_columns), "t", "left").withColumnsRenamed({"t": "__t__", "id": "__least__"}).drop("count"), "per-text")
     joined = rows.join(per_text, "__t__")
     return joined.withColumn("__gone__", (F.col("__id__") > F.col("__least__")) & (F.col("__n__") >= words))
 
