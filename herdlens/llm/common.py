@@ -91,29 +91,35 @@ def append(df: DataFrame, fields: list[T.StructField], text: str, compute: Calla
     new = {f.name for f in fields}
     kept = [c for c in df.columns if c not in new]
     schema = T.StructType([df.schema[c] for c in kept] + fields)
-    source = df.select(*kept, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text__"), *([] if key is None else [key.alias("__key__")]))
-    given = ["__text__"] if key is None else ["__text__", "__key__"]
+    # Columns are read by place, under names that ``df`` has not got.
+    given = [F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(unused(df, "text")), *([] if key is None else [key.alias(unused(df, "key"))])]
+    source = df.select(*(F.col(f"`{c}`") for c in kept), *given)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                made = compute(*(batch.column(c) for c in given))
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + made, names=[*kept, *(f.name for f in fields)])
+                made = compute(*batch.columns[len(kept) :])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *made], names=[*kept, *(f.name for f in fields)])
 
     return source.mapInArrow(run, schema)
 
 
-def sample_per_class(rows: DataFrame, key: str, label: str, per_class: int, most_classes: int) -> DataFrame:
-    """About ``per_class`` (key, label) rows of each of at most ``most_classes`` classes, chosen by a hash of the key.
+#: Rows of all classes that a model is trained on at most (one of each class at least), and bytes of a text among them.
+MOST_ROWS, MOST_BYTES = 20_000, 1 << 16
 
-    The counts cover all rows; only the choice of training rows is a sample.
+
+def sample_per_class(rows: DataFrame, key: str, label: str, per_class: int) -> DataFrame:
+    """About ``per_class`` (key, label) rows of each class, less if there are very many classes, chosen by a hash of the key.
+
+    The counts cover all rows; only the choice of training rows is a sample, the same in every run.
     """
-    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(most_classes).collect()
-    chosen = F.lit(False)
-    share = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    for row in counts:
-        chosen = chosen | ((F.col(label) == F.lit(row[label])) & (share < F.lit(per_class / row["count"])))
-    return rows.where(chosen).limit(2 * per_class * max(1, len(counts)))
+    counts = written(rows.groupBy(F.col(label).alias("__class__")).agg(F.count("*").alias("__rows__")), "classes")
+    classes = max(1, counts.count())
+    each = max(1, min(per_class, MOST_ROWS // classes))
+    number = F.xxhash64(F.col(key), F.col(label))
+    share = F.pmod(number, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chosen = rows.join(counts, F.col(label) == F.col("__class__")).where(share < F.lit(float(each)) / F.col("__rows__"))
+    return chosen.orderBy(number, key, label).limit(2 * each * classes).drop("__class__", "__rows__")
 
 
 def chunks(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:

@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from herdlens.llm import common, subwords
 
 SIZES, BITS, DIM = (2, 3, 4), 15, 12
-#: Training rows of each language, and languages (the most frequent first).
-PER_CLASS, MOST_CLASSES = 600, 200
+#: Training rows of each language.
+PER_CLASS = 600
 UNKNOWN = "und"
 
 
@@ -97,10 +97,14 @@ def train(texts: list[str], langs: list[str], rounds: int = 12, right: float = 0
     return model
 
 
-def fit(docs: DataFrame, per_class: int = PER_CLASS, most_classes: int = MOST_CLASSES) -> Model:
-    """Train on about ``per_class`` documents of each language outside fold 0, by their ``text`` and ``lang``."""
+def fit(docs: DataFrame, per_class: int = PER_CLASS) -> Model:
+    """Train on about ``per_class`` documents of each language outside fold 0, by their ``text`` and ``lang``.
+
+    Texts above ``common.MOST_BYTES`` are not trained on, so that what reaches the driver is bounded in bytes too.
+    """
     known = docs.where(~common.held_out("doc_id") & F.col("doc_id").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    found = common.sample_per_class(known, "doc_id", "lang", per_class, most_classes).select("text", "lang").toPandas()
+    short = known.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= common.MOST_BYTES)
+    found = common.sample_per_class(short, "doc_id", "lang", per_class).select("text", "lang").toPandas()
     return train(found["text"].fillna("").tolist(), found["lang"].tolist())
 
 

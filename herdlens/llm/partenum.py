@@ -16,7 +16,7 @@ in common, so a prefix of either difference finds the pairs to verify; pairs tha
 comparison. A signature that is very frequent is found in a sample first and spread over all tasks. Links stay in
 tables; components are contracted there.
 
-Cases: null and empty texts, and texts without words, have an empty set, size 0 and are their own component; shorter
+Cases: extra columns may have any name and stay as they are; null and empty texts, and texts without words, have an empty set, size 0 and are their own component; shorter
 texts than the shingle width have one shingle, their whole sequence; rows that repeat a doc_id link each by its own
 text; a null doc_id has a null component unless its text links it to others, whom it may link to each other; an empty
 table gives an empty result. Keys of sets, shingles and rows are 64-bit hashes.
@@ -333,11 +333,14 @@ def drop_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     first = keys.where("n_shingles > 0").groupBy("vertex").agg(F.min(order).alias("first"))
     rooted = common.written(first.join(places, "vertex", "left").select("vertex", "first", F.coalesce("root", "vertex").alias("root")), "rooted")
     best = common.written(rooted.groupBy("root").agg(F.min("first").alias("best")).select("root", F.col("best.row").alias("row")), "best")
-    rows = keys.where("n_shingles > 0").groupBy(F.col("row").alias("__row__")).count()
-    counted = rows.join(best.select(F.col("row").alias("__row__"), F.lit(True).alias("stays")), "__row__", "left")
+    mark, stays = common.unused(docs, "row"), common.unused(docs, "stays")
+    rows = keys.where("n_shingles > 0").groupBy(F.col("row").alias(mark)).agg(F.count("*").alias("times"))
+    counted = rows.join(best.select(F.col("row").alias(mark), F.lit(True).alias(stays)), mark, "left")
     # Few rows as a rule: those that go, and those that stay once though they occur more often.
-    moved = common.written(counted.where("stays IS NULL OR count > 1").select("__row__", "stays"), "copies")
-    twice = common.written(moved.where("stays").select("__row__"), "twice")
-    own = docs.withColumn("__row__", row_key())
-    one = own.join(twice, "__row__").groupBy("__row__").agg(F.first(F.struct(*docs.columns)).alias("one")).select("one.*")
-    return own.join(moved.select("__row__"), "__row__", "left_anti").select(*docs.columns).union(one)
+    moved = common.written(counted.where(F.col(stays).isNull() | (F.col("times") > 1)).select(mark, stays), "copies")
+    twice = common.written(moved.where(stays).select(mark), "twice")
+    common.dropped(rooted, best)
+    own = docs.withColumn(mark, row_key())
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    one = own.join(twice, mark).groupBy(mark).agg(F.first(F.struct(*columns)).alias("one")).select("one.*")
+    return own.join(moved.select(mark), mark, "left_anti").select(*columns).union(one)

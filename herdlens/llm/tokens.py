@@ -32,8 +32,8 @@ from herdlens.llm import common
 END = 0
 FIRST, BLANKS = "\0", re.compile(r" \s|\s ")
 SHARD_TOKENS = 1 << 20
-#: A pair is replaced if it occurs so often; rounds, and pairs replaced in one round.
-LEAST_COUNT, ROUNDS, PER_ROUND = 64, 4, 1024
+#: A pair is replaced if it occurs so often; pairs replaced in one round, the most frequent ones.
+LEAST_COUNT, PER_ROUND = 64, 8192
 SCHEMA = "slice int, shard int, tokens bigint, vocabulary int, rules binary, lengths binary, sequence binary, doc_ids array<bigint>, counts array<int>"
 
 
@@ -129,9 +129,7 @@ def _bucket(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def compress(sequence: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
     """(sequence, rules): rule k says what pair the symbol ``vocabulary + k`` stands for."""
     seq, rules = sequence.astype(np.uint32), []
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:  # every round shortens the sequence or ends
         # Count by a hash first; only pairs in the fullest buckets are counted for themselves.
         code = _bucket(seq[:-1], seq[1:])
         full = np.bincount(code, minlength=1 << 20)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from herdlens.llm import middle, suffixes, whitening, windows
+from herdlens.llm import common, language, middle, partenum, suffixes, tokens, toxicity, whitening, windows
 from tests.llm.test_operators import prose
 
 SCHEMA = "doc_id bigint, text string, lang string, n string, form string, __t__ int, x int, code int"
@@ -205,3 +205,49 @@ def test_levels_double_at_most():
         for halvings in range(6):
             steps = windows.levels(words, halvings)
             assert steps[-1] == words and all(a < b <= 2 * a for a, b in zip(steps, steps[1:]))
+
+
+# --- earlier operators: names that clash, grammars to their end, one class of many ------------------------
+
+
+def test_columns_of_any_name_stay_as_they_are(spark):
+    rows = [(i, t, 10 + i, "a", "b", 20 + i, 30 + i, True) for i, t in enumerate([prose(1, 60), prose(1, 60), prose(2, 60), None])]
+    schema = "doc_id bigint, text string, `__row__` int, `__text__` string, `__key__` string, `__t__` int, `count` int, `stays` boolean"
+    df = spark.createDataFrame(rows, schema)
+    kept = partenum.drop_copies(df)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"], r["__row__"], r["__t__"], r["count"]) for r in kept.collect()) == [(i, 10 + i, 20 + i, 30 + i) for i in (0, 2, 3)]
+    kept = suffixes.deduplicate(df)
+    assert sorted((r["doc_id"], r["__row__"], r["__t__"]) for r in kept.collect()) == [(i, 10 + i, 20 + i) for i in range(4)]
+    judged = toxicity.score(df, toxicity.train(["bad words", "good words"] * 5, [1, 0] * 5)).collect()
+    assert sorted((r["doc_id"], r["__text__"], r["__key__"]) for r in judged) == [(i, "a", "b") for i in range(4)]
+
+
+def test_grammars_go_on_until_no_pair_is_frequent():
+    for stream in (np.full(65_536, 7), np.tile(np.arange(100, 164), 1024), np.random.default_rng(1).integers(0, 30, 50_000)):
+        seq, rules = tokens.compress(stream.astype(np.uint32), 1000)
+        assert (tokens.expand(seq, rules, 1000) == stream).all()
+        pairs, count = np.unique(np.stack([seq[:-1], seq[1:]]), axis=1, return_counts=True)
+        assert count.max(initial=0) < tokens.LEAST_COUNT
+
+
+def test_every_language_can_be_learned_and_training_rows_are_bounded(spark, monkeypatch):
+    letters = [chr(0x0430 + i) for i in range(30)] + [chr(0x0561 + i) for i in range(30)]
+    rows = [(i * 60 + k, f"{c * 3} {c * 5} {c * 2}{k}", f"l{k}") for k, c in enumerate(letters) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert len(language.fit(df).langs) == len(letters)
+    monkeypatch.setattr(common, "MOST_ROWS", 120)
+    sample = common.sample_per_class(df, "doc_id", "lang", 600).collect()
+    assert len(sample) <= 240 and sorted(sample) == sorted(common.sample_per_class(df.repartition(7), "doc_id", "lang", 600).collect())
+
+
+def test_one_labelled_id_on_many_rows_gives_one_text(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(k, f"other {k}") for k in range(2, 40)] + [(60, "x" * 100_000)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 40)] * 2 + [(60, 1)], "doc_id bigint, toxic int")
+    seen: list = []
+    train, toxicity.train = toxicity.train, lambda texts, label, seed=11: seen.append(texts) or train(texts, label)
+    try:
+        toxicity.fit(docs, labels)
+    finally:
+        toxicity.train = train
+    assert len(seen[0]) <= 39 and max(map(len, seen[0])) < 100 and sum(t.startswith("text ") for t in seen[0]) <= 1
