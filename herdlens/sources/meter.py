@@ -71,25 +71,31 @@ def rejected(decoded: DataFrame, *columns: str) -> DataFrame:
     return decoded.where(~F.col("valid")).select(*columns)
 
 
+#: Pairs of a recording that are cut out at once.
+_PAIRS = 64
+
+
 def decode_recordings(blobs: DataFrame, blob: str = "blob") -> DataFrame:
-    """One row ``Rec, Volt, Current`` per 8-byte pair, numbered from 1; a partial pair at the end is ignored."""
+    """One row ``Rec, Volt, Current`` per 8-byte pair, numbered from 1; a partial pair at the end is ignored.
+
+    A blob is first cut into short pieces and those into positions, so that a row carries few bytes and words are
+    decoded by generated code, not inside an array function.
+    """
     others = [c for c in blobs.columns if c != blob]
     pairs = F.floor(F.length(blob) / 8).cast("int")
     whole = blobs.select(*others, pairs.alias("__pairs"), F.col(blob).alias("__blob")).where(F.col("__pairs") > 0)
-
-    def word_at(place: Column) -> Column:
-        """A word of the blob: a slice of a binary value is taken in constant time."""
-        four = F.substr(F.col("__blob"), place * 4 + 1, F.lit(4))
-        return word(reversed_hex(four), 1, 0)
-
-    words = F.transform(
-        F.sequence(F.lit(0), F.col("__pairs") - 1),
-        lambda i: F.struct(word_at(i * 2).alias("volt"), word_at(i * 2 + 1).alias("current")),
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.col("__pairs") - 1, F.lit(_PAIRS)),
+        lambda i: F.struct(i.alias("first"), F.substr(F.col("__blob"), i * 8 + 1, F.lit(8 * _PAIRS)).alias("bytes")),
     )
-    rows = whole.select(*others, F.posexplode(words).alias("__pair", "__words"))  # the blob stays behind
+    cut = whole.select(*others, "__pairs", F.explode(pieces).alias("__piece"))
+    cut = cut.select(*others, F.least(F.lit(_PAIRS), F.col("__pairs") - F.col("__piece.first")).alias("__n"), "__piece")
+    rows = cut.select(*others, "__piece", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("__pair"))
+    backward = reversed_hex(F.substr(F.col("__piece.bytes"), F.col("__pair") * 8 + 1, F.lit(8)))
+    rows = rows.select(*others, (F.col("__piece.first") + F.col("__pair") + 1).alias("Rec"), backward.alias("__hex"))
     return rows.select(
         *others,
-        (F.col("__pair") + 1).alias("Rec"),
-        scaled(F.col("__words.volt"), VOLT_UNIT).alias("Volt"),
-        scaled(F.col("__words.current"), CURRENT_UNIT).alias("Current"),
+        "Rec",
+        scaled(word(F.col("__hex"), 2, 0), VOLT_UNIT).alias("Volt"),
+        scaled(word(F.col("__hex"), 2, 1), CURRENT_UNIT).alias("Current"),
     )
