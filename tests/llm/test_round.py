@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from herdlens.llm import common, language, middle, partenum, suffixes, tokens, toxicity, whitening, windows
+from herdlens.llm import common, decontaminate, language, middle, partenum, suffixes, tokens, toxicity, whitening, windows
 from tests.llm.test_operators import prose
 
 SCHEMA = "doc_id bigint, text string, lang string, n string, form string, __t__ int, x int, code int"
@@ -251,3 +251,43 @@ def test_one_labelled_id_on_many_rows_gives_one_text(spark):
     finally:
         toxicity.train = train
     assert len(seen[0]) <= 39 and max(map(len, seen[0])) < 100 and sum(t.startswith("text ") for t in seen[0]) <= 1
+
+
+# --- decontamination against a scan of all alignments ------------------------------------------------------
+
+
+def test_overlaps_are_those_of_a_scan_of_all_alignments(spark):
+    """Every reported overlap is the best stretch of its pair, and every pair with 11 equal tokens in a row is reported."""
+    draw, word = np.random.default_rng(21), [f"w{i}" for i in range(400)]
+    items = [[word[i] for i in draw.integers(0, 400, n)] for n in (14, 20, 35, 60, 60, 25)]
+    docs = []
+    for k in range(60):
+        text = [word[i] for i in draw.integers(0, 400, int(draw.integers(5, 120)))]
+        for _ in range(k % 3):
+            item = items[int(draw.integers(0, len(items)))]
+            a = int(draw.integers(0, max(1, len(item) - 12)))
+            part = [w if draw.random() > 0.07 else f"n{draw.integers(0, 99)}" for w in item[a : a + int(draw.integers(8, 60))]]
+            at = int(draw.integers(0, len(text) + 1))
+            text[at:at] = part
+        docs.append(text)
+    left = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id bigint, text string")
+    right = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.matches for r in decontaminate.overlaps(left, right).collect()}
+    best, sure = {}, set()
+    for i, t in enumerate(docs):
+        for j, w in enumerate(items):
+            for shift in range(1 - len(w), len(t)):
+                first, last = max(shift, 0), min(shift + len(w), len(t))
+                same = np.array([t[p] == w[p - shift] for p in range(first, last)])
+                running = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
+                gain = running - np.minimum.accumulate(running)
+                end = int(gain.argmax())
+                matches = int(same[int(running[: end + 1].argmin()) : end].sum())
+                if matches >= decontaminate.needed(len(w)):
+                    best[i, j] = max(best.get((i, j), 0), matches)
+                    rows = np.diff(np.flatnonzero(np.concatenate([[True], ~same, [True]]))) - 1
+                    if rows.max(initial=0) >= 11:
+                        sure.add((i, j))
+    assert len(sure) > 20 and sure <= set(got) <= set(best)
+    assert all(got[pair] == best[pair] for pair in sure)
+    assert len(got) >= 0.95 * len(best)
