@@ -315,7 +315,7 @@ class Search:
             self._emit(i, new_edges, new_bound, new_log, -value, at, own, r)
 
     def _other(self, text: np.ndarray, unit: np.ndarray, taken: list[list], r: int) -> list:
-        """A segmentation of one unit of each text that is none of those taken: drawn again, else by listing them."""
+        """A segmentation of one unit of each text that is none of those taken: drawn again, else among the others only."""
         found: list = [None] * len(text)
         open_ = np.arange(len(text))
         for attempt in range(40):
@@ -333,27 +333,50 @@ class Search:
                     found[k] = (own, log[n])
             open_ = np.array(still, np.int64)
         for k in open_.tolist():
-            found[k] = self._listed(int(self.unit[self.begin[text[k]] + unit[k]]), {t for t, _ in taken[k]}, self.keys[text[k]], r)
+            found[k] = self._left(int(self.unit[self.begin[text[k]] + unit[k]]), {t for t, _ in taken[k]}, self.keys[text[k]], r)
         return found
 
-    def _listed(self, unit: int, taken: set[bytes], key: np.uint64, r: int):
-        """The best of all segmentations of a unit but those taken, each perturbed: best first by log-probability bound."""
+    def _left(self, unit: int, taken: set[bytes], key: np.uint64, r: int):
+        """A segmentation of a unit drawn exactly from those not taken, or None if there is none.
+
+        The taken ones form a tree of prefixes. From its leaves up, each prefix gets the probability that what follows
+        it is not taken: a sum over its edges without any difference, so that the little that a dominant segmentation
+        leaves is not lost. Going down, an edge is drawn by its probability times that of the prefix it leads to.
+        """
         t = self.lat.tab
-        draw, queue = np.random.default_rng([int(key) & 0xFFFFFFFF, r]), [(0.0, (), int(t["root"][unit]))]
-        listed = []
-        while queue and len(listed) < len(taken) + 64:
-            cost, path, node = heapq.heappop(queue)
-            edge = int(t["edge_begin"][node])
-            if edge < 0:
-                listed.append((np.array(path, np.int64), -cost))
-                continue
-            while True:
-                heapq.heappush(queue, (cost - float(t["log"][edge]), (*path, edge), int(t["next"][edge])))
-                if t["cum"][edge] > 1.5:
-                    break
-                edge += 1
-        free = [(e, x) for e, x in listed if e.tobytes() not in taken]
-        return max(free, key=lambda f: f[1] + draw.gumbel()) if free else None
+        nodes, children = [int(t["root"][unit])], [{}]
+        for path in (np.frombuffer(x, np.int64).tolist() for x in sorted(taken)):
+            at = 0
+            for edge in path:
+                if edge not in children[at]:
+                    children[at][edge] = len(nodes)
+                    nodes.append(int(t["next"][edge]))
+                    children.append({})
+                at = children[at][edge]
+
+        def edges(node: int) -> list[int]:
+            first = last = int(t["edge_begin"][node])
+            if first < 0:
+                return []
+            while t["cum"][last] <= 1.5:
+                last += 1
+            return list(range(first, last + 1))
+
+        free = [0.0] * len(nodes)
+        for at in range(len(nodes) - 1, -1, -1):  # children come after their parents
+            free[at] = sum(np.exp(t["log"][e]) * (free[children[at][e]] if e in children[at] else 1.0) for e in edges(nodes[at]))
+        if not free[0] > 0:
+            return None
+        draw, at, node, path, log = np.random.default_rng([int(key) & 0xFFFFFFFF, r]), 0, nodes[0], [], 0.0
+        while own := edges(node):
+            known = children[at] if at is not None else {}
+            weight = np.array([np.exp(t["log"][e]) * (free[known[e]] if e in known else 1.0) for e in own])
+            rising = np.cumsum(weight)
+            edge = own[min(int(np.searchsorted(rising, draw.random() * rising[-1], side="right")), int(np.flatnonzero(weight)[-1]))]
+            at, node = known.get(edge), int(t["next"][edge])
+            path.append(edge)
+            log += float(t["log"][edge])
+        return np.array(path, np.int64), log
 
 
 def lattices_of(path: str) -> Lattices:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from herdlens.llm import common, decontaminate, language, middle, partenum, suffixes, tokens, toxicity, whitening, windows
+from herdlens.llm import common, decontaminate, language, middle, partenum, pieces, queries, suffixes, tokens, toxicity, whitening, windows
 from tests.llm.test_operators import prose
 
 SCHEMA = "doc_id bigint, text string, lang string, n string, form string, __t__ int, x int, code int"
@@ -291,3 +291,57 @@ def test_overlaps_are_those_of_a_scan_of_all_alignments(spark):
     assert len(sure) > 20 and sure <= set(got) <= set(best)
     assert all(got[pair] == best[pair] for pair in sure)
     assert len(got) >= 0.95 * len(best)
+
+
+# --- what is left of a lattice -----------------------------------------------------------------------------
+
+
+def all_paths(t, unit):
+    out, stack = {}, [((), 0.0, int(t["root"][unit]))]
+    while stack:
+        path, log, node = stack.pop()
+        edge = int(t["edge_begin"][node])
+        if edge < 0:
+            out[path] = log
+            continue
+        while True:
+            stack.append(((*path, edge), log + float(t["log"][edge]), int(t["next"][edge])))
+            if t["cum"][edge] > 1.5:
+                break
+            edge += 1
+    return out
+
+
+def test_segmentations_left_over_are_drawn_by_their_probability():
+    lattices = pieces.Lattices(queries.tokenizer_path("piece_bpe_32k.model"))
+    (units,) = lattices.units(["internationalization"])
+    unit = int(units[0])
+    paths = all_paths(lattices.tab, unit)
+    assert len(paths) > 100 and np.exp(list(paths.values())).sum() == pytest.approx(1)
+    search = pieces.Search(lattices, [units], np.zeros(1, np.uint64), 2)
+    rank = sorted(paths, key=paths.get, reverse=True)
+    as_bytes = lambda p: np.array(p, np.int64).tobytes()
+    for taken in (rank[:1], rank[:90], rank[1:]):
+        left = {p: np.exp(paths[p]) for p in paths if p not in set(taken)}
+        total, n = sum(left.values()), 4000
+        seen = defaultdict(int)
+        for k in range(n):
+            path, log = search._left(unit, {as_bytes(p) for p in taken}, np.uint64(k * 7919), 1)
+            assert log == pytest.approx(paths[tuple(path.tolist())])
+            seen[tuple(path.tolist())] += 1
+        assert set(seen) <= set(left)
+        common_ = [p for p in left if n * left[p] / total >= 10]
+        rest = n - sum(seen[p] for p in common_)
+        expected = [n * left[p] / total for p in common_]
+        chi = sum((seen[p] - e) ** 2 / e for p, e in zip(common_, expected, strict=True)) + (rest - (n - sum(expected))) ** 2 / max(1.0, n - sum(expected))
+        assert chi < len(common_) + 1 + 5 * np.sqrt(2 * (len(common_) + 1))
+    assert search._left(unit, {as_bytes(p) for p in paths}, np.uint64(1), 1) is None
+
+
+def test_more_segmentations_than_were_ever_listed_come_out():
+    lattices = pieces.Lattices(queries.tokenizer_path("piece_bpe_32k.model"))
+    (units,) = lattices.units(["internationalization"])
+    want = len(all_paths(lattices.tab, int(units[0])))
+    (found,) = pieces.Search(lattices, [units], np.array([5], np.uint64), want + 3).run() if want < 400 else pieces.Search(lattices, [units], np.array([5], np.uint64), 150).run()
+    assert len(found) == min(want, 150 if want >= 400 else want) and len({e.tobytes() for e, *_ in found}) == len(found)
+    assert all(a[2] >= b[2] for a, b in zip(found, found[1:]))
