@@ -106,16 +106,20 @@ class Bytes:
 
 
 class Kind:
-    """What texts are cut into: the units, their bytes in a context, and how many make the k-gram that samples."""
+    """What texts are cut into: the units, their bytes in a context, how many make the k-gram that samples, and eighths.
 
-    def __init__(self, units: type, width: int, gram: int):
-        self.units, self.width, self.gram = units, width, gram
+    So many eighths of a string, less the k-gram, are the window of places of which one is sampled.
+    """
+
+    def __init__(self, units: type, width: int, gram: int, eighths: int):
+        self.units, self.width, self.gram, self.eighths = units, width, gram, eighths
 
     def window(self, length: int) -> int:
-        return max(1, length * 5 // 8 - self.gram)
+        return max(1, length * self.eighths // 8 - self.gram)
 
 
-BYTES, WORDS = Kind(Bytes, 1, GRAM), Kind(Words, 8, 8)
+# A few words tell more than as many bytes, so fewer of their suffixes do.
+BYTES, WORDS = Kind(Bytes, 1, GRAM, 5), Kind(Words, 8, 4, 6)
 
 
 def _alone(kind: Kind, text: str) -> Bytes | Words:
