@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -65,17 +66,20 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Delete tables made by ``written`` once their last reader has written its own result.
-
-    Shuffle files of the jobs behind them stay until the driver collects its garbage, so it is asked to.
-    """
+    """Delete tables made by ``written`` once their last reader has written its own result."""
     for table_ in tables:
         spark = table_.sparkSession
         for name in {f.rsplit("/", 1)[0] for f in table_.inputFiles()}:
             folder = spark._jvm.org.apache.hadoop.fs.Path(name)
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     if tables:
-        tables[0].sparkSession._jvm.System.gc()
+        swept(tables[0].sparkSession)
+
+
+def swept(spark: SparkSession) -> None:
+    """Shuffle files of past jobs stay until the driver collects its garbage, so both of its languages are asked to."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def tasks(df: DataFrame) -> int:

@@ -237,12 +237,14 @@ def _against_pivot(pairs: DataFrame, texts: DataFrame, width: int, percent: int,
     """Each vertex a against its pivot b: linked, distance, slack, and the first shingles of their difference.
 
     ``slack`` bounds the distance of the vertex from anything it links with. Differences are ordered by whether the
-    pivot has the shingle (what it lacks comes first, being rarer), then by how common it is in all texts, then by hash:
-    one order for all its vertices, in which a passage that many of them share comes last.
+    pivot has the shingle (what it lacks comes first, being rarer); what it lacks by how common it is in all texts, rare
+    ones first, and what it has the other way round, as few texts lack a common shingle; then by hash. That is one order
+    for all its vertices, in which what many of them share comes last.
     """
 
-    def rare_first(values: np.ndarray) -> np.ndarray:
-        return values[np.lexsort((values, commonness[(values >> np.uint64(45)).astype(np.int64)]))]
+    def ordered(values: np.ndarray, rare_first: bool) -> np.ndarray:
+        common_ = commonness[(values >> np.uint64(45)).astype(np.int64)].astype(np.int64)
+        return values[np.lexsort((values, common_ if rare_first else -common_))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,7 +254,7 @@ def _against_pivot(pairs: DataFrame, texts: DataFrame, width: int, percent: int,
                 linked.append(_linked(x, y, percent))
                 distance.append(len(added) + len(lacking))
                 slack.append(len(x) * (100 - percent) // percent)
-                first.append(np.concatenate([rare_first(added), np.sort(lacking)])[: slack[-1] + 1].view(np.int64))
+                first.append(np.concatenate([ordered(added, True), ordered(lacking, False)])[: slack[-1] + 1].view(np.int64))
             kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
             made = [pa.array(v, k) for v, k in zip((linked, distance, slack, first), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *made], names=["a", "b", "linked", "distance", "slack", "first"])
@@ -264,17 +266,20 @@ def _candidates(compared: DataFrame) -> DataFrame:
     """(a, b) pairs of vertices of one pivot that may be linked and do not both link with the pivot.
 
     Linked a and b with distances p <= q from the pivot have differences with at least (p + q - slack) / 2 shingles in
-    common. So they share one of the first slack / 2 + 1 of a's and the first slack + 1 of b's, or need none in common.
+    common. So they share one of the first slack / 2 + 1 of a's and the first slack + 1 of b's, or need none in common. The
+    first that they share has place i of a's and j of b's, and no more than p - i and q - j follow from there, so that
+    2 i <= slack + p - q and 2 j <= slack + q - p.
     """
     own = compared.select("a", "b", "linked", "distance", "slack", F.posexplode_outer("first").alias("place", "element"))
     none = compared.where("distance <= slack").select("a", "b", "linked", "distance", "slack", F.lit(None).cast("int").alias("place"), F.lit(None).cast("bigint").alias("element"))
     rows = own.where("element IS NOT NULL").union(none).withColumn("kind", F.col("element").isNull()).withColumn("element", F.coalesce("element", F.lit(0)))
     near = rows.where("place IS NULL OR place <= slack DIV 2").select(
-        "b", "kind", "element", F.col("a").alias("u"), F.col("linked").alias("lu"), F.col("distance").alias("du"), F.col("slack").alias("su")
+        "b", "kind", "element", F.col("a").alias("u"), F.col("linked").alias("lu"), F.col("distance").alias("du"), F.col("slack").alias("su"), F.coalesce("place", F.lit(0)).alias("i")
     )
-    far = rows.select("b", "kind", "element", F.col("a").alias("v"), F.col("linked").alias("lv"), F.col("distance").alias("dv"), F.col("slack").alias("sv"))
+    far = rows.select("b", "kind", "element", F.col("a").alias("v"), F.col("linked").alias("lv"), F.col("distance").alias("dv"), F.col("slack").alias("sv"), F.coalesce("place", F.lit(0)).alias("j"))
     fits = (
         "u <> v AND (du < dv OR du = dv AND u < v) AND dv - du <= least(su, sv) AND (NOT kind OR du + dv <= least(su, sv))"
+        " AND 2 * i <= least(su, sv) + du - dv AND 2 * j <= least(su, sv) + dv - du"
     )
     keys = ["b", "kind", "element"]
     pairs = near.where("NOT lu").join(far, keys).where(fits).union(near.where("lu").join(far.where("NOT lv"), keys).where(fits))
@@ -293,6 +298,7 @@ def _placed(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
     keys = common.written(_keys(docs, width), "keys")
     classes = keys.where("n_shingles > 0").groupBy("vertex").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("row"))
     members = _members(docs, width, percent)
+    common.swept(docs.sparkSession)
     shares = members.groupBy("vertex").agg(F.count("*").alias("shares"))
     # One text of each vertex that shares a signature, found by its row: an id may be null or have other texts too.
     chosen = shares.select("vertex").join(classes, "vertex").select("vertex", "row")
