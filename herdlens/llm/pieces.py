@@ -9,6 +9,8 @@ first differ there. So segmentations come out distinct and in order of their per
 all had been perturbed. ``inclusion`` is 1 - exp(-exp(log-probability - threshold)), the threshold being the next
 perturbed value (1 if there is none). Random numbers are hashes of the row key, so a row samples the same anywhere.
 
+A set of segmentations with a probability below 1e-12 counts as empty, as differences of doubles tell no more.
+
 Cases: null and empty texts have no pieces and one empty segmentation with probability 1; texts with fewer than k
 segmentations give all of them; equal keys with equal texts get equal samples; a null key counts as 0; characters outside the
 vocabulary become byte pieces; an empty table gives an empty result. Columns of the input named like a result column

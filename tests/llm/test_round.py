@@ -314,7 +314,7 @@ def all_paths(t, unit):
 
 def test_segmentations_left_over_are_drawn_by_their_probability():
     lattices = pieces.Lattices(queries.tokenizer_path("piece_bpe_32k.model"))
-    (units,) = lattices.units(["internationalization"])
+    (units,) = lattices.units(["national"])
     unit = int(units[0])
     paths = all_paths(lattices.tab, unit)
     assert len(paths) > 100 and np.exp(list(paths.values())).sum() == pytest.approx(1)
@@ -323,7 +323,7 @@ def test_segmentations_left_over_are_drawn_by_their_probability():
     as_bytes = lambda p: np.array(p, np.int64).tobytes()
     for taken in (rank[:1], rank[:90], rank[1:]):
         left = {p: np.exp(paths[p]) for p in paths if p not in set(taken)}
-        total, n = sum(left.values()), 4000
+        total, n = sum(left.values()), 2000 if len(left) > 1 else 20
         seen = defaultdict(int)
         for k in range(n):
             path, log = search._left(unit, {as_bytes(p) for p in taken}, np.uint64(k * 7919), 1)
@@ -338,10 +338,11 @@ def test_segmentations_left_over_are_drawn_by_their_probability():
     assert search._left(unit, {as_bytes(p) for p in paths}, np.uint64(1), 1) is None
 
 
-def test_more_segmentations_than_were_ever_listed_come_out():
+def test_segmentations_come_out_until_next_to_nothing_is_left():
     lattices = pieces.Lattices(queries.tokenizer_path("piece_bpe_32k.model"))
-    (units,) = lattices.units(["internationalization"])
-    want = len(all_paths(lattices.tab, int(units[0])))
-    (found,) = pieces.Search(lattices, [units], np.array([5], np.uint64), want + 3).run() if want < 400 else pieces.Search(lattices, [units], np.array([5], np.uint64), 150).run()
-    assert len(found) == min(want, 150 if want >= 400 else want) and len({e.tobytes() for e, *_ in found}) == len(found)
+    (units,) = lattices.units(["notation"])
+    paths = all_paths(lattices.tab, int(units[0]))
+    (found,) = pieces.Search(lattices, [units], np.array([5], np.uint64), len(paths) + 3).run()
+    seen = {tuple(e.tolist()) for e, *_ in found}
+    assert len(seen) == len(found) > 60 and sum(np.exp(log) for p, log in paths.items() if p not in seen) < 2e-12
     assert all(a[2] >= b[2] for a, b in zip(found, found[1:]))
