@@ -120,7 +120,7 @@ def sample_per_class(rows: DataFrame, key: str, label: str, per_class: int) -> D
     counts = written(rows.groupBy(F.col(label).alias("__class__")).agg(F.count("*").alias("__rows__")), "classes")
     classes = max(1, counts.count())
     each = max(1, min(per_class, MOST_ROWS // classes))
-    number = F.xxhash64(F.col(key), F.col(label))
+    number = F.xxhash64(F.col(key))
     share = F.pmod(number, F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = rows.join(counts, F.col(label) == F.col("__class__")).where(share < F.lit(float(each)) / F.col("__rows__"))
     return chosen.orderBy(number, key, label).limit(2 * each * classes).drop("__class__", "__rows__")
