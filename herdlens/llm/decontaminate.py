@@ -1,11 +1,13 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Tokens are lower-cased runs of letters and digits; in scripts without blanks each character is one. A seed hashes the tokens at the marked positions of a fixed mask and
-ignores the others, so a substituted token spoils few seeds. Documents are scanned for the seeds of a block of
-benchmark items; around each hit the item is laid beside the document, and the best stretch is kept (a match counts 1,
-a mismatch -2). An overlap counts if it has ``LEAST`` matches, or ``SHARE`` of the item's tokens if that is less.
+ignores the others, so a substituted token spoils few seeds. The seeds of documents are joined with those of benchmark
+items; at each hit the item is laid beside the document, and the best stretch is kept (a match counts 1, a mismatch
+-2). An overlap counts if it has ``LEAST`` matches, or ``SHARE`` of the item's tokens if that is less.
 
-Items go in blocks of at most ``BLOCK_TOKENS`` tokens, each scanned in one narrow pass; no text is shuffled.
+Before the join, document seeds meet a filter of a fixed number of bits: it keeps every seed that an item has, and the
+fewer others the fewer items there are. Documents are read twice: all of them for their seeds, and those with hits, one
+of each text, for the tokens beside items. Items of equal text are one item until their ids come back.
 
 Cases: null and empty texts and items have no tokens and overlap with nothing; items shorter than a mask have masks of
 their own, which no substitution that ``SHARE`` allows can spoil all at once, and count all their matches; items of up
@@ -16,7 +18,6 @@ and item_id one row, the best; ties go to the earliest place; empty tables give
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -31,7 +32,9 @@ from herdlens.llm.shingles import mix, word_hashes
 # Span 11, weight 7.
 MASKS = ("11101100101", "11010011011", "10110101101")
 LEAST, SHARE = 13, 0.8
-BLOCK_TOKENS = 200_000
+SPAN = len(MASKS[0])
+#: Bits of the filter (4 MB), and tokens of a text whose lines are looked at together.
+FILTER_BITS, PART_TOKENS = 1 << 25, 1 << 16
 CHUNK_BYTES = 1_000_000
 
 
@@ -85,102 +88,150 @@ def seeds(word: np.ndarray, owner: np.ndarray, mask: str) -> tuple[np.ndarray, n
     return at, mix(total[at])
 
 
-class Block:
-    """Some benchmark items: their tokens and the sorted table of their seeds."""
-
-    def __init__(self, ids: list, texts: list[str], most_short: int = len(MASKS[0])):
-        self.ids, self.words = [], []
-        for a, n, word, owner in tokens(pa.array(texts, pa.string())):
-            for i in range(n):
-                own = word[owner == i]
-                if len(own):
-                    self.ids.append(ids[a + i])
-                    self.words.append(own)
-        self.most_short = most_short
-        lengths = {m: set() for m in MASKS}
-        for n in sorted({len(w) for w in self.words if len(w) < most_short}):
-            for m in sorted(short_masks(n)):
-                lengths.setdefault(m, set()).add(n)
-        self.masks = list(lengths)
-        self.tables = []
-        for mask in self.masks:
-            parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-            for i, w in enumerate(self.words):
-                if mask not in MASKS and len(w) not in lengths[mask]:
-                    continue
-                at, code = seeds(w, np.zeros(len(w), np.int64), mask)
-                parts.append((code, np.full(len(at), i), at))
-            code, item, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(code, kind="stable")
-            self.tables.append((code[order], item[order], at[order]))
-
-    def overlaps(self, word: np.ndarray, owner: np.ndarray):
-        """(text, item number, matches, first token in the text, tokens there) of verified overlaps, once per diagonal."""
-        bound = np.searchsorted(owner, np.arange(owner[-1] + 2)) if len(owner) else np.zeros(1, np.int64)
-        lines = set()
-        for mask, (code, item, at) in zip(self.masks, self.tables, strict=True):
-            if not len(code):
-                continue
-            spot, own = seeds(word, owner, mask)
-            low = np.searchsorted(code, own)
-            hit = np.flatnonzero(code[np.minimum(low, len(code) - 1)] == own)
-            high = np.searchsorted(code, own[hit], side="right")
-            for s, a, b in zip(spot[hit].tolist(), low[hit].tolist(), high.tolist(), strict=True):
-                lines.update((s - int(at[k]), int(item[k]), int(owner[s])) for k in range(a, b))
-        for start, i, text in lines:
-            w = self.words[i]
-            first, last = max(start, int(bound[text])), min(start + len(w), int(bound[text + 1]))
-            same = word[first:last] == w[first - start : last - start]
-            if len(w) < self.most_short:
-                at = np.flatnonzero(same)
-                if len(at) >= needed(len(w)):
-                    yield text, i, len(at), first + int(at[0]) - int(bound[text]), int(at[-1] - at[0]) + 1
-                continue
-            running = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
-            gain = running - np.minimum.accumulate(running)
-            end = int(gain.argmax())
-            begin = int(running[: end + 1].argmin())
-            matches = int(same[begin:end].sum())
-            if matches >= needed(len(w)):
-                yield text, i, matches, first + begin - int(bound[text]), end - begin
-
-
-def _blocks(items: DataFrame) -> Iterator[Block]:
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = max(1, -(-size // (4 * BLOCK_TOKENS)))
-    for k in range(count):
-        part = items.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k)).select("item_id", "text").toPandas()
-        part = part.sort_values(["item_id", "text"])
-        yield Block(part["item_id"].tolist(), part["text"].tolist())
+def _item_words(items: DataFrame) -> DataFrame:
+    """(item, words) of each distinct item text: its hash, and the hashes of its tokens."""
+    distinct = items.where("text IS NOT NULL").select(F.xxhash64("text").alias("item"), "text").dropDuplicates(["item"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column("item")
+            for a, n, word, owner in tokens(batch.column("text")):
+                bound = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
+                words = pa.ListArray.from_arrays(pa.array(bound), pa.array(word.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([key[a : a + n], words], names=["item", "words"])
+
+    return distinct.mapInArrow(run, "item bigint, words array<bigint>").where(F.size("words") > 0)
+
+
+def _item_seeds(words: DataFrame) -> DataFrame:
+    """(code, item, at) of every mask at every token of every item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, own in zip(batch.column("item").to_pylist(), batch.column("words"), strict=True):
+                word = own.values.to_numpy().view(np.uint64)
+                for mask in MASKS if len(word) >= SPAN else sorted(short_masks(len(word))):
+                    at, code = seeds(word, np.zeros(len(word), np.int64), mask)
+                    arrays = [pa.array(code.view(np.int64)), pa.array(np.full(len(at), item)), pa.array(at)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["code", "item", "at"])
+
+    return words.mapInArrow(run, "code bigint, item bigint, at bigint")
+
+
+def seed_filter(item_seeds: DataFrame) -> np.ndarray:
+    """A bit for every seed of an item: ``FILTER_BITS`` bits in words of 64, however many seeds there are."""
+    bit = F.pmod(F.col("code"), F.lit(FILTER_BITS))
+    mark = F.expr(f"shiftleft(1L, cast(pmod(code, {FILTER_BITS}) & 63 AS int))")
+    got = item_seeds.select(F.shiftright(bit, 6).alias("place"), mark.alias("mark")).groupBy("place").agg(F.bit_or("mark").alias("marks")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out[got.column("place").to_numpy()] = got.column("marks").to_numpy().view(np.uint64)
+    return out
+
+
+def _hits(source: DataFrame, masks: list[str], marked: np.ndarray) -> DataFrame:
+    """(code, row, id, spot) of the seeds of (row, id, text) rows that pass the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, key = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "id"))
+            for a, n, word, owner in tokens(batch.column("text")):
+                bound = np.searchsorted(owner, np.arange(n + 1))
+                for mask in masks:
+                    spot, code = seeds(word, owner, mask)
+                    place = code & np.uint64(FILTER_BITS - 1)
+                    near = np.flatnonzero(marked[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1))
+                    if len(near):
+                        spot, text = spot[near], owner[spot[near]]
+                        columns = (code[near].view(np.int64), row[a + text], key[a + text], spot - bound[text])
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["code", "row", "id", "spot"])
+
+    return source.mapInArrow(run, "code bigint, row bigint, id bigint, spot bigint")
+
+
+def _stretches(texts: DataFrame) -> DataFrame:
+    """(row, item, first, skipped, words): of (row, text, lines) rows, the tokens that lie beside an item on each line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, lines = batch.column("row").to_pylist(), batch.column("lines")
+            for a, n, word, owner in tokens(batch.column("text")):
+                bound = np.searchsorted(owner, np.arange(n + 1))
+                for i in range(n):
+                    own = lines[a + i].values
+                    item, start, size = (own.field(c).to_numpy() for c in ("item", "start", "size"))
+                    first, last = np.maximum(start, 0), np.minimum(start + size, bound[i + 1] - bound[i])
+                    for c in range(0, len(item), 5000):
+                        p = slice(c, c + 5000)
+                        length = last[p] - first[p]
+                        end = np.cumsum(length)
+                        at = np.arange(int(end[-1])) + np.repeat(bound[i] + first[p] - (end - length), length)
+                        words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], end]).astype(np.int32)), pa.array(word[at].view(np.int64)))
+                        arrays = [pa.array(np.full(len(length), rows[a + i])), pa.array(item[p]), pa.array(first[p]), pa.array((first - start)[p]), words]
+                        yield pa.RecordBatch.from_arrays(arrays, names=["row", "item", "first", "skipped", "beside"])
+
+    return texts.mapInArrow(run, "row bigint, item bigint, first bigint, skipped bigint, beside array<bigint>")
+
+
+def best_stretch(same: np.ndarray, n: int) -> tuple[int, int, int] | None:
+    """(matches, begin, end) of the best stretch beside an item of n tokens, if it is an overlap."""
+    if n < SPAN:
+        at = np.flatnonzero(same)
+        return (len(at), int(at[0]), int(at[-1]) + 1) if len(at) >= needed(n) else None
+    running = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
+    end = int((running - np.minimum.accumulate(running)).argmax())
+    begin = int(running[: end + 1].argmin())
+    matches = int(same[begin:end].sum())
+    return (matches, begin, end) if matches >= needed(n) else None
+
+
+def _verified(beside: DataFrame) -> DataFrame:
+    """(row, item, matches, item_tokens, start, span) of the stretches that are overlaps, once per line."""
+    names = ["row", "item", "matches", "item_tokens", "start", "span"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            keys = (batch.column(c).to_pylist() for c in ("row", "item", "first", "skipped"))
+            for row, item, first, skipped, there, own in zip(*keys, batch.column("beside"), batch.column("words"), strict=True):
+                there, own = there.values.to_numpy(), own.values.to_numpy()
+                found = best_stretch(there == own[skipped : skipped + len(there)], len(own))
+                if found:
+                    out.append((row, item, found[0], len(own), first + found[1], found[2] - found[1]))
+            columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
+    return beside.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
 def _found(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, row, item_id, matches, item_tokens, start, span) of every overlap; the row is the hash of the text."""
+    """(row, item, matches, item_tokens, start, span) of every overlap; row and item are the hashes of the texts."""
     text = F.coalesce("text", F.lit(""))
-    source = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("row"))
-    names = ["doc_id", "row", "item_id", "matches", "item_tokens", "start", "span"]
-    schema = ", ".join(f"{n} bigint" for n in names)
-
-    def scan(block: Block):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids, rows, out = batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), []
-                for a, _, word, owner in tokens(batch.column("text")):
-                    for text, i, matches, start, span in block.overlaps(word, owner):
-                        out.append((ids[a + text], rows[a + text], block.ids[i], matches, len(block.words[i]), start, span))
-                columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
-
-        return source.mapInArrow(run, schema)
-
-    return reduce(DataFrame.union, [scan(b) for b in _blocks(items)])
+    source = docs.select(F.xxhash64(text).alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("id"), text.alias("text"))
+    words = common.written(_item_words(items), "item-words")
+    short = [r[0] for r in words.select(F.size("words")).where(F.size("words") < SPAN).distinct().collect()]  # ten sizes at most
+    item_seeds = common.written(_item_seeds(words), "item-seeds")
+    masks = [*MASKS, *sorted({m for n in short for m in short_masks(n)})]
+    hits = common.written(_hits(source, masks, seed_filter(item_seeds)), "seed-hits")
+    # Both sides are written, so that a frequent seed can be split. Copies of a text fold here; one of them stands for all.
+    lines = hits.join(item_seeds, "code").groupBy("row", "item", (F.col("spot") - F.col("at")).alias("start")).agg(F.min("id").alias("id"))
+    lines = common.written(lines.join(words.select("item", F.size("words").alias("size")), "item"), "lines")
+    part = F.floor(F.col("start") / PART_TOKENS).alias("part")
+    per_text = lines.groupBy("row", "id", part).agg(F.collect_list(F.struct("item", "start", "size")).alias("lines"))
+    per_text = common.written(per_text, "text-lines")
+    texts = source.join(per_text, ["row", "id"]).select("row", "part", "text", "lines").dropDuplicates(["row", "part"])
+    found = common.written(_verified(_stretches(texts).join(words, "item")), "overlaps")
+    common.dropped(words, item_seeds, hits, lines, per_text)
+    return found
 
 
 def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, matches, item_tokens, start, span) of each document and item that overlap, the best place of each."""
-    found = _found(docs, items)
     best = F.max(F.struct("matches", (-F.col("start")).alias("back"), "item_tokens", "start", "span")).alias("best")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.matches", "best.item_tokens", "best.start", "best.span")
+    found = common.written(_found(docs, items).groupBy("row", "item").agg(best), "best-overlaps")
+    named = found.join(items.where("text IS NOT NULL").select(F.xxhash64("text").alias("item"), F.col("item_id").cast("bigint")), "item")
+    keys = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"))
+    pairs = keys.join(named, "row").groupBy("doc_id", "item_id").agg(F.max("best").alias("best"))
+    return pairs.select("doc_id", "item_id", "best.matches", "best.item_tokens", "best.start", "best.span")
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:

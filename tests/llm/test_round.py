@@ -293,6 +293,32 @@ def test_overlaps_are_those_of_a_scan_of_all_alignments(spark):
     assert len(got) >= 0.95 * len(best)
 
 
+def test_hot_copies_and_repeated_items_come_back_by_id(many_slices):
+    """A third of all rows is one leaking text, under null, equal and own ids; items repeat, one lies across parts of a text."""
+    spark, item, other = many_slices, prose(81, 30), prose(82, 20)
+    hot = f"{prose(83, 40)} {item} {prose(84, 40)}"
+    across = " ".join([*["filler"] * (decontaminate.PART_TOKENS - 9), other, *["filler"] * 50, item])
+    rows = [(i if i % 3 else None, hot) for i in range(60)] + [(500, hot)] * 5 + [(1000 + i, prose(200 + i, 60)) for i in range(100)] + [(2000, across), (None, None), (3, "")]
+    docs = spark.createDataFrame([(i, t, "row", 1) for i, t in rows], "doc_id bigint, text string, code string, item bigint").repartition(5)
+    items = spark.createDataFrame([(1, item), (1, item), (2, item), (3, other), (None, other), (4, None), (5, "")], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.matches, r.item_tokens, r.span) for r in decontaminate.overlaps(docs, items).collect()}
+    ids = {i for i, t in rows if t == hot} | {2000}
+    want = {(i, k): (30, 30, 30) for i in ids for k in (1, 2)} | {(2000, k): (20, 20, 20) for k in (3, None)}
+    assert got == want
+    kept = decontaminate.clean(docs, items)
+    assert kept.columns == docs.columns and kept.count() == 102 and kept.where("text IS NULL").count() == 1
+
+
+def test_the_filter_keeps_every_seed_of_an_item(spark):
+    words = decontaminate._item_words(spark.createDataFrame([(k, prose(k, 5 + k)) for k in range(30)], "item_id bigint, text string"))
+    item_seeds = decontaminate._item_seeds(words)
+    marked = decontaminate.seed_filter(item_seeds)
+    places = {r.code & (decontaminate.FILTER_BITS - 1) for r in item_seeds.collect()}
+    assert all(int(marked[p >> 6]) >> (p & 63) & 1 for p in places)
+    assert sum(int(m).bit_count() for m in marked[marked > 0]) == len(places)
+    assert not decontaminate.seed_filter(item_seeds.limit(0)).any()
+
+
 # --- what is left of a lattice -----------------------------------------------------------------------------
 
 
