@@ -14,8 +14,10 @@ empty result. Columns of the input named like a result column are replaced.
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Callable
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,11 +78,20 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return made.withColumn("fingerprint", digest(F.col("marks")["hash"]))
 
 
-def _buckets(ids: DataFrame, count: int) -> Column:
-    """Ranges of ids with about as many rows each, by mergeable quantiles; null ids are range -1."""
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / count for i in range(1, count)], 20 * count)).first()[0] or []
-    cuts = sorted(set(cuts))
-    table = F.from_json(F.lit(json.dumps(cuts)), "array<bigint>")
+def _ranges(keyed: DataFrame, count: int) -> Column:
+    """Ranges of (doc_id, tie) with about as many rows each, numbered upwards from the null ids.
+
+    Ids are cut at mergeable quantiles. An id that is several quantiles has a range of its own, which is cut again into
+    so many ranges of the tie, a hash; null ids are cut by the tie alone, as their share of the rows asks.
+    """
+    quantiles = F.percentile_approx("doc_id", [i / count for i in range(1, count)], 20 * count)
+    found, nulls, rows = keyed.agg(quantiles, F.count_if(F.col("doc_id").isNull()), F.count("*")).first()
+    times = Counter(found or [])
+    parts = {c: n for c, n in times.items() if n > 1}
+    cuts = sorted({*times, *(c + 1 for c in parts if c < (1 << 63) - 1)})
+    sizes = [1 + count * nulls // max(1, rows), 1, *(parts.get(c, 1) for c in cuts)]
+    bases = [0, *accumulate(sizes)]
+    table, size, base = (F.from_json(F.lit(json.dumps(x)), "array<bigint>") for x in (cuts, sizes, bases))
 
     def halve(state: Column, _: Column) -> Column:
         low, high = state["low"], state["high"]
@@ -88,14 +99,16 @@ def _buckets(ids: DataFrame, count: int) -> Column:
         left, right = F.struct(low.alias("low"), middle.alias("high")), F.struct((middle + 1).alias("low"), high.alias("high"))
         return F.when(low >= high, state).when(F.get(table, middle) <= F.col("doc_id"), right).otherwise(left)
 
-    # The number of cuts not above the id, by bisection: there are as many cuts as tasks.
+    # The number of cuts not above the id, by bisection: there are about as many cuts as tasks.
     start = F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high"))
     at = F.aggregate(F.sequence(F.lit(0), F.lit(len(cuts).bit_length())), start, halve, lambda state: state["low"])
-    return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(at)
+    slot = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(at + 1)
+    upper = F.shiftright("tie", 32) + F.lit(1 << 31)
+    return (F.get(base, slot) + F.shiftright(upper * F.get(size, slot), 32)).cast("int")
 
 
 def with_next(docs: DataFrame) -> tuple[DataFrame, Window]:
-    """(doc_id, text) rows in ranges of ids, each range with a copy of the row that follows it (``edge``).
+    """(doc_id, text) rows in ranges of ids and ties, each range with a copy of the row that follows it (``edge``).
 
     Rows go down in id, and after the last comes the first. Texts are shuffled once; the driver sees one id for
     each range, and the ranges follow the shuffle partitions, not the rows.
@@ -103,7 +116,7 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, Window]:
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = rows.withColumn("tie", F.xxhash64("text"))
-    keyed = keyed.withColumn("range", _buckets(docs, 8 * tasks(docs)))
+    keyed = keyed.withColumn("range", _ranges(keyed, 8 * tasks(docs)))
     tops = keyed.groupBy("range").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("i"), "tie", "doc_id")).alias("t")).collect()
     tops = sorted(tops, key=lambda r: -r["range"])
     follows = [(tops[n]["range"], tops[(n + 1) % len(tops)]["t"]) for n in range(len(tops))]
@@ -112,6 +125,7 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, Window]:
     small = spark.createDataFrame(values, schema).withColumnRenamed("tie", "t")
     first = keyed.join(F.broadcast(small), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tie") == F.col("t")))
     edges = first.select("doc_id", "text", "tie", F.col("to").alias("range"), F.lit(True).alias("edge"))
+    edges = edges.dropDuplicates(["range"])  # rows that repeat an id and a text
     every = keyed.withColumn("edge", F.lit(False)).unionByName(edges)
     return every, Window.partitionBy("range").orderBy("edge", F.desc_nulls_last("doc_id"), F.desc("tie"))
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from herdlens.llm import common, decontaminate, language, middle, partenum, pieces, queries, suffixes, tokens, toxicity, whitening, windows
+from herdlens.llm import common, decontaminate, language, middle, partenum, pieces, queries, suffixes, tokens, toxicity, whitening, windows, winnowing
 from tests.llm.test_operators import prose
 
 SCHEMA = "doc_id bigint, text string, lang string, n string, form string, __t__ int, x int, code int"
@@ -319,6 +319,27 @@ def test_the_filter_keeps_every_seed_of_an_item(spark):
     assert not decontaminate.seed_filter(item_seeds.limit(0)).any()
 
 
+# --- the next document where ids are null or repeated ------------------------------------------------------
+
+
+def test_the_next_document_with_hot_and_null_ids_as_by_hand(many_slices):
+    spark, top = many_slices, (1 << 63) - 1
+    ids = [None] * 300 + [77] * 300 + [top] * 40 + [-(1 << 63)] + list(range(300, 559)) + [9, 9]
+    rows = [(i, f"text {k} {prose(k % 50, 12)}") for k, i in enumerate(ids)] + [(77, "again"), (77, "again"), (None, "again"), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in winnowing.edit_likeness(docs).collect())
+    keyed = docs.selectExpr("doc_id", "coalesce(text, '') AS text").withColumn("tie", F.xxhash64("text"))
+    order = sorted(keyed.collect(), key=lambda r: (r.doc_id is not None, r.doc_id if r.doc_id is not None else 0, r.tie), reverse=True)
+    want = Counter()
+    for r, following in zip(order, order[1:] + order[:1], strict=True):
+        third = len(r.text) // 3
+        want[r.doc_id, len(r.text), sha(r.text[: len(r.text) - third] + following.text[:third])] += 1
+    assert got == want
+    ranges = keyed.withColumn("range", winnowing._ranges(keyed, 64)).groupBy("range").agg(F.count("*").alias("n"), F.max("doc_id").alias("id"))
+    sizes = [r.n for r in ranges.collect()]
+    assert max(sizes) <= len(rows) / 20 and len(sizes) > 40
+
+
 # --- what is left of a lattice -----------------------------------------------------------------------------
 
 
