@@ -19,8 +19,9 @@ REPORT_SCHEMA = """
 def read_reports(spark: SparkSession, path: str, lines: bool = False, files: str = "metrics.json") -> DataFrame:
     """One indented document per run folder under ``path``, or with ``lines`` one per line as ``write_reports`` leaves them.
 
+    A run that was too long for one document has several, with the ``part`` that each is; other documents have none.
     The layout has to be named: reading lines as one document keeps the first line only. A file with
     one indented document cannot be split over tasks; lines can.
     """
     reader = spark.read if lines else placed(spark.read, FOLDERS, files)
-    return reader.schema(REPORT_SCHEMA).option("multiLine", not lines).json(path)
+    return reader.schema(f"{REPORT_SCHEMA.strip()}, part int").option("multiLine", not lines).json(path)

@@ -6,6 +6,7 @@ import json
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from herdlens.operators import enhance, flatten, scoring
 from herdlens.operators.distribution import density
 from herdlens.operators.flatten import FLAT_COLUMNS
 from herdlens.sinks.report_files import write_report_files
+from herdlens.sources import report_lines
 from herdlens.sources.report_lines import read_report_images
 from herdlens.sources.reports import read_reports
 
@@ -93,6 +95,50 @@ def test_lines_of_a_file_that_is_read_in_many_splits(spark, rows, tmp_path, size
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_a_long_run_has_several_files_and_reads_as_one(spark, rows, tmp_path):
+    path = str(tmp_path / "reports")
+    df = spark.createDataFrame(rows, ROWS).repartition(7)
+    write_report_files(df, path, rows_per_document=40)
+    files = sorted(p for p in (tmp_path / "reports").rglob("metrics.json"))
+    long = [p for p in files if "2026-01-01T10:00:00" in str(p)]
+    assert len(files) == len(long) + 2 and len(long) > 3 and tmp_path / "reports" / "2026-01-01T10:00:00" / "metrics.json" in long
+    found = []
+    for p in long:
+        document = json.loads(p.read_text())
+        assert p.read_text().strip() == json.dumps(document, indent=4) and list(map(int, document["animals"])) == sorted(map(int, document["animals"]))
+        assert document["part"] == (int(p.parent.name.removeprefix("part-")) if p.parent.name.startswith("part-") else 0)
+        found += [(int(a), int(i)) for a, v in document["animals"].items() for i in v["imgs"]]
+    assert sorted(found) == [(a, i) for a in range(12) for i in range(25)]
+    want = flat(flatten.flatten_reports(flatten.nest_reports(df)))
+    assert flat(flatten.flatten_reports(read_reports(spark, path))) == want == flat(read_report_images(spark, path))
+
+
+def test_parts_of_a_run_keep_an_animal_whole_unless_it_is_long(spark, rows):
+    df = spark.createDataFrame([*rows, *(image("long", 1, i) for i in range(90)), image("long", 2, 0)], ROWS)
+    bare = df.where("pid = 'long'").limit(1).withColumn("animal", F.lit(77))
+    documents = flatten.nest_reports(df, bare, rows_per_document=30).cache()
+    parts = {p: sorted(r.part for r in documents.where(F.col("pid") == p).collect()) for p in ("2026-01-01T10:00:00", "long")}
+    assert all(v[0] == 0 and len(set(v)) == len(v) > 3 - (k == "long") for k, v in parts.items())
+    assert {r.part for r in documents.where(F.col("pid") == 'quo"te').collect()} == {None}
+    pieces = flatten.explode_animals(documents).groupBy("pid", "animal").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("imgs")).alias("imgs")).collect()
+    found = {(r.pid, r.animal): (r.n, r.imgs) for r in pieces}
+    assert all(found["2026-01-01T10:00:00", a] == (1, 25) for a in range(12)) and found["long", 1] == (3, 90) and found["long", 77] == (1, 0)
+    assert flat(flatten.flatten_reports(documents)) == flat(flatten.flatten_reports(flatten.nest_reports(df, bare)))
+
+
+def test_lines_are_carried_down_without_a_shuffle(spark, rows, tmp_path):
+    path = str(tmp_path / "reports")
+    write_report_files(spark.createDataFrame(rows, ROWS), path)
+    lines = report_lines._lines(spark, path, "metrics.json", 4)
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(file#" in plan and "block" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
+
+
+def test_values_of_a_line_are_read_like_json(spark):
+    given = {'"a b"': "a b", '"q\\"u\\u00e9"': 'q"ué', '""': "", "12": "12", "-3.5": "-3.5", "true": "true", "null": None, "NaN": None, "007": None, "[1,": None}
+    assert report_lines._texts(pa.array(list(given))).to_pylist() == list(given.values())
+
+
 # --- packed frames ------------------------------------------------------------------------------------
 
 FRAMES = "pid string, animal int, img int, h int, w int, pixels array<float>"
