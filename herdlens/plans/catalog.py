@@ -105,16 +105,20 @@ def report_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def report_roundtrip_animals(spark: SparkSession, folder: str) -> DataFrame:
-    """Repeated image rows, and an animal without images beside every other one: one document per run keeps all."""
+    """Repeated image rows, and an animal without images beside every other one: one document per run keeps all.
+
+    The parts of a long run are one document, which its part 0 counts for; of an animal in two parts each has some images.
+    """
     rows = _image_rows(spark, folder)
     bare = rows.withColumn("animal", F.col("animal") + 100_000).dropDuplicates(["pid", "animal"])
     path = shared_folder(spark, "reports")
     write_reports(rows.unionByName(rows), path, animals=bare)
     documents = read_reports(spark, path, lines=True)
-    animals = flatten.explode_animals(documents).groupBy("pid").agg(
-        F.count(F.lit(1)).alias("animals"), F.count_if(F.size("imgs") == 0).alias("without_images"), F.sum(F.size("imgs")).alias("images")
+    found = flatten.explode_animals(documents).groupBy("pid", "animal").agg(F.sum(F.size("imgs")).alias("imgs"))
+    animals = found.groupBy("pid").agg(
+        F.count(F.lit(1)).alias("animals"), F.count_if(F.col("imgs") == 0).alias("without_images"), F.sum("imgs").alias("images")
     )
-    return documents.groupBy("pid").agg(F.count(F.lit(1)).alias("documents")).join(animals, "pid")
+    return documents.groupBy("pid").agg(F.count_if(F.coalesce("part", F.lit(0)) == 0).alias("documents")).join(animals, "pid")
 
 
 @query

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from herdlens.operators.flatten import nest_reports
+from herdlens.operators.flatten import DOCUMENT_ROWS, nest_reports
 
 
 def write_reports(
@@ -13,6 +13,7 @@ def write_reports(
     animals: DataFrame | None = None,
     animals_per_document: int | None = None,
     images_per_document: int | None = None,
+    rows_per_document: int = DOCUMENT_ROWS,
 ) -> None:
-    """Flat image rows, and animals without any, to report documents, one per run and line. See ``nest_reports``."""
-    nest_reports(rows, animals, animals_per_document, images_per_document).write.json(path)
+    """Flat image rows, and animals without any, to report documents, one per run or part and line. See ``nest_reports``."""
+    nest_reports(rows, animals, animals_per_document, images_per_document, rows_per_document).write.json(path)
