@@ -70,16 +70,18 @@ class _Keyed(StatefulProcessor):
         # Outlives the key: what is final up to here.
         self.closed = handle.getValueState("closed", "us bigint", self.keep_ms if self.idle else None)
 
+    # Every call to the state crosses to the JVM and back, which is most of what a small key costs.
     def newest(self) -> tuple[int, int]:
-        return self.progress.get() if self.progress.exists() else (_NEVER, 0)
+        return self.progress.get() or (_NEVER, 0)
 
     def closed_to(self) -> int:
-        return self.closed.get()[0] if self.closed.exists() else _NEVER
+        return (self.closed.get() or (_NEVER,))[0]
 
     def advance(self, newest: int, timers) -> None:
         """Keep the progress, and a timer that fires when the key has been idle."""
-        _, timer = self.newest()
+        timer = 0
         if self.idle:
+            _, timer = self.newest()
             if timer:
                 self.handle.deleteTimer(timer)
             timer = timers.getCurrentProcessingTimeInMs() + self.idle
@@ -124,14 +126,33 @@ def _naive(us: np.ndarray | list) -> pd.Series:
 # --- utilisation ------------------------------------------------------------------------------------
 
 
+#: Windows of one state entry.
+_BLOCK = 256
+_WINDOW = np.dtype([("start", "<i8"), ("readings", "<i8"), ("total", "<f8")])
+
+
 class _Windows(_Keyed):
+    """Open windows are kept in blocks of neighbours: a key has a state entry for each block, not for each window."""
+
     def __init__(self, keys: Sequence[str], every: int, *common):
         super().__init__(*common)
         self.keys, self.every = list(keys), every
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.open = handle.getMapState("open", "start bigint", "readings bigint, total double")
+        self.open = handle.getMapState("open", "block bigint", "windows binary")
+
+    def _block(self, start: int) -> int:
+        return start // (self.every * _BLOCK)
+
+    @staticmethod
+    def _pack(windows: dict[int, tuple[int, float]]) -> bytes:
+        rows = np.array([(s, *v) for s, v in windows.items()], _WINDOW)
+        return rows.tobytes()
+
+    @staticmethod
+    def _unpack(packed: bytes) -> dict[int, tuple[int, float]]:
+        return {s: (n, total) for s, n, total in np.frombuffer(bytes(packed), _WINDOW).tolist()}
 
     def _rows(self, key, found: list[tuple[int, int, float]], late: bool) -> pd.DataFrame:
         out = pd.DataFrame({k: [v] * len(found) for k, v in zip(self.keys, key, strict=True)}, dtype=object)
@@ -143,9 +164,17 @@ class _Windows(_Keyed):
 
     def _close(self, key, to: int | None) -> pd.DataFrame:
         """Windows that end by ``to``, or all, leave the state."""
-        done = [(s, *map(_plain, v)) for (s,), v in self.open.iterator() if to is None or s + self.every <= to]
-        for s, *_ in done:
-            self.open.removeKey((s,))
+        done = []
+        for (block,), (packed,) in list(self.open.iterator()):
+            windows = self._unpack(packed)
+            over = [s for s in windows if to is None or s + self.every <= to]
+            done += [(s, *windows.pop(s)) for s in over]
+            if over and windows:
+                self.open.updateValue((block,), (self._pack(windows),))
+            elif to is not None and over:
+                self.open.removeKey((block,))
+        if to is None:
+            self.open.clear()
         if done:
             self.closed.update((max(self.closed_to(), max(d[0] for d in done) + self.every),))
         return self._rows(key, done, False)
@@ -155,7 +184,7 @@ class _Windows(_Keyed):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         (newest, _), closed = self.newest(), self.closed_to()
-        before, late, ended = newest, [], False
+        before, late, ended, changed = newest, [], False, {}
         for pdf in rows:
             for start, top, readings, total in zip(pdf["start"].tolist(), pdf["newest"].tolist(), pdf["readings"].tolist(), pdf["total"].tolist(), strict=True):
                 if top >= _END_US:
@@ -165,8 +194,14 @@ class _Windows(_Keyed):
                 if start + self.every <= closed:
                     late.append((start, readings, total))
                     continue
-                known = self.open.getValue((start,)) or (0, 0.0)
-                self.open.updateValue((start,), (int(known[0]) + readings, float(known[1]) + total))
+                block = self._block(start)
+                if block not in changed:
+                    packed = self.open.getValue((block,))
+                    changed[block] = self._unpack(packed[0]) if packed else {}
+                n, sums = changed[block].get(start, (0, 0.0))
+                changed[block][start] = (n + readings, sums + total)
+        for block, windows in changed.items():
+            self.open.updateValue((block,), (self._pack(windows),))
         if late:
             yield self._rows(key, late, True)
         if ended:
@@ -176,8 +211,15 @@ class _Windows(_Keyed):
             self.progress.clear()
             return
         self.advance(newest, timerValues)
-        if (newest - self.delay) // self.every > (before - self.delay) // self.every:
-            yield self._close(key, newest - self.delay)
+        to = newest - self.delay
+        if before == _NEVER:  # a new key has no windows but these
+            due = any(s + self.every <= to for windows in changed.values() for s in windows)
+        else:
+            due = to // self.every > (before - self.delay) // self.every
+        if due:
+            made = self._close(key, to)
+            if len(made):
+                yield made
 
 
 def _plain(value):
@@ -227,10 +269,12 @@ class _Sessions(_Keyed):
         return out
 
     def _known(self) -> list[tuple]:
-        return [tuple(map(_plain, r)) for r in self.open.get()] if self.open.exists() else []
+        return [tuple(map(_plain, r)) for r in self.open.get()]
 
     def end(self, key) -> pd.DataFrame:
-        done = self._known()
+        return self._over(key, self._known())
+
+    def _over(self, key, done: list[tuple]) -> pd.DataFrame:
         self.open.clear()
         if done:
             self.closed.update((max(self.closed_to(), max(d[1] for d in done) + self.gap),))
@@ -238,7 +282,8 @@ class _Sessions(_Keyed):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         (newest, _), closed = self.newest(), self.closed_to()
-        parts, late, ended = self._known(), [], False
+        known = self._known()
+        parts, late, ended = list(known), [], False
         for pdf in rows:
             for part in zip(*(pdf[c].tolist() for c in ("first", "last", "total", "suitable", "weight", "weighed")), strict=True):
                 if part[1] >= _END_US:
@@ -257,22 +302,22 @@ class _Sessions(_Keyed):
                 merged.append(part)
         over = [m for m in merged if m[1] + self.gap <= newest - self.delay]
         still = merged[len(over) :]
-        if still:
+        if still and not ended:
             self.open.put(still)
-        else:
+        elif known and not ended:
             self.open.clear()
-        if over:
+        if over and not ended:
             self.closed.update((max(closed, over[-1][1] + self.gap),))
         if late:
             yield self._rows(key, late, True)
-        if over:
-            yield self._rows(key, over, False)
         if ended:
-            yield self.end(key)
+            yield self._over(key, merged)
             if self.idle and self.newest()[1]:
                 self.handle.deleteTimer(self.newest()[1])
             self.progress.clear()
         else:
+            if over:
+                yield self._rows(key, over, False)
             self.advance(newest, timerValues)
 
 

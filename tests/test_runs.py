@@ -205,3 +205,91 @@ def test_a_snapshot_that_was_not_finished_does_not_count(spark, tmp_path):
     tables.compact(spark, path, ["k"], 5)
     (tmp_path / "t" / "_snapshots" / "upto=5" / "_SUCCESS").unlink()
     assert {r.k: r.v for r in tables.latest(spark, path, ["k"]).collect()} == {0: 4, 1: 5}
+
+
+# --- state calls: each crosses to the JVM and back ------------------------------------------------------
+
+
+class _Counted:
+    """A handle whose states count their calls."""
+
+    def __init__(self):
+        self.calls = 0
+
+    def getValueState(self, *_):
+        return _CountedState(self)
+
+    getListState = getMapState = getValueState
+
+
+class _CountedState:
+    def __init__(self, handle):
+        self.handle, self.kept = handle, {}
+
+    def _call(self):
+        self.handle.calls += 1
+
+    def exists(self):
+        self._call()
+        return bool(self.kept)
+
+    def get(self):
+        self._call()
+        return self.kept.get("", None if self.kept.get("list") is None else iter(self.kept["list"])) or (iter(()) if "list" in self.kept else None)
+
+    def put(self, rows):
+        self._call()
+        self.kept["list"] = list(rows)
+
+    def update(self, value):
+        self._call()
+        self.kept[""] = value
+
+    def clear(self):
+        self._call()
+        self.kept.clear()
+
+    def getValue(self, key):
+        self._call()
+        return self.kept.get(key)
+
+    def updateValue(self, key, value):
+        self._call()
+        self.kept[key] = value
+
+    def removeKey(self, key):
+        self._call()
+        self.kept.pop(key, None)
+
+    def iterator(self):
+        self._call()
+        return iter(list(self.kept.items()))
+
+
+def test_windows_of_a_key_take_few_state_calls():
+    from herdlens.streaming.runs import _END_US, _Windows
+
+    handle, every = _Counted(), 1000
+    windows = _Windows(["pid"], every, 10_000_000, None, 0)
+    windows.init(handle)
+    starts = [every * i for i in range(-100, 400)]
+    pdf = pd.DataFrame({"start": starts, "newest": [s + 5 for s in starts], "readings": 2, "total": 3.0})
+    assert list(windows.handleInputRows(("a",), iter([pdf, pdf]), None)) == []
+    assert handle.calls < 20
+    end = pd.DataFrame({"start": [0], "newest": [_END_US], "readings": [0], "total": [0.0]})
+    (out,) = windows.handleInputRows(("a",), iter([end]), None)
+    assert handle.calls < 40
+    assert sorted(out["window_start"].astype("int64").tolist()) == starts and set(out["readings"]) == {4} and set(out["mean"]) == {1.5}
+    assert not out["late"].any() and windows.closed_to() == every * 400
+
+
+def test_windows_that_are_over_leave_their_block():
+    from herdlens.streaming.runs import _Windows
+
+    windows = _Windows(["pid"], 10, 20, None, 0)
+    windows.init(_Counted())
+    pdf = pd.DataFrame({"start": [0, 10, 60], "newest": [4, 14, 64], "readings": 1, "total": 1.0})
+    (out,) = windows.handleInputRows(("a",), iter([pdf]), None)
+    assert out["window_start"].astype("int64").tolist() == [0, 10] and windows.closed_to() == 20
+    late, = windows.handleInputRows(("a",), iter([pdf[:1]]), None)
+    assert late["late"].all() and windows.end(("a",))["window_start"].astype("int64").tolist() == [60]
