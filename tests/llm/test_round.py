@@ -393,3 +393,36 @@ def test_segmentations_come_out_until_next_to_nothing_is_left():
     seen = {tuple(e.tolist()) for e, *_ in found}
     assert len(seen) == len(found) > 60 and sum(np.exp(log) for p, log in paths.items() if p not in seen) < 2e-12
     assert all(a[2] >= b[2] for a, b in zip(found, found[1:]))
+
+
+def test_tables_of_lattices_stay_bounded_and_decide_nothing(monkeypatch):
+    texts = [" ".join(f"{chr(97 + k % 26)}{i * 31 + k}wort" for k in range(60)) for i in range(40)] + ["schluß \n", "名前 \U0001f600  x ", "a▁b", " a", "b\n"]
+    keys = np.arange(len(texts)).astype(np.uint64)
+
+    def sampled(lattices):
+        found = []
+        for a in range(0, len(texts), 5):
+            units = lattices.units(texts[a : a + 5])
+            search, own = pieces.Search(lattices, units, keys[a : a + 5], 3), lattices.tab
+            for u, rows in zip(units, search.run(), strict=True):
+                mine = [i for x in u.tolist() for i in own["own"][own["own_begin"][x] :][: own["own_size"][x]].tolist()]
+                found.append((mine, [(lattices.ids(edges)[0].tolist(), log, value) for edges, log, value in rows]))
+        return found
+
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    lattices = pieces.Lattices(path)
+    once, most = sampled(lattices), lattices.edges
+    assert all(own == lattices.model.encode(t) for t, (own, _) in zip(texts, once, strict=True))
+    assert all(len({tuple(ids) for ids, *_ in rows}) == len(rows) for _, rows in once)
+    monkeypatch.setattr(pieces.Lattices, "MOST_EDGES", most // 4)
+    bounded = pieces.Lattices(path)
+    assert sampled(bounded) == once
+    assert bounded.edges < most / 2 and sum(len(v) * v.itemsize for v in bounded.tab.values()) < 0.5 * sum(len(v) * v.itemsize for v in lattices.tab.values())
+
+
+def test_a_blank_before_the_last_line_end_loses_nothing(spark):
+    docs = spark.createDataFrame([(1, "ende \n"), (2, "ende\n"), (3, "a  b \n "), (4, "a"), (5, "")], "doc_id bigint, text string")
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    library = pieces.Lattices(path).model
+    for row in pieces.encode(docs, path).collect():
+        assert row.exact and row.ids == library.encode({1: "ende \n", 2: "ende\n", 3: "a  b \n ", 4: "a", 5: ""}[row.doc_id])
