@@ -35,7 +35,7 @@ from herdlens.llm.shingles import mix, powers
 LENGTH, GRAM = 400, 16
 #: Words of a repeated passage.
 PASSAGE = 51
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 250_000  # arrays of eight bytes for each byte of it stay in a processor's cache
 BUCKET_ROWS = 20_000
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -272,30 +272,34 @@ def _cover(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[new], ends[np.concatenate([new[1:] - 1, [len(starts) - 1]])]
 
 
+def _entries(lists: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The list that each entry of an array of lists of structs of whole numbers is in, and the fields of all entries."""
+    each = lists.flatten()
+    return np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False)), [x.to_numpy(zero_copy_only=False) for x in each.flatten()]
+
+
 def _open(places: DataFrame, length: int) -> DataFrame:
     """(head, t, pos, low, high): distances before a suffix where a string may be repeated and no suffix shows it."""
     per_text = places.where("count = 1").groupBy("t").agg(F.sort_array(F.collect_list(F.struct("pos", "near", "far", "head", "m"))).alias("s"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for t, s in zip(batch.column("t").to_pylist(), batch.column("s").to_pylist(), strict=True):
-                pos = np.array([x["pos"] for x in s])
-                m = np.array([x["m"] for x in s])
-                shown = m >= length
-                begin, end = _cover(pos[shown], (pos + m - length + 1)[shown]) if shown.any() else (np.zeros(0, int), np.zeros(0, int))
-                for x in s:
-                    first, last = x["pos"] - x["far"], min(x["pos"] - x["near"], x["pos"] - length + x["m"])
-                    # Narrow [first, last] to what no interval covers, from both sides.
-                    i = np.searchsorted(begin, first, side="right") - 1
-                    if i >= 0 and end[i] > first:
-                        first = int(end[i])
-                    j = np.searchsorted(begin, last, side="right") - 1
-                    if j >= 0 and end[j] > last:
-                        last = int(begin[j]) - 1
-                    if first <= last:
-                        out.append((x["head"], t, x["pos"], x["pos"] - last, x["pos"] - first))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            text, (pos, near, far, head, m) = _entries(batch.column("s"))
+            # All texts on one line, with gaps between them that no distance reaches over.
+            gap = int((pos + m).max(initial=0)) + int(far.max(initial=0)) + 2 * length
+            at = pos + text * gap
+            first, last = at - far, np.minimum(at - near, at - length + m)
+            shown = m >= length
+            if shown.any():
+                begin, end = _cover(at[shown], (at + m - length + 1)[shown])
+                # Narrow [first, last] to what no interval covers, from both sides.
+                i = np.searchsorted(begin, first, side="right") - 1
+                first = np.where((i >= 0) & (end[i] > first), end[i], first)
+                j = np.searchsorted(begin, last, side="right") - 1
+                last = np.where((j >= 0) & (end[j] > last), begin[j] - 1, last)
+            left = first <= last
+            key = batch.column("t").to_numpy(zero_copy_only=False)[text]
+            columns = [x[left] for x in (head, key, pos, at - last, at - first)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["head", "t", "pos", "low", "high"])
 
     return per_text.mapInArrow(run, "head bigint, t bigint, pos bigint, low bigint, high bigint")
@@ -307,33 +311,35 @@ def _counted(texts: DataFrame, places: DataFrame, kind: Kind, length: int) -> Da
     groups = common.written(own.groupBy("head").agg(F.min("low").alias("least"), F.max("high").alias("most")), "groups")
     asked = places.join(groups, "head").join(own.select("t", "pos", "low", "high"), ["t", "pos"], "left")
     asked = asked.withColumn("near", F.greatest("near", "least", F.lit(length) - F.col("m"))).withColumn("far", F.least("far", "most")).where("near <= far")
-    per_text = asked.groupBy("t").agg(F.collect_list(F.struct("pos", "near", "far", "head", "low", "high")).alias("s"))
+    # Nothing is open where low exceeds high.
+    bounds = [F.coalesce("low", F.lit(1)).alias("low"), F.coalesce("high", F.lit(0)).alias("high")]
+    per_text = asked.groupBy("t").agg(F.collect_list(F.struct("pos", "near", "far", *bounds)).alias("s"))
     source = texts.join(per_text, "t")
 
     def strings(only_open: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 raw, offsets = common.text_bytes(batch.column("text"))
-                for i, (t, s) in enumerate(zip(batch.column("t").to_pylist(), batch.column("s").to_pylist(), strict=True)):
+                key, lists = batch.column("t").to_numpy(zero_copy_only=False), batch.column("s")
+                for first, last in common.chunks(np.diff(offsets), CHUNK_BYTES):
+                    text, (pos, near, far, low, high) = _entries(lists.slice(first, last - first))
                     if only_open:
-                        s = [x for x in s if x["low"] is not None]
-                        if not s:
-                            continue
-                    hashes = _Hashes(kind.units(raw[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]])).values)
-                    count = np.array([x["far"] - x["near"] + 1 for x in s])
-                    which = np.repeat(np.arange(len(s)), count)
-                    far = np.array([x["far"] for x in s])[which] - (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
-                    start = np.array([x["pos"] for x in s])[which] - far
-                    low = np.array([x["low"] if x["low"] is not None else 1 for x in s])[which]
-                    high = np.array([x["high"] if x["high"] is not None else 0 for x in s])[which]
-                    is_open = (low <= far) & (far <= high)
+                        text, pos, near, far, low, high = (x[low <= high] for x in (text, pos, near, far, low, high))
+                    if not len(text):
+                        continue
+                    units = kind.units(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+                    hashes, count = _Hashes(units.values), far - near + 1
+                    which = np.repeat(np.arange(len(count)), count)
+                    away = far[which] - (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+                    is_open = (low[which] <= away) & (away <= high[which])
                     if only_open:
-                        start = start[is_open]
-                    code = hashes.at(start, length).view(np.int64)
+                        which, away = which[is_open], away[is_open]
+                    start = pos[which] - away
+                    code = hashes.at(units.first[text[which]] + start, length).view(np.int64)
                     for a in range(0, len(code), 200_000):
                         p = slice(a, a + 200_000)
                         columns = {"code": code[p]}
-                        columns |= {"t": np.full(len(code[p]), t), "start": start[p]} if only_open else {"open": is_open[p]}
+                        columns |= {"t": key[first + text[which[p]]], "start": start[p]} if only_open else {"open": is_open[p]}
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
         return source.mapInArrow(run, "code bigint, " + ("t bigint, start bigint" if only_open else "open boolean"))
@@ -368,11 +374,13 @@ def removals(docs: DataFrame, length: int = LENGTH, kind: Kind = BYTES) -> DataF
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, s in zip(batch.column("text").to_pylist(), batch.column("s").to_pylist(), strict=True):
-                units = _alone(kind, text)
-                arrays = [pa.array([x[c] for x in s], pa.int64()) for c in ("head", "whole")]
-                made = pa.array([units.context(x["pos"], x["pos"] + length + window) for x in s], pa.binary())
-                yield pa.RecordBatch.from_arrays([*arrays, made], names=["head", "whole", "context"])
+            raw, offsets = common.text_bytes(batch.column("text"))
+            for a, b in common.chunks(np.diff(offsets), CHUNK_BYTES):
+                units = kind.units(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                text, (head, whole, pos) = _entries(batch.column("s").slice(a, b - a))
+                begin, end = units.first[text] + pos, (units.first + units.size)[text]
+                made = [units.context(x, y) for x, y in zip(begin.tolist(), np.minimum(begin + length + window, end).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(head), pa.array(whole), pa.array(made, pa.binary())], names=["head", "whole", "context"])
 
     contexts = common.written(texts.join(chosen, "t").mapInArrow(cut, "head bigint, whole bigint, context binary"), "contexts")
     longest, in_order = _neighbours(contexts, kind.width)

@@ -31,7 +31,7 @@ from herdlens.llm.shingles import mix, powers
 WORDS = 50
 #: How often the wanted length is halved to get the first level.
 HALVINGS = 1
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 250_000  # arrays of eight bytes for each byte of it stay in a processor's cache
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = np.uint64(0xA24BAED4963EE407)

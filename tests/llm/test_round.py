@@ -426,3 +426,34 @@ def test_a_blank_before_the_last_line_end_loses_nothing(spark):
     library = pieces.Lattices(path).model
     for row in pieces.encode(docs, path).collect():
         assert row.exact and row.ids == library.encode({1: "ende \n", 2: "ende\n", 3: "a  b \n ", 4: "a", 5: ""}[row.doc_id])
+
+
+def test_chunks_of_suffixes_are_small_and_decide_nothing():
+    draw = np.random.default_rng(3)
+    texts = [draw.integers(97, 100, n).astype(np.uint8).tobytes() for n in (0, 500, 1200, 90, 3000)]
+    offsets = np.cumsum([0, *map(len, texts)])
+    together = suffixes.sampled(suffixes.Bytes(np.frombuffer(b"".join(texts), np.uint8), offsets), suffixes.BYTES, 100)
+    for i, text in enumerate(texts):
+        alone = suffixes.sampled(suffixes.Bytes(np.frombuffer(text, np.uint8), np.array([0, len(text)])), suffixes.BYTES, 100)
+        assert all((x[together[0] == i] == y).all() for x, y in zip(together[1:], alone[1:], strict=True))
+    assert suffixes.CHUNK_BYTES <= 1 << 18 and windows.CHUNK_BYTES <= 1 << 18
+
+
+def test_open_places_of_many_texts_at_once(spark):
+    draw, length, rows = np.random.default_rng(4), 20, []
+    for t in range(40):
+        for pos in sorted(draw.choice(np.arange(12, 300), 15, replace=False).tolist()):
+            far = int(draw.integers(0, 12))
+            rows.append((t, pos, int(draw.integers(0, far + 1)), far, t * 1000 + pos, int(draw.integers(5, 40)), 1))
+    got = suffixes._open(spark.createDataFrame(rows, "t bigint, pos bigint, near bigint, far bigint, head bigint, m bigint, count bigint"), length).collect()
+    expected = set()
+    for t, pos, near, far, head, m, _ in rows:
+        covered = {x for u, p, *_, k, _ in rows if u == t and k >= length for x in range(p, p + k - length + 1)}
+        left = [x for x in range(pos - far, min(pos - near, pos - length + m) + 1)]
+        while left and left[0] in covered:
+            left.pop(0)
+        while left and left[-1] in covered:
+            left.pop()
+        if left:
+            expected.add((head, t, pos, pos - left[-1], pos - left[0]))
+    assert expected and {tuple(r) for r in got} == expected
