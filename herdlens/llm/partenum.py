@@ -12,8 +12,8 @@ set that lack so many shingles are enumerated instead.
 
 Texts with equal sets are one vertex. Vertices that share signatures form clusters; each is compared with its cluster's
 pivot, the vertex that shares most. Of the others, two can only link if their differences from the pivot have enough
-in common, so a prefix of either difference finds the pairs to verify; pairs that both link with the pivot need no
-comparison. A signature that is very frequent is found in a sample first and spread over all tasks. Links stay in
+in common, so a prefix of either difference finds the pairs to verify; pairs of one component need no comparison. Where
+such prefixes would give many pairs, those that meet by them form clusters with pivots of their own first. A signature that is very frequent is found in a sample first and spread over all tasks. Links stay in
 tables; components are contracted there.
 
 Cases: extra columns may have any name and stay as they are; null and empty texts, and texts without words, have an empty set, size 0 and are their own component; shorter
@@ -25,6 +25,7 @@ table gives an empty result. Keys of sets, shingles and rows are 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ from herdlens.llm.components import components
 SUBPARTS = 3
 #: Counters in which all shingles of compared texts are counted, as a measure of how common one is.
 COUNTERS = 1 << 19
+#: Where keys by which vertices meet give more pairs a row, those vertices get pivots of their own.
+PAIRS_A_ROW = 32
 
 
 def row_key() -> Column:
@@ -262,28 +265,84 @@ def _against_pivot(pairs: DataFrame, texts: DataFrame, width: int, percent: int,
     return _with_texts(pairs, texts).mapInArrow(run, "a bigint, b bigint, linked boolean, distance bigint, slack bigint, first array<bigint>")
 
 
-def _candidates(compared: DataFrame) -> DataFrame:
-    """(a, b) pairs of vertices of one pivot that may be linked and do not both link with the pivot.
+#: The columns by which vertices of one pivot meet.
+KEYS = ["b", "kind", "element"]
+
+
+def _met(compared: DataFrame, places: DataFrame) -> DataFrame:
+    """(b, kind, element, a, distance, slack, place, root) rows by which vertices of one pivot, but of several roots, meet.
 
     Linked a and b with distances p <= q from the pivot have differences with at least (p + q - slack) / 2 shingles in
     common. So they share one of the first slack / 2 + 1 of a's and the first slack + 1 of b's, or need none in common. The
     first that they share has place i of a's and j of b's, and no more than p - i and q - j follow from there, so that
     2 i <= slack + p - q and 2 j <= slack + q - p.
     """
-    own = compared.select("a", "b", "linked", "distance", "slack", F.posexplode_outer("first").alias("place", "element"))
-    none = compared.where("distance <= slack").select("a", "b", "linked", "distance", "slack", F.lit(None).cast("int").alias("place"), F.lit(None).cast("bigint").alias("element"))
-    rows = own.where("element IS NOT NULL").union(none).withColumn("kind", F.col("element").isNull()).withColumn("element", F.coalesce("element", F.lit(0)))
-    near = rows.where("place IS NULL OR place <= slack DIV 2").select(
-        "b", "kind", "element", F.col("a").alias("u"), F.col("linked").alias("lu"), F.col("distance").alias("du"), F.col("slack").alias("su"), F.coalesce("place", F.lit(0)).alias("i")
-    )
-    far = rows.select("b", "kind", "element", F.col("a").alias("v"), F.col("linked").alias("lv"), F.col("distance").alias("dv"), F.col("slack").alias("sv"), F.coalesce("place", F.lit(0)).alias("j"))
+    # Without a common shingle only the nearest fit: of vertices linked with the pivot those near enough to one that is not.
+    apart = compared.where("NOT linked").groupBy("b").agg(F.min("distance").alias("apart"))
+    close = compared.where("distance <= slack").join(apart, "b").where("NOT linked OR distance + apart <= slack")
+    none = close.select("b", F.lit(True).alias("kind"), F.lit(0).cast("bigint").alias("element"), "a", "distance", "slack", F.lit(0).alias("place"))
+    own = compared.select("b", F.lit(False).alias("kind"), "a", "distance", "slack", F.posexplode("first").alias("place", "element"))
+    rooted = own.select(*none.columns).union(none).join(places.withColumnRenamed("vertex", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    several = rooted.groupBy(*KEYS).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.expr("2 * place - slack")).alias("near"))
+    return common.written(rooted.join(several.where("low < high AND near <= 0").select(*KEYS), KEYS), "met")
+
+
+def _candidates(met: DataFrame) -> DataFrame:
+    """(a, b) pairs of vertices that meet, may be linked, and are not known to be of one component."""
+    near = met.where("2 * place <= slack").select(*KEYS, F.col("a").alias("u"), F.col("root").alias("ru"), F.col("distance").alias("du"), F.col("slack").alias("su"), F.col("place").alias("i"))
+    far = met.select(*KEYS, F.col("a").alias("v"), F.col("root").alias("rv"), F.col("distance").alias("dv"), F.col("slack").alias("sv"), F.col("place").alias("j"))
     fits = (
-        "u <> v AND (du < dv OR du = dv AND u < v) AND dv - du <= least(su, sv) AND (NOT kind OR du + dv <= least(su, sv))"
+        "ru <> rv AND (du < dv OR du = dv AND u < v) AND dv - du <= least(su, sv) AND (NOT kind OR du + dv <= least(su, sv))"
         " AND 2 * i <= least(su, sv) + du - dv AND 2 * j <= least(su, sv) + dv - du"
     )
-    keys = ["b", "kind", "element"]
-    pairs = near.where("NOT lu").join(far, keys).where(fits).union(near.where("lu").join(far.where("NOT lv"), keys).where(fits))
-    return pairs.select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
+    return near.join(far, KEYS).where(fits).select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
+
+
+def _shares(members: DataFrame) -> DataFrame:
+    """(vertex, shares): how many signatures a vertex shares, each counted as often as vertices have it."""
+    groups = members.groupBy("sign").agg(F.count("*").alias("shared"))
+    return members.join(groups, "sign").groupBy("vertex").agg(F.sum("shared").alias("shares"))
+
+
+def _pivots(members: DataFrame, shares: DataFrame) -> DataFrame:
+    """(a, b) of each vertex a and its pivot b: (sign, vertex) rows make clusters, each around the vertex that shares most."""
+    lowest = members.groupBy("sign").agg(F.min("vertex").alias("b"))
+    clusters = components(members.join(lowest, "sign").where("vertex <> b").select(F.col("vertex").alias("a"), "b"))
+    pivots = clusters.join(shares, "vertex").groupBy("root").agg(F.max(F.struct("shares", "vertex")).alias("pivot")).select("root", F.col("pivot.vertex").alias("b"))
+    made = common.written(clusters.join(pivots, "root").where("vertex <> b").select(F.col("vertex").alias("a"), "b"), "pivots")
+    common.dropped(clusters)
+    return made
+
+
+def _contracted(pairs: DataFrame, shares: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(vertex, root) of linked vertices, given each vertex and its pivot.
+
+    A chain of shared signatures may run through many texts that have little to do with its pivot, and a group of near
+    copies among them would meet in all its pairs. So those that meet form clusters with pivots of their own, as long
+    as that spares half of the pairs; what is left is compared in full.
+    """
+    commonness, made, last = _commonness(texts, width), [], None
+    while True:
+        made.append(common.written(_against_pivot(pairs, texts, width, percent, commonness), "compared"))
+        links = reduce(DataFrame.union, made).where("linked").select("a", "b")
+        places = components(links)
+        met = _met(made[-1], places)
+        sizes = met.groupBy(*KEYS).agg(F.count("*").alias("rows"), F.count(F.when(F.expr("2 * place <= slack"), 1)).alias("near"))
+        rows, most = sizes.agg(F.sum("rows"), F.sum(F.col("rows") * F.col("near"))).first()
+        if last is not None and most > last:  # the pivots before were better ones
+            common.dropped(met)
+            met = _met(made[-2], places)
+        if not rows or most <= PAIRS_A_ROW * rows or last is not None and 2 * most > last:
+            break
+        last = most
+        pairs = _pivots(met.select(F.xxhash64(*KEYS).alias("sign"), F.col("a").alias("vertex")), shares)
+        common.dropped(met, places)
+    more = common.written(_verified(_candidates(met), texts, width, percent), "links")
+    if not more.isEmpty():
+        common.dropped(places)
+        places = components(links.union(more))
+    common.dropped(met, more, *made)
+    return places
 
 
 def _sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -299,23 +358,15 @@ def _placed(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
     classes = keys.where("n_shingles > 0").groupBy("vertex").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("row"))
     members = _members(docs, width, percent)
     common.swept(docs.sparkSession)
-    shares = members.groupBy("vertex").agg(F.count("*").alias("shares"))
     # One text of each vertex that shares a signature, found by its row: an id may be null or have other texts too.
-    chosen = shares.select("vertex").join(classes, "vertex").select("vertex", "row")
+    chosen = members.select("vertex").distinct().join(classes, "vertex").select("vertex", "row")
     rows = docs.where("text IS NOT NULL").select(row_key().alias("row"), "text")
     texts = common.written(rows.join(chosen, "row").select("vertex", "text").dropDuplicates(["vertex"]), "texts")
-    # Vertices that share signatures, directly or in a chain, form a cluster around the one that shares most.
-    lowest = members.groupBy("sign").agg(F.min("vertex").alias("b"))
-    clusters = components(members.join(lowest, "sign").where("vertex <> b").select(F.col("vertex").alias("a"), "b"))
-    pivots = clusters.join(shares, "vertex").groupBy("root").agg(F.max(F.struct("shares", "vertex")).alias("pivot")).select("root", F.col("pivot.vertex").alias("b"))
-    pairs = clusters.join(pivots, "root").where("vertex <> b").select(F.col("vertex").alias("a"), "b")
-    compared = common.written(_against_pivot(pairs, texts, width, percent, _commonness(texts, width)), "compared")
-    common.dropped(members, clusters)
-    links = compared.where("linked").select("a", "b")
-    more = common.written(_verified(_candidates(compared), texts, width, percent), "links")
-    common.dropped(texts)
-    places = components(links.union(more))
-    common.dropped(compared, more)
+    shares = common.written(_shares(members), "shares")
+    pairs = _pivots(members, shares)
+    common.dropped(members)
+    places = _contracted(pairs, shares, texts, width, percent)
+    common.dropped(texts, shares, pairs)
     return keys, classes, places
 
 

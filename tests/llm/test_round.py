@@ -457,3 +457,36 @@ def test_open_places_of_many_texts_at_once(spark):
         if left:
             expected.add((head, t, pos, pos - left[-1], pos - left[0]))
     assert expected and {tuple(r) for r in got} == expected
+
+
+def test_near_copies_around_an_unrelated_pivot_do_not_meet_in_all_pairs(spark, monkeypatch):
+    """A chain of signatures may give a group of near copies a pivot that has nothing in common with them."""
+    draw, base = np.random.default_rng(8), prose(77, 80).split()
+    texts = ["\u0000 ".join(prose(78, 80).split())]
+    for i in range(300):
+        w = list(base)
+        for at in draw.integers(0, len(w), i % 5):
+            w[at] = f"new{i}x{at}"
+        texts.append(" ".join(w))
+    texts = list(dict.fromkeys(texts))
+    verify, compared = partenum._verified, []
+
+    def counted(pairs, *more):
+        compared.append(pairs.count())
+        return verify(pairs, *more)
+
+    monkeypatch.setattr(partenum, "_verified", counted)
+    monkeypatch.setattr(partenum, "PAIRS_A_ROW", 2)
+    table = common.written(spark.createDataFrame(list(enumerate(texts)), "vertex bigint, text string"), "texts")
+    pairs = spark.createDataFrame([(i, 0) for i in range(1, len(texts))], "a bigint, b bigint")
+    shares = spark.createDataFrame([(i, 80 - t.count("new")) for i, t in enumerate(texts)], "vertex bigint, shares bigint")
+    got = {r.vertex: r.root for r in partenum._contracted(pairs, shares, table, 3, 80).collect()}
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in map(str.split, texts)]
+    place = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and place[i] != place[j]:
+                place = [place[j] if p == place[i] else p for p in place]
+    roots = [got.get(i, -1 - i) for i in range(len(texts))]
+    assert len(set(zip(roots, place, strict=True))) == len(set(roots)) == len(set(place)) > 1
+    assert sum(compared) < 3 * len(texts)
