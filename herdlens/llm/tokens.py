@@ -6,8 +6,8 @@ nonterminals, round after round, until no pair is frequent enough. A shard is on
 expansion length of each symbol, the compressed sequence, and the documents with their token counts. Lengths let a
 reader find the symbols that a range of tokens touches and expand only those.
 
-Texts are encoded word by word, each distinct word once per task, which gives the same ids as the whole text; a text
-whose blanks could join across words, or that contains a special token's string, is encoded whole.
+Texts are encoded word by word, each distinct word once while a worker's table holds it and many of them in one string,
+which gives the same ids as the whole text; a text whose blanks could join across words, or that contains a special token's string, is encoded whole.
 
 Cases: a null text counts as empty and is the end id alone; rows with equal doc_id keep the order of their texts' hash;
 null ids come first; equal texts have equal ids; an empty table gives an empty file; a text longer than a shard is
@@ -17,20 +17,23 @@ a shard of its own.
 from __future__ import annotations
 
 import os
-import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from herdlens.llm import common
 
 END = 0
-FIRST, BLANKS = "\0", re.compile(r" \s|\s ")
+BLANK, FIRST, BLANKS = "Ġ", "\0", r" [\s\x0B\x1C-\x1F\x{85}\p{Z}]|[\s\x0B\x1C-\x1F\x{85}\p{Z}] "
+#: Words in a string that is encoded at once.
+TOGETHER = 256
 SHARD_TOKENS = 1 << 20
 #: A pair is replaced if it occurs so often; pairs replaced in one round, the most frequent ones.
 LEAST_COUNT, PER_ROUND = 64, 8192
@@ -40,7 +43,7 @@ SCHEMA = "slice int, shard int, tokens bigint, vocabulary int, rules binary, len
 class Encoder:
     """The ids of texts by one tokenizer file, with a table of words seen."""
 
-    MOST_WORDS = 500_000
+    MOST_WORDS = 250_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,64 +51,76 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # Ids whose bytes begin with a blank: of many words in one string, each begins with such an id and has no other.
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token[:1] == BLANK]] = True
         self._clear()
 
     def _clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number: defaultdict[str, int] = defaultdict(count().__next__)  # a word gets its number when it is looked up
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.begin = np.zeros(1 << 14, np.int64)
+        self.begin, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _learn(self, words: list[str]) -> None:
+    def _singly(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids of each)."""
         got = [e.ids for e in self.tokenizer.encode_batch_fast([w[1:] if w[:1] == FIRST else " " + w for w in words], add_special_tokens=False)]
-        n = len(self.number)
         sizes = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
+        return np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes
+
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same, from strings of many words: no word has white space at an end, so none joins with the next one."""
+        strings = [" " + " ".join(words[k : k + TOGETHER]) for k in range(0, len(words), TOGETHER)]
+        got = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        flat = np.concatenate([np.zeros(0, np.uint32), *got])
+        at = np.flatnonzero(self.opens[flat])
+        if len(at) != len(words) or len(at) and at[0]:  # a tokenizer that marks blanks in another way
+            return self._singly(words)
+        return flat, np.diff(at, append=len(flat))
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of words that have their numbers."""
+        alone = [w for w in words if w[:1] == FIRST or not w or w[-1].isspace()] if not any(" " in s for s in self.special) else words
+        rest = sorted(set(words).difference(alone))
+        flat, sizes = (np.concatenate(x) for x in zip(self._together(rest), self._singly(alone), strict=True))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while n + len(words) + 1 > len(self.begin):
-            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
+        while len(self.number) > len(self.begin):
+            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
         self.ids[self.used : self.used + len(flat)] = flat
-        self.begin[n + 1 : n + 1 + len(words)] = self.used + np.cumsum(sizes)
+        which = np.fromiter(map(self.number.__getitem__, chain(rest, alone)), np.int64, len(words))
+        self.begin[which], self.size[which] = self.used + np.cumsum(sizes) - sizes, sizes
         self.used += len(flat)
-        self.number.update(zip(words, range(n, n + len(words)), strict=True))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text."""
-        out: list[np.ndarray] = []
-        for at in range(0, len(texts), 64):
-            if len(self.number) > self.MOST_WORDS:
-                self._clear()
-            out += self._encode(texts[at : at + 64])
-        return out
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        pieces: list[list[str]] = []
-        for text in texts:
-            # A blank joins another one only next to white space; a word is its blank and what follows.
-            if BLANKS.search(text) or FIRST in text or any(s in text for s in self.special):
-                pieces.append([])
-                continue
-            parts = text.split(" ")
-            parts[0] = FIRST + parts[0]
-            pieces.append(parts)
-        number = self.number.get
-        which = [np.fromiter(map(number, parts, repeat(-1)), np.int64, len(parts)) for parts in pieces]
-        fresh = {parts[i] for parts, own in zip(pieces, which, strict=True) for i in np.flatnonzero(own < 0).tolist()}
-        if fresh:
-            self._learn(sorted(fresh))
-        out = []
-        for text, parts, own in zip(texts, pieces, which, strict=True):
-            if not parts:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
-                continue
-            for i in np.flatnonzero(own < 0).tolist():
-                own[i] = self.number[parts[i]]
-            begin = self.begin[own]
-            size = self.begin[own + 1] - begin
-            ends = np.cumsum(size)
-            out.append(self.ids[np.repeat(begin - (ends - size), size) + np.arange(ends[-1])])
-        return out
+        if len(self.number) > self.MOST_WORDS:
+            self._clear()
+        try:
+            return self._encode(texts)
+        except BaseException:
+            self._clear()  # words may have numbers but no ids
+            raise
+
+    def _encode(self, texts: pa.Array) -> list[np.ndarray]:
+        # A blank joins another one only next to white space; a word is its blank and what follows.
+        odd = pc.match_substring_regex(texts, BLANKS)
+        for part in (FIRST, *self.special):
+            odd = pc.or_(odd, pc.match_substring(texts, part))
+        odd = odd.to_numpy(zero_copy_only=False)
+        lists = pc.split_pattern(pc.binary_join_element_wise(pa.scalar(FIRST), texts.filter(pa.array(~odd)), pa.scalar("")), " ")
+        words = lists.flatten().dictionary_encode()
+        known = len(self.number)
+        number = np.fromiter(map(self.number.__getitem__, words.dictionary.to_pylist()), np.int64, len(words.dictionary))
+        if len(self.number) > known:
+            self._learn(list(islice(reversed(self.number), len(self.number) - known)))
+        own = number[words.indices.to_numpy()]
+        begin, size = self.begin[own], self.size[own]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        flat = self.ids[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])]
+        bound = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])]
+        plain = iter(np.split(flat, bound[1:-1]))
+        return [np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32) if whole else next(plain) for i, whole in enumerate(odd.tolist())]
 
 
 def encoder_of(path: str) -> Encoder:
@@ -220,9 +235,9 @@ def write(docs: DataFrame, tokenizer: str, path: str) -> None:
             encoder = encoder or encoder_of(tokenizer)
             vocabulary = encoder.tokenizer.get_vocab_size()
             slice_no = batch.column("slice")[0].as_py()
-            keys, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for at in range(0, len(keys), 64):
-                for key, own in zip(keys[at : at + 64], encoder.encode(texts[at : at + 64]), strict=True):
+            keys = batch.column("doc_id").to_pylist()
+            for at in range(0, len(keys), 512):
+                for key, own in zip(keys[at : at + 512], encoder.encode(batch.column("text")[at : at + 512]), strict=True):
                     ids.append(key)
                     parts.append(np.concatenate([own, end]))
                     held += len(own) + 1

@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -490,3 +491,25 @@ def test_near_copies_around_an_unrelated_pivot_do_not_meet_in_all_pairs(spark, m
     roots = [got.get(i, -1 - i) for i in range(len(texts))]
     assert len(set(zip(roots, place, strict=True))) == len(set(roots)) == len(set(place)) > 1
     assert sum(compared) < 3 * len(texts)
+
+
+def test_distinct_words_are_encoded_in_few_strings():
+    encoder = tokens.Encoder(queries.tokenizer_path("byte_bpe_50k.json"))
+    library, strings = encoder.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **more):
+            strings.append(len(texts))
+            return library.encode_batch_fast(texts, **more)
+
+        def encode(self, text, **more):
+            return library.encode(text, **more)
+
+    encoder.tokenizer = Counting()
+    odd = ["", " ", "a\n", "a\n\n", "\n b", "a\u00a0 b", "a \u3000b", "a\x85 b", "a\x1c b", "x\u00a0", "a\tb c", "\x00a b", " lead", "trail ", "two  blanks", "<|endoftext|> x", "it's we'll", "é 漢字 🙂 Ġa Ġ"]
+    texts = [*odd, *(prose(900 + i, 200) + f" only{i} w{i}'s {i}" for i in range(300)), *odd]
+    got = encoder.encode(pa.array(texts))
+    assert [x.tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sum(strings) < len(encoder.number) / 2
+    assert [x.tolist() for x in encoder.encode(pa.array(texts[:5]))] == [x.tolist() for x in got[:5]]
+    assert encoder.encode(pa.array([], pa.string())) == []
