@@ -98,7 +98,7 @@ class Lattices:
         for own in prefixes:
             coded = sorted((place[x[:-1]] * self.kinds + int(self.kind[ord(x[-1])]), x) for x in own)
             place = {x: i for i, (_, x) in enumerate(coded)}
-            steps.append((np.array([c for c, _ in coded], np.int64), np.array([ids.get(x, -1) for _, x in coded], np.int64)))
+            steps.append((np.array([c for c, _ in coded], np.int32 if coded[-1][0] < 1 << 31 else np.int64), np.array([ids.get(x, -1) for _, x in coded], np.int64)))
         return steps
 
     def clear(self) -> None:
@@ -125,6 +125,7 @@ class Lattices:
             if not len(at):
                 break
             own = place * self.kinds + kind[at + k - 1]
+            own = np.where(own <= codes[-1], own, -1).astype(codes.dtype)
             place = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
             hit = codes[place] == own
             at, place = at[hit], place[hit]
@@ -174,7 +175,7 @@ class Lattices:
         edge_begin = np.full(nodes, -1, np.int64)
         edge_begin[np.arange(total) + np.repeat(np.arange(n), size)] = self.edges + begin
         words = [u[1:] for u in units]
-        encoded = self.model.encode(words if joined.count(BLANK) == n else [w.replace(BLANK, " ") for w in words])
+        encoded = self.model.encode(words if joined.count(BLANK) == n else [w.replace(BLANK, " ") for w in words], num_threads=1)  # a task has one core
         own_size = np.fromiter(map(len, encoded), np.int64, n)
         new = {
             "root": self.nodes + first + np.arange(n), "own_begin": self.own_count + np.cumsum(own_size) - own_size, "own_size": own_size,

@@ -513,3 +513,12 @@ def test_distinct_words_are_encoded_in_few_strings():
     assert sum(strings) < len(encoder.number) / 2
     assert [x.tolist() for x in encoder.encode(pa.array(texts[:5]))] == [x.tolist() for x in got[:5]]
     assert encoder.encode(pa.array([], pa.string())) == []
+
+
+def test_lattices_are_learned_by_one_thread(monkeypatch):
+    """The library starts threads for a list of texts otherwise, whose work a task of one core pays for."""
+    lattices = pieces.Lattices(queries.tokenizer_path("piece_bpe_32k.model"))
+    encode, threads = lattices.model.encode, []
+    monkeypatch.setattr(lattices.model, "encode", lambda texts, **more: threads.append(more.get("num_threads")) or encode(texts, **more))
+    units = lattices.units(["one two  three", "two four"])
+    assert threads == [1] and [len(u) for u in units] == [3, 2]
